@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, language, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,12 +21,27 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), digest=True)
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity_viterbi": op1_toxicity_viterbi,
+        "op2_quality_knn": op2_quality_knn,
+        "op6_language_hd": op6_language_hd,
         "op10_bpe_tree": op10_bpe_tree,
     }
 
