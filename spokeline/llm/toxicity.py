@@ -3,9 +3,10 @@
 A character model (three letters in a row, counted over all documents) is the source. The channel may write a letter
 as a look-alike sign, repeat it, or put separators between letters. Each span that looks obfuscated becomes a lattice of
 readings, and the Viterbi path of least cost is its restored form. The restored text is scored by terms (words and
-word beginnings) that labelled texts show to be toxic: the score is 1 - prod(1 - p) over the terms found.
+word beginnings) that labelled texts show to be toxic: the log odds are the prior plus the terms' log likelihood ratios, where
+terms that clean texts have too count only beyond a density that is fitted on the sample.
 
-Defined results: null and empty texts have no terms and get the smallest score; without toxic labels every score is 0.
+Defined results: null and empty texts have no terms and get the prior as their score; without toxic labels every score is near 0.
 A doc_id that labels give twice is toxic if either says so. Texts that repeat are learned once. Repeated rows are scored
 each; other columns are not read.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, written
 from .letters import GRAMS, SLOTS, codes, gram_rows, slots
 from .quality import labelled_sample
 
@@ -45,9 +46,12 @@ EDGES = re.compile(r"""([("'\[{<]*)(.*?)((?:([^\w\s])\4{2,}|[.,;:!?"')\]}>])*)""
 PIECE = 48
 #: Labelled rows that terms are learned from, at most: those with the smallest hashes of doc_id.
 MAX_LABELLED = 20_000
-#: A term counts when so many toxic texts have it, and with so much precision.
-MIN_TOXIC, MIN_PRECISION, MAX_TERMS = 6, 0.8, 20_000
-FLOOR = 0.02
+#: A term counts when so many toxic texts (and this share of them) have it, and with so much weight, a log likelihood ratio.
+MIN_TOXIC, MIN_SHARE, MIN_WEIGHT, MAX_WEIGHT, MAX_TERMS = 6, 0.004, 2.5, 5.0, 20_000
+#: A term that no clean text has and so many toxic ones is evidence by itself, however long a text is.
+SURE_TOXIC = 30
+#: Occurrences of one word that count.
+MOST_OF_A_WORD = 3
 REMEMBERED = 300_000
 
 
@@ -158,19 +162,19 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(word: str) -> list[str]:
-    """A word, and its beginnings of four and five letters."""
-    return [word, "^" + word[:4], "^" + word[:5]] if len(word) > 5 else [word, "^" + word[:4]] if len(word) > 4 else [word]
+    """A word, and its beginnings of four to seven letters."""
+    return [word, *("^" + word[:k] for k in range(4, min(8, len(word))))]
 
 
-def learn_terms(rows: DataFrame, labels: DataFrame, cost, label_col: str = "toxic", most: int = MAX_LABELLED) -> dict[str, float]:
-    """Toxic terms with their precision, counted over the cluster in the labelled sample's distinct restored texts."""
+def learn_terms(sample: DataFrame, cost) -> tuple[dict[str, tuple[float, bool]], float]:
+    """Toxic terms with weight and whether they are sure, counted over the cluster in distinct restored texts; and the prior."""
 
     def counted(batches):
         r = Restorer(cost.value)
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                seen[int(bool(label))].update({t for w in set(WORD.findall(r.restore(text))) for t in terms_of(w)})
+                seen[int(bool(label))].update({t for w in set(WORD.findall(r.restore(text))) for t in terms_of(w)} | {""})
             if sum(map(len, seen.values())) > 500_000:
                 yield from flush(seen)
         yield from flush(seen)
@@ -180,41 +184,74 @@ def learn_terms(rows: DataFrame, labels: DataFrame, cost, label_col: str = "toxi
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([n * label for n in c.values()], pa.int64()), pa.array([n * (1 - label) for n in c.values()], pa.int64())], ["term", "toxic", "clean"])
             c.clear()
 
-    sample = labelled_sample(rows, labels, label_col, most)
-    sample = sample.groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.max("text").alias("text"), F.max("label").alias("label"))
-    got = sample.select("text", "label").mapInArrow(counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    precision = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
-    best = got.where((F.col("toxic") >= MIN_TOXIC) & (precision >= MIN_PRECISION)).select("term", precision.alias("p"), "toxic")
-    return {r["term"]: r["p"] for r in best.orderBy(F.desc("toxic"), F.desc("p"), "term").limit(MAX_TERMS).collect()}
+    got = sample.mapInArrow(counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    got = written(got.where(f"toxic >= {MIN_TOXIC} or term = ''"))
+    whole = got.where("term = ''").first()
+    if whole is None or not whole["toxic"]:
+        return {}, -20.0
+    toxic, clean = whole["toxic"], max(1, whole["clean"])
+    weight = F.least(F.lit(MAX_WEIGHT), F.log((F.col("toxic") + 0.5) / toxic) - F.log((F.col("clean") + 0.5) / clean))
+    best = got.where((F.col("term") != "") & (F.col("toxic") >= MIN_SHARE * toxic) & (weight >= MIN_WEIGHT)).select("term", weight.alias("w"), "toxic", "clean")
+    best = best.orderBy(F.desc("toxic"), F.desc("w"), "term").limit(MAX_TERMS).collect()
+    return {r["term"]: (r["w"], r["clean"] == 0 and r["toxic"] >= SURE_TOXIC) for r in best}, float(np.log(toxic / clean))
 
 
 class Weights(dict):
-    """chunk -> log(1 - p) of the best terms of its restored words, 0 for most chunks."""
+    """chunk -> (weight, sure) of the best term of its restored words, or None."""
 
-    def __init__(self, terms: dict[str, float], restorer: Restorer):
+    def __init__(self, terms: dict[str, tuple[float, bool]], restorer: Restorer):
         super().__init__()
         self.terms, self.restorer = terms, restorer
 
-    def __missing__(self, chunk: str) -> float:
-        p = max((self.terms.get(t, 0.0) for w in WORD.findall(self.restorer.chunk(chunk)) for t in terms_of(w)), default=0.0)
+    def __missing__(self, chunk: str) -> tuple[float, bool] | None:
         if len(self) >= REMEMBERED:
             self.clear()
-        out = self[chunk] = float(np.log1p(-min(0.999, p)))
+        found = (self.terms[t] for w in WORD.findall(self.restorer.chunk(chunk)) for t in terms_of(w) if t in self.terms)
+        out = self[chunk] = max(found, key=lambda x: (x[1], x[0]), default=None)
         return out
 
-    def score(self, text: str | None, floor: float) -> float:
-        return 1 - (1 - floor) * float(np.exp(sum(map(self.__getitem__, set(self.restorer.joined(text).split())))))
+    def evidence(self, text: str | None) -> tuple[float, float, int]:
+        """Of a whole text: weight of sure terms, weight of the others, number of words."""
+        chunks = self.restorer.joined(text).split()
+        sums = [0.0, 0.0]
+        for chunk, n in Counter(filter(self.__getitem__, chunks)).items():
+            w, sure = self[chunk]
+            sums[not sure] += w * min(n, MOST_OF_A_WORD)
+        return sums[0], sums[1], len(chunks)
 
 
-def predict(rows: DataFrame, cost, terms: dict[str, float]) -> DataFrame:
+def scores(sure, others, words, prior: float, density: float):
+    """Terms that clean texts have now and then must be denser than chance makes them."""
+    x = prior + np.asarray(sure) + np.maximum(0, np.asarray(others) - density * np.asarray(words))
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def fit_density(sample: DataFrame, cost, terms, prior: float) -> float:
+    """The density of least loss on the labelled sample (three numbers a text)."""
+
+    def measured(batches):
+        w = Weights(terms.value, Restorer(cost.value))
+        for b in batches:
+            got = np.array([w.evidence(t) for t in b.column("text").to_pylist()], np.float64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, got.T.copy()), b.column("label")], ["sure", "others", "words", "label"])
+
+    got = sample.mapInArrow(measured, "sure double, others double, words double, label int").toPandas()
+    y = got["label"].to_numpy() > 0
+
+    def loss(density: float) -> float:
+        s = scores(got["sure"], got["others"], got["words"], prior, density).clip(1e-6, 1 - 1e-6)
+        return float(-np.log(np.where(y, s, 1 - s)).sum())
+
+    return min((k / 500 for k in range(51)), key=loss)
+
+
+def predict(rows: DataFrame, cost, terms: dict[str, tuple[float, bool]], prior: float, density: float) -> DataFrame:
     known = rows.sparkSession.sparkContext.broadcast(terms)  # MAX_TERMS terms at most
 
     def scored(batches):
         w = Weights(known.value, Restorer(cost.value))
-        floor = FLOOR if known.value else 0.0
         for b in batches:
-            s = [w.score(t, floor) for t in b.column("text").to_pylist()]
-            s = np.clip(np.array(s, np.float64), 0, 1)
+            s = scores(*np.array([w.evidence(t) for t in b.column("text").to_pylist()], np.float64).reshape(-1, 3).T, prior, density)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.3).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = rows.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
@@ -225,4 +262,8 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     """doc_id, held_out, score and predicted of every row; labels of fold 2 of 4 are not looked at."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cost = rows.sparkSession.sparkContext.broadcast(letter_model(rows))  # SLOTS^3 floats
-    return predict(rows, cost, learn_terms(rows, labels.where(fold_of(F.col("doc_id").cast("long"), 4) != 2), cost, label_col))
+    sample = labelled_sample(rows, labels.where(fold_of(F.col("doc_id").cast("long"), 4) != 2), label_col, MAX_LABELLED)
+    sample = written(sample.groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.max("text").alias("text"), F.max("label").alias("label")).select("text", "label"))
+    terms, prior = learn_terms(sample, cost)
+    density = fit_density(sample, cost, rows.sparkSession.sparkContext.broadcast(terms), prior) if terms else 0.0
+    return predict(rows, cost, terms, prior, density)
