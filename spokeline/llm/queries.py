@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, quality, toxicity
+from . import bpe, language, mixing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_mix_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity_viterbi": op1_toxicity_viterbi,
         "op2_quality_knn": op2_quality_knn,
+        "op5_mix_hypergeometric": op5_mix_hypergeometric,
         "op6_language_hd": op6_language_hd,
         "op10_bpe_tree": op10_bpe_tree,
     }
