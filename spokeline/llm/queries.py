@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, mixing, quality, toxicity
+from . import bpe, jaccard, language, mixing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,10 @@ def op6_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), digest=True)
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Query]:
         "op2_quality_knn": op2_quality_knn,
         "op5_mix_hypergeometric": op5_mix_hypergeometric,
         "op6_language_hd": op6_language_hd,
+        "op8_jaccard_forest": op8_jaccard_forest,
         "op10_bpe_tree": op10_bpe_tree,
     }
 
