@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, jaccard, language, mixing, quality, toxicity
+from . import ann, bpe, chat, html, jaccard, language, mixing, neardup, quality, toxicity
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -32,6 +32,10 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.links(table(spark, sf_dir, "embeddings"))
+
+
 def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(added)
@@ -54,6 +58,10 @@ def op8_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op9_ann_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), digest=True)
 
@@ -62,11 +70,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity_viterbi": op1_toxicity_viterbi,
         "op2_quality_knn": op2_quality_knn,
+        "op3_vector_graph": op3_vector_graph,
         "op4_chat_trees": op4_chat_trees,
         "op5_mix_hypergeometric": op5_mix_hypergeometric,
         "op6_language_hd": op6_language_hd,
         "op7_html_tree": op7_html_tree,
         "op8_jaccard_forest": op8_jaccard_forest,
+        "op9_ann_multi_index": op9_ann_multi_index,
         "op10_bpe_tree": op10_bpe_tree,
     }
 
