@@ -186,3 +186,9 @@ def expected_recall(similarity: float, threshold: float = THRESHOLD, trees: int
     return meets(similarity, forest_depth(threshold, trees, recall=recall), trees)
 
 
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, of the smallest id of each class; one row for each id, none for a null id."""
+    kept = join(docs, id_col, text_col, threshold).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs[id_col].cast("long") == kept["kept_id"], "left_semi").dropDuplicates([id_col])

@@ -104,3 +104,24 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the rows outside fold 2 of 4 and predict all rows."""
     return predict(docs, prototypes(docs, fold_of(F.col(id_col), 4) != 2, text_col, lang_col), id_col, text_col)
+
+
+#: Texts whose cosine to the nearest prototype is below this look like no language that was learned.
+MIN_SCORE = 0.01
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, whose text is in some learned language: not `und`, and a cosine of MIN_SCORE at least."""
+    profiles = prototypes(docs, fold_of(F.col(id_col), 4) != 2, text_col, lang_col)
+    known = docs.sparkSession.sparkContext.broadcast(np.stack([profiles[k] for k in profiles]) if profiles else np.zeros((0, DIMS), np.float32))
+
+    def kept(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(at, BLOCK)
+                v = bundles(b.column(text_col).to_pylist())
+                norm = np.linalg.norm(v, axis=1)
+                best = ((v @ known.value.T) / np.maximum(norm, 1e-30)[:, None]).max(axis=1, initial=0.0)
+                yield b.filter(pa.array((norm > 0) & (best >= MIN_SCORE)))
+
+    return docs.mapInArrow(kept, docs.schema)

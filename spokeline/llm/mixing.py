@@ -14,7 +14,10 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,3 +133,31 @@ def write_shards(mixed: DataFrame, path: str, shards: int = SHARDS) -> None:
     mixed.where("taken > 0").repartition(shards, "shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
 
 
+
+
+def first_words(text: str, n: int) -> str:
+    """A text's beginning, to the end of its n-th word."""
+    for k, m in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", text), 1):
+        if k == n:
+            return text[: m.end()]
+    return text
+
+
+def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
+    """The mix itself: rows of docs, all columns, as often as they are taken; the last copy may be cut to the words taken.
+
+    Rows of the same id take the mean of their draws; rows without an id, and texts of size 0, are in no mix.
+    """
+    taken = mix(docs, id_col, text_col, source_col, **params).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.floor(F.avg("taken")).alias("mixed_taken"), F.max("size").alias("mixed_size"))
+    taken = taken.where("mixed_taken > 0 and mixed_id is not null")
+    rows = docs.join(taken, docs[id_col].cast("long") == taken["mixed_id"])
+    whole, rest = F.floor(F.col("mixed_taken") / F.col("mixed_size")), F.col("mixed_taken") % F.col("mixed_size")
+    copies = rows.withColumn("mixed_copies", whole.cast("int")).where("mixed_copies > 0").withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies"))))
+    cut = rows.withColumn("mixed_rest", rest).where("mixed_rest > 0").select(*[docs[c] for c in docs.columns], "mixed_rest")
+
+    def shortened(batches):
+        for b in batches:
+            text = [first_words(t, n) for t, n in zip(b.column(text_col).to_pylist(), b.column("mixed_rest").to_pylist(), strict=True)]
+            yield b.set_column(b.schema.get_field_index(text_col), text_col, pa.array(text, b.schema.field(text_col).type)).drop_columns(["mixed_rest"])
+
+    return copies.select(*[docs[c] for c in docs.columns]).unionByName(cut.mapInArrow(shortened, docs.schema))

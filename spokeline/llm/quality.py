@@ -178,3 +178,18 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     """doc_id, held_out, score and predicted of every row; labels of fold 0 of 5 are not looked at."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return predict(rows, fit(rows, labels.where(fold_of(F.col("doc_id").cast("long"), 5) != 0), label_col))
+
+
+def keep(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, that score `least` or more; one scan, no join back."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = docs.sparkSession.sparkContext.broadcast(fit(rows, labels.where(fold_of(F.col("doc_id").cast("long"), 5) != 0), label_col))
+
+    def kept(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(at, BLOCK)
+                s = votes(b.column(text_col).to_pylist(), known.value) if known.value else np.full(b.num_rows, 0.5)
+                yield b.filter(pa.array(s >= least))
+
+    return docs.mapInArrow(kept, docs.schema)
