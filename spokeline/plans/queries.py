@@ -279,7 +279,7 @@ def elevation_profile(s, d):
 
 @query
 def nav_match(s, d):
-    return net.matches(s, d).select("event_id", "seg", m(c("off_m")).alias("off_m"), m(c("along_m")).alias("along_m"))
+    return net.matches(s, d).select("event_id", m(c("off_m")).alias("off_m"), m(c("along_m")).alias("along_m"))
 
 
 @query
