@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 #: A run without white space of this length takes the way of the tree.
 LEAF_CHARS = 2048
-#: Pre-tokens that a worker remembers at most.
-REMEMBERED = 800_000
+#: Pre-tokens that a task remembers at most (about 300 bytes each).
+REMEMBERED = 400_000
 #: Texts of white space, ASCII and Latin letters alone are cut by a plain pattern that means the same as the vocabulary's there.
 UNUSUAL = re.compile("[^\t-\r -~À-ÖØ-öø-įı-ſ]")
 USUAL = re.compile("[a-zß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-z0-9ß-öø-ſ]+")
@@ -55,6 +55,11 @@ class Words(dict):
         super().__init__()
         self.bpe, self.old = bpe, {}
 
+    def forget(self) -> None:
+        """At the end of a task: workers live on, and other stages need their memory."""
+        self.clear()
+        self.old = {}
+
     def __missing__(self, word: str) -> tuple[bytes, str]:
         out = self.old.get(word) or self.bpe.packed(self.bpe.merge(self.bpe.symbols(word)))
         if len(self) >= REMEMBERED // 2:
@@ -225,6 +230,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         for b in batches:
             got = [bpe.encode(t) for t in b.column("text").to_pylist()]
             yield finish(b.column("doc_id"), [g[0] for g in got], [g[1] for g in got])
+        bpe.words.forget()
 
     # one scan for either way: the flag is worked out beside the text
     long_run = F.length("text") >= leaf_chars

@@ -33,9 +33,9 @@ def fold_of(id_col: Column, folds: int) -> Column:
 
 
 class WordHashes(dict):
-    """word -> 32-bit hash, remembered up to a number of words (then forgotten as a whole)."""
+    """word -> 32-bit hash, remembered up to a number of words, then forgotten as a whole; tasks clear it when they end."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

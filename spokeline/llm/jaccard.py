@@ -96,6 +96,7 @@ def signed(rows: DataFrame, trees: int, depth: int) -> DataFrame:
                     s = shingles(t)
                     keys.append(prefixes(signature(s, trees, depth)) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "keys"])
+        hashes.clear()
 
     return rows.mapInArrow(sign, "doc_id long, h binary, keys array<long>")
 
@@ -167,6 +168,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         for b in batches:
             sets = [shingles(t).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rep", "copies", "root", "blocks", "block")), pa.array(sets, pa.binary())], ["doc_id", "copies", "root", "blocks", "block", "shingles"])
+        hashes.clear()
 
     sets = wanted.select("rep", "copies", "root", "blocks", "block", "text").mapInArrow(cut, "doc_id long, copies long, root long, blocks int, block int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

@@ -87,6 +87,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, float]:
                 df[:TERMS] += term_counts(t or "") > 0
                 n += 1
         df[TERMS] = n
+        hashes.clear()
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
 
@@ -169,6 +170,7 @@ def predict(rows: DataFrame, model: dict | None, folds: int = 5, held: int = 0)
                 b = batch.slice(at, BLOCK)
                 s = votes(b.column("text").to_pylist(), known.value) if known.value else np.full(b.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.3).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        hashes.clear()
 
     rows = rows.select("doc_id", (fold_of(F.col("doc_id"), folds) == held).alias("held_out"), "text")
     return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
@@ -191,5 +193,6 @@ def keep(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                 b = batch.slice(at, BLOCK)
                 s = votes(b.column(text_col).to_pylist(), known.value) if known.value else np.full(b.num_rows, 0.5)
                 yield b.filter(pa.array(s >= least))
+        hashes.clear()
 
     return docs.mapInArrow(kept, docs.schema)
