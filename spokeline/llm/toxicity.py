@@ -3,10 +3,10 @@
 A character model (three letters in a row, counted over all documents) is the source. The channel may write a letter
 as a look-alike sign, repeat it, or put separators between letters. Each span that looks obfuscated becomes a lattice of
 readings, and the Viterbi path of least cost is its restored form. The restored text is scored by terms (words and
-word beginnings) that labelled texts show to be toxic: the log odds are the prior plus the terms' log likelihood ratios, where
+word beginnings) that labelled texts show to be toxic: the log odds are a fitted offset plus the terms' log likelihood ratios, where
 terms that clean texts have too count only beyond a density that is fitted on the sample.
 
-Defined results: null and empty texts have no terms and get the prior as their score; without toxic labels every score is near 0.
+Defined results: null and empty texts have no terms and get the offset alone as their score; without toxic labels every score is near 0.
 A doc_id that labels give twice is toxic if either says so. Texts that repeat are learned once. Repeated rows are scored
 each; other columns are not read.
 """
@@ -226,8 +226,8 @@ def scores(sure, others, words, prior: float, density: float):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_density(sample: DataFrame, cost, terms, prior: float) -> float:
-    """The density of least loss on the labelled sample (three numbers a text)."""
+def fit_density(sample: DataFrame, cost, terms, prior: float) -> tuple[float, float]:
+    """The density, and the log odds of a text without terms (the prior at most), of least loss on the labelled sample (three numbers a text)."""
 
     def measured(batches):
         w = Weights(terms.value, Restorer(cost.value))
@@ -238,11 +238,11 @@ def fit_density(sample: DataFrame, cost, terms, prior: float) -> float:
     got = sample.mapInArrow(measured, "sure double, others double, words double, label int").toPandas()
     y = got["label"].to_numpy() > 0
 
-    def loss(density: float) -> float:
-        s = scores(got["sure"], got["others"], got["words"], prior, density).clip(1e-6, 1 - 1e-6)
+    def loss(fit: tuple[float, float]) -> float:
+        s = scores(got["sure"], got["others"], got["words"], fit[1], fit[0]).clip(1e-6, 1 - 1e-6)
         return float(-np.log(np.where(y, s, 1 - s)).sum())
 
-    return min((k / 500 for k in range(51)), key=loss)
+    return min(((k / 500, min(prior, 0.0) - j / 4) for k in range(0, 51, 2) for j in range(21)), key=loss)
 
 
 def predict(rows: DataFrame, cost, terms: dict[str, tuple[float, bool]], prior: float, density: float) -> DataFrame:
@@ -265,5 +265,5 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     sample = labelled_sample(rows, labels.where(fold_of(F.col("doc_id").cast("long"), 4) != 2), label_col, MAX_LABELLED)
     sample = written(sample.groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.max("text").alias("text"), F.max("label").alias("label")).select("text", "label"))
     terms, prior = learn_terms(sample, cost)
-    density = fit_density(sample, cost, rows.sparkSession.sparkContext.broadcast(terms), prior) if terms else 0.0
+    density, prior = fit_density(sample, cost, rows.sparkSession.sparkContext.broadcast(terms), prior) if terms else (0.0, -20.0)
     return predict(rows, cost, terms, prior, density)
