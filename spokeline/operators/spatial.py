@@ -46,17 +46,28 @@ def worst_crossing(lines: DataFrame, roads: DataFrame, *key: str) -> DataFrame:
     return a.join(b, ["cell_lat", "cell_lng"]).where(crosses).groupBy(*key).agg(F.max("rank").alias("rank"))
 
 
-def gap_pairs(nodes: DataFrame, connected: DataFrame) -> DataFrame:
-    """a_key < b_key, ends and metres of node pairs within reach that no edge connects. connected: key."""
+def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of nodes within GAP_M and GAP_CELLS: key, both node keys, metres and ends. Pairs of a node with itself are left out."""
     cols = ("node_key", "lat", "lng", "cell_lat", "cell_lng")
-    a = around(nodes, GAP_CELLS).select(*(F.col(c).alias(f"a_{c}") for c in cols), "x", "y")
-    b = within(nodes, GAP_CELLS).select(*(F.col(c).alias(f"b_{c}") for c in cols), "x", "y")
+    a = around(left, GAP_CELLS).select(*(F.col(c).alias(f"a_{c}") for c in cols), "x", "y")
+    b = within(right, GAP_CELLS).select(*(F.col(c).alias(f"b_{c}") for c in cols), "x", "y")
     near = (F.abs(F.col("a_cell_lat") - F.col("b_cell_lat")) <= GAP_CELLS) & (F.abs(F.col("a_cell_lng") - F.col("b_cell_lng")) <= GAP_CELLS)
     d = geo.haversine(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
-    pairs = a.join(b, ["x", "y"]).where((F.col("a_node_key") < F.col("b_node_key")) & near).withColumn("distance", d).where(F.col("distance") <= GAP_M)
-    pairs = pairs.withColumn("key", edge_key(F.col("a_node_key"), F.col("b_node_key")))
-    pairs = pairs.join(connected.select("key").distinct(), "key", "left_anti")
-    return pairs.select("key", F.col("a_node_key").alias("a_key"), F.col("b_node_key").alias("b_key"), "distance", F.col("a_lat").alias("lat1"), F.col("a_lng").alias("lng1"), F.col("b_lat").alias("lat2"), F.col("b_lng").alias("lng2"))
+    pairs = a.join(b, ["x", "y"]).where((F.col("a_node_key") != F.col("b_node_key")) & near).withColumn("distance", d).where(F.col("distance") <= GAP_M)
+    out = pairs.withColumn("key", edge_key(F.col("a_node_key"), F.col("b_node_key")))
+    return out.select("key", F.col("a_node_key").alias("a_key"), F.col("b_node_key").alias("b_key"), "distance", F.col("a_lat").alias("lat1"), F.col("a_lng").alias("lng1"), F.col("b_lat").alias("lat2"), F.col("b_lng").alias("lng2"))
+
+
+def gap_pairs(nodes: DataFrame, connected: DataFrame) -> DataFrame:
+    """a_key < b_key, ends and metres of node pairs within reach that no edge connects. connected: key."""
+    return near_pairs(nodes, nodes).where("a_key < b_key").join(connected.select("key").distinct(), "key", "left_anti")
+
+
+def relinked(ends: DataFrame, nodes: DataFrame, connected: DataFrame) -> DataFrame:
+    """Plain gaps from the ends of a drawn line to all nodes within reach that they have no edge to; roads between do not matter."""
+    every = nodes.select("node_key", "lat", "lng", "cell_lat", "cell_lng").unionByName(ends.select("node_key", "lat", "lng", "cell_lat", "cell_lng")).dropDuplicates(["node_key"])
+    found = near_pairs(ends, every).join(connected.select("key").distinct(), "key", "left_anti")
+    return found.dropDuplicates(["key"]).withColumn("ct", F.lit("_GAP"))
 
 
 def gap_edges(gaps: DataFrame, roads: DataFrame) -> DataFrame:

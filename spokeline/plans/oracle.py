@@ -288,6 +288,9 @@ def oracle_sql() -> dict[str, str]:
         "nearest_place": sql(
             f"""SELECT pid, place_id, round(d, 3) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, place_id) AS n FROM (SELECT p.pid, q.place_id, {hav('p.lat', 'p.lng', 'q.lat', 'q.lng')} AS d FROM fx_points p JOIN fx_places q ON
             abs(floor(floor(p.lat * 1000) / 30) - floor(floor(q.lat * 1000) / 30)) <= 1 AND abs(floor(floor(p.lng * 1000) / 30) - floor(floor(q.lng * 1000) / 30)) <= 1)) WHERE n = 1""", "fx_points", "fx_places"),
+        "split_labels": sql(
+            "SELECT place_id, coalesce(nullif(name, ''), parts[1]) AS label, trim(array_to_string(parts[2:4], ',')) AS detail, CASE WHEN place_id % 9 <> 0 THEN CAST(place_id AS DOUBLE) END AS lat, CAST(place_id AS DOUBLE) AS lng FROM ("
+            "SELECT place_id, CASE WHEN place_id % 2 = 0 THEN name END AS name, string_split(concat_ws(', ', street, district, city, state, 'x'), ',') AS parts FROM fx_places)", "fx_places"),
         "debounced_queries": "SELECT session, seq, query FROM (SELECT user_id % 50 AS session, event_id AS seq, event_type AS query, ts, lead(ts) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS after FROM events) WHERE after IS NULL OR epoch_us(after) - epoch_us(ts) >= 60000000",
         "latest_request_wins": "SELECT user_id % 50 AS session, max(event_id) AS request_id, arg_max(event_type, event_id) AS reply FROM events GROUP BY 1",
         "adjacency_degree": sql("SELECT src, count(*) AS degree, count(DISTINCT dst) AS neighbours, round(sum(distance), 3) AS metres FROM o_edge GROUP BY src", "o_edge"),

@@ -356,6 +356,20 @@ def polyline_pieces(s, d):
     return preferences.pieces(r).select("line_id", "from_idx", "to_idx", m(c("metres")).alias("metres"), "key")
 
 
+@query
+def preference_injection(s, d):
+    """Drawn lines as preference edges, and the plain gaps from their ends to the network."""
+    coords = F.transform(F.array_sort(F.collect_list(F.struct("idx", "lat", "lng"))), lambda v: F.struct(v["lat"].alias("lat"), v["lng"].alias("lng")))
+    drawn = net.route_points(s, d).groupBy(c("route_id").alias("line_id")).agg(coords.alias("coords"))
+    edges = net.net(s, d).where("a_key <> b_key").select("key")
+    new = preferences.injected(preferences.pieces(drawn), edges)
+    at = lambda i: F.element_at("coords", i)
+    ends = drawn.select(F.explode(F.array(at(1), at(-1))).alias("p")).select(graph.node_key(c("p.lat"), c("p.lng")).alias("node_key"), "p.lat", "p.lng").dropDuplicates(["node_key"])
+    ends = ends.withColumns({"cell_lat": geo.cell(c("lat")), "cell_lng": geo.cell(c("lng"))})
+    links = spatial.relinked(ends, net.nodes(s, d), edges.union(new.select("key")))
+    return new.select("key", "ct", m(c("metres")).alias("metres")).unionByName(links.select("key", "ct", m(c("distance")).alias("metres")))
+
+
 @query
 def waypoint_fold(s, d):
     e = fixture(s, d, "events").select((c("user_id") % 50).alias("session"), c("event_id").alias("seq"), F.expr("element_at(array('add','add','add','move','undo','clear'), cast(1 + event_id % 17 % 6 as int))").alias("op"), (c("event_id") % 3).cast("int").alias("idx"), (c("event_id") / 1000.0).alias("lat"), c("value").alias("lng"))
