@@ -78,11 +78,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         # large star: every larger neighbour of u is linked to the smallest of u and its neighbours
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = minima(both.select("u", F.least("u", "v").alias("m")), "u")
+        low = written(minima(both.select("u", F.least("u", "v").alias("m")), "u"))  # so that both sides of the join are shuffled for it alone, and Spark can split a hub
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         # small star: u and its smaller neighbours are linked to the smallest of these
-        low = minima(large.select("u", F.col("v").alias("m")), "u")
+        large = written(large)
+        low = written(minima(large.select("u", F.col("v").alias("m")), "u"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         e = written(small.distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
