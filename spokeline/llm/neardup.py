@@ -2,8 +2,9 @@
 
 Vectors of a label are dealt to the nearest of its cluster centres and the next one, so that shards overlap. In each shard every
 vector's nearest neighbours are pruned robustly (a neighbour is dropped that a kept one is much nearer to), and the
-shards' adjacency lists are united, both directions. Searches start at the shards' medoids and at the vector's own node, go
-greedily to the nearest nodes, then expand from every node within reach until no more are found. What is found is
+shards' adjacency lists are united, both directions. A label that is too large for a task is searched in cells of vectors with near
+home centres; a vector asks every cell that can hold a partner of it (a bound that loses none). Searches start at the shards' medoids,
+at the vector's own node and at its own list, go greedily to the nearest nodes, then expand from every node within reach until no more are found. What is found is
 verified by the exact cosine in double precision. Recall is audited against brute force for a bounded set of
 vectors; while it is below the target, degree and beam are doubled and the search is done again.
 
@@ -29,6 +30,8 @@ SHARD_ROWS, MAX_CENTRES = 1024, 8192
 #: Rows of a block of a shard (a task holds two), nodes of a cell that one task holds; queries of one search task.
 BLOCK, CELL, QUERIES = 2048, 8192, 1024
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 24
+#: Shards that a vector is dealt to.
+SHARDS = 2
 #: Similarity below the threshold from which nodes are still expanded.
 SLACK = 0.04
 AUDITED, RECALL = 64, 0.98
@@ -75,7 +78,10 @@ def build(pdf: pd.DataFrame, degree: int) -> pd.DataFrame:
 
 
 def search(nodes: pd.DataFrame, queries: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
-    """For each query: weight of the nodes within reach, and the smallest id of its links' component among these nodes."""
+    """For each query: weight of the nodes within reach, and the smallest id of its links' component among these nodes.
+
+    Queries from other cells enter by their own links too.
+    """
     if nodes.empty or queries.empty:
         return pd.DataFrame({"rep": [], "n": [], "root": []}).astype("int64")
     ids, x, copies = nodes["rep"].to_numpy(), stacked(nodes["x"]), nodes["copies"].to_numpy()
@@ -89,6 +95,14 @@ def search(nodes: pd.DataFrame, queries: pd.DataFrame, threshold: float, beam: i
     # both directions of every edge among these nodes, so that whoever reaches a node is reached from it
     flat = np.unique(np.concatenate([src * len(ids) + at, at * len(ids) + src]))
     begin, ends = np.searchsorted(flat // len(ids), np.arange(len(ids) + 1)), flat % len(ids)
+    # medoids of the shards
+    starts = [int(np.flatnonzero(mask)[np.argmax(x[mask] @ x[mask].mean(axis=0))]) for c in nodes["centre"].unique() if (mask := nodes["centre"].to_numpy()[order] == c).any()]
+    walk = (ids, x, copies, begin, ends, starts)
+    return pd.concat([searched(*walk, queries.iloc[lo : lo + QUERIES], threshold, beam) for lo in range(0, len(queries), QUERIES)])
+
+
+def searched(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, begin: np.ndarray, ends: np.ndarray, starts: list[int], queries: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
+    """The search of one piece of the queries."""
     q, asked = stacked(queries["q"]), queries["asked"].to_numpy()
     n, m = len(ids), len(asked)
     sims = np.full((m, n), -2.0)  # of the pairs looked at
@@ -122,13 +136,17 @@ def search(nodes: pd.DataFrame, queries: pd.DataFrame, threshold: float, beam: i
         top = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
         best, best_sims = np.take_along_axis(all_cols, top, 1), np.take_along_axis(all_sims, top, 1)
 
-    # medoids of the shards, and each query's own node
-    starts = [int(np.flatnonzero(mask)[np.argmax(x[mask] @ x[mask].mean(axis=0))]) for c in nodes["centre"].unique() if (mask := nodes["centre"].to_numpy()[order] == c).any()]
+    # medoids, each query's own node and those that its own list names
     own = np.searchsorted(ids, asked)
     here = np.flatnonzero((own < n) & (ids[np.minimum(own, n - 1)] == asked))
-    begun = np.unique(np.concatenate([*(np.arange(m) * n + s for s in starts), here * n + own[here]]))
-    look(begun // n, begun % n)
-    merge(begun // n, begun % n)
+    lists = [v if v is not None else () for v in queries["known"]]
+    of, named = np.repeat(np.arange(m), [len(v) for v in lists]), np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64)
+    at = np.searchsorted(ids, named)
+    there = (at < n) & (ids[np.minimum(at, n - 1)] == named)
+    begun = np.unique(np.concatenate([*(np.arange(m) * n + s for s in starts), here * n + own[here], of[there] * n + at[there]]))
+    begun_rows, begun_cols = begun // n, begun % n
+    look(begun_rows, begun_cols)
+    merge(begun_rows, begun_cols)
 
     expanded = np.zeros((m, n), bool)
     for _ in range(4 * beam):  # greedy: each query expands the nearest of its beam that is not expanded yet
@@ -209,39 +227,62 @@ def links(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", v
     share = min(1 / SHARD_ROWS, MAX_CENTRES / 2 / max(1, total))
     drawn = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30))
     centres = nodes.where(drawn).select("label", "rep", "x").toPandas()
-    table = {label: (part["rep"].to_numpy(), stacked(part["x"])) for label, part in centres.groupby("label")}
+    # centres that are near each other share a cell of about CELL / 2 rows
+    together = max(1, int(CELL / 2 * share))
+    table = {}
+    for label, part in centres.sort_values("rep").groupby("label"):
+        reps, c = part["rep"].to_numpy(), stacked(part["x"])
+        table[label] = reps, c, reps[np.argmax(c @ c[: -(-len(c) // together)].T, axis=1)]
     known = spark.sparkContext.broadcast(table)
+    reach = float(np.sqrt(1 - threshold * threshold)) if threshold > 0 else 1.0
 
-    def dealt(batches):
+    def pieces(batches):
         for pdf in batches:
             for label, part in pdf.groupby("label"):
-                reps, c = known.value.get(label, (np.array([-1]), None))
-                if c is None:
-                    yield part.assign(centre=-1, turn=0)
-                    continue
-                sims = stacked(part["x"]) @ c.T
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :2]
-                for turn in range(order.shape[1]):
-                    yield part.assign(centre=reps[order[:, turn]], turn=turn)
+                for lo in range(0, len(part), 1024):
+                    yield known.value.get(label), part.iloc[lo : lo + 1024]
+
+    def dealt(batches):
+        for got, part in pieces(batches):
+            if got is None:
+                yield part.assign(centre=-1)
+                continue
+            order = np.argsort(-(stacked(part["x"]) @ got[1].T), axis=1, kind="stable")[:, :SHARDS]
+            for turn in range(order.shape[1]):
+                yield part.assign(centre=got[0][order[:, turn]])
+
+    def routed(batches):
+        """Each vector's home, and all cells that can hold a partner: a partner whose home is c lies beyond the plane halfway from
+        the query's home to c, and the query is no further from that plane than the threshold's angle."""
+        for got, part in pieces(batches):
+            whole = part["whole"].to_numpy()
+            if got is None:
+                home = np.where(whole, -2, -1)
+                yield part.drop(columns="whole").assign(centre=-1, cell=home, cells=[[h] for h in home])
+                continue
+            reps, c, cell_of = got
+            sims = stacked(part["x"]) @ c.T
+            at = sims.argmax(axis=1)
+            apart = np.sqrt(np.maximum(0, 2 - 2 * (c[at] @ c.T)))
+            may = sims.max(axis=1)[:, None] - sims <= reach * apart + 1e-9
+            cells = [[-2] if w else np.unique(cell_of[m]).tolist() for w, m in zip(whole, may, strict=True)]
+            yield part.drop(columns="whole").assign(centre=reps[at], cell=np.where(whole, -2, cell_of[at]), cells=cells)
 
     cols = "label long, rep long, copies long, x array<double>"
-    shards = written(nodes.select("label", "rep", "copies", "x").mapInPandas(dealt, cols + ", centre long, turn int"))
-    homes = shards.where("turn = 0").select("label", "rep", "centre")
+    shards = written(nodes.select("label", "rep", "copies", "x").mapInPandas(dealt, cols + ", centre long"))
     per_shard = shards.groupBy("label", "centre").agg(F.count("*").alias("rows"))
     # a task holds two blocks, so a shard of no more is one block
     per_shard = per_shard.select("label", "centre", F.when(F.col("rows") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("rows") / BLOCK)).cast("int").alias("blocks"))
     in_blocks = shards.join(per_shard, ["label", "centre"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     in_blocks = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
-    # cells that are searched: a label as a whole where it fits a task, else its shards
-    per_label = nodes.groupBy("label").agg(F.count("*").alias("in_label"))
-    cells = nodes.drop("raw").join(per_label, "label").join(homes, ["label", "rep"]).where(F.col("in_label") <= CELL).withColumn("cell", F.lit(None).cast("long")).withColumn("home", F.lit(True))
-    cells = cells.select("label", "rep", "copies", "x", "centre", "cell", "home")
-    large = shards.join(per_label, "label").where(F.col("in_label") > CELL)
-    cells = cells.unionByName(large.select("label", "rep", "copies", "x", "centre", F.col("centre").alias("cell"), (F.col("turn") == 0).alias("home")))
-    sizes = cells.groupBy("label", "cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("node_blocks"), F.greatest(F.lit(1), F.ceil(F.count_if("home") / QUERIES)).cast("int").alias("query_blocks"))
-    cells = cells.join(sizes, (cells["label"] == sizes["label"]) & cells["cell"].eqNullSafe(sizes["cell"])).drop(sizes["label"]).drop(sizes["cell"])
-    cells = written(cells.withColumn("nb", F.pmod(F.xxhash64("rep"), F.col("node_blocks")).cast("int")).withColumn("qb", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("query_blocks")).cast("int")))
+    # cells that are searched: a label as a whole where it fits a task, else the rows at home with near centres
+    per_label = nodes.groupBy("label").agg((F.count("*") <= CELL).alias("whole"))
+    cells = written(nodes.join(per_label, "label").select("label", "rep", "copies", "x", "whole").mapInPandas(routed, cols + ", centre long, cell long, cells array<long>"))
+    asking = cells.select("label", F.explode("cells").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("asking"))
+    sizes = cells.groupBy("label", "cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("node_blocks")).join(asking, ["label", "cell"])
+    # where queries come from many cells, a task takes more of them, so that nodes are sent to fewer tasks
+    sizes = written(sizes.select("label", "cell", "node_blocks", F.ceil(F.col("asking") / F.when(F.col("cell") == -2, QUERIES).otherwise(8 * QUERIES)).cast("int").alias("query_blocks")))
 
     audited = nodes.orderBy(F.xxhash64("rep", F.lit(2))).limit(AUDITED).select("rep", "label", "x").toPandas()
     truth = exact_links(nodes, audited, threshold) if len(audited) else {}
@@ -251,13 +292,14 @@ def links(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", v
         both = edges.union(edges.select("label", F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
         united = both.groupBy("label", F.col("src").alias("rep")).agg(F.slice(F.sort_array(F.collect_set(F.struct("sim", "dst")), asc=False), 1, 4 * degree)["dst"].alias("near"))
         ready = cells.join(united, ["label", "rep"], "left")
-        group = ["label", "cell", "nb", "qb"]
-        as_nodes = ready.drop("qb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).select(*group, "rep", "copies", "x", "centre", "near")
-        as_queries = cells.where("home").drop("nb").withColumn("nb", F.explode(F.sequence(F.lit(0), F.col("node_blocks") - 1))).select(*group, "rep", "x")
-        named = ["g1", "g2", "g3", "g4"]
-        key = [F.coalesce(F.col(c).cast("long"), F.lit(-2)).alias(g) for c, g in zip(group, named, strict=True)]
+        upto = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+        block = lambda salt, blocks: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(blocks)).cast("int")
+        as_nodes = ready.join(sizes, ["label", "cell"]).withColumn("nb", block(0, "node_blocks")).withColumn("qb", upto("query_blocks"))
+        as_queries = ready.drop("cell").withColumn("cell", F.explode("cells")).join(sizes, ["label", "cell"]).withColumn("qb", block(1, "query_blocks")).withColumn("nb", upto("node_blocks"))
+        group, named = ["label", "cell", "nb", "qb"], ["g1", "g2", "g3", "g4"]
+        key = [F.col(c).cast("long").alias(g) for c, g in zip(group, named, strict=True)]
         as_nodes = as_nodes.select(*key, "rep", "copies", "x", "centre", "near")
-        as_queries = as_queries.select(*key, F.col("rep").alias("asked"), F.col("x").alias("q"))
+        as_queries = as_queries.select(*key, F.col("rep").alias("asked"), F.col("x").alias("q"), F.col("near").alias("known"))
         found = as_nodes.groupBy(*named).cogroup(as_queries.groupBy(*named)).applyInPandas(_searcher(threshold, beam), "rep long, n long, root long")
         found = written(found)
         counts = found.groupBy("rep").agg(F.sum("n").alias("n"))

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -62,6 +63,21 @@ def test_vector_links_in_small_shards_and_cells(spark, monkeypatch):
     assert sum(min(got[i], n[i]) for i in range(400)) >= 0.9 * n.sum() and all(got[i] <= n[i] for i in range(400))
 
 
+def test_vector_links_of_a_label_above_a_cell(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    x = unit(rng.standard_normal((10_000, 64)))
+    aside = rng.standard_normal((1_500, 64))
+    aside = unit(aside - (aside * x[:1_500]).sum(axis=1)[:, None] * x[:1_500])
+    x = np.vstack([x, 0.94 * x[:1_500] + np.sqrt(1 - 0.94**2) * aside])  # partners at a cosine of 0.94
+    n = ((x @ x.T) >= neardup.THRESHOLD).sum(axis=1) - 1
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist(), "label": 1}))
+    got = {r["vec_id"]: r for r in neardup.links(df).collect()}
+    assert all(got[i]["n_links"] <= n[i] for i in range(len(x)))
+    assert sum(got[i]["n_links"] for i in range(len(x))) >= 0.98 * n.sum() and n.sum() >= 3_000
+    assert sum(got[i + 10_000]["component_id"] == i for i in range(1_500)) >= 0.98 * 1_500
+
+
 def test_neighbours_recall_and_order(spark):
     df, x, _ = vectors(spark, seed=3)
     df = df.where("vec_id is null or vec_id <> 1005")
