@@ -6,7 +6,8 @@ shards' adjacency lists are united, both directions. A label that is too large f
 home centres; a vector asks every cell that can hold a partner of it (a bound that loses none). Searches start at the shards' medoids,
 at the vector's own node and at its own list, go greedily to the nearest nodes, then expand from every node within reach until no more are found. What is found is
 verified by the exact cosine in double precision. Recall is audited against brute force for a bounded set of
-vectors; while it is below the target, degree and beam are doubled and the search is done again.
+vectors, each with the same weight; while it is below the target, degree, candidates and beam are doubled, one more shard overlaps
+and the search is done again. Where the largest degree does not reach it, every cell is compared whole, which is exact.
 
 Equal vectors of a label are one node with a number of copies. Pairs are counted where they are found and never listed. Defined
 results: rows whose label is null or whose vector is null, zero or holds null or non-finite components link with nothing
@@ -30,8 +31,10 @@ SHARD_ROWS, MAX_CENTRES = 1024, 8192
 #: Rows of a block of a shard (a task holds two), nodes of a cell that one task holds; queries of one search task.
 BLOCK, CELL, QUERIES = 2048, 8192, 1024
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 24
-#: Shards that a vector is dealt to.
+#: Shards that a vector is dealt to, at first.
 SHARDS = 2
+#: Largest degree that is tried before cells are compared whole.
+MAX_DEGREE = 8 * DEGREE
 #: Similarity below the threshold from which nodes are still expanded.
 SLACK = 0.04
 AUDITED, RECALL = 64, 0.98
@@ -62,7 +65,7 @@ def build(pdf: pd.DataFrame, degree: int) -> pd.DataFrame:
     np.fill_diagonal(sims, -2)
     if not first:
         sims[block[:, None] == block[None, :]] = -2
-    most = min(CANDIDATES, len(x) - 1)
+    most = min(max(CANDIDATES, CANDIDATES * degree // DEGREE), len(x) - 1)
     src, dst, score = [], [], []
     if most > 0:
         near = np.argpartition(-sims, most - 1, axis=1)[:, :most]
@@ -80,7 +83,7 @@ def build(pdf: pd.DataFrame, degree: int) -> pd.DataFrame:
 def search(nodes: pd.DataFrame, queries: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     """For each query: weight of the nodes within reach, and the smallest id of its links' component among these nodes.
 
-    Queries from other cells enter by their own links too.
+    Queries from other cells enter by their own links too. A beam of 0 compares with every node.
     """
     if nodes.empty or queries.empty:
         return pd.DataFrame({"rep": [], "n": [], "root": []}).astype("int64")
@@ -136,40 +139,47 @@ def searched(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, begin: np.ndarr
         top = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
         best, best_sims = np.take_along_axis(all_cols, top, 1), np.take_along_axis(all_sims, top, 1)
 
-    # medoids, each query's own node and those that its own list names
+    def walk() -> None:
+        """Fills in sims where the graph leads."""
+        # medoids, each query's own node and those that its own list names
+        lists = [v if v is not None else () for v in queries["known"]]
+        of, named = np.repeat(np.arange(m), [len(v) for v in lists]), np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64)
+        at = np.searchsorted(ids, named)
+        there = (at < n) & (ids[np.minimum(at, n - 1)] == named)
+        begun = np.unique(np.concatenate([*(np.arange(m) * n + s for s in starts), here * n + own[here], of[there] * n + at[there]]))
+        begun_rows, begun_cols = begun // n, begun % n
+        look(begun_rows, begun_cols)
+        merge(begun_rows, begun_cols)
+
+        expanded = np.zeros((m, n), bool)
+        for _ in range(4 * beam):  # greedy: each query expands the nearest of its beam that is not expanded yet
+            open_sims = np.where(expanded[np.arange(m)[:, None], best], -2, best_sims)
+            pick = open_sims.argmax(axis=1)
+            rows = np.flatnonzero(open_sims[np.arange(m), pick] > -2)
+            if not len(rows):
+                break
+            cols = best[rows, pick[rows]]
+            expanded[rows, cols] = True
+            pairs = neighbours(rows, cols)
+            look(*pairs)
+            merge(*pairs)
+        rows, cols = np.nonzero((sims >= threshold - SLACK) & ~expanded)
+        while len(rows):  # range expansion: from all nodes within reach
+            expanded[rows, cols] = True
+            within = []
+            for lo in range(0, len(rows), 100_000):
+                r, c = neighbours(rows[lo : lo + 100_000], cols[lo : lo + 100_000])
+                look(r, c)
+                near = sims[r, c] >= threshold - SLACK
+                within.append((r[near], c[near]))
+            rows, cols = map(np.concatenate, zip(*within, strict=True))
+
     own = np.searchsorted(ids, asked)
     here = np.flatnonzero((own < n) & (ids[np.minimum(own, n - 1)] == asked))
-    lists = [v if v is not None else () for v in queries["known"]]
-    of, named = np.repeat(np.arange(m), [len(v) for v in lists]), np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64)
-    at = np.searchsorted(ids, named)
-    there = (at < n) & (ids[np.minimum(at, n - 1)] == named)
-    begun = np.unique(np.concatenate([*(np.arange(m) * n + s for s in starts), here * n + own[here], of[there] * n + at[there]]))
-    begun_rows, begun_cols = begun // n, begun % n
-    look(begun_rows, begun_cols)
-    merge(begun_rows, begun_cols)
-
-    expanded = np.zeros((m, n), bool)
-    for _ in range(4 * beam):  # greedy: each query expands the nearest of its beam that is not expanded yet
-        open_sims = np.where(expanded[np.arange(m)[:, None], best], -2, best_sims)
-        pick = open_sims.argmax(axis=1)
-        rows = np.flatnonzero(open_sims[np.arange(m), pick] > -2)
-        if not len(rows):
-            break
-        cols = best[rows, pick[rows]]
-        expanded[rows, cols] = True
-        pairs = neighbours(rows, cols)
-        look(*pairs)
-        merge(*pairs)
-    rows, cols = np.nonzero((sims >= threshold - SLACK) & ~expanded)
-    while len(rows):  # range expansion: from all nodes within reach
-        expanded[rows, cols] = True
-        within = []
-        for lo in range(0, len(rows), 100_000):
-            r, c = neighbours(rows[lo : lo + 100_000], cols[lo : lo + 100_000])
-            look(r, c)
-            near = sims[r, c] >= threshold - SLACK
-            within.append((r[near], c[near]))
-        rows, cols = map(np.concatenate, zip(*within, strict=True))
+    if beam == 0:
+        sims = q @ x.T
+    else:
+        walk()
 
     linked = sims >= threshold
     linked[here, own[here]] = False
@@ -213,6 +223,11 @@ def exact_links(nodes: DataFrame, sample: pd.DataFrame, threshold: float) -> dic
     return {r["rep"]: r["n"] for r in got.collect()}
 
 
+def recall(got: dict[int, int], truth: dict[int, int]) -> float:
+    """Mean recall of the audited vectors that have links, so that a large group does not outweigh small ones; 1 without any."""
+    return float(np.mean([min(got.get(r, 0), n) / n for r, n in truth.items() if n] or [1.0]))
+
+
 def links(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row with an id."""
     spark = df.sparkSession
@@ -242,14 +257,17 @@ def links(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", v
                 for lo in range(0, len(part), 1024):
                     yield known.value.get(label), part.iloc[lo : lo + 1024]
 
-    def dealt(batches):
-        for got, part in pieces(batches):
-            if got is None:
-                yield part.assign(centre=-1)
-                continue
-            order = np.argsort(-(stacked(part["x"]) @ got[1].T), axis=1, kind="stable")[:, :SHARDS]
-            for turn in range(order.shape[1]):
-                yield part.assign(centre=got[0][order[:, turn]])
+    def dealt(turns: int):
+        def deal(batches):
+            for got, part in pieces(batches):
+                if got is None:
+                    yield part.assign(centre=-1)
+                    continue
+                order = np.argsort(-(stacked(part["x"]) @ got[1].T), axis=1, kind="stable")[:, :turns]
+                for turn in range(order.shape[1]):
+                    yield part.assign(centre=got[0][order[:, turn]])
+
+        return deal
 
     def routed(batches):
         """Each vector's home, and all cells that can hold a partner: a partner whose home is c lies beyond the plane halfway from
@@ -269,13 +287,6 @@ def links(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", v
             yield part.drop(columns="whole").assign(centre=reps[at], cell=np.where(whole, -2, cell_of[at]), cells=cells)
 
     cols = "label long, rep long, copies long, x array<double>"
-    shards = written(nodes.select("label", "rep", "copies", "x").mapInPandas(dealt, cols + ", centre long"))
-    per_shard = shards.groupBy("label", "centre").agg(F.count("*").alias("rows"))
-    # a task holds two blocks, so a shard of no more is one block
-    per_shard = per_shard.select("label", "centre", F.when(F.col("rows") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("rows") / BLOCK)).cast("int").alias("blocks"))
-    in_blocks = shards.join(per_shard, ["label", "centre"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    in_blocks = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-
     # cells that are searched: a label as a whole where it fits a task, else the rows at home with near centres
     per_label = nodes.groupBy("label").agg((F.count("*") <= CELL).alias("whole"))
     cells = written(nodes.join(per_label, "label").select("label", "rep", "copies", "x", "whole").mapInPandas(routed, cols + ", centre long, cell long, cells array<long>"))
@@ -284,11 +295,21 @@ def links(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", v
     # where queries come from many cells, a task takes more of them, so that nodes are sent to fewer tasks
     sizes = written(sizes.select("label", "cell", "node_blocks", F.ceil(F.col("asking") / F.when(F.col("cell") == -2, QUERIES).otherwise(8 * QUERIES)).cast("int").alias("query_blocks")))
 
+    def edges_of(degree: int, turns: int) -> DataFrame:
+        """Pruned edges of shards that each vector is dealt to so many of."""
+        shards = written(nodes.select("label", "rep", "copies", "x").mapInPandas(dealt(turns), cols + ", centre long"))
+        per_shard = shards.groupBy("label", "centre").agg(F.count("*").alias("rows"))
+        # a task holds two blocks, so a shard of no more is one block
+        per_shard = per_shard.select("label", "centre", F.when(F.col("rows") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("rows") / BLOCK)).cast("int").alias("blocks"))
+        in_blocks = shards.join(per_shard, ["label", "centre"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        in_blocks = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+        return in_blocks.groupBy("label", "centre", "i", "j").applyInPandas(_builder(degree), "label long, src long, dst long, sim double")
+
     audited = nodes.orderBy(F.xxhash64("rep", F.lit(2))).limit(AUDITED).select("rep", "label", "x").toPandas()
     truth = exact_links(nodes, audited, threshold) if len(audited) else {}
-    degree, beam = DEGREE, BEAM
+    degree, beam, turns = DEGREE, BEAM, SHARDS
     while True:
-        edges = in_blocks.groupBy("label", "centre", "i", "j").applyInPandas(_builder(degree), "label long, src long, dst long, sim double")
+        edges = edges_of(degree, turns) if beam else spark.createDataFrame([], "label long, src long, dst long, sim double")
         both = edges.union(edges.select("label", F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
         united = both.groupBy("label", F.col("src").alias("rep")).agg(F.slice(F.sort_array(F.collect_set(F.struct("sim", "dst")), asc=False), 1, 4 * degree)["dst"].alias("near"))
         ready = cells.join(united, ["label", "rep"], "left")
@@ -304,10 +325,9 @@ def links(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", v
         found = written(found)
         counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
         got = {r["rep"]: r["n"] for r in counts.where(F.col("rep").isin([int(x) for x in truth])).collect()} if truth else {}
-        wanted = sum(truth.values())
-        if wanted == 0 or sum(min(got.get(r, 0), n) for r, n in truth.items()) >= RECALL * wanted or degree >= 8 * DEGREE:
+        if beam == 0 or recall(got, truth) >= RECALL:
             break
-        degree, beam = degree * 2, beam * 2
+        degree, beam, turns = (degree * 2, beam * 2, turns + 1) if degree < MAX_DEGREE else (degree, 0, turns)
 
     classes = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_node = nodes.select("label", F.col("raw").alias("x"), "rep", "copies").join(counts, "rep", "left").join(classes, F.col("rep") == classes["node"], "left")

@@ -78,6 +78,20 @@ def test_vector_links_of_a_label_above_a_cell(spark):
     assert sum(got[i + 10_000]["component_id"] == i for i in range(1_500)) >= 0.98 * 1_500
 
 
+def test_audit_weighs_vectors_alike_and_ends_exact(spark, monkeypatch):
+    assert neardup.recall({1: 5000, 2: 0}, {1: 5000, 2: 2, 3: 0}) == 0.5 and neardup.recall({}, {1: 0}) == 1
+    monkeypatch.setattr(neardup, "MAX_DEGREE", neardup.DEGREE)
+    monkeypatch.setattr(neardup, "AUDITED", 400)
+    rng = np.random.default_rng(8)
+    a, b = np.eye(32)[0], 0.95 * np.eye(32)[0] + np.sqrt(1 - 0.95**2) * np.eye(32)[1]
+    x = np.vstack([np.tile(v, (150, 1)) + rng.standard_normal((150, 32)) * 0.003 for v in (a, b)])  # two tight clusters, no edges between them
+    n, comp = brute_links(x, np.zeros(300))
+    assert n.min() == 299
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(300), "embedding": x.tolist(), "label": 1}))
+    got = {r["vec_id"]: r for r in neardup.links(df).collect()}
+    assert [got[i]["n_links"] for i in range(300)] == n.tolist() and [got[i]["component_id"] for i in range(300)] == comp.tolist()
+
+
 def test_neighbours_recall_and_order(spark):
     df, x, _ = vectors(spark, seed=3)
     df = df.where("vec_id is null or vec_id <> 1005")
