@@ -33,13 +33,23 @@ LOOK_ALIKES = {
 SEPARATORS = " .-_*~'`^,/\\"
 #: Costs (negative log probabilities) of the channel.
 AS_IS, LOOKS_LIKE, REPEATED, DOUBLED, SEPARATED, DROPPED = 0.1, 1.0, 0.4, 6.0, 0.6, 9.0
+#: Cost of a sign that is meant as it is, where a chunk may also stay unchanged.
+PLAIN = 4.0
 
 _L = "[^\\W\\d_]"
 _SIGN = "[" + re.escape("".join(LOOK_ALIKES)) + "]"
-#: Letters one by one with blanks between them, anywhere in a text.
-SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){3,}(?!\S)")
-#: Chunks without white space that look obfuscated: signs within or before letters, a letter three times, letters one by one.
-SUSPICIOUS = re.compile(rf"{_L}{_SIGN}{{1,2}}{_L}|^{_SIGN}{{1,2}}{_L}|({_L})\1\1|(?<![^\W_]){_L}(?:[.\-_*~]{_L}){{3,}}(?![^\W_])|^{_L}+[$@]{{1,2}}$")
+_ONE = "(?:[^\\W_]|" + _SIGN + ")"
+#: Letters and signs one by one with blanks between them, anywhere in a text, also in brackets or before punctuation.
+SPACED = re.compile(rf"""(?<![^\s("'\[{{<])(?:{_ONE} ){{3,}}(?:[^\W_]|[@$])(?=[.,;:!?"')\]}}>]*(?:\s|$))""")
+#: Chunks without white space that look obfuscated: signs within or before letters, a letter three times (twice in a
+#: word of letters alone), letters and signs one by one.
+SUSPICIOUS = re.compile(
+    rf"{_L}{_SIGN}+{_L}|^{_SIGN}{{1,2}}{_L}|({_L})\1\1|^(?={_L}*({_L})\2){_L}+$|^{_L}+[$@]{{1,2}}$"
+    rf"|(?<![^\W_]){_ONE}(?:[.\-_*~'`^,/\\]{_ONE}){{3,}}(?![^\W_])"
+)
+#: Chunks that may end in look-alikes or in a plain number: the letter model chooses.
+ENDS_IN_SIGNS = re.compile(rf"{_L}{{2,}}[0-9@$]{{1,4}}")
+TWO_LETTERS = re.compile(rf"{_L}.*{_L}", re.DOTALL)
 #: Punctuation around a chunk: brackets and marks, and runs of a sign at its end.
 EDGES = re.compile(r"""([("'\[{<]*)(.*?)((?:([^\w\s])\4{2,}|[.,;:!?"')\]}>])*)""", re.DOTALL)
 #: Spans longer than this are restored in pieces of this length.
@@ -92,7 +102,22 @@ def readings(ch: str) -> list[tuple[str, float]]:
 
 
 def viterbi(span: str, cost: np.ndarray) -> str:
-    """The reading of least cost of a span: states are the last two letters, edges the channel's readings."""
+    """The reading of least cost of a span."""
+    return best_reading(span, cost)[1]
+
+
+def unchanged(span: str, cost: np.ndarray) -> float:
+    """The cost of a span that means what it says: its letters as words, its signs as signs."""
+    total, a, b, slot = 0.0, 0, 0, slots()
+    for ch in span + " ":
+        c = int(slot[ord(ch)])
+        total += (float(cost[a, b, c]) if b or c else 0.0) + (AS_IS if c else PLAIN if ch != " " else 0.0)
+        a, b = (b, c) if c else (0, 0)
+    return total
+
+
+def best_reading(span: str, cost: np.ndarray) -> tuple[float, str]:
+    """Cost and text of the reading of least cost: states are the last two letters, edges the channel's readings."""
     slot = slots()
     states: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
     letters = "".join(c for c in span if readings(c)[0][0])
@@ -113,7 +138,7 @@ def viterbi(span: str, cost: np.ndarray) -> str:
                         new[state] = (total, said)
         states = new
     slot_of = lambda x: slot[ord(x)] if x else 0
-    return min((total + float(cost[slot_of(a), slot_of(b), 0]), said) for (a, b), (total, said) in states.items())[1]
+    return min((total + float(cost[slot_of(a), slot_of(b), 0]), said) for (a, b), (total, said) in states.items())
 
 
 class Restorer:
@@ -130,7 +155,12 @@ class Restorer:
         out = self.known.get(chunk)
         if out is None:
             head, core, tail = EDGES.fullmatch(chunk).group(1, 2, 3)
-            out = head + self.span(core) + tail if SUSPICIOUS.search(core) else chunk
+            out = chunk
+            if SUSPICIOUS.search(core) and TWO_LETTERS.search(core):
+                out = head + self.span(core) + tail
+            elif len(core) <= PIECE and ENDS_IN_SIGNS.fullmatch(core):
+                total, said = best_reading(core, self.cost)
+                out = head + said + tail if total < unchanged(core, self.cost) else chunk
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[chunk] = out
@@ -138,7 +168,7 @@ class Restorer:
 
     def joined(self, text: str | None) -> str:
         """The lower-case text, with letters that stand one by one joined and decoded."""
-        return SPACED.sub(lambda m: self.span(m[0]), text.lower()) if text else ""
+        return SPACED.sub(lambda m: self.span(m[0]) if TWO_LETTERS.search(m[0]) else m[0], text.lower()) if text else ""
 
     def restore(self, text: str | None) -> str:
         return re.sub(r"\S+", lambda m: self.chunk(m[0]), self.joined(text))

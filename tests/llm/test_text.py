@@ -124,6 +124,16 @@ def test_viterbi_is_the_best_reading():
     assert r.restore("An 1D10T, i d i o t (m0r0n)!!! word$$$ 12:30") == "an idiot, idiot (moron)!!! word$$$ 12:30"
 
 
+def test_obfuscations_next_to_punctuation_and_of_mixed_signs():
+    r = toxicity.Restorer(model_of("idiot moron trash scum loser pathetic the water house you number " * 50))
+    want = {
+        "you i d i o t.": "you idiot.", "m o r o n,": "moron,", "(s c u m)": "(scum)", "p @ t h e t i c": "pathetic", "l053r": "loser", "idi07": "idiot",
+        "i-d-1-o-t": "idiot", "m.0.r.0.n": "moron", "i/d/i/o/t": "idiot", "i^d^i^o^t": "idiot", "iddiot": "idiot",
+        "house12 scoop's 1 2 3 4 1.2.3.4 * * * *": "house12 scoop's 1 2 3 4 1.2.3.4 * * * *",
+    }
+    assert {k: r.restore(k) for k in want} == want
+
+
 def test_toxicity(spark, corpus):
     rng = random.Random(6)
     bad = ["idiot", "moron", "1d10t", "m0r0n", "i d i o t"]
