@@ -87,11 +87,13 @@ class Graph:
 def guided(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """od_id, pos, edge_id, cost of each path's edges; pairs are dealt over tasks, the graph (of checked size) is broadcast.
 
-    edges: edge_id, src, dst, cost. Geometry stays in Spark and is joined by edge_id afterwards.
+    edges: edge_id, src, dst, cost. Geometry stays in Spark and is joined by edge_id afterwards. A graph of more edges or nodes
+    than MAX_BROADCAST_EDGES stays in Spark and is relaxed by joins, without the limit of pops.
     """
-    total = edges.count()
-    if total > MAX_BROADCAST_EDGES:
-        raise ValueError(f"{total} edges are too many to broadcast; use relaxed()")
+    if edges.count() > MAX_BROADCAST_EDGES or nodes.count() > MAX_BROADCAST_EDGES:
+        ends = nodes.select(F.col("node_key").alias("end_key")).distinct()
+        starts = nodes.select(F.col("node_key").alias("start_key")).distinct()
+        return traced(pairs.join(ends, "end_key", "left_semi").join(starts, "start_key", "left_semi"), edges)
     graph = pairs.sparkSession.sparkContext.broadcast(Graph(edges.select("edge_id", "src", "dst", "cost").orderBy("edge_id").toPandas(), nodes.select("node_key", "lat", "lng").orderBy("node_key").toPandas()))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,20 +107,41 @@ def guided(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select("od_id", "start_key", "end_key").repartition(slots, "od_id").mapInPandas(search, "od_id long, pos long, edge_id long, cost double")
 
 
-def relaxed(pairs: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """od_id and least cost by rounds of joins, for graphs of any size: only improved nodes go on, and none past the best known end."""
-    e = edges.groupBy("src", "dst").agg(F.min("cost").alias("step"))
-    known = written(pairs.select("od_id", F.col("start_key").alias("node"), F.lit(0.0).alias("cost")))
+def _settled(pairs: DataFrame, edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """od_id, node, cost, via (edge_id and src of the last edge) of reached nodes, and the goals: only improved nodes go on, none past the best known end."""
+    e = written(edges.groupBy("src", "dst").agg(F.min(F.struct("cost", "edge_id")).alias("e")).select("src", "dst", F.col("e.cost").alias("step"), F.struct("e.edge_id", "src").alias("by")))
+    pairs = written(pairs.select("od_id", "start_key", "end_key"))
+    least = lambda x: x.groupBy("od_id", "node").agg(F.min(F.struct("cost", "via")).alias("m")).select("od_id", "node", "m.*")
+    known = written(pairs.select("od_id", F.col("start_key").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(e.schema["by"].dataType).alias("via")))
     goal = pairs.select("od_id", F.col("end_key").alias("goal"))
     fresh = known
     for _ in range(rounds):
         reached = known.join(goal, (known["od_id"] == goal["od_id"]) & (known["node"] == goal["goal"])).select(known["od_id"], F.col("cost").alias("bound"))
-        step = fresh.join(e, fresh["node"] == e["src"]).select("od_id", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"))
-        step = step.groupBy("od_id", "node").agg(F.min("cost").alias("cost"))
+        step = least(fresh.join(e, fresh["node"] == e["src"]).select("od_id", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("by").alias("via")))
         step = step.join(reached, "od_id", "left").where("bound is null or cost < bound").drop("bound")
-        better = step.join(known.withColumnRenamed("cost", "old"), ["od_id", "node"], "left").where("old is null or cost < old").drop("old")
-        fresh = written(better)
+        better = step.join(known.select("od_id", "node", F.col("cost").alias("old")), ["od_id", "node"], "left").where("old is null or cost < old").drop("old")
+        fresh = written(better.select("od_id", "node", "cost", "via"))
         if fresh.isEmpty():
-            break
-        known = written(known.unionByName(fresh).groupBy("od_id", "node").agg(F.min("cost").alias("cost")))
+            return known, goal
+        known = written(least(known.unionByName(fresh)))
+    raise RuntimeError(f"paths did not settle in {rounds} rounds")
+
+
+def relaxed(pairs: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """od_id and least cost by rounds of joins, for graphs of any size."""
+    known, goal = _settled(pairs, edges, rounds)
     return known.join(goal, (known["od_id"] == goal["od_id"]) & (known["node"] == goal["goal"])).select(known["od_id"], "cost")
+
+
+def traced(pairs: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """od_id, pos, edge_id, cost of each path's edges by rounds of joins: relaxed, then walked back from the ends one edge a round."""
+    known, goal = _settled(pairs, edges, rounds)
+    at = written(known.join(goal, (known["od_id"] == goal["od_id"]) & (known["node"] == goal["goal"])).select(known["od_id"], "via", F.col("cost").alias("total"), F.lit(0).cast("long").alias("back")).where("via is not null"))
+    before = known.select("od_id", F.col("node").alias("src"), F.col("via").alias("earlier"))
+    walked = at
+    while not at.isEmpty():
+        back = at.select("od_id", F.col("via.src").alias("src"), "total", (F.col("back") + 1).alias("back"))
+        at = written(back.join(before, ["od_id", "src"]).where("earlier is not null").select("od_id", F.col("earlier").alias("via"), "total", "back"))
+        walked = written(walked.unionByName(at))
+    hops = walked.groupBy("od_id").agg(F.max("back").alias("last"))
+    return walked.join(hops, "od_id").select("od_id", (F.col("last") - F.col("back")).alias("pos"), F.col("via.edge_id").alias("edge_id"), F.col("total").alias("cost"))
