@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable
@@ -13,20 +12,40 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share; where it is unset, one in the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spokeline-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediates")
     return sc.getCheckpointDir()
 
 
+#: Intermediates that this driver wrote and did not remove yet.
+_written: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_since(mark: int = 0) -> list[str]:
+    """Paths of the intermediates written after the first `mark` ones; len(written_since()) is the mark of now."""
+    return _written[mark:]
+
+
+def remove_written(spark: SparkSession, paths: list[str]) -> None:
+    """Remove intermediates that no result still to be computed reads."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _written:
+            _written.remove(path)
+
+
 def fold_of(id_col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null ids are in fold 0."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds, F.lit(0))
@@ -76,6 +95,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     before = None
     for _ in range(rounds):
+        mark = len(written_since())
         # large star: every larger neighbour of u is linked to the smallest of u and its neighbours
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(minima(both.select("u", F.least("u", "v").alias("m")), "u"))  # so that both sides of the join are shuffled for it alone, and Spark can split a hub
@@ -86,6 +106,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low = written(minima(large.select("u", F.col("v").alias("m")), "u"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         e = written(small.distinct())
+        remove_written(spark, written_since(mark)[:-1])  # of the round, only its edges are read again
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -165,8 +165,8 @@ def test_jaccard_against_all_pairs(spark):
             rows.append((100 + i * 10 + k, " ".join(v)))
     rows += [(900, None), (901, ""), (902, "one"), (903, "One"), (904, "one two"), (None, "one"), (rows[0][0], rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1)).withColumn("h", F.lit(2))
-    known = [(i, frozenset(jaccard.shingles(t).tolist())) for i, t in rows if i is not None]
-    links, up = defaultdict(int), {i: i for i, _ in known}
+    known = [(i, frozenset(jaccard.shingles(t).tolist())) for i, t in rows]
+    links, up = defaultdict(int), list(range(len(known)))
 
     def find(x):
         while up[x] != x:
@@ -175,16 +175,27 @@ def test_jaccard_against_all_pairs(spark):
 
     for a in range(len(known)):
         for b in range(a):
-            (i, s), (j, t) = known[a], known[b]
+            s, t = known[a][1], known[b][1]
             if s and t and len(s & t) >= 0.8 * len(s | t):
                 links[a] += 1
                 links[b] += 1
-                up[max(find(i), find(j))] = min(find(i), find(j))
-    got = sorted((r["doc_id"], r["n_links"], r["class_id"]) for r in jaccard.join(df).collect())
-    assert got == sorted((known[k][0], links[k], find(known[k][0])) for k in range(len(known)))
+                up[max(find(a), find(b))] = min(find(a), find(b))
+    smallest = {}
+    for k, (i, _) in enumerate(known):
+        if i is not None:
+            smallest[find(k)] = min(smallest.get(find(k), i), i)
+    got = sorted(map(str, ((r["doc_id"], r["n_links"], r["class_id"]) for r in jaccard.join(df).collect())))
+    assert got == sorted(str((known[k][0], links[k], smallest.get(find(k)))) for k in range(len(known)))
     kept = jaccard.keep(df)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i, _ in known})
-    assert jaccard.join(df.limit(0)).count() == 0
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(smallest.values()))
+    assert jaccard.join(df.limit(0)).count() == 0 and jaccard.keep(df.limit(0)).count() == 0
+
+
+def test_jaccard_keeps_texts_of_repeated_and_missing_ids(spark):
+    rng = random.Random(17)
+    a, b, c = (prose("en", 60, rng) for _ in range(3))
+    df = spark.createDataFrame([(1, a), (1, b), (None, c), (None, c), (2, a), (None, None), (3, "w " * 30_000)], "doc_id long, text string")
+    assert sorted(map(str, ((r["doc_id"], (r["text"] or "")[:60]) for r in jaccard.keep(df).collect()))) == sorted(map(str, [(1, a[:60]), (1, b[:60]), (None, c[:60]), (None, ""), (3, ("w " * 30)[:60])]))
 
 
 def test_jaccard_hot_group_is_dealt_in_blocks(spark, monkeypatch):
@@ -196,9 +207,39 @@ def test_jaccard_hot_group_is_dealt_in_blocks(spark, monkeypatch):
     assert {(r["n_links"], r["class_id"]) for r in got} == {(29, 0)}
 
 
-def test_forest_depth():
-    d = jaccard.forest_depth(0.8, 24, 10, 0.999)
+def test_jaccard_of_a_chain_of_groups_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng = random.Random(18)
+    words = prose("en", 400, rng).split()
+    rows = [(i, " ".join(words[3 * i : 3 * i + 90])) for i in range(90)]  # neighbours share much, others less and less
+    sets = [frozenset(jaccard.shingles(t).tolist()) for _, t in rows]
+    want = [sum(a is not b and len(a & b) >= 0.8 * len(a | b) for b in sets) for a in sets]
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (n, 0) for i, n in enumerate(want)} and sum(want) > 100
+
+
+def test_forest_level_shortens_until_both_targets_are_met():
+    d = jaccard.forest_level(0.8, 24, 10, 0.999)
     assert jaccard.meets(0.8, d, 24) >= 0.999 > jaccard.meets(0.8, d + 1, 24)
+    assert jaccard.forest_level(0.8, 24, 10, 0.999, {d: 0.5, d - 1: 0.99}) == d - 1 and jaccard.forest_level(0.99, 24, 10, 0.999) == 10
+
+
+def test_audit_finds_all_partners_and_their_prefixes():
+    rng = random.Random(19)
+    base = prose("en", 100, rng).split()
+    texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 100, 9)] + [prose("de", 80, rng) for _ in range(9)]
+    audit = jaccard.Audit(texts[:5] + texts[-2:], jaccard.TREES, jaccard.DEPTH)
+    for t in texts:
+        s = jaccard.shingles(t)
+        label = jaccard.signature(s, jaccard.TREES, jaccard.DEPTH)
+        got = {m // 64: m % 64 for m in audit.met(jaccard.node_of(s), s, label, 0.8)}
+        for k, u in enumerate(texts[:5] + texts[-2:]):
+            v = jaccard.shingles(u)
+            meet = len(np.intersect1d(s, v))
+            assert (k in got) == (t != u and meet >= 0.8 * (len(s) + len(v) - meet))
+            if k in got:
+                other = jaccard.signature(v, jaccard.TREES, jaccard.DEPTH)
+                assert got[k] == max(next((d for d in range(jaccard.DEPTH) if x[d] != y[d]), jaccard.DEPTH) for x, y in zip(label, other, strict=True))
 
 
 def test_targets_fill_like_water():
