@@ -1,36 +1,39 @@
 """Operator 5: mixing sources to target weights.
 
 Sizes are words. Each source's share of the mix is filled like water: shares by weight, none above `most` times its own
-size, the excess shared anew. A source's documents are dealt into blocks by a hash; whole passes take each document once,
-and the rest of the target takes whole blocks in a permuted order and, in the last block, whole documents in a permuted
-order. Which output shard gets a block is drawn by a splitting tree: at each node the blocks still to place, counted by
-source, are split exactly between the left and the right half of the shards by a multivariate hypergeometric draw.
-A shard then holds disjoint blocks and is shuffled locally.
+size, the excess shared anew; the sources are ranked and filled by prefix sums over ranges of them, however many there are.
+
+A source's documents are dealt into blocks by a hash. Each pass over a source has its own permutation of the blocks, and a quota of
+them: all blocks for whole passes, and for the pass in which the target ends as many as its rest asks for. A splitting tree
+deals these quotas to the output shards: at each node the drawn units still to place, counted by source and pass, are split
+exactly between the left and the right half of the shards by a multivariate hypergeometric draw, and so are the units that are
+not drawn. A shard owns a slice of each permutation, as long as its two shares, and draws the first blocks of its slice, as many
+as its quota: the draws of shards are disjoint. Blocks are not of equal size, so the words drawn are trued up to the target
+in the order of how far blocks stand from their shard's quota; where the target ends within a block, whole parts of the
+block and at last documents are taken in a permuted order. What is taken of a document, and which shards get its copies, both follow from
+this one draw. A shard is then shuffled locally.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its own, the last in order; rows that
-repeat a doc_id are rows of their own (equal rows share the fate of one draw); an empty table gives an empty mix.
-Other columns are not read.
+repeat a doc_id are rows of their own (equal rows share the fate of one draw); rows of equal draws go by doc_id and size; an empty table gives an
+empty mix; texts are counted whole, however long. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-#: Blocks of a source, and output shards. A block of a source with a third of 100 TB is split over documents again.
-BLOCKS, SHARDS = 4096, 64
-#: Sources whose totals the driver plans with; one row of a name and two numbers each.
-MAX_SOURCES = 100_000
+#: Blocks of a source (fewer where the units of all sources would pass UNITS, what a hypergeometric draw takes), parts of a block, output shards.
+BLOCKS, UNITS, PARTS, SHARDS = 4096, 1 << 28, 4096, 64
+#: Groups of sources that the driver splits; each group's sources are split in a task of their own.
+BUNDLES = 1024
 SEED = 13
 
 
@@ -42,27 +45,49 @@ def words(text: Column) -> Column:
     return F.regexp_count(blank, F.lit("[^ ]+")).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
-    """Water filling: shares of share * total by weight, none above most * size, the excess shared anew."""
-    out = [0.0] * len(sizes)
-    left, open_ = share * sum(sizes), set(range(len(sizes)))
-    while open_ and left > 0:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in sorted(open_) if left * weights[i] / total > most * sizes[i]]
-        if not full:
-            for i in sorted(open_):
-                out[i] = left * weights[i] / total
-            break
-        for i in full:
-            out[i] = most * sizes[i]
-        left -= sum(out[i] for i in full)
-        open_ -= set(full)
-    return out
+def ranged(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with running sums (of the rows before, named by `sums`) and `rank` (from 0) in a total order.
+
+    Rows are dealt by ranges of the order; each range is summed by itself, and what lies before it is a number for each range.
+    """
+    held = written(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    each = held.groupBy("range").agg(F.count("*").alias("rank"), *[F.sum(c).alias(n) for n, c in sums.items()]).orderBy("range").toPandas()  # a row for each range
+    names = ["rank", *sums]
+    before = each[names].cumsum() - each[names]
+    ahead = df.sparkSession.createDataFrame(pd.DataFrame({"range": each["range"]} | {f"ahead_{n}": before[n].astype("int64" if n == "rank" else "float64") for n in names}), "range int, " + ", ".join(f"ahead_{n} {'long' if n == 'rank' else 'double'}" for n in names))
+    up_to = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = held.withColumns({"rank": F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1} | {n: F.coalesce(F.sum(c).over(up_to), F.lit(0)) for n, c in sums.items()})
+    out = out.join(F.broadcast(ahead), "range")
+    return out.withColumns({n: F.col(n) + F.col(f"ahead_{n}") for n in names}).drop("range", *[f"ahead_{n}" for n in names])
+
 
+def targeted(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """source, source_size, rank (by code point, null last) and target, of rows of source and source_size.
 
-def split_tree(counts: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """Exact quotas, sources x shards, of blocks: each node splits its counts by a multivariate hypergeometric draw."""
+    Sources of the least size for their weight stop first. In that order, one stops if what all before it leave, shared by weight among it and those after it, is above its cap.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = written(ranged(sources, [F.col("source").isNull(), F.encode("source", "UTF-8")], {}).withColumn("weight", weight))
+    size, all_weights = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    total = share * float(size or 0)
+    cap = most * F.col("source_size")
+    filled = ranged(ranked.withColumnRenamed("rank", "place"), [F.col("source_size") / F.col("weight"), F.col("place")], {"capped": cap.cast("double"), "weighed": F.col("weight")})
+    level = (F.lit(total) - F.col("capped")) / (F.lit(float(all_weights or 0)) - F.col("weighed"))  # what a unit of weight gets if this and all after it stay open
+    filled = written(filled.withColumn("level", level).withColumn("stops", F.col("level") * F.col("weight") > cap))
+    # once one stays open all after it do, and its level is theirs
+    open_level = filled.where("not stops").agg(F.min_by("level", "rank")).first()[0]
+    return filled.select("source", "source_size", F.col("place").alias("rank"), F.when(F.col("stops"), cap).otherwise(F.lit(open_level) * F.col("weight")).alias("target"))
+
+
+def split_tree(counts: np.ndarray, shards: int, seed: int = SEED, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Exact quotas, categories x shards: each node splits its counts by a multivariate hypergeometric draw.
+
+    sizes: what each shard gets of all categories; even shares, if they are not given.
+    """
     out = np.zeros((len(counts), shards), np.int64)
+    total = int(counts.sum())
+    sizes = np.diff([total * k // shards for k in range(shards + 1)]) if sizes is None else sizes
+    ends = np.concatenate([[0], np.cumsum(sizes)])
     stack = [(0, shards, counts.astype(np.int64))]
     while stack:
         lo, hi, c = stack.pop()
@@ -70,94 +95,144 @@ def split_tree(counts: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
             out[:, lo] = c
             continue
         mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        total = int(c.sum())
-        size = total * (mid - lo) // (hi - lo)
-        left = np.zeros_like(c)
-        rest, draw = total, size
-        for i, n in enumerate(c.tolist()):  # conditional draws, source by source
-            rest -= n
-            k = int(rng.hypergeometric(n, rest, draw)) if draw and n and rest else min(draw, n)
-            left[i], draw = k, draw - k
+        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(c, int(ends[mid] - ends[lo]), method="marginals")
         stack += [(lo, mid, left), (mid, hi, c - left)]
     return out
 
 
+def quotas(units: DataFrame, shards: int) -> DataFrame:
+    """source, pass, quota (drawn units of each shard) and ends (where each shard's slice of the permutation ends).
+
+    units: source, rank, pass, blocks and drawn. The driver splits the sums of BUNDLES groups of sources among the shards, and a task
+    for each group splits its sources under what the group got, which is the same draw in two steps.
+    """
+    units = written(units)
+    found = units.agg(F.max("rank")).first()[0]
+    if found is None:
+        return units.select("source", "pass", F.array().cast("array<long>").alias("quota"), F.array().cast("array<long>").alias("ends"))
+    bundled = units.withColumn("bundle", F.floor(F.col("rank") / -(-(found + 1) // BUNDLES)).cast("int"))
+    sums = bundled.groupBy("bundle").agg(F.sum("drawn").alias("drawn"), F.sum(F.col("blocks") - F.col("drawn")).alias("left")).orderBy("bundle").toPandas()  # BUNDLES rows at most
+    given = {int(b): (d, u) for b, d, u in zip(sums["bundle"], split_tree(sums["drawn"].to_numpy(), shards), split_tree(sums["left"].to_numpy(), shards, SEED + 1), strict=True)}
+    known = units.sparkSession.sparkContext.broadcast(given)
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rank", "pass"])
+        bundle = int(pdf["bundle"].iloc[0])
+        drawn, left = known.value[bundle]
+        quota = split_tree(pdf["drawn"].to_numpy(), shards, SEED + 2 + 2 * bundle, drawn)
+        slices = quota + split_tree((pdf["blocks"] - pdf["drawn"]).to_numpy(), shards, SEED + 3 + 2 * bundle, left)
+        return pd.DataFrame({"source": pdf["source"], "pass": pdf["pass"], "quota": list(quota), "ends": list(np.cumsum(slices, axis=1))})
+
+    return bundled.groupBy("bundle").applyInPandas(split, "source string, pass int, quota array<long>, ends array<long>")
+
+
 def _draw(source: Column, *parts: Column, salt: int) -> Column:
     return F.xxhash64(F.lit(SEED + salt), F.coalesce(source, F.lit("")), source.isNull(), *parts)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted), shard and place (order within it)."""
-    source = F.col(source_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
-    rows = rows.withColumn("draw", _draw(F.col("source"), F.coalesce(F.col("doc_id"), F.lit(0)), F.col("h"), salt=1)).drop("h")
-    rows = rows.withColumn("block", F.pmod(F.col("draw"), F.lit(BLOCKS)).cast("int"))
-    rows = written(rows)
-    blocks = written(rows.groupBy("source", "block").agg(F.sum("size").alias("words"), F.count("*").alias("docs")))
-
-    found = blocks.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("blocks")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
-    target = targets([r["words"] for r in found], [weights[i % len(weights)] for i in range(len(found))], share, most)
-    quotas = split_tree(np.array([r["blocks"] for r in found], np.int64), shards) if found else np.zeros((0, shards), np.int64)
-    plan = [
-        (r["source"], int(r["words"]), float(t), int(t // r["words"]) if r["words"] else 0, float(t % r["words"]) if r["words"] else 0.0, [int(x) for x in np.cumsum(q)])
-        for r, t, q in zip(found, target, quotas, strict=True)
-    ]
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("passes", T.LongType()), T.StructField("rest", T.DoubleType()), T.StructField("ends", T.ArrayType(T.LongType()))])
-    plan_df = docs.sparkSession.createDataFrame(plan, schema)
-
-    # permuted blocks of each source (BLOCKS rows a source at most): words before each, and the shard that its turn falls to
-    order = Window.partitionBy("source").orderBy(_draw(F.col("source"), F.col("block"), salt=2), "block")
-    dealt = blocks.withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("turn", F.row_number().over(order) - 1)
-    null_safe = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
-    dealt = dealt.join(plan_df, null_safe(dealt, plan_df, "source")).drop(plan_df["source"])
-    dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("turn"))).cast("int")).withColumn("in_block", F.greatest(F.lit(0.0), F.least(F.col("words").cast("double"), F.col("rest") - F.col("before")))).drop("ends", "docs", "turn")
-
-    joined = rows.join(dealt, null_safe(rows, dealt, "source", "block")).drop(dealt["source"]).drop(dealt["block"])
-    # blocks that are wholly in or out need no order; the one block of a source where its rest ends is cut by a running sum
-    cut = (F.col("in_block") > 0) & (F.col("in_block") < F.col("words"))
-    whole = joined.where(~cut).withColumn("extra", F.when(F.col("in_block") > 0, F.col("size")).otherwise(F.lit(0)))
-    inner = Window.partitionBy("source", "block").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    part = joined.where(cut).withColumn("ahead", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    part = part.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("in_block") - F.col("ahead") + 0.5)))).drop("ahead")
-    out = whole.unionByName(part).withColumn("taken", (F.col("passes") * F.col("size") + F.col("extra")).cast("long"))
-    # within a shard rows are in the order of a hash that no source or block steers
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "shard", F.xxhash64("draw", F.lit(SEED + 3)).alias("place"))
+def _joined(a: DataFrame, b: DataFrame, *names: str, how: str = "inner") -> DataFrame:
+    """a and b on columns that may be null."""
+    b = b.withColumnsRenamed({n: f"__{n}" for n in names})
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(f"__{n}"))
+    return a.join(b, on, how).drop(*[f"__{n}" for n in names])
 
 
-def write_shards(mixed: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write the mix with one folder for each shard, each in its shuffled order."""
-    mixed.where("taken > 0").repartition(shards, "shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+def dealt(rows: DataFrame, weights: tuple[float, ...], share: float, most: float, shards: int) -> tuple[DataFrame, int]:
+    """The draw, by blocks, and the number of blocks of a source.
 
+    rows: source, draw and size. Returns source, block, source_size, target, whole (passes that take the block whole), cut (words of it that
+    one more pass takes; null if none does), cut_pass, and shards (pass and shard of each pass that takes of it).
+    """
+    sources = written(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    n_blocks = max(1, min(BLOCKS, UNITS // max(1, sources.count())))
+    in_block = F.pmod(F.col("draw"), F.lit(n_blocks)).cast("int")
+    blocks = written(rows.groupBy("source", in_block.alias("block")).agg(F.sum("size").alias("words")))
+    plan = targeted(sources, weights, share, most)
+    plan = _joined(plan, blocks.groupBy("source").agg(F.count("*").alias("blocks")), "source")
+    passes = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = written(plan.withColumn("times", passes))
+    each = plan.where("times > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), (F.ceil("times") - 1).cast("int"))))
+    each = each.withColumn("part", F.least(F.lit(1.0), F.col("times") - F.col("pass")))
+    each = written(each.withColumn("drawn", F.least(F.col("blocks"), F.ceil(F.col("part") * F.col("blocks")))))
+    quota = quotas(each.select("source", "rank", "pass", "blocks", "drawn"), shards)
+    each = _joined(each, quota, "source", "pass").select("source", "pass", "source_size", (F.col("part") * F.col("source_size")).alias("wanted"), "quota", "ends")
+
+    # each pass: a permutation of the source's blocks, slices of it for the shards, and the first blocks of each slice
+    turned = _joined(blocks, each, "source")
+    turn = F.row_number().over(Window.partitionBy("source", "pass").orderBy(_draw(F.col("source"), F.col("block"), F.col("pass"), salt=2), "block")) - 1
+    turned = turned.withColumn("turn", turn).withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("turn"))).cast("int"))
+    place = F.col("turn") - F.when(F.col("shard") > 0, F.element_at("ends", F.col("shard"))).otherwise(0)
+    turned = turned.withColumn("beyond", place - F.element_at("quota", F.col("shard") + 1)).drop("quota", "ends")
+    # true up to the target: blocks in the order of how far they are from their shard's quota (BLOCKS rows at most)
+    order = Window.partitionBy("source", "pass").orderBy("beyond", "shard", "block").rowsBetween(Window.unboundedPreceding, -1)
+    turned = turned.withColumn("ahead", F.coalesce(F.sum("words").over(order), F.lit(0)))
+    taken = F.greatest(F.lit(0.0), F.least(F.col("words").cast("double"), F.col("wanted") - F.col("ahead")))
+    taken = turned.withColumn("got", F.when(F.col("wanted") >= F.col("source_size"), F.col("words").cast("double")).otherwise(taken)).where("got > 0")
+    is_whole = F.col("got") >= F.col("words")
+    drawn = taken.groupBy("source", "block").agg(
+        F.count_if(is_whole).alias("whole"), F.max(F.when(~is_whole, F.col("got"))).alias("cut"), F.max(F.when(~is_whole, F.col("pass"))).alias("cut_pass"),
+        F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("shards"),
+    )
+    out = _joined(_joined(blocks, plan.select("source", "source_size", "target"), "source"), drawn, "source", "block", how="left")
+    return written(out.drop("words").withColumn("whole", F.coalesce("whole", F.lit(0)))), n_blocks
+
+
+def drawn_rows(rows: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS) -> DataFrame:
+    """rows (with source, draw and what `size` reads) with source_size, target, whole, extra (words of one more pass) and shards."""
+    plan, n_blocks = dealt(rows.select("source", "draw", size.alias("size")), weights, share, most, shards)
+    rows = rows.withColumn("block", F.pmod(F.col("draw"), F.lit(n_blocks)).cast("int"))
+    rows = _joined(rows, plan, "source", "block")
+    last = lambda s: F.filter(s, lambda x: x["pass"] != F.col("cut_pass"))
+    whole = rows.where("cut is null").withColumn("extra", F.lit(0).cast("long"))
+    # the one block of a source in which its target ends: parts of it by a running sum, then the documents of one part
+    cut = rows.where("cut is not null").withColumns({"part": F.pmod(F.xxhash64("draw", F.lit(SEED + 4)), F.lit(PARTS)).cast("int"), "words": size})
+    parts = cut.groupBy("source", "part", "cut").agg(F.sum("words").alias("in_part"))
+    over = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("rest", F.col("cut") - F.coalesce(F.sum("in_part").over(over), F.lit(0))).drop("cut")
+    cut = _joined(cut, parts, "source", "part")
+    sure = cut.where("rest <= 0 or rest >= in_part").withColumn("extra", F.when(F.col("rest") > 0, F.col("words")).otherwise(0))
+    inner = Window.partitionBy("source").orderBy("draw", "doc_id", "words").rowsBetween(Window.unboundedPreceding, -1)
+    split = cut.where("rest > 0 and rest < in_part").withColumn("ahead", F.coalesce(F.sum("words").over(inner), F.lit(0)))
+    split = split.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("words"), F.floor(F.col("rest") - F.col("ahead") + 0.5)))).drop("ahead")
+    cut = sure.unionByName(split).withColumn("shards", F.when(F.col("extra") > 0, F.col("shards")).otherwise(last("shards"))).drop("part", "words", "in_part", "rest")
+    return whole.unionByName(cut.withColumn("extra", F.col("extra").cast("long"))).drop("cut", "cut_pass", "block")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    """The columns that decide a row's draw."""
+    source, doc_id = F.col(source_col).cast("string"), F.col(id_col).cast("long")
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return {"source": source, "doc_id": doc_id, "draw": _draw(source, F.coalesce(doc_id, F.lit(0)), text, salt=1)}
 
 
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words, repeats counted), shards (of each copy) and place (order within them)."""
+    cols = keyed(docs, id_col, text_col, source_col)
+    rows = written(docs.select(*[c.alias(n) for n, c in cols.items()], words(F.col(text_col)).alias("size")))
+    out = drawn_rows(rows, F.col("size"), weights, share, most, shards)
+    # within a shard rows are in the order of a hash that no source or block steers
+    taken = (F.col("whole") * F.col("size") + F.col("extra")).cast("long")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.col("shards.shard").alias("shards"), F.xxhash64("draw", F.lit(SEED + 3)).alias("place"))
 
-def first_words(text: str, n: int) -> str:
-    """A text's beginning, to the end of its n-th word."""
-    for k, m in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", text), 1):
-        if k == n:
-            return text[: m.end()]
-    return text
+
+def write_shards(mixed: DataFrame, path: str, shards: int = SHARDS) -> None:
+    """Write the mix with one folder for each shard, a row for each copy, each shard in its shuffled order."""
+    rows = mixed.where("taken > 0").withColumn("shard", F.explode("shards")).drop("shards")
+    rows.repartition(shards, "shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
 
 
 def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
-    """The mix itself: rows of docs, all columns, as often as they are taken; the last copy may be cut to the words taken.
+    """The mix itself: rows of docs, all columns, as often as they are taken, always whole.
 
-    Rows of the same id take the mean of their draws; rows without an id, and texts of size 0, are in no mix.
+    The one document of a source in which its target ends is taken if half of its words or more are. Texts without words are in no mix.
     """
-    taken = mix(docs, id_col, text_col, source_col, **params).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.floor(F.avg("taken")).alias("mixed_taken"), F.max("size").alias("mixed_size"))
-    taken = taken.where("mixed_taken > 0 and mixed_id is not null")
-    rows = docs.join(taken, docs[id_col].cast("long") == taken["mixed_id"])
-    whole, rest = F.floor(F.col("mixed_taken") / F.col("mixed_size")), F.col("mixed_taken") % F.col("mixed_size")
-    copies = rows.withColumn("mixed_copies", whole.cast("int")).where("mixed_copies > 0").withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies"))))
-    cut = rows.withColumn("mixed_rest", rest).where("mixed_rest > 0").select(*[docs[c] for c in docs.columns], "mixed_rest")
-
-    def shortened(batches):
-        for b in batches:
-            text = [first_words(t, n) for t, n in zip(b.column(text_col).to_pylist(), b.column("mixed_rest").to_pylist(), strict=True)]
-            yield b.set_column(b.schema.get_field_index(text_col), text_col, pa.array(text, b.schema.field(text_col).type)).drop_columns(["mixed_rest"])
-
-    return copies.select(*[docs[c] for c in docs.columns]).unionByName(cut.mapInArrow(shortened, docs.schema))
+    cols = keyed(docs, id_col, text_col, source_col)
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in cols.items()])
+    size = words(F.col("row")[text_col])
+    out = drawn_rows(held, size, **params)
+    copies = F.col("whole") + F.when((F.col("extra") > 0) & (2 * F.col("extra") >= size), 1).otherwise(0)
+    has_words = F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    out = out.where(has_words).withColumn("copies", copies.cast("int")).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -242,37 +242,93 @@ def test_audit_finds_all_partners_and_their_prefixes():
                 assert got[k] == max(next((d for d in range(jaccard.DEPTH) if x[d] != y[d]), jaccard.DEPTH) for x, y in zip(label, other, strict=True))
 
 
-def test_targets_fill_like_water():
-    # 450 by 5, 2, 1: the first stops at 200; of the other 250 two thirds are below 200
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([200, 500 / 3, 250 / 3])
-    assert mixing.targets([], []) == [] and mixing.targets([0, 10], [5, 2]) == [0, 15.0]
-    assert mixing.targets([100, 10], [5, 2]) == pytest.approx([145, 20])
+def poured(sizes, weights, total, most=2.0):
+    """Brute force: share by weight, stop those above their cap, share again."""
+    out, stopped = [0.0] * len(sizes), set()
+    while True:
+        rest, w = total - sum(most * sizes[i] for i in stopped), sum(weights[i] for i in range(len(sizes)) if i not in stopped)
+        more = {i for i in range(len(sizes)) if i not in stopped and rest * weights[i] / w > most * sizes[i]}
+        if not more:
+            return [most * sizes[i] if i in stopped else rest * weights[i] / w for i in range(len(sizes))]
+        stopped |= more
+
+
+def test_targets_fill_like_water(spark):
+    rng = random.Random(12)
+    for sizes in ([100, 100, 100], [0, 10], [100, 10], [rng.randint(0, 10 ** rng.randint(0, 5)) for _ in range(300)]):
+        names = sorted((f"{rng.choice('aé😀Z')}{i}" for i in range(len(sizes))), key=lambda x: x.encode())
+        rows = list(zip(names, sizes, strict=True))
+        df = spark.createDataFrame(rng.sample(rows, len(rows)), "source string, source_size long")
+        got = {r["source"]: r["target"] for r in mixing.targeted(df).collect()}
+        want = poured(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes))
+        assert [got[n] for n in names] == pytest.approx(want)
 
 
 def test_split_tree_is_exact():
     counts = np.array([7, 0, 100, 33])
     q = mixing.split_tree(counts, 6)
-    assert (q.sum(axis=1) == counts).all() and (q >= 0).all() and q.sum(axis=0).max() - q.sum(axis=0).min() <= 3
+    assert (q.sum(axis=1) == counts).all() and (q >= 0).all() and q.sum(axis=0).max() - q.sum(axis=0).min() <= 1
     assert (q == mixing.split_tree(counts, 6)).all()
+    sizes = np.array([40, 0, 90, 10])
+    q = mixing.split_tree(counts, 4, 3, sizes)
+    assert (q.sum(axis=1) == counts).all() and (q.sum(axis=0) == sizes).all() and (q >= 0).all()
+    assert mixing.split_tree(np.zeros(0, int), 4).shape == (0, 4)
 
 
-def test_mixing(spark, corpus):
+def test_split_tree_draws_like_a_hypergeometric():
+    left = [mixing.split_tree(np.array([30, 10]), 2, seed)[0, 0] for seed in range(400)]
+    assert abs(np.mean(left) - 15) < 0.3 and abs(np.var(left) - 20 * 0.75 * 0.25 * 20 / 39) < 0.5
+
+
+def test_mixing(spark, corpus, monkeypatch, tmp_path):
+    monkeypatch.setattr(mixing, "BLOCKS", 8)
+    monkeypatch.setattr(mixing, "PARTS", 2)
     one, two = (sorted(map(str, mixing.mix(corpus.repartition(n)).collect())) for n in (3, 7))
     assert one == two
     counts_ids(mixing.mix(corpus), corpus)
     rows = mixing.mix(corpus).collect()
-    assert all(r["taken"] <= 2 * r["size"] for r in rows)
+    assert all(r["taken"] <= 2 * r["size"] and (r["taken"] > 0) <= bool(r["shards"]) for r in rows)
     by = defaultdict(list)
     for r in rows:
         by[r["source"]].append(r)
-    for part in by.values():
-        assert sum(r["size"] for r in part) == part[0]["source_size"]
-        assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= 1
-    assert mixing.mix(corpus.limit(0)).count() == 0
+    names = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(r["size"] for r in by[s]) for s in names]
+    want = poured(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes))
+    for s, size, target in zip(names, sizes, want, strict=True):
+        part = by[s]
+        assert all(r["source_size"] == size and r["target"] == pytest.approx(target) for r in part)
+        assert abs(sum(r["taken"] for r in part) - target) <= 1
+    assert mixing.mix(corpus.limit(0)).count() == 0 and mixing.draw(corpus.limit(0)).count() == 0
     drawn = mixing.draw(corpus)
     assert drawn.columns == corpus.columns
-    words = drawn.select(F.sum(mixing.words(F.col("text")))).first()[0]
-    assert abs(words - sum(r["taken"] for r in rows if r["doc_id"] is not None)) <= 6
+    times = {r["doc_id"]: r["n"] for r in drawn.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    for r in rows:
+        if r["doc_id"] not in (None, 0):  # 0 is there three times
+            assert times.get(r["doc_id"], 0) == (round(r["taken"] / r["size"]) if r["size"] and 2 * (r["taken"] % r["size"]) != r["size"] else times.get(r["doc_id"], 0))
+    mixing.write_shards(mixing.mix(corpus, shards=4), str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == sum(len(r["shards"]) for r in mixing.mix(corpus, shards=4).collect() if r["taken"])
+
+
+def test_what_is_taken_follows_from_the_tree(spark, corpus, monkeypatch):
+    taken = lambda: {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mix(corpus).collect()}
+    tree = taken()
+    to_first = lambda counts, shards, seed=0, sizes=None: np.column_stack([counts, np.zeros((len(counts), shards - 1), np.int64)])
+    monkeypatch.setattr(mixing, "split_tree", to_first)
+    assert taken() != tree
+
+
+def test_many_sources_are_split_in_bundles(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUNDLES", 3)
+    df = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 40}") for i in range(400)], "doc_id long, text string, source string")
+    rows = mixing.mix(df, shards=8).collect()
+    by, per_shard = defaultdict(list), defaultdict(int)
+    for r in rows:
+        by[r["source"]].append(r)
+        for s in r["shards"] or []:
+            per_shard[s] += 1
+    assert all(abs(sum(r["taken"] for r in part) - part[0]["target"]) <= 1 for part in by.values()) and len(by) == 40
+    assert len(per_shard) == 8 and max(per_shard.values()) <= 1.6 * min(per_shard.values())
 
 
 def test_bpe_equals_the_library(spark):
