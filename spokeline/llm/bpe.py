@@ -1,11 +1,12 @@
 """Operator 10: byte-pair encoding and decoding, by tree concatenation for long unsplit text.
 
-A text is cut into pre-tokens, which are merged by rank once and remembered. A run of `leaf_chars` characters
-or more without white space sends its text the other way:
-its pre-tokens are cut into leaves, all leaves of all texts are encoded in parallel, and neighbours are then
-concatenated level by level in a binary tree. At each join a window around the seam is encoded again and grown
+A text is cut into pre-tokens, which are merged by rank once and remembered. A pre-token's last symbol carries a word end, which no merge
+goes across, so a text is one unsplit run of symbols. A text of more than `leaf_chars` characters is cut into halves at its middle
+character, within a pre-token if that is where the middle is, and each half again, down to leaves; leaves are encoded by themselves, and
+neighbours are then concatenated in a binary tree. At each join a window around the seam is encoded again and grown
 until its first token is the left side's and its last token is the right side's. Each pair of adjacent
 tokens of the result is then a pair that some direct encoding made, which is when a sequence is the encoding.
+The halves of a text of more than `spread_chars` characters are rows of their own, encoded by many tasks, and joined by one.
 
 Defined results: a null text is empty (no tokens); special tokens named in a text become their ids; rows that
 repeat, doc_ids included, are encoded each; a null doc_id is kept; other columns are not read.
@@ -19,8 +20,10 @@ import json
 import re
 import unicodedata
 from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -28,8 +31,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A run without white space of this length takes the way of the tree.
-LEAF_CHARS = 2048
+from .common import written
+
+#: Characters of a leaf of the tree, and of a stretch of a long text that is a row of its own.
+LEAF_CHARS, SPREAD_CHARS = 2048, 32_768
 #: Pre-tokens that a task remembers at most (about 300 bytes each).
 REMEMBERED = 400_000
 #: Texts of white space, ASCII and Latin letters alone are cut by a plain pattern that means the same as the vocabulary's there.
@@ -61,7 +66,7 @@ class Words(dict):
         self.old = {}
 
     def __missing__(self, word: str) -> tuple[bytes, str]:
-        out = self.old.get(word) or self.bpe.packed(self.bpe.merge(self.bpe.symbols(word)))
+        out = self.old.get(word) or self.bpe.packed([word] if word in self.bpe.special else self.bpe.merge(self.bpe.symbols(word)))
         if len(self) >= REMEMBERED // 2:
             self.old = dict(self)
             self.clear()
@@ -80,6 +85,7 @@ class WordBpe:
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {p: i for i, p in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
+        self.ids = self.vocab | self.special
         self.by_id = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         split = next(p for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split["pattern"]["Regex"])
@@ -158,6 +164,48 @@ class WordBpe:
                 return left[:a] + window + right[b:]
             w *= 2
 
+    def concatenated(self, left: list[tuple[bytes, str]], right: list[tuple[bytes, str]]) -> list[tuple[bytes, str]]:
+        """Two neighbours' entries (of a pre-token or a part of it each), joined at the seam."""
+        if not left or not right:
+            return left or right
+        a, b = left[-1][1], right[0][1]
+        if a in self.special or b in self.special:
+            return left + right
+        return [*left[:-1], self.packed(self.join(a.split(" "), b.split(" "))), *right[1:]]
+
+    def halves(self, words: list[str]) -> tuple[list[str], list[str], bool]:
+        """Pre-tokens cut at their middle character, and whether the cut is within a pre-token."""
+        ends = list(accumulate(map(len, words)))
+        k = bisect_left(ends, ends[-1] // 2)
+        word = words[k]
+        at = ends[-1] // 2 - ends[k] + len(word)
+        if word in self.special or at in (0, len(word)):
+            k = min(k + (at > 0), len(words) - 1) or 1
+            return words[:k], words[k:], False
+        return [*words[:k], word[:at]], [word[at:], *words[k + 1 :]], True
+
+    def stretches(self, words: list[str], open_end: bool, most: int) -> list[tuple[list[str], bool]]:
+        """The leaves of the tree over pre-tokens, in order: each with whether its last pre-token goes on in the next."""
+        if len(words) < 2 and (not words or words[0] in self.special) or sum(map(len, words)) <= most:
+            return [(words, open_end)]
+        left, right, within = self.halves(words)
+        return self.stretches(left, within, most) + self.stretches(right, open_end, most)
+
+    def leaf(self, words: list[str], open_end: bool) -> list[tuple[bytes, str]]:
+        out = list(map(self.words.__getitem__, words[:-1] if open_end else words))
+        if open_end:
+            out.append(self.packed(self.merge(self.symbols(words[-1], last=False))))
+        return out
+
+    def tree(self, leaves: list[list[tuple[bytes, str]]]) -> list[tuple[bytes, str]]:
+        """Neighbours joined pair by pair, level by level."""
+        while len(leaves) > 1:
+            leaves = [self.concatenated(*leaves[i : i + 2]) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
+        return leaves[0] if leaves else []
+
+    def entries(self, words: list[str], open_end: bool, leaf_chars: int) -> list[tuple[bytes, str]]:
+        return self.tree([self.leaf(*x) for x in self.stretches(words, open_end, leaf_chars)])
+
     # -- whole texts ---------------------------------------------------------------------------
     @staticmethod
     def normal(text: str) -> str:
@@ -168,7 +216,7 @@ class WordBpe:
         return text.replace("Σ", "σ").lower()
 
     def packed(self, tokens: list[str]) -> tuple[bytes, str]:
-        ids = array("I", [self.vocab[t] for t in tokens])
+        ids = array("I", [self.ids[t] for t in tokens])
         return ids.tobytes(), " ".join(tokens)
 
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
@@ -190,13 +238,16 @@ class WordBpe:
             return USUAL.findall(text.lower())
         return [w for c in self.cut(text) for w in self.split.findall(c)]
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        got: list[tuple[bytes, str]] = []
+    def all_words(self, text: str) -> list[str]:
+        """All pre-tokens of a text; special tokens stand as they are (no pre-token is written like one)."""
+        out: list[str] = []
         for special, piece in self.pieces(text):
-            if special:
-                got.append((array("I", [self.special[piece]]).tobytes(), piece))
-            else:
-                got += map(self.words.__getitem__, self.tokens_of(piece))
+            out += [piece] if special else self.tokens_of(piece)
+        return out
+
+    def encode(self, text: str, leaf_chars: int = LEAF_CHARS) -> tuple[bytes, str]:
+        words = self.all_words(text)
+        got = self.entries(words, False, leaf_chars) if len(text) > leaf_chars else self.leaf(words, False)
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
 
     def decode(self, ids: bytes) -> str:
@@ -214,7 +265,7 @@ def loaded(spec: str, key: str) -> WordBpe:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, spread_chars: int = SPREAD_CHARS, digest: bool = False) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens and decoded of each row; with digest their sha256.
 
     vocabulary: path of the tokenizers JSON file on the driver; its text (a fixed file, under 2 MB) is broadcast.
@@ -225,18 +276,41 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else SCHEMA
     finish: Callable = _digest if digest else _whole
 
-    def plain(batches):
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value, key)
         for b in batches:
-            got = [bpe.encode(t) for t in b.column("text").to_pylist()]
+            got = [bpe.encode(t, leaf_chars) for t in b.column("text").to_pylist()]
             yield finish(b.column("doc_id"), [g[0] for g in got], [g[1] for g in got])
         bpe.words.forget()
 
-    # one scan for either way: the flag is worked out beside the text
-    long_run = F.length("text") >= leaf_chars
-    is_long = long_run & F.col("text").rlike(rf"[^\s]{{{leaf_chars}}}")
-    short = rows.where(~is_long).mapInArrow(plain, schema)
-    return short.unionByName(_by_tree(rows.where(is_long), spec, key, leaf_chars, finish, schema))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(spec.value, key)
+        for b in batches:
+            for row, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
+                got = bpe.stretches(bpe.all_words(text), False, spread_chars)
+                cols = [pa.array([row] * len(got), pa.int64()), pa.array([doc_id] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got])]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "leaf", "words", "open_end"])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(spec.value, key)
+        for b in batches:
+            said = [[e[1] for e in bpe.entries(w, o, leaf_chars)] for w, o in zip(b.column("words").to_pylist(), b.column("open_end").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "leaf")), pa.array(said, pa.list_(pa.string()))], ["row", "doc_id", "leaf", "said"])
+        bpe.words.forget()
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One text, which is one row of the result."""
+        bpe = loaded(spec.value, key)
+        pdf = pdf.sort_values("leaf")
+        got = " ".join(e[1] for e in bpe.tree([[(b"", e) for e in said] for said in pdf["said"]]))
+        doc_id = pdf["doc_id"].iloc[0]
+        return finish(pa.array([None if pd.isna(doc_id) else int(doc_id)], pa.int64()), [bpe.packed(got.split(" ") if got else [])[0]], [got]).to_pandas()
+
+    long = F.length("text") > spread_chars
+    # rows are numbered before they are written, so that a task that runs again finds the same numbers
+    leaves = written(rows.where(long).withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, "row long, doc_id long, leaf int, words array<string>, open_end boolean"))
+    said = leaves.repartition("row", "leaf").mapInArrow(encoded, "row long, doc_id long, leaf int, said array<string>")
+    return rows.where(~long).mapInArrow(alone, schema).unionByName(said.groupBy("row").applyInPandas(joined, schema))
 
 
 def _whole(doc_ids, ids: list[bytes], said: list[str]) -> pa.RecordBatch:
@@ -246,87 +320,3 @@ def _whole(doc_ids, ids: list[bytes], said: list[str]) -> pa.RecordBatch:
 def _digest(doc_ids, ids: list[bytes], said: list[str]) -> pa.RecordBatch:
     sha = lambda x: hashlib.sha256(x).hexdigest()
     return pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(x.encode("utf-8", "surrogatepass")) for x in said])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
-def _by_tree(rows: DataFrame, spec, key: str, leaf_chars: int, finish: Callable, schema: str) -> DataFrame:
-    """Texts with a long unsplit run: leaves of all texts are encoded in parallel, then joined pair by pair, level by level."""
-    rows = rows.groupBy("doc_id", "text").count().withColumn("row", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "text"), 256))
-
-    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(spec.value, key)
-        for pdf in batches:
-            for row, doc_id, count, text in zip(pdf["row"], pdf["doc_id"], pdf["count"], pdf["text"], strict=True):
-                out: list[tuple] = []
-                unit = 0
-
-                def add(kind: int, leaf: int, piece: str) -> None:
-                    out.append((row, doc_id, count, unit, leaf, kind, piece))  # noqa: B023
-
-                for special, piece in bpe.pieces(text):
-                    if special:
-                        add(2, 0, piece)
-                        unit += 1
-                        continue
-                    run: list[str] = []
-                    for c in bpe.cut(piece):
-                        if len(c) < leaf_chars:
-                            run.append(c)
-                            continue
-                        for word in bpe.split.findall(c):
-                            if len(word) < leaf_chars:
-                                run.append(word)
-                                continue
-                            if run:
-                                add(0, 0, " ".join(run))
-                                run, unit = [], unit + 1
-                            cuts = list(range(0, len(word), leaf_chars // 2))
-                            for i, at in enumerate(cuts):
-                                add(1 if i + 1 < len(cuts) else 3, i, word[at : at + leaf_chars // 2])
-                            unit += 1
-                    if run:
-                        add(0, 0, " ".join(run))
-                        unit += 1
-                if not out:
-                    add(0, 0, "")
-                yield pd.DataFrame(out, columns=["row", "doc_id", "count", "unit", "leaf", "kind", "piece"])
-
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(spec.value, key)
-        for pdf in batches:
-            tokens = []
-            for kind, piece in zip(pdf["kind"], pdf["piece"], strict=True):
-                if kind == 2:
-                    tokens.append([piece])
-                elif kind == 0:
-                    tokens.append([t for c in bpe.cut(piece) for w in bpe.split.findall(c) for t in bpe.merge(bpe.symbols(w))])
-                else:
-                    tokens.append(bpe.merge(bpe.symbols(piece, last=kind == 3)))
-            yield pdf.drop(columns=["kind", "piece"]).assign(tokens=tokens)
-
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        bpe = loaded(spec.value, key)
-        pdf = pdf.sort_values("leaf")
-        tokens: list[str] = []
-        for t in pdf["tokens"]:
-            tokens = bpe.join(tokens, list(t))
-        return pdf.head(1).assign(leaf=pdf["leaf"].iloc[0] // 2, tokens=[tokens])
-
-    def text_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        bpe = loaded(spec.value, key)
-        tokens = [t for ts in pdf.sort_values("unit")["tokens"] for t in ts]
-        ids = array("I", [bpe.special.get(t, bpe.vocab.get(t)) for t in tokens]).tobytes()
-        n = int(pdf["count"].iloc[0])
-        return finish(pa.array([None if pd.isna(x) else int(x) for x in pdf["doc_id"].head(1)] * n, pa.int64()), [ids] * n, [" ".join(tokens)] * n).to_pandas()
-
-    from .common import written
-
-    cols = "row string, doc_id long, count long, unit int, leaf int"
-    cut = written(rows.mapInPandas(leaves, cols + ", kind int, piece string"))
-    most = cut.agg(F.max("leaf")).first()[0]
-    if most is None:
-        return cut.sparkSession.createDataFrame([], schema)
-    nodes = cut.repartition("row", "unit", "leaf").mapInPandas(encoded, cols + ", tokens array<string>")
-    while most > 0:
-        nodes = nodes.groupBy("row", "unit", F.floor(F.col("leaf") / 2).alias("at")).applyInPandas(lambda pdf: joined(pdf), cols + ", tokens array<string>")
-        most //= 2
-    return nodes.groupBy("row").applyInPandas(lambda pdf: text_of(pdf), schema)

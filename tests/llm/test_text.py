@@ -339,7 +339,7 @@ def test_bpe_equals_the_library(spark):
     rows = [(1, None), (2, ""), (3, "A " + w(3000) + " it's <|endoftext|> " + w(300)), (4, w(5000)), (4, w(70)), (5, w(700) + "!" * 900 + w(10)), (None, w(600)), (7, w(600)), (7, w(600))]
     rows += [rows[3]] + [(10 + i, "".join(rng.choice("abc É’sİΣς\t\n\x1c\x85漢²½😀!?.<|>'") for _ in range(40))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("row", F.lit(2))
-    got = sorted(map(str, map(tuple, bpe.encode(df, vocabulary_path(), leaf_chars=128, digest=True).collect())))
+    got = sorted(map(str, map(tuple, bpe.encode(df, vocabulary_path(), leaf_chars=128, spread_chars=512, digest=True).collect())))
     want = []
     for i, x in rows:
         ids = t.encode(x or "", add_special_tokens=False).ids
@@ -351,6 +351,28 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(df.limit(0), vocabulary_path()).count() == 0
 
 
+def test_bpe_trees_of_whole_texts_in_a_given_table(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert sum(len(x) > bpe.LEAF_CHARS for x in text.values()) > 100 and sum(len(x) > 8192 for x in text.values()) > 10
+    got = {r["doc_id"]: (array("I", r["ids"]).tolist(), r["decoded"]) for r in bpe.encode(docs, vocabulary_path(), spread_chars=8192).collect()}
+    for i, x in text.items():
+        ids = t.encode(x, add_special_tokens=False).ids
+        assert got[i] == (ids, t.decode(ids, skip_special_tokens=False))
+
+
+def test_bpe_seams_are_within_pre_tokens():
+    b = bpe.loaded(open(vocabulary_path()).read(), "test")
+    words = b.all_words("Thenation <|endoftext|> " + "international " * 40 + "x" * 300 + " é漢字." * 20)
+    for most in (1, 3, 7, 50):
+        cut = b.stretches(words, False, most)
+        assert sum(o for _, o in cut) > len(cut) / 4 and "".join(w for ws, _ in cut for w in ws) == "".join(words)
+        assert b"".join(e[0] for e in b.entries(words, False, most)) == b"".join(e[0] for e in b.leaf(words, False))
+
+
 def test_bpe_join_at_every_place():
     b, rng = bpe.loaded(open(vocabulary_path()).read(), "test"), random.Random(10)
     for _ in range(200):
