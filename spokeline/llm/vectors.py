@@ -4,21 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str, *others: str) -> DataFrame:
-    """vec_id, x (array of doubles) and other columns of the rows whose vector has only finite components, not all zero.
-
-    Of several lengths the most frequent one takes part (the greater one on a tie); rows without an id do not.
-    """
+def usable(df: DataFrame, id_col: str, vector_col: str, *others: Column) -> DataFrame:
+    """vec_id, x (array of doubles) and other columns of the rows with an id whose vector has only finite components, not all zero."""
     x = F.col(vector_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"), *others).where("vec_id is not null and size(x) > 0")
-    finite = F.forall("x", lambda v: F.coalesce(F.abs(v) < F.lit(float("inf")), F.lit(False)))  # NaN is above infinity in Spark
-    rows = rows.where(finite & F.exists("x", lambda v: v != 0))
-    best = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("x") == (best["d"] if best else 0))
+    return rows.where(finite("x"))
+
+
+def finite(name: str) -> Column:
+    """Whether an array has only finite components, and one that is not zero."""
+    return F.forall(name, lambda v: F.coalesce(F.abs(v) < F.lit(float("inf")), F.lit(False))) & F.exists(name, lambda v: v != 0)  # NaN is above infinity in Spark
 
 
 def stacked(column: pd.Series) -> np.ndarray:

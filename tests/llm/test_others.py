@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -92,33 +93,84 @@ def test_audit_weighs_vectors_alike_and_ends_exact(spark, monkeypatch):
     assert [got[i]["n_links"] for i in range(300)] == n.tolist() and [got[i]["component_id"] for i in range(300)] == comp.tolist()
 
 
+def neighbours(rows, k=10):
+    """Brute force: rows of (vec_id, vector), queries are ids divisible by 100."""
+    out = {}
+    for q in sorted({i for i, _ in rows if i % 100 == 0}):
+        v = min(x for i, x in rows if i == q)
+        best = {}
+        for i, x in rows:
+            if i != q and len(x) == len(v):
+                d = float(np.sqrt(((np.array(x) - np.array(v)) ** 2).sum()))
+                best[i] = min(best.get(i, d), d)
+        out[q] = sorted((d, i) for i, d in best.items())[:k]
+    return out
+
+
+def check_neighbours(spark, rows, least):
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame([(i, x) for i, x in rows], "vec_id long, embedding array<double>").withColumn("d", F.lit("x")).withColumn("code", F.lit(1)), F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].append((r["rank"], r["score"], r["vec_id"]))
+    want, hit, total = neighbours(rows), 0, 0
+    assert set(got) <= set(want)
+    for q, best in want.items():
+        mine = sorted(got[q])
+        assert [r for r, _, _ in mine] == list(range(1, len(best) + 1)) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
+        true = dict((i, d) for d, i in neighbours_of(rows, q))
+        assert all(abs(true[i] - d) < 1e-9 for _, d, i in mine)
+        hit, total = hit + len({i for _, _, i in mine} & {i for _, i in best}), total + len(best)
+    assert hit >= least * total
+    return got
+
+
+def neighbours_of(rows, q):
+    return neighbours([r for r in rows if r[0] == q or r[0] % 100], 10**6)[q] + [x for x in neighbours(rows, 10**6)[q] if x[1] % 100 == 0]
+
+
 def test_neighbours_recall_and_order(spark):
-    df, x, _ = vectors(spark, seed=3)
-    df = df.where("vec_id is null or vec_id <> 1005")
-    out = ann.search(df, F.col("vec_id") % 100 == 0).collect()
-    hit = total = 0
-    for q in (0, 100, 200, 300):
-        got = sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])
-        d = np.linalg.norm(x - x[q], axis=1)
-        d[q] = np.inf
-        assert [r["rank"] for r in got] == list(range(1, 11)) and q not in [r["vec_id"] for r in got]
-        assert all(abs(r["score"] - d[r["vec_id"]]) < 1e-9 for r in got) and got == sorted(got, key=lambda r: (r["score"], r["vec_id"]))
-        want = np.lexsort((np.arange(len(d)), d))[:10]
-        hit, total = hit + len({r["vec_id"] for r in got} & set(want.tolist())), total + 10
-    assert hit >= 0.9 * total
+    rng = np.random.default_rng(3)
+    for d in (16, 64, 80):
+        x = rng.standard_normal((500, d))
+        x[340:352] = x[0]  # ties
+        check_neighbours(spark, [(i, v.tolist()) for i, v in enumerate(x)], 0.9)
+    df, _, _ = vectors(spark, seed=3)
     assert ann.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     assert ann.search(df.where("vec_id < 4"), F.col("vec_id") % 100 == 0).count() == 3  # all there are
+    assert {r["query_id"] for r in ann.search(df, F.col("vec_id") % 100 == 0).collect()} == {0, 100, 200, 300}  # 1000 is null
+
+
+def test_neighbours_of_repeated_ids_and_other_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(1, 60)] + [(100, [1.0] * 8), (100, [0.5] * 8), (7, [0.5] * 8), (200, [1.0, 2.0]), (201, [1.0, 2.5]), (300, [4.0] * 3)]
+    got = check_neighbours(spark, rows, 0.7)  # eleven neighbours in all
+    assert got[100][0][2] == 7 or (1, 0.0, 7) in got[100]
+    assert got[200] == [(1, 0.5, 201)] and not got[300]
+
+
+def test_neighbours_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 64)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 4)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((12, 64)) * 3
+    x = centres[rng.integers(12, size=1500)] + rng.standard_normal((1500, 64)) * 0.3
+    x[500:800] = x[500]  # a hot bucket
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    check_neighbours(spark, rows, 0.9)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    looked = ann.found_by(df, F.col("vec_id") % 100 == 0).groupBy("query_id").agg(F.sum("looked").alias("n")).agg(F.avg("n")).first()[0]
+    assert looked < 0.6 * len(rows)  # in clusters, most lists are never read
 
 
-def test_index_finds_every_code_within_a_radius():
+def test_postings_find_every_code_within_a_radius():
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
-    near = codes[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64))
-    index = ann.Index(np.concatenate([codes, near]))
+    codes = np.concatenate([codes, codes[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64))])
+    indexes = [ann.Postings(codes, j) for j in range(4)]
     for q in range(20):
-        for radius in (0, 1, 3, 7, 20, 26):
-            want = np.flatnonzero(np.bitwise_count(index.codes ^ codes[q]) <= radius)
-            assert (np.sort(index.within(codes[q], radius)) == want).all()
+        for radius in (0, 1, 3, 7, 20, 26, 64):
+            want = np.flatnonzero(np.bitwise_count(codes ^ codes[q]) <= radius)
+            got = np.concatenate([i.within(codes[q], radius)[0] for i in indexes])
+            assert (np.sort(got) == want).all()  # each by one index only
 
 
 def test_chat_round_trip_and_branches(spark):
