@@ -2,12 +2,14 @@
 
 A page is cut into tags and text, and a tree of its containers is kept while reading. Each block of text (paragraph,
 heading, list entry, ...) is worth points for its length and its commas, discounted by the share of its letters that stand in
-links; it passes them to its parent whole, to its grandparent by half, and to further ancestors by a third, a fourth and so on. Containers whose name, class, id
+links; it passes them to its container whole, and each container passes half of what it gets on to its own, up to the top. Containers whose name, class, id
 or role says menu, header, footer, sidebar, notice, advert, form or comments are left out. The container with the
-most points is the article; siblings with a fair share of its points are kept with it.
+most points is the article; siblings with a fair share of its points are kept with it. A page is read once from
+left to right, and its tree is gone over once in each direction, so the time grows with the page's length whatever is in it.
 
 Defined results: null and empty pages, and pages without a block outside left-out containers, give an empty text. Unclosed and
-crossed tags are closed as browsers do for paragraphs and list entries, else at their container's end. Ties go to the outer container
+crossed tags are closed as browsers do for paragraphs and list entries, else at their container's end. A quote in a tag that is never
+closed is a sign like others, and a tag that is never closed is text, as all after it is. Ties go to the outer container
 that comes first. Repeated rows are read each; a null page_id or url is kept; other columns are not read.
 """
 
@@ -27,6 +29,7 @@ BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th figcaption
 CONTAINERS = frozenset("html body main article section div ul ol dl table tbody thead tfoot tr figure details center hgroup search".split())
 LEFT_OUT = frozenset("head nav header footer aside form button menu dialog fieldset label".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CLOSES_ITS_KIND = frozenset("p li dt dd td th".split())
 # Words of class, id and role that mark what is not the article.
 NOT_MAIN = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside"
@@ -36,11 +39,14 @@ NOT_MAIN = re.compile(
 )
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text|hentry)(?:$|[\s_-])", re.IGNORECASE)
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(/?)>""", re.DOTALL)
+#: A whole tag; no part of it is read twice. What it does not take is scanned by hand.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+QUOTE_OR_END = re.compile("[>\"']")
 NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
-#: Points of an ancestor: the block's points by these parts, from its parent up.
-PARTS = (1.0, 0.5, 1 / 3, 0.25, 0.2, 1 / 6)
+#: What a container passes on of the points it gets.
+PASSED_ON = 0.5
 #: A sibling of the best container with this share of its points is kept.
 SIBLING_SHARE = 0.2
 
@@ -63,8 +69,12 @@ class Page:
 
     def __init__(self, html: str):
         self.top = self.at = Node("", None, False)
+        self.nodes = [self.top]  # containers before what they contain
         self.open: list[tuple[str, Node]] = []  # open elements that matter, with the container they stand in
+        self.places: dict[str, list[int]] = {}  # where elements of a name stand among the open ones
+        self.walls: list[int] = []  # where containers do
         self.kind, self.said, self.linked, self.in_link = "", [], 0, 0
+        self.never: set[str] = set()  # raw elements that are not closed any more
         self.read(html)
         self.end_block()
 
@@ -85,80 +95,116 @@ class Page:
 
     def close(self, name: str) -> None:
         """Close the innermost open element of that name, and all within it."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == name:
-                self.at = self.open[k][1]
-                del self.open[k:]
-                return
+        if self.places.get(name):
+            k = self.places[name][-1]
+            self.at = self.open[k][1]
+            while len(self.open) > k:
+                inner = self.open.pop()[0]
+                self.places[inner].pop()
+                if self.walls and self.walls[-1] == len(self.open):
+                    self.walls.pop()
 
     def start(self, name: str, attributes: str) -> None:
         self.end_block()
-        if name in BLOCKS:
-            if name in ("p", "li", "dt", "dd", "td", "th"):  # these close one of their kind that is still open
-                for k in range(len(self.open) - 1, -1, -1):
-                    if self.open[k][0] in CONTAINERS or self.open[k][0] in LEFT_OUT:
-                        break
-                    if self.open[k][0] == name:
-                        self.close(name)
-                        break
+        # paragraphs and entries close one of their kind that is open in the same container
+        if name in CLOSES_ITS_KIND and self.places.get(name) and self.places[name][-1] > (self.walls[-1] if self.walls else -1):
+            self.close(name)
         names = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)) if "=" in attributes else ""
         out = self.at.out or name in LEFT_OUT or bool(names and NOT_MAIN.search(names)) or bool(attributes and HIDDEN.search(attributes))
+        self.places.setdefault(name, []).append(len(self.open))
+        if name not in BLOCKS:
+            self.walls.append(len(self.open))
         self.open.append((name, self.at))
         if name in BLOCKS and out == self.at.out:
             self.kind = name
         else:
             node = Node(name, self.at, out, 25.0 * (name in ("article", "main")) + 10.0 * bool(names and MAIN.search(names)))
+            self.nodes.append(node)
             self.at.children.append(node)
             self.at = node
 
+    @staticmethod
+    def tag(html: str, at: int) -> tuple[str, str, str, int] | None:
+        """(slash, name, attributes, end) of the tag at a place: it ends at the first > outside quotes; None if nothing ends it."""
+        m = TAG.match(html, at)
+        if m:
+            return m[1], m[2], m[3], m.end()
+        m = TAG_NAME.match(html, at)
+        pos = m.end()
+        while q := QUOTE_OR_END.search(html, pos):
+            if q[0] == ">":
+                return m[1], m[2], html[m.end() : q.start()], q.end()
+            closed = html.find(q[0], q.end())
+            pos = closed + 1 if closed >= 0 else q.end()
+        return None
+
     def read(self, html: str) -> None:
         at, end = 0, len(html)
-        while True:
-            m = TOKEN.search(html, at)
-            if m is None:
-                self.text(html[at:end])
+        while at < end:
+            lt = html.find("<", at)
+            if lt < 0:
+                lt = end
+            self.text(html[at:lt])
+            sign = html[lt + 1 : lt + 2]
+            if not sign:
+                self.text(html[lt:])
                 return
-            if m.start() > at:
-                self.text(html[at : m.start()])
-            at = m.end()
-            name = m[2]
-            if name is None:
+            if sign in "!?":
+                mark, close = ("<!--", "-->") if html.startswith("<!--", lt) else ("<![CDATA[", "]]>") if html.startswith("<![CDATA[", lt) else (sign, ">")
+                stop = html.find(close, lt + len(mark) if len(mark) > 1 else lt)
+                if stop < 0 and mark != "<!--":
+                    stop = html.find(close := ">", lt)
+                    if stop < 0:
+                        self.text(html[lt:])
+                        return
+                at = stop + len(close) if stop >= 0 else end
+                continue
+            if not TAG_NAME.match(html, lt):
+                self.text("<")
+                at = lt + 1
                 continue
-            name = name.lower()
-            if m[1]:
-                if name == "a":
-                    self.in_link = max(0, self.in_link - 1)
-                elif name in BLOCKS or name in CONTAINERS or name in LEFT_OUT:
-                    self.end_block()
-                    self.close(name)
-            elif name in RAW:
-                if not m[4]:
-                    stop = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(html, at)
-                    at = stop.end() if stop else (end if name in ("script", "style") else at)
-            elif name == "a":
-                self.in_link += 1
-            elif name in ("br", "hr"):
-                self.said.append(" ")
-                if name == "hr":
-                    self.end_block()
-            elif name not in VOID and not m[4] and (name in BLOCKS or name in CONTAINERS or name in LEFT_OUT):
-                self.start(name, m[3])
+            got = self.tag(html, lt)
+            if got is None:
+                self.text(html[lt:])
+                return
+            slash, name, attributes, at = got
+            at = self.element(html, slash, name.lower(), attributes, at)
+
+    def element(self, html: str, slash: str, name: str, attributes: str, at: int) -> int:
+        """What a tag does; returns where to read on."""
+        alone = attributes.endswith("/")
+        if slash:
+            if name == "a":
+                self.in_link = max(0, self.in_link - 1)
+            elif name in BLOCKS or name in CONTAINERS or name in LEFT_OUT:
+                self.end_block()
+                self.close(name)
+        elif name in RAW:
+            if not alone and name not in self.never:
+                stop = re.compile(rf"</{re.escape(name)}\s*+>", re.IGNORECASE).search(html, at)
+                if stop:
+                    return stop.end()
+                self.never.add(name)
+            if not alone and name in ("script", "style"):
+                return len(html)
+        elif name == "a":
+            self.in_link += 1
+        elif name in ("br", "hr"):
+            self.said.append(" ")
+            if name == "hr":
+                self.end_block()
+        elif name not in VOID and not alone and (name in BLOCKS or name in CONTAINERS or name in LEFT_OUT):
+            self.start(name, attributes)
+        return at
 
     # -- scores --------------------------------------------------------------------------------
     def score(self) -> None:
-        todo = [self.top]
-        while todo:
-            node = todo.pop()
-            if node.out:
-                continue
-            todo += [c for c in node.children if c is not None]
-            for text, _, linked in node.blocks:
-                p, up = points(text, linked), node
-                for part in PARTS:
-                    if up is None:
-                        break
-                    up.points += p * part
-                    up = up.parent
+        """Points of all containers, from the innermost ones up."""
+        for node in reversed(self.nodes):
+            if not node.out:
+                node.points += sum(points(text, linked) for text, _, linked in node.blocks)
+                if node.parent is not None:
+                    node.parent.points += PASSED_ON * node.points
 
     def all_blocks(self, node: Node) -> list[str]:
         """Blocks under a node in page order, without left-out containers; lists of links go too."""

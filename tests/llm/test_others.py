@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -209,6 +210,79 @@ def test_html(spark):
     assert html.main_text("<div>" * 3000 + "<p>deep, text" + "</div>" * 3000) == "deep, text"
 
 
+def naive_page(rng, depth=0):
+    """A random tree as (tag, class, children); a leaf is (tag, text before a link, text of the link)."""
+    if depth and rng.random() < 0.4 or depth > 6:
+        words = lambda n: " ".join(rng.choice(["word", "more,", "then", "end."]) for _ in range(n))
+        return (rng.choice(["p", "h2", "blockquote"]), words(rng.randint(1, 30)), words(rng.randint(0, 8)))
+    return (rng.choice(["div", "section", "ul", "article"]), rng.choice(["", "", "content", "side", "x"]), [naive_page(rng, depth + 1) for _ in range(rng.randint(1, 5))])
+
+
+def markup(node):
+    if isinstance(node[2], list):
+        return f"<{node[0]} class='{node[1]}'>" + "".join(map(markup, node[2])) + f"</{node[0]}>"
+    return f"<{node[0]}>{node[1]} <a href=x>{node[2]}</a></{node[0]}>"
+
+
+def naive_text(root):
+    """The rule of the operator, by definition: every block's points to each of its ancestors, one by one."""
+    score, order, blocks_of = {}, [], {}
+    text_of = lambda b: f"{b[1]} {b[2]}".strip()
+
+    def visit(node, path, up):
+        if not isinstance(node[2], list):
+            text = text_of(node)
+            p = (1 + text.count(",") + min(3, len(text) / 100)) * (1 - min(len(node[2].strip()), len(text)) / len(text))
+            for k, a in enumerate(reversed(path)):
+                score[id(a)] = score.get(id(a), 0) + p * 0.5**k
+                blocks_of.setdefault(id(a), []).append(text)
+        elif node[1] != "side":
+            order.append((node, up))
+            for c in node[2]:
+                visit(c, [*path, node], node)
+
+    visit(root, [], None)
+    bonus = lambda n: 25 * (n[0] == "article") + 10 * (n[1] == "content")
+    best = max(order, key=lambda x: score.get(id(x[0]), 0) + (bonus(x[0]) if score.get(id(x[0]), 0) > 0 else 0), default=None)
+    if best is None or not score.get(id(best[0])):
+        return []
+    node, up = best
+    if up is None or node[0] == "article":
+        return blocks_of[id(node)]
+    out = []
+    for c in up[2]:
+        if not isinstance(c[2], list):
+            text = text_of(c)
+            if c[0] == "h2" or (min(len(c[2].strip()), len(text)) < 0.25 * len(text) and (len(text) > 80 or text[-1:] in ".!?…")):
+                out.append(text)
+        elif c[1] != "side" and (c is node or score.get(id(c), 0) >= html.SIBLING_SHARE * score[id(node)]):
+            out += blocks_of.get(id(c), [])
+    return out
+
+
+def test_html_scores_against_their_definition():
+    rng, kept = random.Random(21), 0
+    for _ in range(400):
+        page = naive_page(rng)
+        got = html.main_text(markup(page))
+        assert got == "\n".join(naive_text(page))
+        kept += bool(got)
+    assert kept > 200
+
+
+def test_html_takes_time_in_proportion():
+    began = time.process_time()
+    assert html.main_text("<p>before<a" + '""' * 100_000).startswith("before<a")
+    assert html.main_text("<a '" * 60_000 + "><p>x") in ("x", "")
+    assert html.main_text("<svg>" * 60_000 + "<p>a, b.") == "a, b."
+    assert html.main_text("<h1>" * 60_000 + "<p>x</p>" * 30_000).count("x") == 30_000
+    assert len(html.main_text("".join("<div><p>a, b, c" for _ in range(30_000)))) > 8
+    assert html.main_text("<!--" * 60_000) == "" and html.main_text("<![CDATA[" * 30_000) != ""
+    ten_mb = "<div><p>word, word <a href='x'>link</a></p></div>" * 210_000
+    assert len(ten_mb) > 10_000_000 and html.main_text(ten_mb).count("word, word link") == 210_000
+    assert time.process_time() - began < 60
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(500, 500 + k) for k in range(1, 60)] + [(7, 7), (None, 3)]
