@@ -8,8 +8,8 @@ the threshold shares a branch of some tree reaches the target recall, and so doe
 measured for a bounded set of audited texts, whose partners are all found by exact comparison in the pass that signs the
 texts. Nodes under one branch of that level are candidates.
 
-Verification is exact and takes candidates only. A node's home is the most crowded branch it is in; homes are dealt into blocks
-of bounded size, and a node is sent to those other blocks alone in which it has a candidate. Two blocks are compared by a
+Verification is exact. A node's home is the most crowded branch that it or a node it meets is in; homes are dealt into blocks
+of bounded size, whose pairs are all compared, and a node is sent to those blocks of other homes alone in which it has a candidate. Two blocks are compared by a
 product of their 0/1 matrices, so a hot branch is dealt over many tasks, and links are counted where they are found and
 never listed.
 
@@ -216,11 +216,15 @@ def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, tr
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     branch = F.xxhash64("tree", F.substring(F.col("labels"), F.col("tree") * (2 * depth) + 1, F.lit(2 * level)))
     entries = nodes.select("node", "size", "labels", tree.alias("tree")).select("node", "size", branch.alias("branch"))
-    crowded = entries.groupBy("branch").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
-    met = written(entries.join(crowded, "branch").select("node", "branch", "n", "total"))
-
-    # homes and blocks
-    home = met.groupBy("node").agg(F.max(F.struct("n", "branch", "total")).alias("top")).select("node", F.col("top.branch").alias("home"), F.greatest(F.ceil(F.col("top.n") / BLOCK), F.ceil(F.col("top.total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    crowded = entries.groupBy("branch").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(entries.join(crowded, "branch").select("node", "size", "branch", "n"))
+
+    # homes: each node's most crowded branch, then the most crowded home among all that it meets, so that a group of near copies has one
+    top = met.groupBy("node").agg(F.max(F.struct("n", "branch")).alias("top"))
+    of_branch = met.select("node", "branch").join(top, "node").groupBy("branch").agg(F.max("top").alias("top"))
+    home = written(met.join(of_branch, "branch").groupBy("node").agg(F.max("top").alias("top"), F.any_value("size").alias("size")).select("node", "size", F.col("top.branch").alias("home")))
+    crowds = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    home = home.drop("size").join(crowds, "home")
     block = lambda salt: F.xxhash64("home", salt.cast("int"))
     home = home.withColumn("block", block(F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))))
     placed = written(home.join(nodes.select("node", "first", "copies"), "node"))
@@ -234,7 +238,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, tr
 
     # the text of a node's first row is cut into its set once
     wanted = placed.select("node", "copies", "block", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"))
-    wanted = rows.join(wanted, (rows["h"] == wanted["first_h"]) & rows["doc_id"].eqNullSafe(wanted["first_id"])).select("node", "copies", "block", "text")
+    wanted = rows.join(wanted.hint("shuffle_hash"), (rows["h"] == wanted["first_h"]) & rows["doc_id"].eqNullSafe(wanted["first_id"])).select("node", "copies", "block", "text")
 
     def cut(batches):
         for b in batches:
