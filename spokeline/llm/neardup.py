@@ -2,17 +2,18 @@
 
 Vectors of a label are dealt to the nearest of its cluster centres and the next one, so that shards overlap. In each shard every
 vector's nearest neighbours are pruned robustly (a neighbour is dropped that a kept one is much nearer to), and the
-shards' adjacency lists are united, both directions. A label that is too large for a task is searched in cells of vectors with near
-home centres; a vector asks every cell that can hold a partner of it (a bound that loses none). Searches start at the shards' medoids,
+shards' adjacency lists are united, both directions. Vectors are searched in cells, those with near
+home centres; a vector asks every cell that can hold a partner of it (a bound that loses none), whatever the size of its label. Searches start at the shards' medoids,
 at the vector's own node and at its own list, go greedily to the nearest nodes, then expand from every node within reach until no more are found. What is found is
 verified by the exact cosine in double precision. Recall is audited against brute force for a bounded set of
-vectors, each with the same weight; while it is below the target, degree, candidates and beam are doubled, one more shard overlaps
+vectors, each with the same weight; where too few of them have links, vectors that the search did link are audited too. While recall is below the target, degree,
+candidates and beam are doubled, one more shard overlaps
 and the search is done again. Where the largest degree does not reach it, every cell is compared whole, which is exact.
 
 Equal vectors of a label are one node with a number of copies. Pairs are counted where they are found and never listed. Defined
 results: rows whose label is null or whose vector is null, zero or holds null or non-finite components link with nothing
-and are components of their own; rows without an id are left out; rows that repeat a vec_id count as copies.
-Other columns are not read.
+and are components of their own; vectors link with vectors of their own length only; rows without an id take part, and a component without any id has
+none; rows that repeat a vec_id count as copies. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
-from .vectors import stacked, usable
+from .vectors import finite, stacked
 
 THRESHOLD = 0.93
 #: Rows of a shard, wished for; centres of all labels together, at most (they are broadcast).
@@ -37,7 +38,8 @@ SHARDS = 2
 MAX_DEGREE = 8 * DEGREE
 #: Similarity below the threshold from which nodes are still expanded.
 SLACK = 0.04
-AUDITED, RECALL = 64, 0.98
+#: Vectors audited at random; with links, so many are wanted, else so many linked ones are audited too; mean recall they must show.
+AUDITED, ENOUGH, AUDITED_LINKED, RECALL = 4096, 32, 256, 0.98
 
 
 def prune(x: np.ndarray, at: int, near: np.ndarray, sims: np.ndarray, degree: int) -> list[int]:
@@ -209,15 +211,20 @@ def _searcher(threshold: float, beam: int):
 
 def exact_links(nodes: DataFrame, sample: pd.DataFrame, threshold: float) -> dict[int, int]:
     """Weights of all nodes of the same label within reach of a bounded sample of nodes, by brute force."""
-    known = nodes.sparkSession.sparkContext.broadcast((sample["rep"].to_numpy(), sample["label"].to_numpy(), stacked(sample["x"])))
+    known = nodes.sparkSession.sparkContext.broadcast({label: (part["rep"].to_numpy(), stacked(part["x"])) for label, part in sample.groupby("label")})
 
     def counted(batches):
-        reps, labels, q = known.value
-        total = np.zeros(len(reps), np.int64)
+        total = {label: np.zeros(len(reps), np.int64) for label, (reps, _) in known.value.items()}
         for pdf in batches:
-            hit = (q @ stacked(pdf["x"]).T >= threshold) & (labels[:, None] == pdf["label"].to_numpy()[None]) & (reps[:, None] != pdf["rep"].to_numpy()[None])
-            total += hit @ pdf["copies"].to_numpy()
-        yield pd.DataFrame({"rep": reps, "n": total})
+            for label, part in pdf.groupby("label"):
+                if label in total:
+                    reps, q = known.value[label]
+                    for lo in range(0, len(part), 1024):
+                        x = part.iloc[lo : lo + 1024]
+                        hit = (q @ stacked(x["x"]).T >= threshold) & (reps[:, None] != x["rep"].to_numpy()[None])
+                        total[label] += hit @ x["copies"].to_numpy()
+        for label, n in total.items():
+            yield pd.DataFrame({"rep": known.value[label][0], "n": n})
 
     got = nodes.select("rep", "label", "copies", "x").mapInPandas(counted, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
     return {r["rep"]: r["n"] for r in got.collect()}
@@ -229,13 +236,17 @@ def recall(got: dict[int, int], truth: dict[int, int]) -> float:
 
 
 def links(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row with an id."""
+    """vec_id, n_links, component_id and kept of every row."""
     spark = df.sparkSession
-    all_ids = df.select(F.col(id_col).cast("long").alias("vec_id")).where("vec_id is not null")
-    rows = usable(df, id_col, vector_col, F.col(label_col).cast("long").alias("label")).where("label is not null")
+    x = F.transform(F.col(vector_col).cast("array<double>"), lambda v: v + 0.0)  # one zero, without a sign
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"), F.col(label_col).cast("string").alias("given"))
+    takes_part = F.coalesce(F.col("given").isNotNull() & (F.size("x") > 0) & finite("x"), F.lit(False))
+    # vectors of other lengths are other labels
+    rows = rows.select("vec_id", "x", F.when(takes_part, F.concat_ws("/", F.size("x"), "given")).alias("label"))
+    rows = rows.withColumn("rep", F.when(F.col("label").isNotNull(), F.xxhash64("label", "x")))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    texts = rows.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    nodes = written(texts.select("label", "rep", "copies", F.col("x").alias("raw"), F.transform("x", lambda v: v / norm).alias("x")))
+    nodes = rows.where("label is not null").groupBy("rep").agg(F.any_value("label").alias("label"), F.any_value("x").alias("x"), F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    nodes = written(nodes.select("label", "rep", "first", "copies", F.transform("x", lambda v: v / norm).alias("x")))
     total = nodes.count()
 
     # centres: rows whose hash falls below a bound that keeps their number below MAX_CENTRES
@@ -273,27 +284,21 @@ def links(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", v
         """Each vector's home, and all cells that can hold a partner: a partner whose home is c lies beyond the plane halfway from
         the query's home to c, and the query is no further from that plane than the threshold's angle."""
         for got, part in pieces(batches):
-            whole = part["whole"].to_numpy()
             if got is None:
-                home = np.where(whole, -2, -1)
-                yield part.drop(columns="whole").assign(centre=-1, cell=home, cells=[[h] for h in home])
+                yield part.assign(centre=-1, cell=-1, cells=[[-1]] * len(part))
                 continue
             reps, c, cell_of = got
             sims = stacked(part["x"]) @ c.T
             at = sims.argmax(axis=1)
             apart = np.sqrt(np.maximum(0, 2 - 2 * (c[at] @ c.T)))
             may = sims.max(axis=1)[:, None] - sims <= reach * apart + 1e-9
-            cells = [[-2] if w else np.unique(cell_of[m]).tolist() for w, m in zip(whole, may, strict=True)]
-            yield part.drop(columns="whole").assign(centre=reps[at], cell=np.where(whole, -2, cell_of[at]), cells=cells)
+            yield part.assign(centre=reps[at], cell=cell_of[at], cells=[np.unique(cell_of[m]).tolist() for m in may])
 
-    cols = "label long, rep long, copies long, x array<double>"
-    # cells that are searched: a label as a whole where it fits a task, else the rows at home with near centres
-    per_label = nodes.groupBy("label").agg((F.count("*") <= CELL).alias("whole"))
-    cells = written(nodes.join(per_label, "label").select("label", "rep", "copies", "x", "whole").mapInPandas(routed, cols + ", centre long, cell long, cells array<long>"))
+    cols = "label string, rep long, copies long, x array<double>"
+    cells = written(nodes.select("label", "rep", "copies", "x").mapInPandas(routed, cols + ", centre long, cell long, cells array<long>"))
     asking = cells.select("label", F.explode("cells").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("asking"))
     sizes = cells.groupBy("label", "cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("node_blocks")).join(asking, ["label", "cell"])
-    # where queries come from many cells, a task takes more of them, so that nodes are sent to fewer tasks
-    sizes = written(sizes.select("label", "cell", "node_blocks", F.ceil(F.col("asking") / F.when(F.col("cell") == -2, QUERIES).otherwise(8 * QUERIES)).cast("int").alias("query_blocks")))
+    sizes = written(sizes.select("label", "cell", "node_blocks", F.ceil(F.col("asking") / (2 * QUERIES)).cast("int").alias("query_blocks")))
 
     def edges_of(degree: int, turns: int) -> DataFrame:
         """Pruned edges of shards that each vector is dealt to so many of."""
@@ -303,13 +308,13 @@ def links(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", v
         per_shard = per_shard.select("label", "centre", F.when(F.col("rows") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("rows") / BLOCK)).cast("int").alias("blocks"))
         in_blocks = shards.join(per_shard, ["label", "centre"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         in_blocks = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        return in_blocks.groupBy("label", "centre", "i", "j").applyInPandas(_builder(degree), "label long, src long, dst long, sim double")
+        return in_blocks.groupBy("label", "centre", "i", "j").applyInPandas(_builder(degree), "label string, src long, dst long, sim double")
 
     audited = nodes.orderBy(F.xxhash64("rep", F.lit(2))).limit(AUDITED).select("rep", "label", "x").toPandas()
     truth = exact_links(nodes, audited, threshold) if len(audited) else {}
     degree, beam, turns = DEGREE, BEAM, SHARDS
     while True:
-        edges = edges_of(degree, turns) if beam else spark.createDataFrame([], "label long, src long, dst long, sim double")
+        edges = edges_of(degree, turns) if beam else spark.createDataFrame([], "label string, src long, dst long, sim double")
         both = edges.union(edges.select("label", F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
         united = both.groupBy("label", F.col("src").alias("rep")).agg(F.slice(F.sort_array(F.collect_set(F.struct("sim", "dst")), asc=False), 1, 4 * degree)["dst"].alias("near"))
         ready = cells.join(united, ["label", "rep"], "left")
@@ -318,20 +323,27 @@ def links(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", v
         as_nodes = ready.join(sizes, ["label", "cell"]).withColumn("nb", block(0, "node_blocks")).withColumn("qb", upto("query_blocks"))
         as_queries = ready.drop("cell").withColumn("cell", F.explode("cells")).join(sizes, ["label", "cell"]).withColumn("qb", block(1, "query_blocks")).withColumn("nb", upto("node_blocks"))
         group, named = ["label", "cell", "nb", "qb"], ["g1", "g2", "g3", "g4"]
-        key = [F.col(c).cast("long").alias(g) for c, g in zip(group, named, strict=True)]
+        key = [F.col(c).alias(g) for c, g in zip(group, named, strict=True)]
         as_nodes = as_nodes.select(*key, "rep", "copies", "x", "centre", "near")
         as_queries = as_queries.select(*key, F.col("rep").alias("asked"), F.col("x").alias("q"), F.col("near").alias("known"))
         found = as_nodes.groupBy(*named).cogroup(as_queries.groupBy(*named)).applyInPandas(_searcher(threshold, beam), "rep long, n long, root long")
         found = written(found)
-        counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-        got = {r["rep"]: r["n"] for r in counts.where(F.col("rep").isin([int(x) for x in truth])).collect()} if truth else {}
+        counts = written(found.groupBy("rep").agg(F.sum("n").alias("n")))
+        if sum(n > 0 for n in truth.values()) < ENOUGH and beam:
+            linked = counts.where("n > 0").orderBy(F.xxhash64("rep", F.lit(3))).limit(AUDITED_LINKED)
+            linked = nodes.join(F.broadcast(linked), "rep").select("rep", "label", "x").toPandas()
+            truth |= exact_links(nodes, linked, threshold) if len(linked) else {}
+        known_truth = spark.createDataFrame([(int(r),) for r, n in truth.items() if n], "rep long")
+        got = {r["rep"]: r["n"] for r in counts.join(F.broadcast(known_truth), "rep").collect()}  # AUDITED + AUDITED_LINKED rows at most
         if beam == 0 or recall(got, truth) >= RECALL:
             break
         degree, beam, turns = (degree * 2, beam * 2, turns + 1) if degree < MAX_DEGREE else (degree, 0, turns)
 
-    classes = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    of_node = nodes.select("label", F.col("raw").alias("x"), "rep", "copies").join(counts, "rep", "left").join(classes, F.col("rep") == classes["node"], "left")
-    of_node = of_node.select("label", "x", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    linked = rows.join(of_node, ["label", "x"]).select("vec_id", "n_links", "component_id")
-    rest = all_ids.join(linked.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    classes = written(components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep"))
+    smallest = classes.join(nodes.select("rep", "first"), "rep").groupBy("root").agg(F.min("first").alias("smallest"))
+    classes = classes.join(smallest, "root").select("rep", "smallest", F.lit(True).alias("in_class"))
+    of_node = nodes.select("rep", "first", "copies").join(counts, "rep", "left").join(classes, "rep", "left")
+    of_node = of_node.select("rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("in_class"), F.col("smallest")).otherwise(F.col("first")).alias("component_id"))
+    out = rows.where("rep is not null").select("vec_id", "rep").join(of_node, "rep").select("vec_id", "n_links", "component_id")
+    out = out.unionByName(rows.where("rep is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
