@@ -6,7 +6,8 @@ truncated singular value decomposition of the labelled sample; the sample's vect
 cosines to all of them are computed exactly in blocks, and the nearest ones vote with their cosine as weight.
 
 Defined results: a text without terms (null or empty), or without a neighbour of positive cosine, gets the share of
-label 1 in the sample; without any labels every score is 0.5. Ties among neighbours go to the smaller doc_id.
+label 1 in the sample; without any labels every score is 0.5. Neighbours whose cosines agree to nine decimals are ties, which go to the
+smaller doc_id. Texts are counted whole, however long.
 A doc_id that labels give twice takes the larger label. Repeated rows are scored each; other columns are not read.
 """
 
@@ -153,12 +154,15 @@ def votes(texts: list[str | None], model: dict) -> np.ndarray:
     """Scores of a block of texts: exact cosines to all labelled vectors, the nearest ones weighted by theirs."""
     x = np.stack([term_counts(t or "") for t in texts])
     z = unit(unit(weights(x, model["idf"])) @ model["axes"])
-    cos = z @ model["vectors"].T
+    cos = np.round(z.astype(np.float64) @ model["vectors"].T.astype(np.float64), 9)
     k = min(NEIGHBOURS, cos.shape[1])
-    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    w = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(np.float64)
+    least = np.partition(cos, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
+    above, equal = cos > least, cos == least
+    # labelled vectors stand by doc_id: of those that tie for the last places the first ones vote
+    near = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    w = np.where(near, np.maximum(cos, 0), 0)
     total = w.sum(axis=1)
-    return np.where(total > 0, (w * model["labels"][near]).sum(axis=1) / np.maximum(total, 1e-12), model["prior"]).clip(0, 1)
+    return np.where(total > 0, (w * model["labels"]).sum(axis=1) / np.maximum(total, 1e-12), model["prior"]).clip(0, 1)
 
 
 def predict(rows: DataFrame, model: dict | None, folds: int = 5, held: int = 0) -> DataFrame:
