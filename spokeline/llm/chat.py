@@ -12,7 +12,8 @@ assistant turn, which starts after the header and ends before `<|im_end|>`.
 
 Defined results: a null text or role is empty; a null conversation id is a conversation of its own; rows that repeat a
 message (same conversation and turn) are turns of their own, in the order of role and text; a message whose parent does
-not exist is a root; ties of branches go to the smaller leaf; an empty table gives no conversations but those added.
+not exist is a root, and so is, in a circle of parents, each message whose parent has a greater number; ties of branches go to the smaller
+leaf; texts are formatted whole, however long; an empty table gives no conversations but those added.
 Other columns are not read.
 """
 
@@ -47,27 +48,35 @@ def turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     return rows.withColumn("node", at).select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def conversation(conv_id: Column) -> Column:
+    """A key that a null id has to itself."""
+    return F.coalesce(conv_id.cast("string"), F.lit("none"))
+
+
 def paths(messages: DataFrame) -> DataFrame:
-    """conv_id, leaf, node, height (steps above the leaf) of all messages on all root-to-leaf paths.
+    """c (key of the conversation), leaf, node, height (steps above the leaf) of all messages on all root-to-leaf paths.
 
     Pointer doubling: `up` holds (node, ancestor 2^k steps above); members at distance d gain those at distance d + 2^k.
-    Only numbers are joined; roles and texts stay behind.
+    Only numbers are joined; roles and texts stay behind. No path is longer than its conversation: what has an ancestor
+    farther away than that comes from a circle, whose backward links are then cut.
     """
-    at = F.coalesce(F.col("conv_id"), F.lit(-(1 << 62)))
-    m = written(messages.select(at.alias("c"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
+    m = written(messages.select(conversation(F.col("conv_id")).alias("c"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
+    longest = m.groupBy("c").count().agg(F.max("count")).first()[0] or 0
     known = m.select("c", F.col("node").alias("parent")).distinct()
-    links = m.join(known, ["c", "parent"], "left_semi").select("c", "node", F.col("parent").alias("above")).where("node <> above")
-    leaves = m.join(links.select("c", F.col("above").alias("node")).distinct(), ["c", "node"], "left_anti").select("c", F.col("node").alias("leaf")).distinct()
-    member = leaves.select("c", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("height"))
-    up, step = written(links.distinct()), 1
-    while not up.isEmpty():
-        more = member.join(up, ["c", "node"]).select("c", "leaf", F.col("above").alias("node"), (F.col("height") + step).alias("height"))
-        member = written(member.union(more))
-        far = up.select("c", F.col("above").alias("mid"), "node").join(up.select("c", F.col("node").alias("mid"), "above"), ["c", "mid"]).select("c", "node", "above")
-        up, step = written(far), step * 2
-        if step > 1 << 40:
-            raise ValueError("parents form a circle")
-    return member.join(m.select("c", "node", "score").dropDuplicates(["c", "node"]), ["c", "node"])
+    links = written(m.join(known, ["c", "parent"], "left_semi").select("c", "node", F.col("parent").alias("above")).where("node <> above").distinct())
+    while True:
+        leaves = m.join(links.select("c", F.col("above").alias("node")).distinct(), ["c", "node"], "left_anti").select("c", F.col("node").alias("leaf")).distinct()
+        member = leaves.select("c", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("height"))
+        up, step = links, 1
+        while step <= longest and not up.isEmpty():
+            more = member.join(up, ["c", "node"]).select("c", "leaf", F.col("above").alias("node"), (F.col("height") + step).alias("height"))
+            member = written(member.union(more))
+            far = up.select("c", F.col("above").alias("mid"), "node").join(up.select("c", F.col("node").alias("mid"), "above"), ["c", "mid"]).select("c", "node", "above")
+            up, step = written(far.distinct()), step * 2
+        if up.isEmpty():
+            return member.join(m.select("c", "node", "score").dropDuplicates(["c", "node"]), ["c", "node"])
+        circles = up.select("c", F.col("above").alias("node")).distinct()  # after so many steps up, all are on a circle
+        links = written(links.join(circles.where("true").withColumn("round", F.lit(True)), ["c", "node"], "left").where("round is null or above < node").drop("round"))
 
 
 def ranked(members: DataFrame, best: int | None = None) -> DataFrame:
@@ -85,8 +94,7 @@ def format_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     """
     members = paths(messages)
     chosen = ranked(members, best)
-    at = F.coalesce(F.col("conv_id"), F.lit(-(1 << 62)))
-    said = messages.select(at.alias("c"), "conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = messages.select(conversation(F.col("conv_id")).alias("c"), "conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit(START), escaped(F.col("role")), F.lit("\n"))
     turn = F.struct((-F.col("height")).alias("k"), head.alias("head"), escaped(F.col("text")).alias("body"), (F.col("role") == LEARNED).alias("learned"))
     rows = members.join(chosen.select("c", "leaf", "branch", "branch_score"), ["c", "leaf"]).join(said, ["c", "node"])
