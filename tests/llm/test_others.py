@@ -41,19 +41,24 @@ def brute_links(x, label, threshold=0.93):
         comp = new
 
 
-def check_links(spark):
+def test_vector_links(spark):
     df, x, label = vectors(spark)
     n, comp = brute_links(x, label)
-    out = {r["vec_id"]: r for r in neardup.links(df).collect()}
-    assert len(out) == 407
+    rows = neardup.links(df).collect()
+    out = {r["vec_id"]: r for r in rows}
+    assert len(rows) == df.count() == 408
+    n[[0, *range(340, 345)]] += 1  # the row without an id is a copy of these
     assert [out[i]["n_links"] for i in range(400)] == n.tolist() and [out[i]["component_id"] for i in range(400)] == comp.tolist()
-    assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in range(1000, 1007))
-    return df
+    assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in (1000, 1001, 1002, 1003, 1004, 1005, 1006))
+    assert (out[None]["n_links"], out[None]["component_id"], out[None]["kept"]) == (6, 0, False)
+    assert neardup.links(df.limit(0)).count() == 0
 
 
-def test_vector_links(spark):
-    df = check_links(spark)
-    assert neardup.links(df.limit(0)).count() == 0
+def test_vectors_of_other_lengths_and_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [1.0, 0.0, 0.0], 1), (4, [2.0, 0.01, 0.0], 1), (5, [1.0, 0.0], 2), (None, [0.0, 1.0], 1), (None, [-0.0, 2.0], 1), (7, [1.0, 0.0], 1), (7, [0.0, 1.0], 2), (8, [0.0, -1.0, 0.0, 5.0], 1)]
+    got = sorted(map(str, (tuple(r)[:3] for r in neardup.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect())))
+    want = [(1, 2, 1), (2, 2, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5), (None, 1, None), (None, 1, None), (7, 2, 1), (7, 0, 7), (8, 0, 8)]
+    assert got == sorted(map(str, want))
 
 
 def test_vector_links_in_small_shards_and_cells(spark, monkeypatch):
@@ -61,7 +66,7 @@ def test_vector_links_in_small_shards_and_cells(spark, monkeypatch):
         monkeypatch.setattr(neardup, name, value)
     df, x, label = vectors(spark)
     n, _ = brute_links(x, label)
-    got = {r["vec_id"]: r["n_links"] for r in neardup.links(df).collect()}
+    got = {r["vec_id"]: r["n_links"] for r in neardup.links(df.where("vec_id is not null")).collect()}
     assert sum(min(got[i], n[i]) for i in range(400)) >= 0.9 * n.sum() and all(got[i] <= n[i] for i in range(400))
 
 
@@ -83,7 +88,6 @@ def test_vector_links_of_a_label_above_a_cell(spark):
 def test_audit_weighs_vectors_alike_and_ends_exact(spark, monkeypatch):
     assert neardup.recall({1: 5000, 2: 0}, {1: 5000, 2: 2, 3: 0}) == 0.5 and neardup.recall({}, {1: 0}) == 1
     monkeypatch.setattr(neardup, "MAX_DEGREE", neardup.DEGREE)
-    monkeypatch.setattr(neardup, "AUDITED", 400)
     rng = np.random.default_rng(8)
     a, b = np.eye(32)[0], 0.95 * np.eye(32)[0] + np.sqrt(1 - 0.95**2) * np.eye(32)[1]
     x = np.vstack([np.tile(v, (150, 1)) + rng.standard_normal((150, 32)) * 0.003 for v in (a, b)])  # two tight clusters, no edges between them
@@ -192,6 +196,12 @@ def test_chat_round_trip_and_branches(spark):
     assert len(best) == 1 and best[0]["formatted"] == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\ngood<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
     f, s = best[0]["formatted"], best[0]["loss_spans"]
     assert [f[x["start"] : x["start"] + x["length"]] for x in s] == ["good"]
+    # two and three messages in a circle, with a tail each; the id that once stood for none
+    ring = [(5, 1, 2, "user", "a", 0.0), (5, 2, 1, "user", "b", 0.0), (5, 3, 2, "user", "c", 0.0), (None, 1, 3, "user", "x", 0.0), (None, 2, 1, "user", "y", 0.0), (None, 3, 2, "user", "z", 0.0), (None, 4, 1, "user", "t", 0.0), (-(1 << 62), 1, None, "user", "alone", 0.0)]
+    got = chat.paths(spark.createDataFrame(ring, "conv_id long, node long, parent long, role string, text string, score double")).collect()
+    assert sorted((r["c"], r["leaf"], r["node"], r["height"]) for r in got) == sorted([("5", 3, 3, 0), ("5", 3, 2, 1), ("5", 3, 1, 2), ("none", 4, 4, 0), ("none", 4, 1, 1), ("none", 3, 3, 0), ("none", 3, 2, 1), ("none", 3, 1, 2), (str(-(1 << 62)), 1, 1, 0)])
+    long = spark.createDataFrame([(1, 1, None, "assistant", "é<|x\\" * 300_000, 0.0)], "conv_id long, node long, parent long, role string, text string, score double")
+    assert chat.read_back(chat.format_paths(long)).first()["loss_chars"] == 5 * 300_000
     assert [round(r["branch_score"], 1) for r in sorted(chat.format_paths(t, None).collect(), key=lambda r: r["branch"])] == [2.0, 0.5, -1.0]
 
 
@@ -317,7 +327,7 @@ def test_pipeline_against_its_parts(spark, tmp_path):
         if k == 0:
             assert ids == sorted(q)
         elif k == 1:
-            assert ids == sorted(r["doc_id"] for r in language.identify(before).where(f"lang_pred <> 'und' and score >= {language.MIN_SCORE}").collect())
+            assert ids == sorted(r["doc_id"] for r in language.keep(before).collect()) and set(ids) <= {r["doc_id"] for r in language.identify(before).where("lang_pred <> 'und'").collect()}
         elif k == 2:
             assert ids == sorted(r["doc_id"] for r in jaccard.join(before).where("kept").collect())
         elif k == 3:

@@ -58,7 +58,42 @@ def test_language_bundle_is_the_sum_of_bound_vectors():
     v = language.letter_vectors().astype(int)
     s = [0, 1, 2, 3, 0]  # " abc "
     want = sum(np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(s, s[1:], s[2:]))
-    assert (language.bundles(["abc"])[0] == want).all()
+    got, n = language.bundles(["abc"])
+    assert (got[0] == want).all() and n[0] == 3
+
+
+def test_language_of_each_text_by_definition(spark, corpus):
+    """Predictions against a second way: vectors bound and added one gram at a time."""
+    v = language.letter_vectors().astype(np.float64)
+    slot = toxicity.slots()
+
+    def bundle(text):
+        s = [int(slot[ord(c)]) for c in f" {text} "]
+        grams = [(a, b, c) for a, b, c in zip(s, s[1:], s[2:]) if a or b or c]
+        return sum((np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in grams), np.zeros(language.DIMS)), len(grams)
+
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in corpus.collect()]
+    protos = {}
+    for (i, text, lang), held in zip(rows, [r["held_out"] for r in language.identify(corpus).collect()], strict=True):
+        total, n = bundle(text or "")
+        if not held and lang and n:
+            protos[lang] = protos.get(lang, 0) + total / n
+    names = sorted(protos)
+    p = np.stack([protos[k] / np.linalg.norm(protos[k]) for k in names])
+    for r in language.identify(corpus).collect():
+        text = next(t for i, t, _ in rows if i == r["doc_id"])
+        total, n = bundle(text or "")
+        if n:
+            cos = p @ total / max(np.linalg.norm(total), 1e-30)
+            assert r["lang_pred"] == names[int(cos.argmax())] and r["score"] == pytest.approx(max(0.0, cos.max()), abs=1e-4)
+
+
+def test_language_stage_drops_what_is_in_no_learned_language(spark, corpus):
+    rng = random.Random(31)
+    strange = [(3000 + i, " ".join("".join(rng.choice("ąćęłńśźżqxvwyzkj") for _ in range(rng.randint(3, 9))) for _ in range(60)), None, "x") for i in range(20)]
+    both = corpus.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(strange, SCHEMA))
+    kept = {r["doc_id"] for r in language.keep(both).collect()}
+    assert not any(i in kept for i in range(3000, 3020)) and all(i in kept for i in range(120))
 
 
 def test_quality(spark, corpus):
@@ -89,6 +124,19 @@ def test_quality_cosines_are_exact():
     assert quality.votes([text], model)[0] == pytest.approx((w * model["labels"][top]).sum() / w.sum(), abs=1e-5)
 
 
+def test_quality_ties_go_to_the_smaller_doc_id():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        few = quality.unit(rng.standard_normal((6, 8))).astype(np.float32)
+        model = {"idf": np.ones(quality.TERMS, np.float32), "axes": rng.standard_normal((quality.TERMS, 8)).astype(np.float32), "vectors": few[rng.integers(0, 6, 90)], "labels": rng.integers(0, 2, 90).astype(float), "prior": 0.5}
+        z = quality.unit(quality.unit(np.log1p(quality.term_counts("one two, three THREE"))[None]) @ model["axes"])[0]
+        cos = np.round(model["vectors"].astype(float) @ z.astype(float), 9)
+        top = np.lexsort((np.arange(90), -cos))[: quality.NEIGHBOURS]
+        w = np.maximum(cos[top], 0)
+        want = (w * model["labels"][top]).sum() / w.sum() if w.sum() else 0.5
+        assert quality.votes(["one two, three THREE"], model)[0] == pytest.approx(want, abs=1e-9)
+
+
 def model_of(text):
     counts = np.bincount(toxicity.codes(text), minlength=toxicity.GRAMS).reshape(64, 64, 64) + 0.01
     return (-np.log(counts / counts.sum(axis=2, keepdims=True))).astype(np.float32)
