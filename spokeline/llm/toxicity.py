@@ -1,13 +1,15 @@
 """Operator 1: toxicity by noisy-channel deobfuscation and scoring of the restored text.
 
 A character model (three letters in a row, counted over all documents) is the source. The channel may write a letter
-as a look-alike sign, repeat it, or put separators between letters. Each span that looks obfuscated becomes a lattice of
-readings, and the Viterbi path of least cost is its restored form. The restored text is scored by terms (words and
+as a look-alike sign, repeat it, or put separators between letters. Each chunk that has a sign beside a letter, a letter written twice, or letters
+with separators between them becomes a lattice of readings, whole, however long; the Viterbi path of least cost is its restored form, unless
+it costs less that the chunk means what it says, as words and signs or as a code. The restored text is scored by terms (words and
 word beginnings) that labelled texts show to be toxic: the log odds are a fitted offset plus the terms' log likelihood ratios, where
-terms that clean texts have too count only beyond a density that is fitted on the sample.
+terms that clean texts have too count only beyond a density that is fitted on the sample. A term counts MOST_OF_A_WORD times in a text
+at most, as further repeats of one word are no further evidence.
 
 Defined results: null and empty texts have no terms and get the offset alone as their score; without toxic labels every score is near 0.
-A doc_id that labels give twice is toxic if either says so. Texts that repeat are learned once. Repeated rows are scored
+A doc_id that labels give twice is toxic if either says so. Readings of equal cost go to the one found first. Texts that repeat are learned once. Repeated rows are scored
 each; other columns are not read.
 """
 
@@ -33,31 +35,28 @@ LOOK_ALIKES = {
 SEPARATORS = " .-_*~'`^,/\\"
 #: Costs (negative log probabilities) of the channel.
 AS_IS, LOOKS_LIKE, REPEATED, DOUBLED, SEPARATED, DROPPED = 0.1, 1.0, 0.4, 6.0, 0.6, 9.0
-#: Cost of a sign that is meant as it is, where a chunk may also stay unchanged.
-PLAIN = 4.0
+#: Costs of what a chunk means if it stays unchanged: a sign among letters, a further one after it; a code, and each character of it.
+PLAIN, PLAIN_ON, CODE, CODE_SIGN = 4.0, 2.3, 4.0, 3.6
 
 _L = "[^\\W\\d_]"
 _SIGN = "[" + re.escape("".join(LOOK_ALIKES)) + "]"
 _ONE = "(?:[^\\W_]|" + _SIGN + ")"
 #: Letters and signs one by one with blanks between them, anywhere in a text, also in brackets or before punctuation.
 SPACED = re.compile(rf"""(?<![^\s("'\[{{<])(?:{_ONE} ){{3,}}(?:[^\W_]|[@$])(?=[.,;:!?"')\]}}>]*(?:\s|$))""")
-#: Chunks without white space that look obfuscated: signs within or before letters, a letter three times (twice in a
-#: word of letters alone), letters and signs one by one.
+#: Chunks without white space that may be obfuscated: signs beside letters, a letter three times (twice in a
+#: word of letters alone), letters and signs by ones and twos.
 SUSPICIOUS = re.compile(
-    rf"{_L}{_SIGN}+{_L}|^{_SIGN}{{1,2}}{_L}|({_L})\1\1|^(?={_L}*({_L})\2){_L}+$|^{_L}+[$@]{{1,2}}$"
-    rf"|(?<![^\W_]){_ONE}(?:[.\-_*~'`^,/\\]{_ONE}){{3,}}(?![^\W_])"
+    rf"{_L}{_SIGN}|{_SIGN}{_L}|({_L})\1\1|^(?={_L}*({_L})\2){_L}+$"
+    rf"|(?<![^\W_]){_ONE}{{1,2}}(?:[.\-_*~'`^,/\\]{_ONE}{{1,2}}){{2,}}(?![^\W_])"
 )
-#: Chunks that may end in look-alikes or in a plain number: the letter model chooses.
-ENDS_IN_SIGNS = re.compile(rf"{_L}{{2,}}[0-9@$]{{1,4}}")
+LETTER = re.compile(_L)
 TWO_LETTERS = re.compile(rf"{_L}.*{_L}", re.DOTALL)
 #: Punctuation around a chunk: brackets and marks, and runs of a sign at its end.
 EDGES = re.compile(r"""([("'\[{<]*)(.*?)((?:([^\w\s])\4{2,}|[.,;:!?"')\]}>])*)""", re.DOTALL)
-#: Spans longer than this are restored in pieces of this length.
-PIECE = 48
 #: Labelled rows that terms are learned from, at most: those with the smallest hashes of doc_id.
 MAX_LABELLED = 20_000
 #: A term counts when so many toxic texts (and this share of them) have it, and with so much weight, a log likelihood ratio.
-MIN_TOXIC, MIN_SHARE, MIN_WEIGHT, MAX_WEIGHT, MAX_TERMS = 6, 0.004, 2.5, 5.0, 20_000
+MIN_TOXIC, MIN_SHARE, MIN_WEIGHT, MAX_WEIGHT = 6, 0.004, 2.5, 5.0
 #: A term that no clean text has and so many toxic ones is evidence by itself, however long a text is.
 SURE_TOXIC = 30
 #: Occurrences of one word that count.
@@ -107,38 +106,45 @@ def viterbi(span: str, cost: np.ndarray) -> str:
 
 
 def unchanged(span: str, cost: np.ndarray) -> float:
-    """The cost of a span that means what it says: its letters as words, its signs as signs."""
-    total, a, b, slot = 0.0, 0, 0, slots()
-    for ch in span + " ":
+    """The cost of a span that means what it says: its letters as words and its signs as signs, or all of it as a code."""
+    total, a, b, slot, signs = 0.0, 0, 0, slots(), 0
+    for ch in span:
         c = int(slot[ord(ch)])
-        total += (float(cost[a, b, c]) if b or c else 0.0) + (AS_IS if c else PLAIN if ch != " " else 0.0)
-        a, b = (b, c) if c else (0, 0)
-    return total
+        total += float(cost[a, b, c]) if b or c else 0.0
+        total += AS_IS if c else PLAIN_ON if signs else PLAIN
+        a, b, signs = (b, c, 0) if c else (0, 0, signs + 1)
+    return min(total + (float(cost[a, b, 0]) if b else 0.0), CODE + CODE_SIGN * len(span))
 
 
 def best_reading(span: str, cost: np.ndarray) -> tuple[float, str]:
     """Cost and text of the reading of least cost: states are the last two letters, edges the channel's readings."""
     slot = slots()
-    states: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
+    # a state's text is a chain of letters, so that a step costs the same however long the span is
+    states: dict[tuple[str, str], tuple[float, tuple | None]] = {("", ""): (0.0, None)}
     letters = "".join(c for c in span if readings(c)[0][0])
     stretched = {m[1] for m in re.finditer(r"(.)\1\1", letters)}  # letters that are written three times in a row
     for ch in span:
-        new: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (so_far, text) in states.items():
+        new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+        for (a, b), (so_far, said) in states.items():
             for c, channel in readings(ch):
                 if c == "":
-                    options = [((a, b), so_far + channel, text)]
+                    options = [((a, b), so_far + channel, said)]
                 else:
                     sa, sb, sc = slot[ord(a)] if a else 0, slot[ord(b)] if b else 0, slot[ord(c)]
-                    options = [((b, c), so_far + channel + float(cost[sa, sb, sc]), text + c)]
+                    options = [((b, c), so_far + channel + float(cost[sa, sb, sc]), (said, c))]
                     if c == b:  # the same letter, written once more
-                        options.append(((a, b), so_far + channel + (REPEATED if ch in stretched else DOUBLED), text))
-                for state, total, said in options:
-                    if state not in new or (total, said) < new[state]:
-                        new[state] = (total, said)
+                        options.append(((a, b), so_far + channel + (REPEATED if ch in stretched else DOUBLED), said))
+                for state, total, text in options:
+                    if state not in new or total < new[state][0]:
+                        new[state] = (total, text)
         states = new
     slot_of = lambda x: slot[ord(x)] if x else 0
-    return min((total + float(cost[slot_of(a), slot_of(b), 0]), said) for (a, b), (total, said) in states.items())
+    total, said = min(((total + float(cost[slot_of(a), slot_of(b), 0]), said) for (a, b), (total, said) in states.items()), key=lambda x: x[0])
+    out = []
+    while said:
+        said, c = said
+        out.append(c)
+    return total, "".join(reversed(out))
 
 
 class Restorer:
@@ -148,7 +154,7 @@ class Restorer:
         self.cost, self.known = cost, {}
 
     def span(self, span: str) -> str:
-        return "".join(viterbi(span[i : i + PIECE], self.cost) for i in range(0, len(span), PIECE))
+        return viterbi(span, self.cost)
 
     def chunk(self, chunk: str) -> str:
         """A chunk without white space; signs around it that are mere punctuation stay."""
@@ -156,11 +162,10 @@ class Restorer:
         if out is None:
             head, core, tail = EDGES.fullmatch(chunk).group(1, 2, 3)
             out = chunk
-            if SUSPICIOUS.search(core) and TWO_LETTERS.search(core):
-                out = head + self.span(core) + tail
-            elif len(core) <= PIECE and ENDS_IN_SIGNS.fullmatch(core):
+            if len(core) > 2 and LETTER.search(core) and SUSPICIOUS.search(core):
                 total, said = best_reading(core, self.cost)
-                out = head + said + tail if total < unchanged(core, self.cost) else chunk
+                if total < unchanged(core, self.cost):
+                    out = head + said + tail
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[chunk] = out
@@ -222,7 +227,7 @@ def learn_terms(sample: DataFrame, cost) -> tuple[dict[str, tuple[float, bool]],
     toxic, clean = whole["toxic"], max(1, whole["clean"])
     weight = F.least(F.lit(MAX_WEIGHT), F.log((F.col("toxic") + 0.5) / toxic) - F.log((F.col("clean") + 0.5) / clean))
     best = got.where((F.col("term") != "") & (F.col("toxic") >= MIN_SHARE * toxic) & (weight >= MIN_WEIGHT)).select("term", weight.alias("w"), "toxic", "clean")
-    best = best.orderBy(F.desc("toxic"), F.desc("w"), "term").limit(MAX_TERMS).collect()
+    best = best.collect()  # each is in MIN_SHARE of the toxic texts of a sample of MAX_LABELLED rows: a bounded number
     return {r["term"]: (r["w"], r["clean"] == 0 and r["toxic"] >= SURE_TOXIC) for r in best}, float(np.log(toxic / clean))
 
 
@@ -276,7 +281,7 @@ def fit_density(sample: DataFrame, cost, terms, prior: float) -> tuple[float, fl
 
 
 def predict(rows: DataFrame, cost, terms: dict[str, tuple[float, bool]], prior: float, density: float) -> DataFrame:
-    known = rows.sparkSession.sparkContext.broadcast(terms)  # MAX_TERMS terms at most
+    known = rows.sparkSession.sparkContext.broadcast(terms)  # bounded by the sample, see learn_terms
 
     def scored(batches):
         w = Weights(known.value, Restorer(cost.value))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from array import array
 from collections import defaultdict
 
@@ -182,6 +183,20 @@ def test_obfuscations_next_to_punctuation_and_of_mixed_signs():
     assert {k: r.restore(k) for k in want} == want
 
 
+def test_the_lattice_decides_and_decodes_whole_spans():
+    r = toxicity.Restorer(model_of("idiot moron trash scum ass boo loser the water house you number " * 50))
+    for said, want in {"a55": "ass", "b00": "boo", "idi0t": "idiot", "idioot": "idiot", "id-i-ot": "idiot"}.items():
+        assert r.restore(said) == want
+    for same in ("9233a8ec41f07b6d2c55e019", "x4", "12-30-45", "well-known", "http"):
+        assert r.restore(same) == same
+    words = ["idiot", "moron", "trash", "scum", "loser"] * 30
+    leet = str.maketrans("aeiost", "431057")
+    long = ".".join(".".join(w.translate(leet)) for w in words)
+    assert len(long) > 1000 and r.restore(long) == "".join(words)  # no place is read without what stands before it
+    began = time.process_time()
+    assert len(r.restore("4b" * 20_000)) >= 20_000 and time.process_time() - began < 60
+
+
 def test_toxicity(spark, corpus):
     rng = random.Random(6)
     bad = ["idiot", "moron", "1d10t", "m0r0n", "i d i o t"]
