@@ -1,10 +1,12 @@
 """A corpus pipeline over the table `documents`: quality, language, near duplicates, mixing, token ids.
 
 Each stage works on all rows that the stage before it kept; all but the last return the columns of documents. Stages
-write nothing themselves but intermediates: run() writes each result as Parquet to the shared folder and reads it again.
+write nothing themselves but intermediates: run() writes each result as Parquet to the shared folder, reads it again, and removes what
+the stage wrote on its way.
 
-Defined results: a null or empty text has no letter and goes at the language stage; a row without doc_id goes at the near-duplicate
-stage, as does all but one row of an id; an empty table stays empty; extra columns are carried to the last stage.
+Defined results: a null text, or one without a letter, goes at the language stage, as does a text in no learned language; of each class of near
+duplicates the row of the smallest doc_id stays, rows without one last, and rows that agree in id and text are one; an empty
+table stays empty; extra columns are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spokeline.llm import bpe, jaccard, language, mixing, quality
-from spokeline.llm.common import written
+from spokeline.llm.common import remove_written, written, written_since
 from spokeline.llm.queries import table, vocabulary_path
 
 
@@ -55,6 +57,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for _, stage in STAGES[:-1]:
+        mark = len(written_since())
         docs = written(stage(spark, docs, sf_dir))
+        made = written_since(mark)
+        remove_written(spark, before + made[:-1])
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
