@@ -30,16 +30,16 @@ def routes_of(vertices: DataFrame) -> DataFrame:
 def matched(fixes: DataFrame, routes: DataFrame) -> DataFrame:
     """Fixes with off_m, along_m and the matched point: the first of the nearest segments of the fix's route.
 
-    Segments come as one array for each route, so a fix stays one row: no explosion and no second shuffle.
+    A fix goes to its route's segments within one task, in generated code, and its nearest one is an ordered minimum that is
+    combined there, so one row of each fix is shuffled.
     """
-    each = F.transform(
-        "segments",
-        lambda s: F.struct(
-            geo.project(F.col("lat"), F.col("lng"), s["lat1"], s["lng1"], s["lat2"], s["lng2"]).alias("p"), s["seg"].alias("seg"), s["before"].alias("before"), s["length"].alias("length")
-        ),
-    )
-    best = F.array_min(F.transform(each, lambda e: F.struct(e["p"]["distance"].alias("d"), e["seg"].alias("seg"), (e["before"] + e["p"]["t"] * e["length"]).alias("along"), e["p"]["lat"].alias("lat"), e["p"]["lng"].alias("lng"))))
-    return fixes.join(routes, "route_id").withColumn("m", best).drop("segments").withColumns({"off_m": F.col("m.d"), "along_m": F.col("m.along"), "seg": F.col("m.seg"), "matched_lat": F.col("m.lat"), "matched_lng": F.col("m.lng")}).drop("m")
+    rows = fixes.withColumn("__fix", F.monotonically_increasing_id()).join(routes, "route_id").select(*fixes.columns, "__fix", "total", F.explode("segments").alias("s"))
+    c = F.col
+    rows = rows.withColumn("__t", geo.project_t(c("lat"), c("lng"), c("s.lat1"), c("s.lng1"), c("s.lat2"), c("s.lng2")))
+    rows = rows.withColumns({"__lat": c("s.lat1") + c("__t") * (c("s.lat2") - c("s.lat1")), "__lng": c("s.lng1") + c("__t") * (c("s.lng2") - c("s.lng1"))})
+    near = F.struct(geo.haversine(c("lat"), c("lng"), c("__lat"), c("__lng")).alias("d"), c("s.seg").alias("seg"), (c("s.before") + c("__t") * c("s.length")).alias("along"), c("__lat").alias("lat"), c("__lng").alias("lng"))
+    best = rows.groupBy(*fixes.columns, "__fix", "total").agg(F.min(near).alias("m"))
+    return best.withColumns({"off_m": c("m.d"), "along_m": c("m.along"), "seg": c("m.seg"), "matched_lat": c("m.lat"), "matched_lng": c("m.lng")}).drop("m", "__fix")
 
 
 def current_instruction(along: Column, instructions: Column) -> Column:

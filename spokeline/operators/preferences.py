@@ -64,5 +64,5 @@ def pieces(lines: DataFrame, key: str = "line_id", most: float = MAX_PIECE_M) ->
 def injected(cut: DataFrame, connected: DataFrame) -> DataFrame:
     """Pieces as preference edges, where no edge connects their nodes yet; the first of several wins."""
     fresh = cut.join(connected.select("key").distinct(), "key", "left_anti")
-    first = F.row_number().over(Window.partitionBy("key").orderBy("from_idx", "to_idx"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy("from_idx", "to_idx", "metres"))
     return fresh.withColumn("n", first).where("n = 1").drop("n").withColumn("ct", F.lit("_PREF"))

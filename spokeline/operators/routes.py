@@ -41,7 +41,7 @@ def from_edges(steps: DataFrame) -> DataFrame:
     before_last = F.when(F.size(c) >= 2, F.element_at(c, F.lit(-2))).otherwise(F.element_at(c, 1))
     s = steps.select("route_id", "pos", F.coalesce("name", F.lit("")).alias("name"), "distance", last.alias("b"), second.alias("c"), before_last.alias("a"))
     s = s.withColumns({
-        "n": F.row_number().over(w), "many": F.count("*").over(Window.partitionBy("route_id")),
+        "n": F.row_number().over(w), "is_last": F.lead("pos").over(w).isNull(),
         "before": F.coalesce(F.sum("distance").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
         "was": F.lag(F.struct("name", "distance", "a", "b")).over(w),
     })
@@ -54,10 +54,12 @@ def from_edges(steps: DataFrame) -> DataFrame:
         (F.col("name") == "") | (F.col("name") != F.col("was.name")),
         F.struct(F.when(F.col("name") != "", F.concat(said, F.lit(" onto "), "name")).otherwise(said).alias("text"), F.col("before").alias("distance"), F.col("was.distance").alias("step_distance"), turn_icon(said).alias("icon")),
     )
-    end = F.when(F.col("n") == F.col("many"), F.struct(F.lit("Arrive at destination").alias("text"), (F.col("before") + F.col("distance")).alias("distance"), F.lit(0.0).alias("step_distance"), F.lit("arrive").alias("icon")))
-    out = s.select("route_id", "n", F.posexplode(F.array(here, end)).alias("k", "i")).where("i is not null")
-    idx = F.row_number().over(Window.partitionBy("route_id").orderBy("n", "k")) - 1
-    return out.select("route_id", idx.alias("idx"), "i.*")
+    end = F.when(F.col("is_last"), F.struct(F.lit("Arrive at destination").alias("text"), (F.col("before") + F.col("distance")).alias("distance"), F.lit(0.0).alias("step_distance"), F.lit("arrive").alias("icon")))
+    # what is said up to an edge, in the same order; the arrival comes after it
+    speaks = (F.col("n") == 1) | (F.col("name") == "") | (F.col("name") != F.col("was.name"))
+    s = s.withColumn("said_so_far", F.count_if(speaks).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    out = s.select("route_id", "said_so_far", F.posexplode(F.array(here, end)).alias("k", "i")).where("i is not null")
+    return out.select("route_id", (F.col("said_so_far") - 1 + F.col("k")).alias("idx"), "i.*")
 
 
 def from_messages(rows: DataFrame) -> DataFrame:

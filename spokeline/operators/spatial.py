@@ -64,9 +64,13 @@ def gap_pairs(nodes: DataFrame, connected: DataFrame) -> DataFrame:
 
 
 def relinked(ends: DataFrame, nodes: DataFrame, connected: DataFrame) -> DataFrame:
-    """Plain gaps from the ends of a drawn line to all nodes within reach that they have no edge to; roads between do not matter."""
-    every = nodes.select("node_key", "lat", "lng", "cell_lat", "cell_lng").unionByName(ends.select("node_key", "lat", "lng", "cell_lat", "cell_lng")).dropDuplicates(["node_key"])
-    found = near_pairs(ends, every).join(connected.select("key").distinct(), "key", "left_anti")
+    """Plain gaps from the ends of drawn lines to all nodes within reach that they have no edge to; roads between do not matter.
+
+    ends: node_key, lat, lng, cells, one row for each key. A node that is there keeps its coordinates.
+    """
+    cols = ("node_key", "lat", "lng", "cell_lat", "cell_lng")
+    every = nodes.select(*cols).unionByName(ends.select(*cols).join(nodes.select("node_key"), "node_key", "left_anti"))
+    found = near_pairs(every.join(ends.select("node_key"), "node_key", "left_semi"), every).join(connected.select("key").distinct(), "key", "left_anti")
     return found.dropDuplicates(["key"]).withColumn("ct", F.lit("_GAP"))
 
 

@@ -2,25 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, navigation, routes, spatial
+from ..storage import written
 from .fixtures import fixture
 
+_built: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A table that many queries read, written when a session first asks for it."""
+
+    @wraps(f)
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, f.__name__, d)
+        if key not in _built:
+            _built[key] = written(f(spark, d))
+        return _built[key]
+
+    return build
+
 
+@once
 def net(spark: SparkSession, d: str) -> DataFrame:
     return graph.lines(fixture(spark, d, "fx_vertices"), fixture(spark, d, "fx_lines"))
 
 
+@once
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.nodes(net(spark, d))
 
 
+@once
 def roads(spark: SparkSession, d: str) -> DataFrame:
     return spatial.road_segments(fixture(spark, d, "fx_road_vertices"))
 
 
+@once
 def gaps(spark: SparkSession, d: str) -> DataFrame:
     return spatial.gap_pairs(nodes(spark, d), net(spark, d).where("a_key <> b_key"))
 

@@ -195,6 +195,25 @@ ADDRESS = "CASE WHEN nullif(housenumber, '') IS NOT NULL AND nullif(street, '')
 NAMED = "(nullif(name, '') IS NOT NULL AND name IS DISTINCT FROM street AND name IS DISTINCT FROM housenumber)"
 
 
+VOICE = f"CASE WHEN to_turn < 30 THEN 'a few yards' WHEN {half_up('to_turn * 3.281')} <= 200 THEN CAST({half_up(half_up('to_turn * 3.281') + ' / 10.0')} * 10 AS VARCHAR) || ' feet' WHEN {half_up('to_turn / 160.934')} <= 1 THEN 'a tenth of a mile' ELSE CAST({half_up('to_turn / 160.934')} AS VARCHAR) || ' tenths of a mile' END"
+
+
+def fold_along(name: str, metres: int) -> str:
+    """Vertices in order with the length since the last one taken: taken where it reaches so many metres, and at the end."""
+    full = f"f.run + m.length >= {metres} OR f.idx = 22"
+    return f"""{name}(route_id, idx, since, run, taken, was, metres) AS (
+      SELECT route_id, CAST(0 AS INTEGER), CAST(0 AS INTEGER), CAST(0 AS DOUBLE), true, CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE) FROM fx_route_vertices WHERE idx = 0
+      UNION ALL SELECT f.route_id, f.idx + 1, CASE WHEN {full} THEN f.idx + 1 ELSE f.since END, CASE WHEN {full} THEN 0.0 ELSE f.run + m.length END, {full}, f.since, f.run + m.length
+      FROM {name} f JOIN o_measured m ON m.route_id = f.route_id AND m.seg = f.idx)"""
+
+
+#: Pieces between the vertices taken, those between two nodes.
+PIECES = f""",
+            o_piece AS (SELECT route_id, since, idx, metres, least(a, b) || '|' || greatest(a, b) AS key FROM (
+              SELECT c.route_id, c.was AS since, c.idx, c.metres, {key('v.lat', 'v.lng')} AS a, {key('w.lat', 'w.lng')} AS b FROM o_cut c
+              JOIN fx_route_vertices v ON v.route_id = c.route_id AND v.idx = c.was JOIN fx_route_vertices w ON w.route_id = c.route_id AND w.idx = c.idx WHERE c.taken AND c.idx > 0) WHERE a <> b)"""
+
+
 def oracle_sql() -> dict[str, str]:
     d_raw = bear("was[1]", "was[2]", "c1", "c2") + " - " + bear("a1", "a2", "was[1]", "was[2]")
     out = {
@@ -297,6 +316,41 @@ def oracle_sql() -> dict[str, str]:
         "edge_cell_index": sql(
             "SELECT sid, part, count(*) AS cells FROM (SELECT DISTINCT sid, part, cell_lat, cell_lng FROM (SELECT s.sid, s.part, unnest(generate_series(CAST(floor(least(lat1, lat2) * 1000) AS BIGINT), CAST(floor(greatest(lat1, lat2) * 1000) AS BIGINT))) AS cell_lat, lng1, lng2 FROM o_seg s JOIN o_net n ON n.sid = s.sid AND n.part = s.part WHERE a_key <> b_key) x, "
             "LATERAL (SELECT unnest(generate_series(CAST(floor(least(lng1, lng2) * 1000) AS BIGINT), CAST(floor(greatest(lng1, lng2) * 1000) AS BIGINT))) AS cell_lng) y) GROUP BY sid, part", "o_seg", "o_net"),
+        "reversals": sql(
+            f"""SELECT route_id, idx, round(CASE WHEN d > 180 THEN 360 - d ELSE d END, 6) AS turn FROM (SELECT route_id, idx, abs(next_b - b) AS d FROM (SELECT *, lead(b) OVER (PARTITION BY route_id ORDER BY idx) AS next_b FROM (
+              SELECT route_id, idx, {bear('lat0', 'lng0', 'lat', 'lng')} AS b FROM (SELECT v.route_id, v.idx, v.lat, v.lng, lag(v.lat) OVER w AS lat0, lag(v.lng) OVER w AS lng0
+                FROM o_sample s JOIN fx_route_vertices v ON v.route_id = s.route_id AND v.idx = s.idx WHERE s.taken WINDOW w AS (PARTITION BY v.route_id ORDER BY v.idx)))))
+            WHERE CASE WHEN d > 180 THEN 360 - d ELSE d END > 120""",
+            "fx_route_vertices", "o_measured", recursive=fold_along("o_sample", 100)),
+        "polyline_pieces": sql(
+            f"SELECT route_id AS line_id, since AS from_idx, idx AS to_idx, round(metres, 3) AS metres, key FROM o_piece", "fx_route_vertices", "o_measured", recursive=fold_along("o_cut", 200) + PIECES),
+        "preference_injection": sql(
+            f"""SELECT key, '_PREF' AS ct, round(metres, 3) AS metres FROM o_new
+            UNION ALL SELECT key, '_GAP', round(max(distance), 3) FROM (SELECT least(a.node_key, b.node_key) || '|' || greatest(a.node_key, b.node_key) AS key, {hav('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS distance
+              FROM o_every a JOIN o_every b ON a.drawn AND a.node_key <> b.node_key AND b.cy BETWEEN a.cy - 3 AND a.cy + 3 AND b.cx BETWEEN a.cx - 3 AND a.cx + 3)
+            WHERE distance <= 250 AND key NOT IN (SELECT key FROM o_net WHERE a_key <> b_key UNION ALL SELECT key FROM o_new) GROUP BY key""",
+            "fx_route_vertices", "o_measured", "o_net", "o_node", recursive=fold_along("o_cut", 200) + PIECES + f""",
+            o_new AS (SELECT key, metres FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY since, idx, metres) AS n FROM o_piece WHERE key NOT IN (SELECT key FROM o_net WHERE a_key <> b_key)) WHERE n = 1),
+            o_ends AS (SELECT node_key, arg_min(lat, ord) AS lat, arg_min(lng, ord) AS lng FROM (SELECT {key('lat', 'lng')} AS node_key, lat, lng, route_id * 2 + CASE WHEN idx = 0 THEN 0 ELSE 1 END AS ord FROM fx_route_vertices WHERE idx IN (0, 23)) GROUP BY node_key),
+            o_every AS (SELECT node_key, lat, lng, cy, cx, node_key IN (SELECT node_key FROM o_ends) AS drawn FROM o_node
+              UNION ALL SELECT node_key, lat, lng, CAST(floor(lat * 1000) AS BIGINT), CAST(floor(lng * 1000) AS BIGINT), true FROM o_ends WHERE node_key NOT IN (SELECT node_key FROM o_node))"""),
+        "waypoint_fold": sql(
+            "SELECT session, n, round(coalesce(list_sum(s), 0.0), 6) AS lat_sum FROM (SELECT session, CAST(len(s) AS INTEGER) AS n, s, row_number() OVER (PARTITION BY session ORDER BY i DESC) AS last FROM o_fold) WHERE last = 1",
+            recursive="""o_op AS (SELECT user_id % 50 AS session, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS i, ['add', 'add', 'add', 'move', 'undo', 'clear'][CAST(1 + event_id % 17 % 6 AS INTEGER)] AS op, event_id % 3 AS idx, event_id / 1000.0 AS lat FROM events),
+            o_fold(session, i, s) AS (SELECT DISTINCT session, CAST(0 AS BIGINT), CAST([] AS DOUBLE[]) FROM o_op
+              UNION ALL SELECT f.session, o.i, CASE o.op WHEN 'add' THEN list_append(f.s, o.lat) WHEN 'move' THEN list_transform(f.s, lambda x, j: CASE WHEN j = o.idx + 1 THEN o.lat ELSE x END) WHEN 'undo' THEN list_slice(f.s, 1, len(f.s) - 1) WHEN 'clear' THEN [] ELSE f.s END
+              FROM o_fold f JOIN o_op o ON o.session = f.session AND o.i = f.i + 1)"""),
+        "nav_announcements": sql(
+            "SELECT rider_id, event_id, idx, arrived, off_route, said FROM o_live WHERE i > 0", "o_match", "o_asof", "o_inst", "o_measured",
+            recursive=f"""o_fix AS (SELECT m.rider_id, m.event_id, CAST(a.idx AS INTEGER) AS idx, off_m > 50 AS off_route, greatest(0.0, t.total - along_m) AS remaining, coalesce(greatest(0.0, x.distance - along_m), 0.0) AS to_turn, x.text AS next_text, epoch_us(m.ts) // 1000 AS ms,
+                row_number() OVER (PARTITION BY m.rider_id ORDER BY m.ts, m.event_id) AS i
+              FROM o_match m JOIN o_asof a ON a.event_id = m.event_id LEFT JOIN o_inst x ON x.route_id = m.route_id AND x.i = a.idx + 1 JOIN (SELECT route_id, sum(length) AS total FROM o_measured GROUP BY route_id) t ON t.route_id = m.route_id),
+            o_live(rider_id, i, event_id, idx, arrived, off_route, said, last_idx, last_ms) AS (
+              SELECT DISTINCT rider_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS INTEGER), false, false, CAST(NULL AS VARCHAR), CAST(-1 AS INTEGER), CAST(0 AS BIGINT) FROM o_fix
+              UNION ALL SELECT rider_id, i, event_id, idx, was OR comes, off_route, CASE WHEN comes THEN 'You have arrived at your destination.' WHEN speaks THEN 'In ' || {VOICE} || ', ' || next_text WHEN reminds THEN next_text END,
+                CASE WHEN speaks THEN idx ELSE last_idx END, CASE WHEN speaks OR reminds THEN ms ELSE last_ms END
+              FROM (SELECT *, open AND idx <> last_idx AND to_turn <= 80 AS speaks, open AND idx = last_idx AND to_turn <= 20 AND ms - last_ms > 8000 AS reminds FROM (
+                SELECT f.*, l.last_idx, l.last_ms, l.arrived AS was, NOT l.arrived AND f.remaining < 30 AS comes, NOT l.arrived AND f.remaining >= 30 AND f.next_text IS NOT NULL AS open FROM o_live l JOIN o_fix f ON f.rider_id = l.rider_id AND f.i = l.i + 1)))"""),
         "shortest_path_cost": sql(
             "SELECT od_id, round(cost, 3) AS cost FROM d JOIN o_goal g ON g.od_id = d.src AND g.z = d.node", "o_edge", "o_gap_ct", "o_snap", "fx_od",
             recursive=f"""o_all AS (SELECT src, dst, min({COST}) AS c FROM (SELECT src, dst, ct, distance FROM o_edge UNION ALL SELECT a_key, b_key, ct, distance FROM o_gap_ct UNION ALL SELECT b_key, a_key, ct, distance FROM o_gap_ct) GROUP BY src, dst),

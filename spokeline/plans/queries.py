@@ -295,7 +295,7 @@ def nav_updates_batch(s, d):
 
 @query
 def nav_announcements(s, d):
-    return live.replay(net.updates(s, d))
+    return live.replay(net.updates(s, d)).drop("ts")
 
 
 @query
@@ -364,7 +364,8 @@ def preference_injection(s, d):
     edges = net.net(s, d).where("a_key <> b_key").select("key")
     new = preferences.injected(preferences.pieces(drawn), edges)
     at = lambda i: F.element_at("coords", i)
-    ends = drawn.select(F.explode(F.array(at(1), at(-1))).alias("p")).select(graph.node_key(c("p.lat"), c("p.lng")).alias("node_key"), "p.lat", "p.lng").dropDuplicates(["node_key"])
+    ends = drawn.select("line_id", F.posexplode(F.array(at(1), at(-1))).alias("end", "p"))
+    ends = ends.groupBy(graph.node_key(c("p.lat"), c("p.lng")).alias("node_key")).agg(F.min(F.struct("line_id", "end", "p")).alias("first")).select("node_key", "first.p.*")
     ends = ends.withColumns({"cell_lat": geo.cell(c("lat")), "cell_lng": geo.cell(c("lng"))})
     links = spatial.relinked(ends, net.nodes(s, d), edges.union(new.select("key")))
     return new.select("key", "ct", m(c("metres")).alias("metres")).unionByName(links.select("key", "ct", m(c("distance")).alias("metres")))
