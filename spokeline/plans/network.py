@@ -99,11 +99,67 @@ def updates(spark: SparkSession, d: str) -> DataFrame:
     return navigation.updates(matches(spark, d), nav_instructions(spark, d), nav_facts(spark, d))
 
 
+@once
 def weighted_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Directed edges of lines and gaps with cost and a number: no overrides."""
-    from ..operators import paths
+    """Directed edges of lines and gaps with cost, geometry and a number: of parallel ones the cheapest; drawn preferences override."""
+    from ..operators import paths, preferences
 
     n, r = net(spark, d), roads(spark, d)
-    both = graph.costs(paths.network_edges(graph.edges(n), spatial.gap_edges(gaps(spark, d), r)))
-    cheapest = both.groupBy("src", "dst").agg(F.min(F.struct("cost", "key", "ct", "distance")).alias("e"))
-    return cheapest.select("src", "dst", "e.*").withColumn("edge_id", F.xxhash64("src", "dst"))
+    bridges = spatial.gap_edges(gaps(spark, d), r)
+    both = paths.network_edges(graph.edges(n), bridges)
+    cheapest = lambda costs: costs.groupBy("src", "dst").agg(F.min(F.struct("cost", "key", "ct", "distance", "name")).alias("e")).select("src", "dst", "e.*")
+    plain = cheapest(graph.costs(both)).withColumn("overridden", F.lit(False))
+    drawn = cheapest(graph.costs(both, preferences.overrides(prefs(spark, d)))).withColumn("overridden", F.lit(True))
+    return plain.unionByName(drawn).withColumn("edge_id", F.xxhash64("src", "dst"))
+
+
+def edges_of(spark: SparkSession, d: str, overridden: bool = False) -> DataFrame:
+    e = weighted_edges(spark, d)
+    return e.where(F.col("overridden") == overridden).drop("overridden")
+
+
+def geometry(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
+    """edges with coords in their direction: of the first line of that key, class and length, else straight between the nodes."""
+    line = graph.edges(net(spark, d))
+    line = line.groupBy("src", "dst", "ct", "name", "distance").agg(F.min(F.struct("sid", "part", "coords")).alias("g")).select("src", "dst", "ct", "name", "distance", F.col("g.coords").alias("line"))
+    at = nodes(spark, d).select("node_key", F.struct("lat", "lng").alias("at"))
+    out = edges.join(line, ["src", "dst", "ct", "name", "distance"], "left").join(at.select(F.col("node_key").alias("src"), F.col("at").alias("a")), "src").join(at.select(F.col("node_key").alias("dst"), F.col("at").alias("z")), "dst")
+    return out.withColumn("coords", F.coalesce("line", F.array("a", "z"))).drop("line", "a", "z")
+
+
+def replies(spark: SparkSession, d: str, pairs: DataFrame, steps: DataFrame) -> DataFrame:
+    """Recorded replies by rule: each leads over a point beside the middle. Gaps across roads have one; so have some legs, and all pairs."""
+    from ..operators import guided
+
+    c = F.col
+    asked = [
+        pairs.where("od_id % 3 <> 0").select(F.lit(guided.ROUTER_PROFILE).alias("profile"), *(c(x) for x in ("start_lat", "start_lng", "start_node_lat", "start_node_lng"))),
+        pairs.where("od_id % 2 = 1").select(F.lit(guided.ROUTER_PROFILE), *(c(x) for x in ("end_node_lat", "end_node_lng", "end_lat", "end_lng"))),
+        fixture(spark, d, "fx_od").select(F.lit(guided.ROUTER_PROFILE), "start_lat", "start_lng", "end_lat", "end_lng"),
+        steps.where("ct in ('_GAP_BUSY', '_GAP_MAJOR')").select(F.lit(guided.ROAD_PROFILE), *(F.element_at("coords", i)[x] for i in (1, -1) for x in ("lat", "lng"))),
+    ]
+    rows = asked[0]
+    for x in asked[1:]:
+        rows = rows.union(x)
+    rows = rows.toDF("profile", "a_lat", "a_lng", "z_lat", "z_lng").distinct()
+    point = lambda lat, lng: F.struct(lat.alias("lat"), lng.alias("lng"))
+    middle = point((c("a_lat") + c("z_lat")) / 2 + 0.0001, (c("a_lng") + c("z_lng")) / 2)
+    return rows.select(
+        "profile", guided.lonlats(c("a_lat"), c("a_lng"), c("z_lat"), c("z_lng")).alias("lonlats"), F.array(point(c("a_lat"), c("a_lng")), middle, point(c("z_lat"), c("z_lng"))).alias("coords"),
+        F.array(F.lit(10.0), F.lit(22.5), F.lit(19.5)).alias("ele"), F.lit("0").alias("length_text"), F.lit(None).cast("string").alias("time_text"), F.lit("12.5").alias("ascend_text"), F.lit("3 m").alias("descend_text"),
+    )
+
+
+def guided_routes(spark: SparkSession, d: str, overridden: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Routes and instructions of all pairs, end to end."""
+    from ..operators import guided, paths
+
+    n, edges = nodes(spark, d), edges_of(spark, d, overridden)
+    od = fixture(spark, d, "fx_od")
+    found = written(paths.endpoints(od, n, roads(spark, d)))
+    steps = paths.guided(found, edges, n).drop("cost").join(edges, "edge_id")
+    steps = written(geometry(spark, d, steps).select("od_id", "pos", "ct", "name", "distance", "coords"))
+    for end in ("start", "end"):
+        found = found.join(n.select(F.col("node_key").alias(f"{end}_key"), F.col("lat").alias(f"{end}_node_lat"), F.col("lng").alias(f"{end}_node_lng")), f"{end}_key")
+    pairs = found.join(od.drop("profile"), "od_id")
+    return guided.guided(od, pairs, steps, replies(spark, d, pairs, steps))

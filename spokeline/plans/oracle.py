@@ -58,6 +58,7 @@ def case(x: str, values: dict, other: str) -> str:
     return f"(CASE {x} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in values.items()) + f" ELSE {other} END)"
 
 
+OD = ("start_lat", "start_lng", "end_lat", "end_lng")
 TIER = case("ct", {ct: t for t, cts in dims.TIERS.items() for ct in cts}, "NULL")
 COST = f"greatest(distance * {case('ct', dims.WEIGHTS, '3.0')}, {case('ct', dims.MIN_COSTS, '0.0')})"
 MAJOR = in_list(dims.MAJOR_ROADS)
@@ -185,7 +186,6 @@ def r3(x: str, name: str, digits: int = 3) -> str:
     return f"round({x}, {digits}) AS {name}"
 
 
-OD = ("start_lat", "start_lng", "end_lat", "end_lng")
 LABEL = case("ct_raw", dims.LABELS, "coalesce(nullif(ct_raw, ''), 'Unknown')")
 OVER = case("upper(ct_raw)", {ct: t for t, cts in dims.OVERLAY_TIERS.items() for ct in cts}, "'caution'")
 ICON = "CASE WHEN upper(direction) LIKE '%LEFT%' OR upper(direction) = 'TL' THEN 'turn-left' WHEN upper(direction) LIKE '%RIGHT%' OR upper(direction) = 'TR' THEN 'turn-right' WHEN upper(direction) LIKE '%STRAIGHT%' OR upper(direction) = 'C' THEN 'straight' WHEN upper(direction) LIKE '%U-TURN%' OR upper(direction) = 'TU' THEN 'u-turn' ELSE 'continue' END"
@@ -214,6 +214,58 @@ PIECES = f""",
               JOIN fx_route_vertices v ON v.route_id = c.route_id AND v.idx = c.was JOIN fx_route_vertices w ON w.route_id = c.route_id AND w.idx = c.idx WHERE c.taken AND c.idx > 0) WHERE a <> b)"""
 
 
+#: Directed edges with cost, and of parallel ones the cheapest.
+BEST = f"""o_edge_cost AS (SELECT *, {COST} AS cost FROM (
+              SELECT src, dst, key, ct, name, distance, sid, part, dir FROM o_edge
+              UNION ALL SELECT a_key, b_key, key, ct, '', distance, NULL, NULL, 0 FROM o_gap_ct UNION ALL SELECT b_key, a_key, key, ct, '', distance, NULL, NULL, 1 FROM o_gap_ct)),
+            o_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY cost, key, ct, distance, name, sid, part) AS best FROM {{table}}) WHERE best = 1)"""
+
+#: Least costs from each start to all nodes.
+SEARCH = f""",
+            o_goal AS (SELECT od_id, a.node_key AS a, z.node_key AS z, a.distance AS a_m, z.distance AS z_m FROM fx_od JOIN o_snap a ON a.pid = -1 - od_id * 2 JOIN o_snap z ON z.pid = -2 - od_id * 2 WHERE {hav(*OD)} <= 20000 AND a.node_key <> z.node_key),
+            d(src, node, cost) USING KEY (src, node) AS (
+              SELECT od_id, a, CAST(0 AS DOUBLE) FROM o_goal
+              UNION SELECT d.src, e.dst, min(d.cost + e.cost) FROM d JOIN o_best e ON e.src = d.node LEFT JOIN recurring.d r ON r.src = d.src AND r.node = e.dst GROUP BY 1, 2 HAVING min(d.cost + e.cost) < coalesce(min(r.cost), 1e308))"""
+
+#: Paths walked back from their ends, their vertices with roads in place of gaps, totals, and what is said.
+GUIDED_PARTS = f""",
+            o_back(od, src, dst, hop) AS (
+              SELECT g.od_id, CAST(NULL AS VARCHAR), g.z, CAST(0 AS BIGINT) FROM o_goal g JOIN d ON d.src = g.od_id AND d.node = g.z
+              UNION ALL SELECT b.od, e.src, e.dst, b.hop + 1 FROM (SELECT od, coalesce(src, dst) AS node, hop FROM o_back) b JOIN o_best e ON e.dst = b.node
+                JOIN d p ON p.src = b.od AND p.node = e.src JOIN d q ON q.src = b.od AND q.node = e.dst WHERE p.cost + e.cost = q.cost),
+            o_way AS (SELECT b.od, row_number() OVER (PARTITION BY b.od ORDER BY hop DESC) AS pos, e.* FROM o_back b JOIN o_best e ON e.src = b.src AND e.dst = b.dst),
+            o_pt AS (
+              SELECT od, pos, CASE WHEN w.dir = 0 THEN v.seq ELSE -v.seq END AS k, v.lat, v.lng FROM o_way w JOIN fx_vertices v ON v.sid = w.sid AND v.part = w.part
+              UNION ALL SELECT od, pos, 0, lat, lng FROM o_way w JOIN o_node n ON n.node_key = w.src WHERE w.sid IS NULL
+              UNION ALL SELECT od, pos, 2, lat, lng FROM o_way w JOIN o_node n ON n.node_key = w.dst WHERE w.sid IS NULL
+              UNION ALL SELECT od, pos, 1, (a.lat + z.lat) / 2 + 0.0001, (a.lng + z.lng) / 2 FROM o_way w JOIN o_node a ON a.node_key = w.src JOIN o_node z ON z.node_key = w.dst WHERE w.ct IN ('_GAP_BUSY', '_GAP_MAJOR')),
+            o_line AS (SELECT od, pos, k, lat, lng, lag(lat) OVER w AS lat0, lag(lng) OVER w AS lng0 FROM (SELECT *, row_number() OVER (PARTITION BY od, pos ORDER BY k) AS r FROM o_pt) WHERE r > 1 OR pos = 1 WINDOW w AS (PARTITION BY od ORDER BY pos, k)),
+            o_core AS (SELECT od, sum({hav('lat0', 'lng0', 'lat', 'lng')}) AS metres, count(lat0) AS points, sum(lat) FILTER (lat0 IS NOT NULL) AS lats, sum(lng) FILTER (lat0 IS NOT NULL) AS lngs FROM o_line GROUP BY od),
+            o_turn AS (SELECT w.od, w.pos, w.name, lag(w.name) OVER w AS was_name, first2, lag(last1) OVER w AS was, lag(last2) OVER w AS was2 FROM o_way w JOIN (
+              SELECT od, pos, max(CASE WHEN r = 2 THEN [lat, lng] END) AS first2, max(CASE WHEN q = 1 THEN [lat, lng] END) AS last1, max(CASE WHEN q = 2 THEN [lat, lng] END) AS last2
+              FROM (SELECT *, row_number() OVER (PARTITION BY od, pos ORDER BY k) AS r, row_number() OVER (PARTITION BY od, pos ORDER BY k DESC) AS q FROM o_pt) GROUP BY od, pos) p ON p.od = w.od AND p.pos = w.pos WINDOW w AS (PARTITION BY w.od ORDER BY w.pos)),
+            o_told AS (SELECT od, string_agg(CASE WHEN name <> '' THEN said || ' onto ' || name ELSE said END, '; ' ORDER BY pos) AS said, count(*) AS turns FROM (
+              SELECT *, {TURN} AS said FROM (SELECT *, CASE WHEN raw > 180 THEN raw - 360 WHEN raw < -180 THEN raw + 360 ELSE raw END AS turn FROM (
+                SELECT *, {bear('was[1]', 'was[2]', 'first2[1]', 'first2[2]')} - {bear('was2[1]', 'was2[2]', 'was[1]', 'was[2]')} AS raw FROM o_turn WHERE pos > 1 AND (name = '' OR name <> was_name)))) GROUP BY od),
+            o_leg AS (SELECT od_id, which, a, b, (a + e) / 2 + 0.0001 AS m, (b + f) / 2 AS n, e, f FROM (
+              SELECT g.od_id, 'first' AS which, o.start_lat AS a, o.start_lng AS b, n.lat AS e, n.lng AS f FROM o_goal g JOIN fx_od o ON o.od_id = g.od_id JOIN o_node n ON n.node_key = g.a WHERE a_m > 100 AND g.od_id % 3 <> 0
+              UNION ALL SELECT g.od_id, 'last', n.lat, n.lng, o.end_lat, o.end_lng FROM o_goal g JOIN fx_od o ON o.od_id = g.od_id JOIN o_node n ON n.node_key = g.z WHERE z_m > 100 AND g.od_id % 2 = 1
+              UNION ALL SELECT od_id, 'direct', start_lat, start_lng, end_lat, end_lng FROM fx_od WHERE od_id NOT IN (SELECT od FROM o_core))),
+            o_legs AS (SELECT *, {hav('a', 'b', 'm', 'n')} + {hav('m', 'n', 'e', 'f')} AS metres FROM o_leg)"""
+
+GUIDED = f"""
+            SELECT od_id, 'router' AS route_source, round(metres, 3) AS metres, CAST({half_up('metres / 4.2')} AS DOUBLE) AS time, CAST(12.5 AS DOUBLE) AS ascend, CAST(3 AS DOUBLE) AS descend, 3 AS points, 3 AS elevations,
+                   round(a + m + e, 6) AS lat_sum, round(b + n + f, 6) AS lng_sum, true AS has_elevation, 'Start your ride; Follow the route; Arrive at destination' AS said, round(metres, 3) AS said_m, 3 AS turns FROM o_legs WHERE which = 'direct'
+            UNION ALL SELECT c.od, 'network', round(total, 3), CAST({half_up('total / 4.2')} AS DOUBLE), 12.5 * legs, 3.0 * legs, c.n, c.n, round(lats + CASE WHEN x.od_id IS NULL THEN start_lat ELSE x.a + x.m + x.e END + CASE WHEN y.od_id IS NULL THEN 0 ELSE y.m + y.e END, 6),
+                   round(lngs + CASE WHEN x.od_id IS NULL THEN start_lng ELSE x.b + x.n + x.f END + CASE WHEN y.od_id IS NULL THEN 0 ELSE y.n + y.f END, 6), false,
+                   concat_ws('; ', CASE WHEN x.od_id IS NOT NULL THEN 'Start your ride; Follow the route' WHEN first_name <> '' THEN 'Start on ' || first_name ELSE 'Start your ride' END, t.said, CASE WHEN y.od_id IS NOT NULL THEN 'Follow the route' END, 'Arrive at destination'),
+                   round(total, 3), CASE WHEN x.od_id IS NOT NULL THEN 2 ELSE 1 END + coalesce(t.turns, 0) + CASE WHEN y.od_id IS NOT NULL THEN 2 ELSE 1 END
+            FROM (SELECT c.*, o.start_lat, o.start_lng, (SELECT name FROM o_way w WHERE w.od = c.od AND w.pos = 1) AS first_name, c.metres + coalesce(x.metres, 0) + coalesce(y.metres, 0) AS total,
+                    CASE WHEN x.od_id IS NULL THEN 0 ELSE 1 END + CASE WHEN y.od_id IS NULL THEN 0 ELSE 1 END AS legs, c.points + CASE WHEN x.od_id IS NULL THEN 1 ELSE 3 END + CASE WHEN y.od_id IS NULL THEN 0 ELSE 2 END AS n
+                  FROM o_core c JOIN fx_od o ON o.od_id = c.od LEFT JOIN o_legs x ON x.od_id = c.od AND x.which = 'first' LEFT JOIN o_legs y ON y.od_id = c.od AND y.which = 'last') c
+            LEFT JOIN o_legs x ON x.od_id = c.od AND x.which = 'first' LEFT JOIN o_legs y ON y.od_id = c.od AND y.which = 'last' LEFT JOIN o_told t ON t.od = c.od"""
+
+
 def oracle_sql() -> dict[str, str]:
     d_raw = bear("was[1]", "was[2]", "c1", "c2") + " - " + bear("a1", "a2", "was[1]", "was[2]")
     out = {
@@ -353,10 +405,10 @@ def oracle_sql() -> dict[str, str]:
                 SELECT f.*, l.last_idx, l.last_ms, l.arrived AS was, NOT l.arrived AND f.remaining < 30 AS comes, NOT l.arrived AND f.remaining >= 30 AND f.next_text IS NOT NULL AS open FROM o_live l JOIN o_fix f ON f.rider_id = l.rider_id AND f.i = l.i + 1)))"""),
         "shortest_path_cost": sql(
             "SELECT od_id, round(cost, 3) AS cost FROM d JOIN o_goal g ON g.od_id = d.src AND g.z = d.node", "o_edge", "o_gap_ct", "o_snap", "fx_od",
-            recursive=f"""o_all AS (SELECT src, dst, min({COST}) AS c FROM (SELECT src, dst, ct, distance FROM o_edge UNION ALL SELECT a_key, b_key, ct, distance FROM o_gap_ct UNION ALL SELECT b_key, a_key, ct, distance FROM o_gap_ct) GROUP BY src, dst),
-            o_goal AS (SELECT od_id, a.node_key AS a, z.node_key AS z FROM fx_od JOIN o_snap a ON a.pid = -1 - od_id * 2 JOIN o_snap z ON z.pid = -2 - od_id * 2 WHERE {hav(*OD)} <= 20000 AND a.node_key <> z.node_key),
-            d(src, node, cost) USING KEY (src, node) AS (
-              SELECT od_id, a, CAST(0 AS DOUBLE) FROM o_goal
-              UNION SELECT d.src, e.dst, min(d.cost + e.c) FROM d JOIN o_all e ON e.src = d.node LEFT JOIN recurring.d r ON r.src = d.src AND r.node = e.dst GROUP BY 1, 2 HAVING min(d.cost + e.c) < coalesce(min(r.cost), 1e308))"""),
+            recursive=BEST.format(table="o_edge_cost") + SEARCH),
+        "shortest_path_overrides": sql(
+            "SELECT od_id, round(cost, 3) AS cost FROM d JOIN o_goal g ON g.od_id = d.src AND g.z = d.node", "o_edge", "o_gap_ct", "o_snap", "fx_od", "o_override",
+            recursive=BEST.format(table="(SELECT e.* REPLACE (CASE WHEN o.type = 'preferred' THEN 0.5 * distance ELSE cost END AS cost) FROM o_edge_cost e LEFT JOIN o_override o ON o.key = e.key WHERE o.type IS NULL OR o.type <> 'nogo')") + SEARCH),
+        "guided_route_full": sql(GUIDED, "o_edge", "o_gap_ct", "o_snap", "fx_od", "fx_vertices", "o_node", recursive=BEST.format(table="o_edge_cost") + SEARCH + GUIDED_PARTS),
     }
     return out

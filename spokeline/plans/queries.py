@@ -381,9 +381,28 @@ def waypoint_fold(s, d):
 @query
 def shortest_path_cost(s, d):
     pairs = paths.endpoints(fixture(s, d, "fx_od"), net.nodes(s, d), net.roads(s, d))
-    steps = paths.guided(pairs, net.weighted_edges(s, d), net.nodes(s, d))
+    steps = paths.guided(pairs, net.edges_of(s, d), net.nodes(s, d))
     return steps.groupBy("od_id").agg(m(F.max("cost")).alias("cost"))
 
 
+@query
+def shortest_path_overrides(s, d):
+    """The same under drawn preferences: preferred edges are cheap, no-go edges are not there."""
+    pairs = paths.endpoints(fixture(s, d, "fx_od"), net.nodes(s, d), net.roads(s, d))
+    steps = paths.guided(pairs, net.edges_of(s, d, overridden=True), net.nodes(s, d))
+    return steps.groupBy("od_id").agg(m(F.max("cost")).alias("cost"))
+
+
+@query
+def guided_route_full(s, d):
+    routes_, said = net.guided_routes(s, d)
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "; ")
+    said = said.groupBy("od_id").agg(texts.alias("said"), m(F.max("distance")).alias("said_m"), F.count("*").alias("turns"))
+    add = lambda x: lambda a, p: a + p[x]
+    sums = [m(F.aggregate("coords", F.lit(0.0), add(x)), 6).alias(f"{x}_sum") for x in ("lat", "lng")]
+    out = routes_.select("od_id", "route_source", m(c("distance")).alias("metres"), "time", "ascend", "descend", F.size("coords").alias("points"), F.size("ele").alias("elevations"), *sums, "has_elevation")
+    return out.join(said, "od_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
