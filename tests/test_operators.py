@@ -166,3 +166,31 @@ def test_store_and_builder(spark):
     e = [("s", 1, "add", None, 1.0, 1.0), ("s", 2, "add", None, 2.0, 2.0), ("s", 3, "move", 0, 5.0, 5.0), ("s", 4, "add", None, 3.0, 3.0), ("s", 5, "undo", None, None, None)]
     w = builder.waypoints(spark.createDataFrame(e, "session string, seq long, op string, idx int, lat double, lng double")).first()["waypoints"]
     assert [(p["lat"], p["lng"]) for p in w] == [(5.0, 5.0), (2.0, 2.0)]
+
+
+def test_guided_routes_with_and_without_legs_and_paths(spark):
+    from spokeline.operators import guided, routes
+
+    from pyspark.sql import functions as F
+
+    at = lambda *xy: [(a, b) for a, b in xy]
+    od = spark.createDataFrame([(1, 45.0, -122.0, 45.01, -122.0), (2, 45.0, -122.0, 45.01, -122.0), (3, 45.5, -122.0, 45.6, -122.0), (4, 46.0, -122.0, 46.6, -122.0)], "od_id long, start_lat double, start_lng double, end_lat double, end_lng double")
+    pairs = od.where("od_id < 3").withColumns({"start_snap_m": F.lit(150.0), "end_snap_m": F.when(F.col("od_id") == 1, 150.0).otherwise(100.0), "start_node_lat": F.lit(45.001), "start_node_lng": F.lit(-122.0), "end_node_lat": F.lit(45.009), "end_node_lng": F.lit(-122.0)})
+    steps = spark.createDataFrame(
+        [(i, 0, "NG", "A", 400.0, at((45.001, -122.0), (45.005, -122.0))) for i in (1, 2)] + [(i, 1, "_GAP", "", 400.0, at((45.005, -122.0), (45.009, -122.0))) for i in (1, 2)],
+        "od_id long, pos long, ct string, name string, distance double, coords array<struct<lat:double,lng:double>>",
+    )
+    rows = [("safety", (45.0, -122.0, 45.001, -122.0), "120"), ("safety", (45.009, -122.0, 45.01, -122.0), "x"), ("safety", (45.5, -122.0, 45.6, -122.0), "0"), ("shortest", (45.005, -122.0, 45.009, -122.0), None)]
+    replies = spark.createDataFrame([(p, *a, t) for p, a, t in rows], "profile string, a double, b double, c double, d double, length_text string")
+    line = F.array(F.struct(F.col("a").alias("lat"), F.col("b").alias("lng")), F.struct((F.col("a") + 0.0005).alias("lat"), F.lit(-122.001).alias("lng")), F.struct(F.col("c").alias("lat"), F.col("d").alias("lng")))
+    replies = replies.select("profile", guided.lonlats(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("lonlats"), line.alias("coords"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("ele"), "length_text", F.lit(None).cast("string").alias("time_text"), F.lit("7").alias("ascend_text"), F.lit("").alias("descend_text"))
+    assert replies.first()["lonlats"] == "-122,45|-122,45.001"
+    whole, said = guided.guided(od, pairs, steps, replies)
+    got = {r["od_id"]: r for r in whole.collect()}
+    text = {i: [r["text"] for r in sorted((r for r in said.collect() if r["od_id"] == i), key=lambda r: r["idx"])] for i in got}
+    assert {i: r["route_source"] for i, r in got.items()} == {1: "network", 2: "network", 3: "router"}  # nobody answers 4
+    assert len(got[1]["coords"]) == 3 + 3 + 2 and got[1]["ele"] == [1.0, 2.0, 3.0, 0.0, 0.0, 0.0, 2.0, 3.0] and got[1]["ascend"] == 14.0
+    assert len(got[2]["coords"]) == 3 + 3 and len(got[2]["ele"]) == 6 and got[2]["time"] == int(got[2]["distance"] / 4.2 + 0.5)
+    assert text[1] == ["Start your ride", "Follow the route", "Turn left", "Follow the route", "Arrive at destination"] and text[2][-1] == "Arrive at destination"
+    assert text[3] == ["Start your ride", "Follow the route", "Arrive at destination"] and got[3]["has_elevation"] and got[3]["distance"] > 11_000
+    assert routes.METRES_PER_SECOND == 4.2
