@@ -79,3 +79,9 @@ def reversals(vertices: DataFrame, every: float = SAMPLE_M, sharp: float = REVER
     d = F.abs(F.col("next_b") - F.col("b"))
     out = s.where("b is not null and next_b is not null").withColumn("turn", F.when(d > 180, 360 - d).otherwise(d))
     return out.where(F.col("turn") > sharp).select("route_id", "idx", "turn")
+
+
+def run_samples(runs: DataFrame) -> DataFrame:
+    """The first, middle and last vertex of each run. runs: route_id, start_idx, end_idx."""
+    three = F.array("start_idx", F.floor((F.col("start_idx") + F.col("end_idx")) / 2).cast("int"), "end_idx")
+    return runs.select("route_id", "start_idx", F.posexplode(three).alias("sample", "idx"))

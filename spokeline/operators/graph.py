@@ -89,3 +89,17 @@ def costs(edge_rows: DataFrame, overrides: DataFrame | None = None, profile: str
 def adjacency(edge_rows: DataFrame) -> DataFrame:
     """Out-degree, distinct neighbours and metres of each node."""
     return edge_rows.groupBy("src").agg(F.count("*").alias("degree"), F.count_distinct("dst").alias("neighbours"), F.round(F.sum("distance"), 3).alias("metres"))
+
+
+def adjacency_lists(edge_rows: DataFrame) -> DataFrame:
+    """src and its edges in the order of features: dst, ct, distance."""
+    each = F.struct("sid", "part", "dir", "dst", "ct", "distance")
+    ordered = F.array_sort(F.collect_list(each))
+    return edge_rows.groupBy("src").agg(F.transform(ordered, lambda e: F.struct(e["dst"].alias("dst"), e["ct"].alias("ct"), e["distance"].alias("distance"))).alias("edges"))
+
+
+def with_nodes(nodes: DataFrame, points: DataFrame) -> DataFrame:
+    """nodes and those of the points (point, lat, lng) that have none yet: the first point of a key gives its coordinates."""
+    new = points.withColumn("node_key", node_key(F.col("lat"), F.col("lng"))).groupBy("node_key").agg(F.min_by(F.struct("lat", "lng"), "point").alias("p")).select("node_key", "p.lat", "p.lng")
+    new = new.join(nodes.select("node_key"), "node_key", "left_anti").withColumns({"cell_lat": geo.cell(F.col("lat")), "cell_lng": geo.cell(F.col("lng"))})
+    return nodes.select(*new.columns).unionByName(new)

@@ -85,3 +85,17 @@ def debounced(events: DataFrame, gap_ms: int = 300) -> DataFrame:
 def latest_reply(replies: DataFrame) -> DataFrame:
     """The reply of the newest request of each session. replies: session, request_id, reply."""
     return replies.groupBy("session").agg(F.max_by(F.struct("request_id", "reply"), "request_id").alias("r")).select("session", "r.*")
+
+
+MOVED_DEG = 0.0001
+
+
+def still_wanted(replies: DataFrame) -> DataFrame:
+    """Replies whose point has not moved since it was asked for: lat and lng asked, now_lat and now_lng."""
+    return replies.where((F.abs(F.col("now_lat") - F.col("lat")) < MOVED_DEG) & (F.abs(F.col("now_lng") - F.col("lng")) < MOVED_DEG))
+
+
+def home_suggested(typed: DataFrame) -> DataFrame:
+    """Typed texts (box, query) too short to search that begin the word home, in the start box only."""
+    q = F.trim("query")
+    return typed.where((F.col("box") == "start") & (F.length(q) > 0) & (F.length(q) < MIN_QUERY) & F.lit("home").startswith(F.lower(q)))

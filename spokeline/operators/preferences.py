@@ -66,3 +66,21 @@ def injected(cut: DataFrame, connected: DataFrame) -> DataFrame:
     fresh = cut.join(connected.select("key").distinct(), "key", "left_anti")
     first = F.row_number().over(Window.partitionBy("key").orderBy("from_idx", "to_idx", "metres"))
     return fresh.withColumn("n", first).where("n = 1").drop("n").withColumn("ct", F.lit("_PREF"))
+
+
+def counted(prefs: DataFrame) -> DataFrame:
+    """How many preferences there are, a group as one."""
+    return unique(prefs).agg(F.count("*").alias("preferences"))
+
+
+def lines_by_type(drawn: DataFrame) -> DataFrame:
+    """type and coords of all lines drawn for it, in the order of their rows; null where none has any. drawn: type, insert_seq, coords."""
+    coords = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("insert_seq", "coords"))), lambda x: x["coords"]))
+    out = drawn.where("coords is not null").groupBy("type").agg(coords.alias("coords"))
+    return drawn.select("type").distinct().join(out, "type", "left").withColumn("coords", F.when(F.size("coords") > 0, F.col("coords")))
+
+
+def keys_of(cut: DataFrame, key: str = "line_id") -> DataFrame:
+    """line and its edge keys in order, each once: of pieces that were there before, too."""
+    first = cut.groupBy(key, "key").agg(F.min("from_idx").alias("at"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda x: x["key"]).alias("keys"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
-from ..functions.numfmt import FEET_PER_METRE, METRES_PER_MILE, leading_number, number_or, round_half_up, to_fixed
+from ..functions.numfmt import FEET_PER_METRE, METRES_PER_MILE, distance_text, leading_number, number_or, round_half_up, to_fixed
 
 METRES_PER_SECOND = 4.2
 MILE_LEG_M = 100.0
@@ -173,3 +173,8 @@ def elevation_profile(vertices: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("route_id").orderBy("idx")) - 1
     out = vertices.select("route_id", "idx", "ele", low.alias("low"), high.alias("high"), n.alias("n"), place.alias("place")).where("n >= 2")
     return out.select("route_id", "idx", (F.col("place") / (F.col("n") - 1)).alias("x"), ((F.col("ele") - F.col("low")) / F.coalesce(F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(1.0))).alias("y"))
+
+
+def directions(instructions: DataFrame) -> DataFrame:
+    """Instructions as listed: the step's length where some way lies behind, else nothing. instructions: text, distance, step_distance."""
+    return instructions.withColumn("shown", F.when(F.col("distance") > 0, distance_text(F.col("step_distance"))).otherwise(""))

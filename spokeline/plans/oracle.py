@@ -368,6 +368,18 @@ def oracle_sql() -> dict[str, str]:
         "edge_cell_index": sql(
             "SELECT sid, part, count(*) AS cells FROM (SELECT DISTINCT sid, part, cell_lat, cell_lng FROM (SELECT s.sid, s.part, unnest(generate_series(CAST(floor(least(lat1, lat2) * 1000) AS BIGINT), CAST(floor(greatest(lat1, lat2) * 1000) AS BIGINT))) AS cell_lat, lng1, lng2 FROM o_seg s JOIN o_net n ON n.sid = s.sid AND n.part = s.part WHERE a_key <> b_key) x, "
             "LATERAL (SELECT unnest(generate_series(CAST(floor(least(lng1, lng2) * 1000) AS BIGINT), CAST(floor(greatest(lng1, lng2) * 1000) AS BIGINT))) AS cell_lng) y) GROUP BY sid, part", "o_seg", "o_net"),
+        "escaped_labels": sql(f"SELECT place_id, replace(replace(replace(concat_ws(' <&> ', name, street), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS label, {fixed('lat', 4)} || ', ' || {fixed('lng', 4)} AS point FROM fx_places", "fx_places"),
+        "preference_count": sql("SELECT count(DISTINCT coalesce(nullif(group_id, ''), edge_key)) AS preferences FROM o_pref", "o_pref"),
+        "preference_lines": sql("SELECT type, CAST(count(*) AS INTEGER) AS points, round(sum(lat), 4) AS lat_sum FROM fx_prefs p JOIN o_net n ON n.sid = p.sid AND n.part = 0 JOIN fx_vertices v ON v.sid = p.sid AND v.part = 0 GROUP BY type", "fx_prefs", "fx_vertices", "o_net"),
+        "adjacency_lists": sql("SELECT src, string_agg(dst || ' ' || ct, '; ' ORDER BY sid, part, dir) AS edges FROM o_edge GROUP BY src", "o_edge"),
+        "first_features": sql("SELECT city, min(place_id) AS place_id FROM fx_places GROUP BY city", "fx_places"),
+        "grey_samples": sql(f"SELECT route_id, start_idx, i AS sample, CASE i WHEN 0 THEN start_idx WHEN 1 THEN (start_idx + end_idx) // 2 ELSE end_idx END AS idx FROM (SELECT route_id, min(idx) AS start_idx, max(idx) AS end_idx, sum(ahead) AS metres FROM (SELECT *, coalesce({hav('lat', 'lng', 'lat1', 'lng1')}, 0) AS ahead FROM (SELECT *, lead(lat) OVER w AS lat1, lead(lng) OVER w AS lng1 FROM o_run WINDOW w AS (PARTITION BY route_id ORDER BY idx))) WHERE tier = 'none' GROUP BY route_id, run) CROSS JOIN (VALUES (0), (1), (2)) t(i) WHERE metres > 20", "o_run"),
+        "stale_replies": sql("SELECT pid FROM fx_points WHERE pid % 5 < 3", "fx_points"),
+        "home_suggestions": "SELECT event_id FROM events WHERE event_id % 2 = 0 AND event_id % 6 IN (0, 1)",
+        "injection_keys": sql("SELECT line_id, string_agg(key, '; ' ORDER BY begun) AS keys FROM (SELECT route_id AS line_id, key, min(since) AS begun FROM o_piece GROUP BY route_id, key) GROUP BY line_id", "fx_route_vertices", "o_measured", recursive=fold_along("o_cut", 200) + PIECES),
+        "ensured_nodes": sql(
+            f"""SELECT node_key, round(lat, 5) AS lat, round(lng, 5) AS lng FROM o_node UNION ALL SELECT node_key, round(arg_min(lat, route_id * 100 + idx), 5), round(arg_min(lng, route_id * 100 + idx), 5)
+            FROM (SELECT *, {key('lat', 'lng')} AS node_key FROM fx_route_vertices) WHERE node_key NOT IN (SELECT node_key FROM o_node) GROUP BY node_key""", "o_node", "fx_route_vertices"),
         "reversals": sql(
             f"""SELECT route_id, idx, round(CASE WHEN d > 180 THEN 360 - d ELSE d END, 6) AS turn FROM (SELECT route_id, idx, abs(next_b - b) AS d FROM (SELECT *, lead(b) OVER (PARTITION BY route_id ORDER BY idx) AS next_b FROM (
               SELECT route_id, idx, {bear('lat0', 'lng0', 'lat', 'lng')} AS b FROM (SELECT v.route_id, v.idx, v.lat, v.lng, lag(v.lat) OVER w AS lat0, lag(v.lng) OVER w AS lng0
@@ -411,4 +423,7 @@ def oracle_sql() -> dict[str, str]:
             recursive=BEST.format(table="(SELECT e.* REPLACE (CASE WHEN o.type = 'preferred' THEN 0.5 * distance ELSE cost END AS cost) FROM o_edge_cost e LEFT JOIN o_override o ON o.key = e.key WHERE o.type IS NULL OR o.type <> 'nogo')") + SEARCH),
         "guided_route_full": sql(GUIDED, "o_edge", "o_gap_ct", "o_snap", "fx_od", "fx_vertices", "o_node", recursive=BEST.format(table="o_edge_cost") + SEARCH + GUIDED_PARTS),
     }
+    shown = f"CASE WHEN metres > 0 THEN CASE WHEN step_m < 160 THEN CAST({half_up('step_m')} AS VARCHAR) || ' m' ELSE {fixed('(step_m / 1609.34)', 1)} || ' mi' END ELSE '' END"
+    inner = out["instructions_from_edges"].replace("round(distance, 3) AS metres, round(step, 3) AS step_m", "distance AS metres, step AS step_m")
+    out["directions_listed"] = f"SELECT route_id, idx, text, {shown} AS shown FROM ({inner})"
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dims, geo, numfmt
+from ..functions import dims, geo, labels, numfmt
 from ..operators import builder, diagnostics, graph, navigation, paths, places, preferences, routes, spatial, store
 from ..streaming import navigation as live
 from . import network as net
@@ -404,5 +404,73 @@ def guided_route_full(s, d):
     return out.join(said, "od_id")
 
 
+@query
+def directions_listed(s, d):
+    return routes.directions(routes.from_edges(net.steps(s, d))).select("route_id", "idx", "text", "shown")
+
+
+@query
+def escaped_labels(s, d):
+    p = fixture(s, d, "fx_places")
+    return p.select("place_id", labels.escaped(F.concat_ws(" <&> ", "name", "street")).alias("label"), labels.coordinates(c("lat"), c("lng")).alias("point"))
+
+
+@query
+def preference_count(s, d):
+    return preferences.counted(net.prefs(s, d))
+
+
+@query
+def preference_lines(s, d):
+    drawn = fixture(s, d, "fx_prefs").join(net.net(s, d).where("part = 0").select("sid", "coords"), "sid")
+    out = preferences.lines_by_type(drawn)
+    return out.select("type", F.size("coords").alias("points"), m(F.aggregate("coords", F.lit(0.0), lambda a, p: a + p["lat"]), 4).alias("lat_sum"))
+
+
+@query
+def adjacency_lists(s, d):
+    out = graph.adjacency_lists(graph.edges(net.net(s, d)))
+    return out.select("src", F.array_join(F.transform("edges", lambda e: F.concat(e["dst"], F.lit(" "), e["ct"])), "; ").alias("edges"))
+
+
+@query
+def first_features(s, d):
+    first = fixture(s, d, "fx_places").groupBy("city").agg(F.array_sort(F.collect_list(F.struct("place_id", "name"))).alias("features"))
+    return first.select("city", F.try_element_at("features", F.lit(1))["place_id"].alias("place_id"))
+
+
+@query
+def grey_samples(s, d):
+    return diagnostics.run_samples(diagnostics.grey_segments(net.tiered(s, d)))
+
+
+@query
+def stale_replies(s, d):
+    o = fixture(s, d, "fx_points").withColumns({"now_lat": c("lat") + (c("pid") % 5) * 0.00004, "now_lng": c("lng") - (c("pid") % 3) * 0.00004})
+    return places.still_wanted(o).select("pid")
+
+
+@query
+def home_suggestions(s, d):
+    e = fixture(s, d, "events").select("event_id", F.when(c("event_id") % 2 == 0, "start").otherwise("end").alias("box"), F.expr("element_at(array('h', ' Ho', 'hom', 'x', '', 'OM'), cast(1 + event_id % 6 as int))").alias("query"))
+    return places.home_suggested(e).select("event_id")
+
+
+def _drawn_pieces(s, d):
+    coords = F.transform(F.array_sort(F.collect_list(F.struct("idx", "lat", "lng"))), lambda v: F.struct(v["lat"].alias("lat"), v["lng"].alias("lng")))
+    return preferences.pieces(net.route_points(s, d).groupBy(c("route_id").alias("line_id")).agg(coords.alias("coords")))
+
+
+@query
+def injection_keys(s, d):
+    return preferences.keys_of(_drawn_pieces(s, d)).select("line_id", F.array_join("keys", "; ").alias("keys"))
+
+
+@query
+def ensured_nodes(s, d):
+    points = net.route_points(s, d).select(F.struct("route_id", "idx").alias("point"), "lat", "lng")
+    return graph.with_nodes(net.nodes(s, d), points).select("node_key", m(c("lat"), 5).alias("lat"), m(c("lng"), 5).alias("lng"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
