@@ -35,8 +35,10 @@ from .common import written
 
 #: Characters of a leaf of the tree, and of a stretch of a long text that is a row of its own.
 LEAF_CHARS, SPREAD_CHARS = 2048, 32_768
+#: Long texts, or stretches of them, that a task holds at a time; other texts sixteen times as many.
+BLOCK = 8
 #: Pre-tokens that a task remembers at most (about 300 bytes each).
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Texts of white space, ASCII and Latin letters alone are cut by a plain pattern that means the same as the vocabulary's there.
 UNUSUAL = re.compile("[^\t-\r -~À-ÖØ-öø-įı-ſ]")
 USUAL = re.compile("[a-zß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-z0-9ß-öø-ſ]+")
@@ -265,6 +267,11 @@ def loaded(spec: str, key: str) -> WordBpe:
     return _loaded[key]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+
+
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, spread_chars: int = SPREAD_CHARS, digest: bool = False) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens and decoded of each row; with digest their sha256.
 
@@ -278,14 +285,14 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value, key)
-        for b in batches:
+        for b in slices(batches, 16 * BLOCK):
             got = [bpe.encode(t, leaf_chars) for t in b.column("text").to_pylist()]
             yield finish(b.column("doc_id"), [g[0] for g in got], [g[1] for g in got])
         bpe.words.forget()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value, key)
-        for b in batches:
+        for b in slices(batches):
             for row, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
                 got = bpe.stretches(bpe.all_words(text), False, spread_chars)
                 cols = [pa.array([row] * len(got), pa.int64()), pa.array([doc_id] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got])]
@@ -293,7 +300,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value, key)
-        for b in batches:
+        for b in slices(batches):
             said = [[e[1] for e in bpe.entries(w, o, leaf_chars)] for w, o in zip(b.column("words").to_pylist(), b.column("open_end").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "leaf")), pa.array(said, pa.list_(pa.string()))], ["row", "doc_id", "leaf", "said"])
         bpe.words.forget()
