@@ -45,14 +45,18 @@ def from_edges(steps: DataFrame) -> DataFrame:
         "before": F.coalesce(F.sum("distance").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
         "was": F.lag(F.struct("name", "distance", "a", "b")).over(w),
     })
-    turn = geo.wrap(geo.bearing(F.col("was.b.lat"), F.col("was.b.lng"), F.col("c.lat"), F.col("c.lng")) - geo.bearing(F.col("was.a.lat"), F.col("was.a.lng"), F.col("was.b.lat"), F.col("was.b.lng")))
-    said = turn_text(turn)
+    # step by step, so that each bearing is computed once
+    was = F.col("was")
+    s = s.withColumn("turned", geo.bearing(was["b"]["lat"], was["b"]["lng"], F.col("c.lat"), F.col("c.lng")) - geo.bearing(was["a"]["lat"], was["a"]["lng"], was["b"]["lat"], was["b"]["lng"]))
+    s = s.withColumn("turned", geo.wrap(F.col("turned")))
+    s = s.withColumn("says", turn_text(F.col("turned")))
+    s = s.withColumn("turn_icon", turn_icon(F.col("says")))
     here = F.when(
         F.col("n") == 1,
         F.struct(F.when(F.col("name") != "", F.concat(F.lit("Start on "), "name")).otherwise("Start your ride").alias("text"), F.lit(0.0).alias("distance"), F.lit(0.0).alias("step_distance"), F.lit("start").alias("icon")),
     ).when(
-        (F.col("name") == "") | (F.col("name") != F.col("was.name")),
-        F.struct(F.when(F.col("name") != "", F.concat(said, F.lit(" onto "), "name")).otherwise(said).alias("text"), F.col("before").alias("distance"), F.col("was.distance").alias("step_distance"), turn_icon(said).alias("icon")),
+        (F.col("name") == "") | (F.col("name") != was["name"]),
+        F.struct(F.when(F.col("name") != "", F.concat("says", F.lit(" onto "), "name")).otherwise(F.col("says")).alias("text"), F.col("before").alias("distance"), was["distance"].alias("step_distance"), F.col("turn_icon").alias("icon")),
     )
     end = F.when(F.col("is_last"), F.struct(F.lit("Arrive at destination").alias("text"), (F.col("before") + F.col("distance")).alias("distance"), F.lit(0.0).alias("step_distance"), F.lit("arrive").alias("icon")))
     # what is said up to an edge, in the same order; the arrival comes after it

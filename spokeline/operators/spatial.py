@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims, geo
+from ..storage import written
 from .graph import edge_key, segments, with_cells
 
 GAP_M, SNAP_M, NEAR_M = 250.0, 500.0, 50.0
@@ -91,6 +92,7 @@ def snap(points: DataFrame, nodes: DataFrame, roads: DataFrame, key: str = "pid"
     n = within(nodes, SNAP_CELLS).select("node_key", F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "cell_lat", "cell_lng", "x", "y")
     near = (F.abs(F.col("cell_lat") - F.col("p_lat")) <= SNAP_CELLS) & (F.abs(F.col("cell_lng") - F.col("p_lng")) <= SNAP_CELLS)
     pairs = p.join(n, ["x", "y"]).where(near).withColumn("distance", geo.haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))).where(F.col("distance") <= SNAP_M)
+    pairs = written(pairs)  # read by the crossing test and by the choice
     blocked = worst_crossing(pairs, roads.where("rank = 2"), key, "node_key")
     pairs = pairs.join(blocked, [key, "node_key"], "left")
     order = F.struct("distance", "cell_lat", "cell_lng", "node_key")
