@@ -66,8 +66,14 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), digest=True)
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the mix SQL can express: sizes and targets."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "mixing_targets": mixing_targets,
         "op1_toxicity_viterbi": op1_toxicity_viterbi,
         "op2_quality_knn": op2_quality_knn,
         "op3_vector_graph": op3_vector_graph,
@@ -101,7 +107,39 @@ FROM e GROUP BY conv_id
 """
 
 
+#: Links of op3 by comparing all pairs of a label.
+OP3_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, CAST(vec_id AS BIGINT) AS vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), u AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+), l AS (
+  SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND len(a.x) = len(b.x) AND a.r <> b.r
+  WHERE list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.93
+), reach(a, b) AS (SELECT r, r FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.r) AS n_links, c.component_id, v.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM v JOIN (SELECT a, min(w.vec_id) AS component_id FROM reach JOIN v w ON w.r = reach.b GROUP BY a) c ON c.a = v.r
+"""
+
+#: Water filling of op5: the level at which the sources that stop and the share of the others make up the whole.
+MIXING_TARGETS_SQL = r"""
+WITH d AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT *, 2.0 * size / w AS stop FROM (
+    SELECT source, size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS w FROM (SELECT source, CAST(sum(size) AS DOUBLE) AS size FROM d GROUP BY source))
+), level AS (
+  SELECT arg_min(x, stop) AS x FROM (
+    SELECT t.stop, ((SELECT 1.5 * sum(size) FROM s) - coalesce(sum(2.0 * o.size) FILTER (o.stop < t.stop), 0)) / sum(o.w) FILTER (o.stop >= t.stop) AS x FROM (SELECT DISTINCT stop FROM s) t CROSS JOIN s o GROUP BY t.stop)
+  WHERE x <= stop
+)
+SELECT d.doc_id, d.size, CAST(s.size AS BIGINT) AS source_size, round(least(2.0 * s.size, coalesce((SELECT x FROM level), 1e300) * s.w), 3) AS target FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_vector_graph": OP3_SQL,
         "op4_chat_trees": OP4_SQL,
+        "mixing_targets": MIXING_TARGETS_SQL,
     }
