@@ -342,3 +342,23 @@ def test_stages_take_empty_tables(spark):
     empty = spark.read.parquet(f"{d}/documents.parquet").limit(0).withColumn("extra", F.lit(1))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, d).count() == 0
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(60)
+    long = " ".join(r["text"] for r in docs.limit(20).collect())
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, long[:900], "en", "src1", 900), (7, None, "en", "src1", 0), (8, "", None, None, 0), (9, long, "en", None, len(long)), (9, long, "en", None, len(long)), (10, long[5:], "xx", "", 1)], docs.schema)
+    now = docs.unionByName(odd).unionByName(docs.limit(5))
+    for clash in ("row", "draw", "block", "copies", "whole", "extra", "h", "node", "shards", "label", "n_tokens", "size", "words"):
+        now = now.withColumn(clash, F.lit(clash))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before, now = now, common.written(stage(spark, now, d))
+        rows = now.collect()
+        assert rows, name
+        if k < 4:
+            assert now.columns == before.columns
+            texts = {r["text"] for r in before.collect()}
+            assert all(r["text"] in texts and r["draw"] == "draw" for r in rows)  # whole texts, and columns as they were
+        if name == "near_duplicates":
+            assert len(rows) == len({(r["doc_id"], r["text"]) for r in rows})
