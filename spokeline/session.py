@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,6 +20,7 @@ def local_session(cpus: int = 8, memory: str = "8g", shuffle_partitions: int | N
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))  # one machine, so its own folder is shared
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
