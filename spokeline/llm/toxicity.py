@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,7 @@ SUSPICIOUS = re.compile(
     rf"|(?<![^\W_]){_ONE}{{1,2}}(?:[.\-_*~'`^,/\\]{_ONE}{{1,2}}){{2,}}(?![^\W_])"
 )
 LETTER = re.compile(_L)
+DOUBLE = re.compile(r"(.)\1")
 TWO_LETTERS = re.compile(rf"{_L}.*{_L}", re.DOTALL)
 #: Punctuation around a chunk: brackets and marks, and runs of a sign at its end.
 EDGES = re.compile(r"""([("'\[{<]*)(.*?)((?:([^\w\s])\4{2,}|[.,;:!?"')\]}>])*)""", re.DOTALL)
@@ -91,6 +93,12 @@ def letter_model(rows: DataFrame) -> np.ndarray:
     return (-np.log(p3)).astype(np.float32)
 
 
+def flat(cost: np.ndarray | list[float]) -> list[float]:
+    """Costs as one list, which is quick to look up one by one: three slots in a row are at (first * SLOTS + second) * SLOTS + third."""
+    return cost if isinstance(cost, list) else cost.ravel().tolist()
+
+
+@lru_cache(maxsize=None)
 def readings(ch: str) -> list[tuple[str, float]]:
     """What a sign may stand for, with costs; an empty string drops it."""
     if ch in LOOK_ALIKES:
@@ -100,46 +108,49 @@ def readings(ch: str) -> list[tuple[str, float]]:
     return [("", SEPARATED)]
 
 
-def viterbi(span: str, cost: np.ndarray) -> str:
+def viterbi(span: str, cost: np.ndarray | list[float]) -> str:
     """The reading of least cost of a span."""
     return best_reading(span, cost)[1]
 
 
-def unchanged(span: str, cost: np.ndarray) -> float:
+def unchanged(span: str, cost: np.ndarray | list[float]) -> float:
     """The cost of a span that means what it says: its letters as words and its signs as signs, or all of it as a code."""
-    total, a, b, slot, signs = 0.0, 0, 0, slots(), 0
+    cost, slot = flat(cost), slots()
+    total, before, signs = 0.0, 0, 0  # before: place of the costs after the last two letters
     for ch in span:
         c = int(slot[ord(ch)])
-        total += float(cost[a, b, c]) if b or c else 0.0
+        total += cost[before + c] if c or before % SLOTS**2 else 0.0
         total += AS_IS if c else PLAIN_ON if signs else PLAIN
-        a, b, signs = (b, c, 0) if c else (0, 0, signs + 1)
-    return min(total + (float(cost[a, b, 0]) if b else 0.0), CODE + CODE_SIGN * len(span))
+        before, signs = (before % SLOTS**2 * SLOTS + c * SLOTS, 0) if c else (0, signs + 1)
+    return min(total + (cost[before] if before % SLOTS**2 else 0.0), CODE + CODE_SIGN * len(span))
 
 
-def best_reading(span: str, cost: np.ndarray) -> tuple[float, str]:
+def best_reading(span: str, cost: np.ndarray | list[float]) -> tuple[float, str]:
     """Cost and text of the reading of least cost: states are the last two letters, edges the channel's readings."""
-    slot = slots()
-    # a state's text is a chain of letters, so that a step costs the same however long the span is
-    states: dict[tuple[str, str], tuple[float, tuple | None]] = {("", ""): (0.0, None)}
+    cost, slot = flat(cost), slots()
+    # a state has its cost, its text as a chain of letters (so that a step costs the same however long the span is), and the place of the costs after it
+    states: dict[tuple[str, str], tuple[float, tuple | None, int]] = {("", ""): (0.0, None, 0)}
     letters = "".join(c for c in span if readings(c)[0][0])
     stretched = {m[1] for m in re.finditer(r"(.)\1\1", letters)}  # letters that are written three times in a row
     for ch in span:
-        new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
-        for (a, b), (so_far, said) in states.items():
+        new: dict[tuple[str, str], tuple[float, tuple | None, int]] = {}
+        again = REPEATED if ch in stretched else DOUBLED
+        for (a, b), (so_far, said, place) in states.items():
             for c, channel in readings(ch):
-                if c == "":
-                    options = [((a, b), so_far + channel, said)]
+                if c:
+                    sc = int(slot[ord(c)])
+                    total = so_far + channel + cost[place + sc]
+                    if (b, c) not in new or total < new[b, c][0]:
+                        new[b, c] = (total, (said, c), place % SLOTS**2 * SLOTS + sc * SLOTS)
+                    if c != b:
+                        continue
+                    total = so_far + channel + again  # the same letter, written once more
                 else:
-                    sa, sb, sc = slot[ord(a)] if a else 0, slot[ord(b)] if b else 0, slot[ord(c)]
-                    options = [((b, c), so_far + channel + float(cost[sa, sb, sc]), (said, c))]
-                    if c == b:  # the same letter, written once more
-                        options.append(((a, b), so_far + channel + (REPEATED if ch in stretched else DOUBLED), said))
-                for state, total, text in options:
-                    if state not in new or total < new[state][0]:
-                        new[state] = (total, text)
+                    total = so_far + channel
+                if (a, b) not in new or total < new[a, b][0]:
+                    new[a, b] = (total, said, place)
         states = new
-    slot_of = lambda x: slot[ord(x)] if x else 0
-    total, said = min(((total + float(cost[slot_of(a), slot_of(b), 0]), said) for (a, b), (total, said) in states.items()), key=lambda x: x[0])
+    total, said = min(((total + cost[place], said) for total, said, place in states.values()), key=lambda x: x[0])
     out = []
     while said:
         said, c = said
@@ -151,7 +162,7 @@ class Restorer:
     """Restores texts; remembers the chunks it has decoded."""
 
     def __init__(self, cost: np.ndarray):
-        self.cost, self.known = cost, {}
+        self.cost, self.known = flat(cost), {}
 
     def span(self, span: str) -> str:
         return viterbi(span, self.cost)
@@ -160,9 +171,14 @@ class Restorer:
         """A chunk without white space; signs around it that are mere punctuation stay."""
         out = self.known.get(chunk)
         if out is None:
-            head, core, tail = EDGES.fullmatch(chunk).group(1, 2, 3)
             out = chunk
-            if len(core) > 2 and LETTER.search(core) and SUSPICIOUS.search(core):
+            if chunk.isalpha():  # of letters alone, those with one written twice are looked at
+                head, core, tail = "", chunk, ""
+                look = DOUBLE.search(core)
+            else:
+                head, core, tail = EDGES.fullmatch(chunk).group(1, 2, 3)
+                look = LETTER.search(core) and SUSPICIOUS.search(core)
+            if len(core) > 2 and look:
                 total, said = best_reading(core, self.cost)
                 if total < unchanged(core, self.cost):
                     out = head + said + tail
