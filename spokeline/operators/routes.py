@@ -12,6 +12,8 @@ from ..functions.numfmt import FEET_PER_METRE, METRES_PER_MILE, distance_text, l
 METRES_PER_SECOND = 4.2
 MILE_LEG_M = 100.0
 
+# The texts and icon names of instructions in this module are shown as they stand.
+
 
 def turn_text(d: Column) -> Column:
     """What a bearing change says; exactly 30 and 150 belong to the sharper turn."""

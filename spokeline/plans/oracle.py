@@ -368,6 +368,7 @@ def oracle_sql() -> dict[str, str]:
         "edge_cell_index": sql(
             "SELECT sid, part, count(*) AS cells FROM (SELECT DISTINCT sid, part, cell_lat, cell_lng FROM (SELECT s.sid, s.part, unnest(generate_series(CAST(floor(least(lat1, lat2) * 1000) AS BIGINT), CAST(floor(greatest(lat1, lat2) * 1000) AS BIGINT))) AS cell_lat, lng1, lng2 FROM o_seg s JOIN o_net n ON n.sid = s.sid AND n.part = s.part WHERE a_key <> b_key) x, "
             "LATERAL (SELECT unnest(generate_series(CAST(floor(least(lng1, lng2) * 1000) AS BIGINT), CAST(floor(greatest(lng1, lng2) * 1000) AS BIGINT))) AS cell_lng) y) GROUP BY sid, part", "o_seg", "o_net"),
+        "road_extract": sql(f"SELECT road, seq, highway FROM fx_road_vertices WHERE highway IN {in_list(dims.ROAD_CLASSES)} AND road IN (SELECT road FROM fx_road_vertices WHERE lat BETWEEN 45.455 AND 45.465 AND lng BETWEEN -122.69 AND -122.66)", "fx_road_vertices"),
         "escaped_labels": sql(f"SELECT place_id, replace(replace(replace(concat_ws(' <&> ', name, street), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS label, {fixed('lat', 4)} || ', ' || {fixed('lng', 4)} AS point FROM fx_places", "fx_places"),
         "preference_count": sql("SELECT count(DISTINCT coalesce(nullif(group_id, ''), edge_key)) AS preferences FROM o_pref", "o_pref"),
         "preference_lines": sql("SELECT type, CAST(count(*) AS INTEGER) AS points, round(sum(lat), 4) AS lat_sum FROM fx_prefs p JOIN o_net n ON n.sid = p.sid AND n.part = 0 JOIN fx_vertices v ON v.sid = p.sid AND v.part = 0 GROUP BY type", "fx_prefs", "fx_vertices", "o_net"),

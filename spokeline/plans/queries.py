@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, geo, labels, numfmt
 from ..operators import builder, diagnostics, graph, navigation, paths, places, preferences, routes, spatial, store
+from ..sources import geojson
 from ..streaming import navigation as live
 from . import network as net
 from .fixtures import fixture
@@ -409,6 +410,11 @@ def directions_listed(s, d):
     return routes.directions(routes.from_edges(net.steps(s, d))).select("route_id", "idx", "text", "shown")
 
 
+@query
+def road_extract(s, d):
+    return geojson.roads_in(fixture(s, d, "fx_road_vertices"), (45.455, -122.69, 45.465, -122.66)).select("road", "seq", "highway")
+
+
 @query
 def escaped_labels(s, d):
     p = fixture(s, d, "fx_places")

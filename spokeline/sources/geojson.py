@@ -37,9 +37,11 @@ def quantised(v: DataFrame) -> DataFrame:
     return v.withColumns({"lat": geo.quantise(F.col("lat")), "lng": geo.quantise(F.col("lng"))})
 
 
-def roads_in(v: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """Vertices of roads of the extracted classes within (min_lat, min_lng, max_lat, max_lng); both tests reach a Parquet scan."""
-    return v.where(F.col("highway").isin(*dims.ROAD_CLASSES) & F.col("lat").between(box[0], box[2]) & F.col("lng").between(box[1], box[3]))
+def roads_in(v: DataFrame, box: tuple[float, float, float, float], key: str = "road") -> DataFrame:
+    """All vertices of the roads of the extracted classes that have one within (min_lat, min_lng, max_lat, max_lng): a road that leaves the box stays whole."""
+    classed = v.where(F.col("highway").isin(*dims.ROAD_CLASSES))
+    inside = classed.where(F.col("lat").between(box[0], box[2]) & F.col("lng").between(box[1], box[3]))
+    return classed.join(inside.select(key).distinct(), key, "left_semi")
 
 
 def pages(spark: SparkSession, path: str, page_size: int = 1000) -> DataFrame:
@@ -48,7 +50,8 @@ def pages(spark: SparkSession, path: str, page_size: int = 1000) -> DataFrame:
     docs = docs.select(F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).cast("int").alias("page"), "features", F.coalesce("exceededTransferLimit", F.lit(False)).alias("more"))
     n = F.coalesce(F.size("features"), F.lit(0))
     stops = docs.where((n == 0) | ~(F.col("more") | (n >= page_size))).agg(F.min("page").alias("stop"))
-    return docs.crossJoin(F.broadcast(stops)).where("stop is null or page <= stop").select("page", F.posexplode("features").alias("pos", "f"))  # one row
+    stop = stops.first()["stop"]  # one number
+    return docs.where(F.lit(True) if stop is None else F.col("page") <= stop).select("page", F.posexplode("features").alias("pos", "f"))
 
 
 def write_collection(rows: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# Limits, and the texts that riders hear, which are spoken as they stand.
 ANNOUNCE_M, REMIND_M, COOLDOWN_MS, ARRIVAL_M = 80.0, 20.0, 8000, 30.0
 OUT = "rider_id long, event_id long, ts timestamp, idx int, arrived boolean, off_route boolean, said string"
 STATE = "arrived boolean, last_idx int, last_ms long, seen_ms long"

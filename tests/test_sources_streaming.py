@@ -33,6 +33,16 @@ def test_pages_stop(spark, tmp_path):
     assert {r["page"]: r["count"] for r in got} == {0: 3, 1: 1, 2: 2}
 
 
+def test_roads_stay_whole_and_features_are_written(spark, tmp_path):
+    rows = [(1, 0, "primary", 45.0, -122.0), (1, 1, "primary", 46.0, -122.0), (2, 0, "primary", 46.0, -122.0), (3, 0, "footway", 45.0, -122.0)]
+    v = spark.createDataFrame(rows, "road long, seq int, highway string, lat double, lng double")
+    assert sorted((r["road"], r["seq"]) for r in geojson.roads_in(v, (44.9, -122.1, 45.1, -121.9)).collect()) == [(1, 0), (1, 1)]
+    out = v.select(F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates")).alias("geometry"), F.struct("highway").alias("properties"))
+    geojson.write_collection(out, str(tmp_path / "out"))
+    back = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(back) == 4 and all(f["type"] == "Feature" and len(f["geometry"]["coordinates"]) == 2 for f in back)
+
+
 def test_stream_equals_replay(spark, tmp_path):
     rows = [(1, i, 1_700_000_000 + 5 * i, 0 if i < 6 else 1, "Turn left", 100.0 - 12 * i if i < 8 else 5.0, 200.0 - 20 * i, False) for i in range(10)]
     df = spark.createDataFrame(rows, "rider_id long, event_id long, s long, idx int, next_text string, to_turn_m double, remaining_m double, off_route boolean")
