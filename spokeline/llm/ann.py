@@ -30,7 +30,7 @@ from .common import written
 from .vectors import stacked, usable
 
 BITS, PART = 64, 16
-#: Rows of a length that the rotation and the radius are learned on, at most: those with the smallest hashes of vec_id.
+#: Rows of a length that the rotation and the radius are learned on, at most: those with the smallest hashes of a share of them.
 SAMPLE = 8192
 #: Share of the sample's true neighbours that are within the radius.
 WITHIN = 0.96
@@ -72,7 +72,7 @@ def encode(x: np.ndarray, model: dict) -> np.ndarray:
 
 
 def substrings(codes: np.ndarray) -> np.ndarray:
-    return codes.view(np.uint16).reshape(len(codes), -1)
+    return codes.view(np.uint16).reshape(len(codes), BITS // PART)
 
 
 def reach(radius: int, part: int, parts: int = BITS // PART) -> int:
@@ -150,14 +150,17 @@ def found_by(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     spark = df.sparkSession
     rows = written(usable(df, id_col, vector_col, F.coalesce(is_query, F.lit(False)).alias("is_query")).withColumn("d", F.size("x")))
     schema = "query_id long, vec_id long, score double, looked long"
-    turn = F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("vec_id"), "vec_id", "x"))
-    sample = rows.withColumn("turn", turn).where(F.col("turn") <= SAMPLE).select("d", "x").toPandas()
-    if sample.empty:
+    counts = {r["d"]: r["count"] for r in rows.groupBy("d").count().collect()}  # a row for each length
+    if not counts:
         return spark.createDataFrame([], schema)
+    # a share of each length's rows that holds about twice the sample, so that no task gets a length whole
+    bound = F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, int(min(1.0, 2 * SAMPLE / n) * (1 << 30)))])
+    hashed = F.xxhash64("vec_id", "x")
+    turn = F.row_number().over(Window.partitionBy("d").orderBy(hashed, "vec_id", "x"))
+    sample = rows.where(F.pmod(hashed, F.lit(1 << 30)) < bound[F.col("d")]).withColumn("turn", turn).where(F.col("turn") <= SAMPLE).select("d", "x").toPandas()
     learned = {int(d): learn(stacked(part["x"]), k=k) for d, part in sample.groupby("d")}
     codes = written(coded(rows, spark.sparkContext.broadcast(learned)))
-    most = codes.groupBy("d").count().agg(F.max("count")).first()[0]
-    lead = min(PART, max(0, int(np.ceil(np.log2(most / SHARD_ROWS))))) if most else 0  # leading bits that deal an index to tasks
+    lead = min(PART, max(0, int(np.ceil(np.log2(max(counts.values()) / SHARD_ROWS)))))  # leading bits that deal an index to tasks
 
     parts = F.explode(F.sequence(F.lit(0), F.lit(BITS // PART - 1)))
     sub = F.expr(f"shiftrightunsigned(code, part * {PART}) & {(1 << PART) - 1}")
