@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html, jaccard, language, mixing, neardup, quality, toxicity
+from . import ann, bpe, chat, html, jaccard, language, mixing, neardup, quality, toxicity, whitening
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -66,6 +66,10 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), digest=True)
 
 
+def op13_whiten_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the mix SQL can express: sizes and targets."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
@@ -84,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op8_jaccard_forest": op8_jaccard_forest,
         "op9_ann_multi_index": op9_ann_multi_index,
         "op10_bpe_tree": op10_bpe_tree,
+        "op13_whiten_exact": op13_whiten_exact,
     }
 
 
