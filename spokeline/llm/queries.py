@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html, jaccard, language, mixing, neardup, periodic, quality, toxicity, whitening
+from . import ann, bpe, chat, html, jaccard, language, mixing, neardup, periodic, pii, quality, toxicity, whitening
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -66,6 +66,10 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), digest=True)
 
 
+def op11_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op12_runs_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.find(table(spark, sf_dir, "documents"), planted=True)
 
@@ -92,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op8_jaccard_forest": op8_jaccard_forest,
         "op9_ann_multi_index": op9_ann_multi_index,
         "op10_bpe_tree": op10_bpe_tree,
+        "op11_pii_semi_markov": op11_pii_semi_markov,
         "op12_runs_harmonic": op12_runs_harmonic,
         "op13_whiten_exact": op13_whiten_exact,
     }
