@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dims, geo
-from ..storage import written
-from . import spatial
+from ..functions import geo
+from . import cells, spatial
 
-MAX_POPS, MAX_STRAIGHT_M = 50_000, 20_000.0
-#: Directed edges that are broadcast as arrays (28 bytes each); a larger graph is relaxed by joins.
-MAX_BROADCAST_EDGES = 4_000_000
+MAX_STRAIGHT_M = 20_000.0
 
 
 def network_edges(edge_rows: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Directed edges of lines and of gaps together: src, dst, key, ct, name, distance."""
+    """Directed edges of lines and of gaps (key, a_key, b_key, ct, distance, maybe name) together: src, dst, key, ct, name, distance."""
     way = F.explode(F.array(F.struct(F.col("a_key").alias("src"), F.col("b_key").alias("dst")), F.struct(F.col("b_key").alias("src"), F.col("a_key").alias("dst"))))
-    both = gaps.select(way.alias("w"), "key", "ct", F.lit("").alias("name"), "distance").select("w.src", "w.dst", "key", "ct", "name", "distance")
+    name = F.col("name") if "name" in gaps.columns else F.lit("")
+    both = gaps.select(way.alias("w"), "key", "ct", name.alias("name"), "distance").select("w.src", "w.dst", "key", "ct", "name", "distance")
     return edge_rows.select("src", "dst", "key", "ct", "name", "distance").unionByName(both)
 
 
@@ -37,111 +30,9 @@ def endpoints(od: DataFrame, nodes: DataFrame, roads: DataFrame) -> DataFrame:
     return ends.select("od_id", "profile").join(one, "od_id").where("start_key is not null and end_key is not null and start_key <> end_key")
 
 
-class Graph:
-    """Adjacency as arrays: edges of node i are begin[i]..begin[i + 1]."""
-
-    def __init__(self, edges: pd.DataFrame, nodes: pd.DataFrame):
-        self.place = {k: i for i, k in enumerate(nodes["node_key"])}
-        self.lat, self.lng = np.radians(nodes["lat"].to_numpy()), np.radians(nodes["lng"].to_numpy())
-        src = edges["src"].map(self.place).to_numpy()
-        order = np.argsort(src, kind="stable")
-        self.begin = np.searchsorted(src[order], np.arange(len(nodes) + 1))
-        self.dst = edges["dst"].map(self.place).to_numpy()[order]
-        self.cost, self.edge = edges["cost"].to_numpy()[order], edges["edge_id"].to_numpy()[order]
-
-    def straight(self, to: int) -> np.ndarray:
-        h = np.sin((self.lat - self.lat[to]) / 2) ** 2 + np.cos(self.lat) * np.cos(self.lat[to]) * np.sin((self.lng - self.lng[to]) / 2) ** 2
-        return geo.EARTH_M * 2 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
-
-    def path(self, start: str, end: str) -> tuple[float, list[int]] | None:
-        """Cost and edges of the guided search; None without a path or past the limit of pops."""
-        a, z = self.place.get(start), self.place.get(end)
-        if a is None or z is None:
-            return None
-        left = dims.LEAST_WEIGHT * self.straight(z)
-        best, came, closed = {a: 0.0}, {}, set()
-        heap, pops, count = [(left[a], 0, a)], 0, 0
-        while heap:
-            pops += 1
-            if pops > MAX_POPS:
-                return None
-            _, _, u = heapq.heappop(heap)
-            if u == z:
-                out, at = [], z
-                while at != a:
-                    at, e = came[at]
-                    out.append(e)
-                return best[z], out[::-1]
-            if u in closed:
-                continue
-            closed.add(u)
-            for k in range(self.begin[u], self.begin[u + 1]):
-                v, g = int(self.dst[k]), best[u] + self.cost[k]
-                if v not in closed and g < best.get(v, np.inf):
-                    best[v], came[v] = g, (u, int(self.edge[k]))
-                    count += 1
-                    heapq.heappush(heap, (g + left[v], count, v))
-        return None
+def guided(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, graph: cells.Graph | None = None) -> DataFrame:
+    """od_id, pos, edge_id, cost of each path's edges, over a graph of any size; there is no limit of search effort.
 
-
-def guided(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """od_id, pos, edge_id, cost of each path's edges; pairs are dealt over tasks, the graph (of checked size) is broadcast.
-
-    edges: edge_id, src, dst, cost. Geometry stays in Spark and is joined by edge_id afterwards. A graph of more edges or nodes
-    than MAX_BROADCAST_EDGES stays in Spark and is relaxed by joins, without the limit of pops.
+    edges: edge_id, src, dst, cost. Geometry stays in Spark and is joined by edge_id afterwards. graph: these edges and nodes, dealt before.
     """
-    if edges.count() > MAX_BROADCAST_EDGES or nodes.count() > MAX_BROADCAST_EDGES:
-        ends = nodes.select(F.col("node_key").alias("end_key")).distinct()
-        starts = nodes.select(F.col("node_key").alias("start_key")).distinct()
-        return traced(pairs.join(ends, "end_key", "left_semi").join(starts, "start_key", "left_semi"), edges)
-    graph = pairs.sparkSession.sparkContext.broadcast(Graph(edges.select("edge_id", "src", "dst", "cost").orderBy("edge_id").toPandas(), nodes.select("node_key", "lat", "lng").orderBy("node_key").toPandas()))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for od_id, a, z in zip(pdf["od_id"], pdf["start_key"], pdf["end_key"], strict=True):
-                found = graph.value.path(a, z)
-                if found:
-                    yield pd.DataFrame({"od_id": od_id, "pos": range(len(found[1])), "edge_id": found[1], "cost": found[0]})
-
-    slots = max(pairs.sparkSession.sparkContext.defaultParallelism, 1)
-    return pairs.select("od_id", "start_key", "end_key").repartition(slots, "od_id").mapInPandas(search, "od_id long, pos long, edge_id long, cost double")
-
-
-def _settled(pairs: DataFrame, edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """od_id, node, cost, via (edge_id and src of the last edge) of reached nodes, and the goals: only improved nodes go on, none past the best known end."""
-    e = written(edges.groupBy("src", "dst").agg(F.min(F.struct("cost", "edge_id")).alias("e")).select("src", "dst", F.col("e.cost").alias("step"), F.struct("e.edge_id", "src").alias("by")))
-    pairs = written(pairs.select("od_id", "start_key", "end_key"))
-    least = lambda x: x.groupBy("od_id", "node").agg(F.min(F.struct("cost", "via")).alias("m")).select("od_id", "node", "m.*")
-    known = written(pairs.select("od_id", F.col("start_key").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(e.schema["by"].dataType).alias("via")))
-    goal = pairs.select("od_id", F.col("end_key").alias("goal"))
-    fresh = known
-    for _ in range(rounds):
-        reached = known.join(goal, (known["od_id"] == goal["od_id"]) & (known["node"] == goal["goal"])).select(known["od_id"], F.col("cost").alias("bound"))
-        step = least(fresh.join(e, fresh["node"] == e["src"]).select("od_id", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("by").alias("via")))
-        step = step.join(reached, "od_id", "left").where("bound is null or cost < bound").drop("bound")
-        better = step.join(known.select("od_id", "node", F.col("cost").alias("old")), ["od_id", "node"], "left").where("old is null or cost < old").drop("old")
-        fresh = written(better.select("od_id", "node", "cost", "via"))
-        if fresh.isEmpty():
-            return known, goal
-        known = written(least(known.unionByName(fresh)))
-    raise RuntimeError(f"paths did not settle in {rounds} rounds")
-
-
-def relaxed(pairs: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """od_id and least cost by rounds of joins, for graphs of any size."""
-    known, goal = _settled(pairs, edges, rounds)
-    return known.join(goal, (known["od_id"] == goal["od_id"]) & (known["node"] == goal["goal"])).select(known["od_id"], "cost")
-
-
-def traced(pairs: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """od_id, pos, edge_id, cost of each path's edges by rounds of joins: relaxed, then walked back from the ends one edge a round."""
-    known, goal = _settled(pairs, edges, rounds)
-    at = written(known.join(goal, (known["od_id"] == goal["od_id"]) & (known["node"] == goal["goal"])).select(known["od_id"], "via", F.col("cost").alias("total"), F.lit(0).cast("long").alias("back")).where("via is not null"))
-    before = known.select("od_id", F.col("node").alias("src"), F.col("via").alias("earlier"))
-    walked = at
-    while not at.isEmpty():
-        back = at.select("od_id", F.col("via.src").alias("src"), "total", (F.col("back") + 1).alias("back"))
-        at = written(back.join(before, ["od_id", "src"]).where("earlier is not null").select("od_id", F.col("earlier").alias("via"), "total", "back"))
-        walked = written(walked.unionByName(at))
-    hops = walked.groupBy("od_id").agg(F.max("back").alias("last"))
-    return walked.join(hops, "od_id").select("od_id", (F.col("last") - F.col("back")).alias("pos"), F.col("via.edge_id").alias("edge_id"), F.col("total").alias("cost"))
+    return cells.search(pairs, graph or cells.Graph(edges, nodes))

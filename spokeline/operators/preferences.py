@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo
 from .graph import edge_key, node_key
+from .spatial import GAP_CELLS, GAP_M, around, within
 
 MAX_PIECE_M = 200.0
 
@@ -68,6 +69,71 @@ def injected(cut: DataFrame, connected: DataFrame) -> DataFrame:
     return fresh.withColumn("n", first).where("n = 1").drop("n").withColumn("ct", F.lit("_PREF"))
 
 
+# -- replay of stored preferences -----------------------------------------------------------------
+def _is_line(drawn: DataFrame) -> DataFrame:
+    """Whether a stored preference is a drawn line of several pieces; the others are single edges with given ends."""
+    return drawn.withColumn("is_line", F.coalesce(F.size("all_edge_keys") > 1, F.lit(False)) & (F.coalesce(F.size("coords"), F.lit(0)) > 0))
+
+
+def replayed_pieces(drawn: DataFrame) -> DataFrame:
+    """insert_seq, step, name, a_key, b_key, key, metres and coords of the edges that each stored preference asks for.
+
+    drawn: insert_seq (in the order of storing), edge_key, all_edge_keys, coords, name. A preference of several keys is cut into pieces again; one of a single key
+    is an edge between the nodes that its key names, if it has two points.
+    """
+    rows = _is_line(drawn)
+    many = pieces(rows.where("is_line"), "insert_seq").join(rows.select("insert_seq", "name"), "insert_seq")
+    ends = F.split("edge_key", r"\|")
+    one = rows.where(~F.col("is_line") & (F.size("coords") >= 2)).withColumn("ends", ends).where("size(ends) = 2 and ends[0] <> ends[1]")
+    one = one.select("insert_seq", F.lit(0).alias("step"), "name", F.col("ends")[0].alias("a_key"), F.col("ends")[1].alias("b_key"), geo.polyline_length(F.col("coords")).alias("metres"), "coords")
+    one = one.withColumn("key", edge_key(F.col("a_key"), F.col("b_key")))
+    return many.withColumn("step", F.col("from_idx")).select("insert_seq", "step", "name", "a_key", "b_key", "key", "metres", "coords").unionByName(one)
+
+
+def _made_points(drawn: DataFrame) -> DataFrame:
+    """insert_seq, step, node_key, lat, lng of the nodes that replaying asks for: both ends of each piece, and of each drawn line."""
+    p = replayed_pieces(drawn)
+    at = lambda i, key, step: F.struct(F.col(key).alias("node_key"), F.element_at("coords", i)["lat"].alias("lat"), F.element_at("coords", i)["lng"].alias("lng"), step.cast("int").alias("step"))
+    made = p.select("insert_seq", F.explode(F.array(at(1, "a_key", F.col("step") * 2 + 1), at(-1, "b_key", F.col("step") * 2 + 2))).alias("n")).select("insert_seq", "n.*")
+    return made.unionByName(line_ends(drawn).where("end = 0").select("insert_seq", "node_key", "lat", "lng", F.lit(0).alias("step")))
+
+
+def line_ends(drawn: DataFrame) -> DataFrame:
+    """insert_seq, end (0, 1), node_key, lat, lng of both ends of each drawn line of two points or more."""
+    rows = _is_line(drawn).where("is_line and size(coords) >= 2")
+    ends = rows.select("insert_seq", F.posexplode(F.array(F.element_at("coords", 1), F.element_at("coords", -1))).alias("end", "p")).select("insert_seq", "end", "p.*")
+    return ends.withColumn("node_key", node_key(F.col("lat"), F.col("lng")))
+
+
+def nodes_after(drawn: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes, and those that replaying makes: node_key, lat, lng, cells and made (the preference that made it, null for those that were there); the first maker gives the coordinates."""
+    new = _made_points(drawn).groupBy("node_key").agg(F.min(F.struct("insert_seq", "step", "lat", "lng")).alias("m")).select("node_key", "m.lat", "m.lng", F.col("m.insert_seq").alias("made"))
+    new = new.join(nodes.select("node_key"), "node_key", "left_anti").withColumns({"cell_lat": geo.cell(F.col("lat")), "cell_lng": geo.cell(F.col("lng"))})
+    cols = ["node_key", "lat", "lng", "cell_lat", "cell_lng"]
+    return nodes.select(*cols, F.lit(None).cast("long").alias("made")).unionByName(new.select(*cols, "made"))
+
+
+def replayed(drawn: DataFrame, nodes: DataFrame, connected: DataFrame) -> DataFrame:
+    """Edges that replaying stored preferences adds: key, a_key, b_key, ct, name, distance, coords (from a_key to b_key) and insert_seq.
+
+    Replaying asks, preference after preference, for the edges of its pieces and then for plain gaps from each end of its line to all nodes within reach that
+    are there by then; what finds its two nodes connected is refused. So of all that asks for a pair of nodes the first one wins, an ordered minimum over
+    (preference, pieces before gaps, place), and only where nothing connected them before (connected: key). No step waits for another.
+    """
+    p = replayed_pieces(drawn)
+    asks = p.select("key", F.struct("insert_seq", F.lit(0).alias("phase"), "step").alias("at"), F.struct("a_key", "b_key", F.lit("_PREF").alias("ct"), "name", F.col("metres").alias("distance"), "coords").alias("e"))
+    ends = line_ends(drawn).withColumns({"e_cell_lat": geo.cell(F.col("lat")), "e_cell_lng": geo.cell(F.col("lng"))})
+    a = around(ends, GAP_CELLS, "e_cell_lat", "e_cell_lng").select("insert_seq", "end", F.col("node_key").alias("a_key"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), "e_cell_lat", "e_cell_lng", "x", "y")
+    b = within(nodes_after(drawn, nodes), GAP_CELLS).select(F.col("node_key").alias("b_key"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), "cell_lat", "cell_lng", "made", "x", "y")
+    near = (F.abs(F.col("cell_lat") - F.col("e_cell_lat")) <= GAP_CELLS) & (F.abs(F.col("cell_lng") - F.col("e_cell_lng")) <= GAP_CELLS)
+    there = (F.col("a_key") != F.col("b_key")) & (F.col("made").isNull() | (F.col("made") <= F.col("insert_seq")))
+    found = a.join(b, ["x", "y"]).where(near & there).withColumn("distance", geo.haversine(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))).where(F.col("distance") <= GAP_M)
+    point = lambda n: F.struct(F.col(f"{n}_lat").alias("lat"), F.col(f"{n}_lng").alias("lng"))
+    links = found.select(edge_key(F.col("a_key"), F.col("b_key")).alias("key"), F.struct("insert_seq", F.lit(1).alias("phase"), F.col("end").alias("step")).alias("at"), F.struct("a_key", "b_key", F.lit("_GAP").alias("ct"), F.lit("").alias("name"), "distance", F.array(point("a"), point("b")).alias("coords")).alias("e"))
+    first = asks.unionByName(links).groupBy("key").agg(F.min_by(F.struct("e", "at"), "at").alias("w")).select("key", "w.e.*", F.col("w.at.insert_seq").alias("insert_seq"))
+    return first.join(connected.select("key").distinct(), "key", "left_anti")
+
+
 def counted(prefs: DataFrame) -> DataFrame:
     """How many preferences there are, a group as one."""
     return unique(prefs).agg(F.count("*").alias("preferences"))

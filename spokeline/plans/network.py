@@ -8,11 +8,12 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, navigation, routes, spatial
+from ..operators import cells, graph, navigation, paths, preferences, routes, spatial
 from ..storage import written
 from .fixtures import fixture
 
 _built: dict[tuple[str, str, str], DataFrame] = {}
+_graphs: dict[tuple[str, str, str], cells.Graph] = {}
 
 
 def once(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -99,18 +100,29 @@ def updates(spark: SparkSession, d: str) -> DataFrame:
     return navigation.updates(matches(spark, d), nav_instructions(spark, d), nav_facts(spark, d))
 
 
+def cheapest(costs: DataFrame) -> DataFrame:
+    """Of parallel edges the cheapest."""
+    best = costs.groupBy("src", "dst").agg(F.min(F.struct("cost", "key", "ct", "distance", "name")).alias("e")).select("src", "dst", "e.*")
+    return best.withColumn("edge_id", F.xxhash64("src", "dst"))
+
+
 @once
-def weighted_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Directed edges of lines and gaps with cost, geometry and a number: of parallel ones the cheapest; drawn preferences override."""
-    from ..operators import paths, preferences
+def bridges(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.gap_edges(gaps(spark, d), roads(spark, d))
+
 
-    n, r = net(spark, d), roads(spark, d)
-    bridges = spatial.gap_edges(gaps(spark, d), r)
-    both = paths.network_edges(graph.edges(n), bridges)
-    cheapest = lambda costs: costs.groupBy("src", "dst").agg(F.min(F.struct("cost", "key", "ct", "distance", "name")).alias("e")).select("src", "dst", "e.*")
+def both_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Directed edges of lines and gaps, parallel ones kept."""
+    return paths.network_edges(graph.edges(net(spark, d)), bridges(spark, d))
+
+
+@once
+def weighted_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Directed edges of lines and gaps with cost and a number: of parallel ones the cheapest; drawn preferences override."""
+    both = both_ways(spark, d)
     plain = cheapest(graph.costs(both)).withColumn("overridden", F.lit(False))
     drawn = cheapest(graph.costs(both, preferences.overrides(prefs(spark, d)))).withColumn("overridden", F.lit(True))
-    return plain.unionByName(drawn).withColumn("edge_id", F.xxhash64("src", "dst"))
+    return plain.unionByName(drawn)
 
 
 def edges_of(spark: SparkSession, d: str, overridden: bool = False) -> DataFrame:
@@ -118,6 +130,55 @@ def edges_of(spark: SparkSession, d: str, overridden: bool = False) -> DataFrame
     return e.where(F.col("overridden") == overridden).drop("overridden")
 
 
+# -- drawn lines in the graph ---------------------------------------------------------------------
+@once
+def drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Stored preferences in the order they were stored: every route as a drawn line of many pieces, and the single preferences of lines that are there."""
+    c = F.col
+    coords = F.transform(F.array_sort(F.collect_list(F.struct("idx", "lat", "lng"))), lambda v: F.struct(v["lat"].alias("lat"), v["lng"].alias("lng")))
+    lines = route_points(spark, d).groupBy("route_id").agg(coords.alias("coords"))
+    keys = preferences.keys_of(preferences.pieces(lines, "route_id"), "route_id").select("route_id", "keys")
+    kind = F.when(c("route_id") % 300 == 107, "nogo").otherwise("preferred")
+    many = lines.join(keys, "route_id").select((c("route_id") * 2).alias("insert_seq"), c("keys")[0].alias("edge_key"), kind.alias("type"), F.concat(F.lit("d"), c("route_id").cast("string")).alias("group_id"), c("keys").alias("all_edge_keys"), "coords", F.lit("Drawn").alias("name"))
+    one = prefs(spark, d).where("group_id is null").join(net(spark, d).where("part = 0").select("sid", "coords", "name"), "sid")
+    one = one.select((c("insert_seq") * 2 + 1).alias("insert_seq"), "edge_key", "type", F.lit(None).cast("string").alias("group_id"), F.lit(None).cast("array<string>").alias("all_edge_keys"), "coords", "name")
+    return many.unionByName(one)
+
+
+@once
+def replayed(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that replaying the drawn preferences adds to the network."""
+    there = net(spark, d).where("a_key <> b_key").select("key").union(gaps(spark, d).select("key"))
+    return preferences.replayed(drawn(spark, d), nodes(spark, d), there)
+
+
+@once
+def drawn_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return preferences.nodes_after(drawn(spark, d), nodes(spark, d))
+
+
+@once
+def drawn_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted edges of the network with the replayed ones, under the drawn preferences."""
+    both = paths.network_edges(both_ways(spark, d), replayed(spark, d))
+    return cheapest(graph.costs(both, preferences.overrides(drawn(spark, d))))
+
+
+def graph_of(spark: SparkSession, d: str, kind: str = "plain") -> cells.Graph:
+    """The plain network, that under overrides, or that with drawn lines, dealt to cells once a session."""
+    key = (spark.sparkContext.applicationId, kind, d)
+    if key not in _graphs:
+        edges = drawn_edges(spark, d) if kind == "drawn" else edges_of(spark, d, kind == "overridden")
+        _graphs[key] = cells.Graph(edges, drawn_nodes(spark, d) if kind == "drawn" else nodes(spark, d))
+    return _graphs[key]
+
+
+def found_paths(spark: SparkSession, d: str, kind: str = "plain") -> DataFrame:
+    """od_id, pos, edge_id, cost of the cheapest path of each pair."""
+    n = drawn_nodes(spark, d) if kind == "drawn" else nodes(spark, d)
+    return cells.search(paths.endpoints(fixture(spark, d, "fx_od"), n, roads(spark, d)), graph_of(spark, d, kind))
+
+
 def geometry(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
     """edges with coords in their direction: of the first line of that key, class and length, else straight between the nodes."""
     line = graph.edges(net(spark, d))
@@ -152,12 +213,12 @@ def replies(spark: SparkSession, d: str, pairs: DataFrame, steps: DataFrame) ->
 
 def guided_routes(spark: SparkSession, d: str, overridden: bool = False) -> tuple[DataFrame, DataFrame]:
     """Routes and instructions of all pairs, end to end."""
-    from ..operators import guided, paths
+    from ..operators import guided
 
     n, edges = nodes(spark, d), edges_of(spark, d, overridden)
     od = fixture(spark, d, "fx_od")
     found = written(paths.endpoints(od, n, roads(spark, d)))
-    steps = paths.guided(found, edges, n).drop("cost").join(edges, "edge_id")
+    steps = cells.search(found, graph_of(spark, d, "overridden" if overridden else "plain")).drop("cost").join(edges, "edge_id")
     steps = written(geometry(spark, d, steps).select("od_id", "pos", "ct", "name", "distance", "coords"))
     for end in ("start", "end"):
         found = found.join(n.select(F.col("node_key").alias(f"{end}_key"), F.col("lat").alias(f"{end}_node_lat"), F.col("lng").alias(f"{end}_node_lng")), f"{end}_key")

@@ -266,6 +266,29 @@ GUIDED = f"""
             LEFT JOIN o_legs x ON x.od_id = c.od AND x.which = 'first' LEFT JOIN o_legs y ON y.od_id = c.od AND y.which = 'last' LEFT JOIN o_told t ON t.od = c.od"""
 
 
+#: Replay of drawn lines (route r is stored as number 2r): nodes with their maker, what is asked for in order, and what is new; the lines' single preferences ask for edges that are there.
+REPLAY = fold_along("o_cut", 200) + PIECES + f""",
+            o_taken AS (SELECT v.route_id, v.idx, v.lat, v.lng, {key('v.lat', 'v.lng')} AS node_key FROM o_cut c JOIN fx_route_vertices v ON v.route_id = c.route_id AND v.idx = c.idx WHERE c.taken),
+            o_node_d AS (SELECT node_key, lat, lng, cy, cx, -1 AS made FROM o_node
+              UNION ALL SELECT node_key, lat, lng, CAST(floor(lat * 1000) AS BIGINT), CAST(floor(lng * 1000) AS BIGINT), made FROM (SELECT node_key, arg_min(lat, route_id * 100 + idx) AS lat, arg_min(lng, route_id * 100 + idx) AS lng FROM o_taken WHERE node_key NOT IN (SELECT node_key FROM o_node) GROUP BY node_key)
+                JOIN (SELECT node_key AS k, min(route_id) AS made FROM o_taken GROUP BY node_key) ON k = node_key),
+            o_asked AS (
+              SELECT key, route_id AS seq, 0 AS phase, since AS step, '_PREF' AS ct, metres AS distance FROM o_piece
+              UNION ALL SELECT least(a, b) || '|' || greatest(a, b), seq, 1, step, '_GAP', distance FROM (
+                SELECT e.route_id AS seq, CASE WHEN e.idx = 0 THEN 0 ELSE 1 END AS step, e.node_key AS a, n.node_key AS b, {hav('e.lat', 'e.lng', 'n.lat', 'n.lng')} AS distance FROM o_taken e JOIN o_node_d n
+                ON n.made <= e.route_id AND n.node_key <> e.node_key AND n.cy BETWEEN CAST(floor(e.lat * 1000) AS BIGINT) - 3 AND CAST(floor(e.lat * 1000) AS BIGINT) + 3 AND n.cx BETWEEN CAST(floor(e.lng * 1000) AS BIGINT) - 3 AND CAST(floor(e.lng * 1000) AS BIGINT) + 3
+                WHERE e.idx IN (0, 23)) WHERE distance <= 250),
+            o_added AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq, phase, step) AS n FROM o_asked) WHERE n = 1 AND key NOT IN (SELECT key FROM o_net WHERE a_key <> b_key UNION ALL SELECT key FROM o_gap))"""
+
+#: The network with the new edges under the drawn preferences.
+OVER_DRAWN = f""",
+            o_over_d AS (SELECT key, arg_max(type, seq) AS type FROM (SELECT key, CASE WHEN route_id % 300 = 107 THEN 'nogo' ELSE 'preferred' END AS type, route_id * 2 AS seq FROM o_piece UNION ALL SELECT edge_key, type, insert_seq * 2 + 1 FROM o_pref WHERE group_id IS NULL) GROUP BY key),
+            o_every_cost AS (SELECT * FROM o_edge_cost UNION ALL SELECT *, {COST} AS cost FROM (
+              SELECT split_part(key, '|', 1) AS src, split_part(key, '|', 2) AS dst, key, ct, '' AS name, distance, NULL, NULL, 0 FROM o_added UNION ALL SELECT split_part(key, '|', 2), split_part(key, '|', 1), key, ct, '', distance, NULL, NULL, 1 FROM o_added)),
+            o_snap_d AS ({DERIVED['o_snap'][1].replace('o_node', 'o_node_d')})"""
+OVERRIDDEN = "(SELECT e.* REPLACE (CASE WHEN o.type = 'preferred' THEN 0.5 * distance ELSE cost END AS cost) FROM {edges} e LEFT JOIN {over} o ON o.key = e.key WHERE o.type IS NULL OR o.type <> 'nogo')"
+
+
 def oracle_sql() -> dict[str, str]:
     d_raw = bear("was[1]", "was[2]", "c1", "c2") + " - " + bear("a1", "a2", "was[1]", "was[2]")
     out = {
@@ -421,7 +444,12 @@ def oracle_sql() -> dict[str, str]:
             recursive=BEST.format(table="o_edge_cost") + SEARCH),
         "shortest_path_overrides": sql(
             "SELECT od_id, round(cost, 3) AS cost FROM d JOIN o_goal g ON g.od_id = d.src AND g.z = d.node", "o_edge", "o_gap_ct", "o_snap", "fx_od", "o_override",
-            recursive=BEST.format(table="(SELECT e.* REPLACE (CASE WHEN o.type = 'preferred' THEN 0.5 * distance ELSE cost END AS cost) FROM o_edge_cost e LEFT JOIN o_override o ON o.key = e.key WHERE o.type IS NULL OR o.type <> 'nogo')") + SEARCH),
+            recursive=BEST.format(table=OVERRIDDEN.format(edges="o_edge_cost", over="o_override")) + SEARCH),
+        "preference_replay": sql("SELECT key, ct, round(distance, 3) AS metres, seq * 2 AS insert_seq FROM o_added", "fx_route_vertices", "o_measured", "o_node", "o_net", "o_gap", recursive=REPLAY),
+        "path_over_drawn": sql(
+            "SELECT g.od_id, round(d.cost, 3) AS cost, coalesce(w.drawn, 0) AS drawn, round(coalesce(w.metres, 0.0), 3) AS drawn_m FROM d JOIN o_goal g ON g.od_id = d.src AND g.z = d.node LEFT JOIN (SELECT od, count(*) AS drawn, sum(distance) AS metres FROM o_way WHERE ct = '_PREF' GROUP BY od) w ON w.od = g.od_id",
+            "fx_route_vertices", "o_measured", "o_node", "o_net", "o_gap", "o_edge", "o_gap_ct", "o_ask", "o_road", "fx_od", "o_pref",
+            recursive=REPLAY + ", " + BEST.partition("o_best AS")[0].rstrip().removesuffix(",") + OVER_DRAWN + ", o_best AS" + BEST.partition("o_best AS")[2].format(table=OVERRIDDEN.format(edges="o_every_cost", over="o_over_d")) + SEARCH.replace("o_snap", "o_snap_d") + GUIDED_PARTS.partition("o_pt AS")[0].rstrip().removesuffix(",")),
         "guided_route_full": sql(GUIDED, "o_edge", "o_gap_ct", "o_snap", "fx_od", "fx_vertices", "o_node", recursive=BEST.format(table="o_edge_cost") + SEARCH + GUIDED_PARTS),
     }
     shown = f"CASE WHEN metres > 0 THEN CASE WHEN step_m < 160 THEN CAST({half_up('step_m')} AS VARCHAR) || ' m' ELSE {fixed('(step_m / 1609.34)', 1)} || ' mi' END ELSE '' END"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims, geo, labels, numfmt
-from ..operators import builder, diagnostics, graph, navigation, paths, places, preferences, routes, spatial, store
+from ..operators import builder, diagnostics, graph, navigation, places, preferences, routes, spatial, store
 from ..sources import geojson
 from ..streaming import navigation as live
 from . import network as net
@@ -381,17 +381,27 @@ def waypoint_fold(s, d):
 
 @query
 def shortest_path_cost(s, d):
-    pairs = paths.endpoints(fixture(s, d, "fx_od"), net.nodes(s, d), net.roads(s, d))
-    steps = paths.guided(pairs, net.edges_of(s, d), net.nodes(s, d))
-    return steps.groupBy("od_id").agg(m(F.max("cost")).alias("cost"))
+    return net.found_paths(s, d).groupBy("od_id").agg(m(F.max("cost")).alias("cost"))
 
 
 @query
 def shortest_path_overrides(s, d):
     """The same under drawn preferences: preferred edges are cheap, no-go edges are not there."""
-    pairs = paths.endpoints(fixture(s, d, "fx_od"), net.nodes(s, d), net.roads(s, d))
-    steps = paths.guided(pairs, net.edges_of(s, d, overridden=True), net.nodes(s, d))
-    return steps.groupBy("od_id").agg(m(F.max("cost")).alias("cost"))
+    return net.found_paths(s, d, "overridden").groupBy("od_id").agg(m(F.max("cost")).alias("cost"))
+
+
+@query
+def preference_replay(s, d):
+    """Edges that stored preferences add to the network, in the order in which they were stored."""
+    return net.replayed(s, d).select("key", "ct", m(c("distance")).alias("metres"), "insert_seq")
+
+
+@query
+def path_over_drawn(s, d):
+    """Cheapest paths over the network with drawn lines in it: cost, and how many of the edges are drawn."""
+    steps = net.found_paths(s, d, "drawn").join(net.drawn_edges(s, d).select("edge_id", "ct", "distance"), "edge_id")
+    is_drawn = c("ct") == "_PREF"
+    return steps.groupBy("od_id").agg(m(F.max("cost")).alias("cost"), F.count_if(is_drawn).alias("drawn"), m(F.coalesce(F.sum(F.when(is_drawn, c("distance"))), F.lit(0.0))).alias("drawn_m"))
 
 
 @query

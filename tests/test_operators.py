@@ -77,18 +77,6 @@ def test_paths_match_dijkstra_both_ways(spark):
     for k in want:  # the edges are a chain of that cost
         chain = [raw[r["edge_id"]] for r in sorted((r for r in found if r["od_id"] == k), key=lambda r: r["pos"])]
         assert all(x[1] == y[0] for x, y in zip(chain, chain[1:])) and abs(sum(c for *_, c in chain) - want[k]) < 1e-6
-    relaxed = {r["od_id"]: r["cost"] for r in paths.relaxed(pairs, edges).collect()}
-    assert relaxed.keys() == want.keys() and all(abs(relaxed[k] - want[k]) < 1e-6 for k in want)
-
-
-def test_paths_of_a_graph_too_large_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(paths, "MAX_BROADCAST_EDGES", 3)
-    raw = [("a", "b", 120.0), ("b", "c", 120.0), ("a", "c", 250.0), ("c", "d", 120.0), ("a", "d", 500.0)]
-    edges = spark.createDataFrame([(i, s, t, c) for i, (s, t, c) in enumerate(raw)], "edge_id long, src string, dst string, cost double")
-    nd = spark.createDataFrame([(k, 45.43 + i * 0.001, -122.6) for i, k in enumerate("abcd")], "node_key string, lat double, lng double")
-    pairs = spark.createDataFrame([(1, "a", "d"), (2, "d", "a"), (3, "a", "nowhere")], "od_id long, start_key string, end_key string")
-    found = paths.guided(pairs, edges, nd).orderBy("od_id", "pos").collect()
-    assert [tuple(r) for r in found] == [(1, 0, 0, 360.0), (1, 1, 1, 360.0), (1, 2, 3, 360.0)]
 
 
 def test_preference_groups(spark):
