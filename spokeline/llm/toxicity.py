@@ -10,7 +10,8 @@ at most, as further repeats of one word are no further evidence.
 
 Defined results: null and empty texts have no terms and get the offset alone as their score; without toxic labels every score is near 0.
 A doc_id that labels give twice is toxic if either says so. Readings of equal cost go to the one found first. Texts that repeat are learned once. Repeated rows are scored
-each; other columns are not read.
+each; other columns are not read. Whole texts are read in time that grows with their length, whatever runs of signs they hold; terms are learned from
+MAX_LABELLED labelled rows at most.
 """
 
 from __future__ import annotations
@@ -42,19 +43,19 @@ PLAIN, PLAIN_ON, CODE, CODE_SIGN = 4.0, 2.3, 4.0, 3.6
 _L = "[^\\W\\d_]"
 _SIGN = "[" + re.escape("".join(LOOK_ALIKES)) + "]"
 _ONE = "(?:[^\\W_]|" + _SIGN + ")"
-#: Letters and signs one by one with blanks between them, anywhere in a text, also in brackets or before punctuation.
-SPACED = re.compile(rf"""(?<![^\s("'\[{{<])(?:{_ONE} ){{3,}}(?:[^\W_]|[@$])(?=[.,;:!?"')\]}}>]*(?:\s|$))""")
-#: Chunks without white space that may be obfuscated: signs beside letters, a letter three times (twice in a
-#: word of letters alone), letters and signs by ones and twos.
-SUSPICIOUS = re.compile(
-    rf"{_L}{_SIGN}|{_SIGN}{_L}|({_L})\1\1|^(?={_L}*({_L})\2){_L}+$"
-    rf"|(?<![^\W_]){_ONE}{{1,2}}(?:[.\-_*~'`^,/\\]{_ONE}{{1,2}}){{2,}}(?![^\W_])"
-)
+#: Letters and signs one by one with blanks between them, as many as there are, anywhere in a text, also in brackets; what may follow such a row's last letter.
+SPACED = re.compile(rf"""(?<![^\s("'\[{{<]){_ONE}(?: {_ONE}){{3,}}+""")
+ROW_END = re.compile(r"""[.,;:!?"')\]}>]*+(?=\s|\Z)""")
+LAST = re.compile(r"[^\W_]|[@$]")
+#: Chunks without white space that may be obfuscated: signs beside letters, a letter three times (twice in a word of letters alone).
+SUSPICIOUS = re.compile(rf"{_L}{_SIGN}|{_SIGN}{_L}|({_L})\1\1|^(?={_L}*({_L})\2){_L}+$")
+#: What letters and signs by ones and twos are told apart by.
+BY_ONES = frozenset(".-_*~'`^,/\\")
 LETTER = re.compile(_L)
 DOUBLE = re.compile(r"(.)\1")
 TWO_LETTERS = re.compile(rf"{_L}.*{_L}", re.DOTALL)
-#: Punctuation around a chunk: brackets and marks, and runs of a sign at its end.
-EDGES = re.compile(r"""([("'\[{<]*)(.*?)((?:([^\w\s])\4{2,}|[.,;:!?"')\]}>])*)""", re.DOTALL)
+#: Punctuation around a chunk: brackets and marks, and runs of three or more of a sign at its end.
+OPENING, CLOSING = "(\"'[{<", ".,;:!?\"')]}>"
 #: Labelled rows that terms are learned from, at most: those with the smallest hashes of doc_id.
 MAX_LABELLED = 20_000
 #: A term counts when so many toxic texts (and this share of them) have it, and with so much weight, a log likelihood ratio.
@@ -66,6 +67,39 @@ MOST_OF_A_WORD = 3
 REMEMBERED = 300_000
 
 
+def edges(chunk: str) -> tuple[str, str, str]:
+    """A chunk without the punctuation around it, and that: found from both ends, each sign looked at once."""
+    core = chunk.lstrip(OPENING)
+    lo, hi = len(chunk) - len(core), len(chunk)
+    while hi > lo:
+        c, at = chunk[hi - 1], hi - 1
+        while at > lo and chunk[at - 1] == c:
+            at -= 1
+        if c not in CLOSING and (hi - at < 3 or c.isalnum() or c == "_"):
+            break
+        hi = at
+    return chunk[:lo], chunk[lo:hi], chunk[hi:]
+
+
+def by_ones(core: str) -> bool:
+    """Whether three or more groups of one or two letters and signs stand with separators between them and nothing else beside; all readings are followed at once."""
+    groups: set[tuple[int, int]] = set()  # (groups so far, three at most; signs in the last one, 0 after a separator)
+    before = ""
+    for c in core:
+        one, letter = c.isalnum() or c in LOOK_ALIKES, c.isalnum()
+        if not letter and any(n == 3 and k for n, k in groups):
+            return True
+        new = set()
+        if c in BY_ONES:
+            new = {(n, 0) for n, k in groups if k}
+        if one:
+            new |= {(n, 2) for n, k in groups if k == 1} | {(min(3, n + 1), 1) for n, k in groups if not k}
+            if not before.isalnum():
+                new.add((1, 1))
+        groups, before = new, c
+    return any(n == 3 and k for n, k in groups)
+
+
 # -- source model ---------------------------------------------------------------------------------
 def letter_model(rows: DataFrame) -> np.ndarray:
     """Costs of a letter after two others, from the grams of all documents (SLOTS^3 sums at most come back)."""
@@ -176,8 +210,8 @@ class Restorer:
                 head, core, tail = "", chunk, ""
                 look = DOUBLE.search(core)
             else:
-                head, core, tail = EDGES.fullmatch(chunk).group(1, 2, 3)
-                look = LETTER.search(core) and SUSPICIOUS.search(core)
+                head, core, tail = edges(chunk)
+                look = LETTER.search(core) and (SUSPICIOUS.search(core) or by_ones(core))
             if len(core) > 2 and look:
                 total, said = best_reading(core, self.cost)
                 if total < unchanged(core, self.cost):
@@ -189,7 +223,16 @@ class Restorer:
 
     def joined(self, text: str | None) -> str:
         """The lower-case text, with letters that stand one by one joined and decoded."""
-        return SPACED.sub(lambda m: self.span(m[0]) if TWO_LETTERS.search(m[0]) else m[0], text.lower()) if text else ""
+        return SPACED.sub(self.row, text.lower()) if text else ""
+
+    def row(self, m: re.Match) -> str:
+        """A row of single signs, joined up to the last one that may end a word."""
+        said, n = m[0], len(m[0]) - 1
+        if not ROW_END.match(m.string, m.end()):
+            n -= 2
+        while n >= 6 and not LAST.match(said, n):
+            n -= 2
+        return self.span(said[: n + 1]) + said[n + 1 :] if n >= 6 and TWO_LETTERS.search(said, 0, n + 1) else said
 
     def restore(self, text: str | None) -> str:
         return re.sub(r"\S+", lambda m: self.chunk(m[0]), self.joined(text))
