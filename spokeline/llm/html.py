@@ -3,7 +3,8 @@
 A page is cut into tags and text, and a tree of its containers is kept while reading. Each block of text (paragraph,
 heading, list entry, ...) is worth points for its length and its commas, discounted by the share of its letters that stand in
 links; it passes them to its container whole, and each container passes half of what it gets on to its own, up to the top. Containers whose name, class, id
-or role says menu, header, footer, sidebar, notice, advert, form or comments are left out. The container with the
+or role says menu, header, footer, sidebar, notice, advert, form or comments are left out, but names that speak of a layout or state (`has-sidebar`) do not count, html and body are never left out,
+main and article by name only as comments. A link counts if it has a target and is closed before the next one. The container with the
 most points is the article; siblings with a fair share of its points are kept with it. A page is read once from
 left to right, and its tree is gone over once in each direction, so the time grows with the page's length whatever is in it.
 
@@ -16,6 +17,7 @@ that comes first. Repeated rows are read each; a null page_id or url is kept; ot
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -32,19 +34,24 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_ITS_KIND = frozenset("p li dt dd td th".split())
 # Words of class, id and role that mark what is not the article.
 NOT_MAIN = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside"
+    r"ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside"
     r"|widget|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|cookie\w*|consent|notice|notices|alert|popup|modal|overlay|disclaimer|copyright"
-    r"|comments?|replies|disqus|form|search|pagination|pager|tags|complementary|contentinfo|skip)(?:$|[\s_-])",
+    r"|comments?|replies|disqus|form|search|pagination|pager|tags|complementary|contentinfo|skip",
     re.IGNORECASE,
 )
+COMMENT = re.compile(r"(?:^|\s)(?:comments?|reply|replies)(?:[_-]\S*)?(?:\s|$)", re.IGNORECASE)
+# Words beside those in a name that say how a page is laid out or what state it is in, not what the element is.
+STATE = frozenset("no not non has have with without is are hide hides hidden show shows off on enable enabled disable disabled ready active inactive open opened closed loaded visible free less allowed accepted".split())
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text|hentry)(?:$|[\s_-])", re.IGNORECASE)
 
 #: A whole tag; no part of it is read twice. What it does not take is scanned by hand.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 QUOTE_OR_END = re.compile("[>\"']")
-NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+NAMING = frozenset(("class", "id", "role", "itemprop"))
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+LINK_TAG = re.compile(r"<(/?)a(?=[\s>/])", re.IGNORECASE)
 #: What a container passes on of the points it gets.
 PASSED_ON = 0.5
 #: A sibling of the best container with this share of its points is kept.
@@ -59,6 +66,36 @@ class Node:
         self.points, self.blocks, self.children = 0.0, [], []
 
 
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by their small-letter names; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+@lru_cache(maxsize=10_000)
+def marks_other(names: str) -> bool:
+    """Whether a name of a class list says that this is not the article: one of its words does, and none speaks of a state."""
+    for name in names.split():
+        words = re.split(r"[_-]+", name)
+        if any(map(NOT_MAIN.fullmatch, words)) and not any(w.lower() in STATE for w in words):
+            return True
+    return False
+
+
+def closed_links(html: str) -> set[int]:
+    """Where links begin that are closed before the next one begins."""
+    out, last = set(), -1
+    for m in LINK_TAG.finditer(html):
+        if not m[1]:
+            last = m.start()
+        elif last >= 0:
+            out.add(last)
+            last = -1
+    return out
+
+
 def points(text: str, linked: int) -> float:
     """One point, one for each comma, one for each hundred letters (three at most), less what stands in links."""
     return (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - linked / max(1, len(text)))
@@ -67,14 +104,18 @@ def points(text: str, linked: int) -> float:
 class Page:
     """One pass over a page's tags: the containers, and the blocks of text in them."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, by_class: bool = True):
+        self.by_class = by_class
+        self.links = closed_links(html)
+        self.link_depth = 0  # open elements when the open link began
         self.top = self.at = Node("", None, False)
         self.nodes = [self.top]  # containers before what they contain
         self.open: list[tuple[str, Node]] = []  # open elements that matter, with the container they stand in
         self.places: dict[str, list[int]] = {}  # where elements of a name stand among the open ones
         self.walls: list[int] = []  # where containers do
-        self.kind, self.said, self.linked, self.in_link = "", [], 0, 0
-        self.never: set[str] = set()  # raw elements that are not closed any more
+        self.kind, self.said, self.linked, self.in_link = "", [], 0, False
+        self.seen: set[str] = set()  # names of elements that the page has
+        self.never: set[str] = set()  # ends that do not come any more
         self.read(html)
         self.end_block()
 
@@ -103,14 +144,18 @@ class Page:
                 self.places[inner].pop()
                 if self.walls and self.walls[-1] == len(self.open):
                     self.walls.pop()
+            if self.in_link and self.link_depth > k:
+                self.in_link = False  # a link ends with what it stands in
 
     def start(self, name: str, attributes: str) -> None:
         self.end_block()
         # paragraphs and entries close one of their kind that is open in the same container
         if name in CLOSES_ITS_KIND and self.places.get(name) and self.places[name][-1] > (self.walls[-1] if self.walls else -1):
             self.close(name)
-        names = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)) if "=" in attributes else ""
-        out = self.at.out or name in LEFT_OUT or bool(names and NOT_MAIN.search(names)) or bool(attributes and HIDDEN.search(attributes))
+        given = attributes_of(attributes) if attributes else {}
+        names = " ".join(v for k, v in given.items() if k in NAMING)
+        out = self.at.out or name in LEFT_OUT or (name not in ("html", "body") and self.says_other(name, names, given))
+        self.seen.add(name)
         self.places.setdefault(name, []).append(len(self.open))
         if name not in BLOCKS:
             self.walls.append(len(self.open))
@@ -123,6 +168,14 @@ class Page:
             self.at.children.append(node)
             self.at = node
 
+    def says_other(self, name: str, names: str, given: dict[str, str]) -> bool:
+        """Whether the attributes of an element leave it out: hidden ones; by class, main and article only as comments."""
+        if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or NO_DISPLAY.search(given.get("style", "")):
+            return True
+        if not names or not self.by_class:
+            return False
+        return bool(COMMENT.search(names)) if name in ("main", "article") else marks_other(names)
+
     @staticmethod
     def tag(html: str, at: int) -> tuple[str, str, str, int] | None:
         """(slash, name, attributes, end) of the tag at a place: it ends at the first > outside quotes; None if nothing ends it."""
@@ -151,7 +204,9 @@ class Page:
                 return
             if sign in "!?":
                 mark, close = ("<!--", "-->") if html.startswith("<!--", lt) else ("<![CDATA[", "]]>") if html.startswith("<![CDATA[", lt) else (sign, ">")
-                stop = html.find(close, lt + len(mark) if len(mark) > 1 else lt)
+                stop = -1 if close in self.never else html.find(close, lt + len(mark) if len(mark) > 1 else lt)
+                if stop < 0:
+                    self.never.add(close)
                 if stop < 0 and mark != "<!--":
                     stop = html.find(close := ">", lt)
                     if stop < 0:
@@ -168,14 +223,14 @@ class Page:
                 self.text(html[lt:])
                 return
             slash, name, attributes, at = got
-            at = self.element(html, slash, name.lower(), attributes, at)
+            at = self.element(html, slash, name.lower(), attributes, at, lt)
 
-    def element(self, html: str, slash: str, name: str, attributes: str, at: int) -> int:
-        """What a tag does; returns where to read on."""
+    def element(self, html: str, slash: str, name: str, attributes: str, at: int, begin: int) -> int:
+        """What a tag (from begin to at) does; returns where to read on."""
         alone = attributes.endswith("/")
         if slash:
             if name == "a":
-                self.in_link = max(0, self.in_link - 1)
+                self.in_link = False
             elif name in BLOCKS or name in CONTAINERS or name in LEFT_OUT:
                 self.end_block()
                 self.close(name)
@@ -188,7 +243,7 @@ class Page:
             if not alone and name in ("script", "style"):
                 return len(html)
         elif name == "a":
-            self.in_link += 1
+            self.in_link, self.link_depth = begin in self.links and "href" in attributes_of(attributes), len(self.open)
         elif name in ("br", "hr"):
             self.said.append(" ")
             if name == "hr":
@@ -247,7 +302,14 @@ class Page:
 
 
 def main_text(html: str | None) -> str:
-    return "\n".join(Page(html).main()) if html else ""
+    """The article's blocks. Where classes leave a page with an article or main element without any, they are not looked at."""
+    if not html:
+        return ""
+    page = Page(html)
+    blocks = page.main()
+    if not blocks and page.seen & {"article", "main"}:
+        blocks = Page(html, by_class=False).main()
+    return "\n".join(blocks)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
