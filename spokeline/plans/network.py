@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cells, graph, navigation, paths, preferences, routes, spatial
-from ..storage import written
+from ..storage import new_path, written
 from .fixtures import fixture
 
 _built: dict[tuple[str, str, str], DataFrame] = {}
@@ -49,6 +49,42 @@ def gaps(spark: SparkSession, d: str) -> DataFrame:
     return spatial.gap_pairs(nodes(spark, d), net(spark, d).where("a_key <> b_key"))
 
 
+# -- extracts as a server hands them out ----------------------------------------------------------
+def feature_texts(spark: SparkSession, d: str) -> DataFrame:
+    """sid, geometry (JSON text) and attributes of the lines' features: of one part or of several."""
+    point = F.array(F.element_at("v", 2), F.element_at("v", 1))  # longitude first
+    v = fixture(spark, d, "fx_vertices").select("sid", "part", "seq", F.array("lat", "lng").alias("v")).select("sid", "part", "seq", point.alias("v"))
+    lines = v.groupBy("sid", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "v"))), lambda x: x["v"]).alias("line"))
+    parts = lines.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]).alias("parts"))
+    one = F.size("parts") == 1
+    geometry = F.concat(F.when(one, '{"type":"LineString","coordinates":').otherwise('{"type":"MultiLineString","coordinates":'), F.when(one, F.to_json(F.col("parts")[0])).otherwise(F.to_json("parts")), F.lit("}"))
+    return parts.select("sid", geometry.alias("geometry")).join(fixture(spark, d, "fx_lines").select("sid", "ct_raw", "name"), "sid")
+
+
+def paged(spark: SparkSession, features: DataFrame, more) -> str:
+    """Folder of pages: features (page, pos, text) as one document each; more: whether the server says that another page follows."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), ",")
+    docs = features.groupBy("page").agg(listed.alias("texts")).select("page", F.concat(F.lit('{"type":"FeatureCollection","exceededTransferLimit":'), more.cast("string"), F.lit(',"features":['), "texts", F.lit("]}")).alias("value"))
+    path = new_path(spark)
+    docs.repartition("page").write.partitionBy("page").text(path)
+    return path
+
+
+def line_pages(spark: SparkSession, d: str) -> str:
+    """Pages of the lines' features; the sixth says that no more follow, though some do."""
+    properties = F.to_json(F.struct("sid", F.col("ct_raw").alias("ConnectionType"), F.col("name").alias("StreetName")))
+    text = F.concat(F.lit('{"type":"Feature","geometry":'), "geometry", F.lit(',"properties":'), properties, F.lit("}"))
+    return paged(spark, feature_texts(spark, d).select(F.floor(F.col("sid") / 1000).alias("page"), F.col("sid").alias("pos"), text.alias("text")), F.col("page") % 7 != 5)
+
+
+def road_pages(spark: SparkSession, d: str) -> str:
+    """Pages of the roads' features."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.array("lng", "lat").alias("p")))), lambda x: x["p"])
+    roads = fixture(spark, d, "fx_road_vertices").groupBy("road", "highway").agg(line.alias("line"))
+    text = F.concat(F.lit('{"type":"Feature","geometry":{"type":"LineString","coordinates":'), F.to_json("line"), F.lit('},"properties":'), F.to_json(F.struct("road", "highway")), F.lit("}"))
+    return paged(spark, roads.select(F.floor(F.col("road") / 30).alias("page"), F.col("road").alias("pos"), text.alias("text")), F.lit(True))
+
+
 def prefs(spark: SparkSession, d: str) -> DataFrame:
     """edge_key, type, insert_seq, group_id, all_edge_keys of drawn preferences; a group lists all its keys."""
     lines = net(spark, d).where("part = 0").select("sid", F.col("key").alias("edge_key"))

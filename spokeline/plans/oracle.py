@@ -392,6 +392,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT sid, part, count(*) AS cells FROM (SELECT DISTINCT sid, part, cell_lat, cell_lng FROM (SELECT s.sid, s.part, unnest(generate_series(CAST(floor(least(lat1, lat2) * 1000) AS BIGINT), CAST(floor(greatest(lat1, lat2) * 1000) AS BIGINT))) AS cell_lat, lng1, lng2 FROM o_seg s JOIN o_net n ON n.sid = s.sid AND n.part = s.part WHERE a_key <> b_key) x, "
             "LATERAL (SELECT unnest(generate_series(CAST(floor(least(lng1, lng2) * 1000) AS BIGINT), CAST(floor(greatest(lng1, lng2) * 1000) AS BIGINT))) AS cell_lng) y) GROUP BY sid, part", "o_seg", "o_net"),
         "road_extract": sql(f"SELECT road, seq, highway FROM fx_road_vertices WHERE highway IN {in_list(dims.ROAD_CLASSES)} AND road IN (SELECT road FROM fx_road_vertices WHERE lat BETWEEN 45.455 AND 45.465 AND lng BETWEEN -122.69 AND -122.66)", "fx_road_vertices"),
+        "paged_scan": sql("SELECT v.sid, CAST(floor(v.sid / 1000.0) AS BIGINT) AS page, any_value(ct_raw) AS ct, count(DISTINCT part) AS parts, count(*) AS points, round(sum(lat), 6) AS lat_sum FROM fx_vertices v JOIN fx_lines l ON l.sid = v.sid WHERE v.sid < 6000 GROUP BY v.sid", "fx_vertices", "fx_lines"),
+        "collection_document": sql("SELECT v.sid, CASE WHEN max(part) > 0 THEN 'MultiLineString' ELSE 'LineString' END AS type, any_value(ct_raw) AS ct, any_value(name) AS name, count(*) AS points, round(sum(lng), 6) AS lng_sum FROM fx_vertices v JOIN fx_lines l ON l.sid = v.sid GROUP BY v.sid", "fx_vertices", "fx_lines"),
         "escaped_labels": sql(f"SELECT place_id, replace(replace(replace(concat_ws(' <&> ', name, street), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS label, {fixed('lat', 4)} || ', ' || {fixed('lng', 4)} AS point FROM fx_places", "fx_places"),
         "preference_count": sql("SELECT count(DISTINCT coalesce(nullif(group_id, ''), edge_key)) AS preferences FROM o_pref", "o_pref"),
         "preference_lines": sql("SELECT type, CAST(count(*) AS INTEGER) AS points, round(sum(lat), 4) AS lat_sum FROM fx_prefs p JOIN o_net n ON n.sid = p.sid AND n.part = 0 JOIN fx_vertices v ON v.sid = p.sid AND v.part = 0 GROUP BY type", "fx_prefs", "fx_vertices", "o_net"),
@@ -452,6 +454,7 @@ def oracle_sql() -> dict[str, str]:
             recursive=REPLAY + ", " + BEST.partition("o_best AS")[0].rstrip().removesuffix(",") + OVER_DRAWN + ", o_best AS" + BEST.partition("o_best AS")[2].format(table=OVERRIDDEN.format(edges="o_every_cost", over="o_over_d")) + SEARCH.replace("o_snap", "o_snap_d") + GUIDED_PARTS.partition("o_pt AS")[0].rstrip().removesuffix(",")),
         "guided_route_full": sql(GUIDED, "o_edge", "o_gap_ct", "o_snap", "fx_od", "fx_vertices", "o_node", recursive=BEST.format(table="o_edge_cost") + SEARCH + GUIDED_PARTS),
     }
+    out["road_extract_pushed"] = out["road_extract"]
     shown = f"CASE WHEN metres > 0 THEN CASE WHEN step_m < 160 THEN CAST({half_up('step_m')} AS VARCHAR) || ' m' ELSE {fixed('(step_m / 1609.34)', 1)} || ' mi' END ELSE '' END"
     inner = out["instructions_from_edges"].replace("round(distance, 3) AS metres, round(step, 3) AS step_m", "distance AS metres, step AS step_m")
     out["directions_listed"] = f"SELECT route_id, idx, text, {shown} AS shown FROM ({inner})"

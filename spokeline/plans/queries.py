@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, geo, labels, numfmt
 from ..operators import builder, diagnostics, graph, navigation, places, preferences, routes, spatial, store
-from ..sources import geojson
+from ..sources import geojson, paged
+from ..storage import new_path
 from ..streaming import navigation as live
 from . import network as net
 from .fixtures import fixture
@@ -425,6 +426,36 @@ def road_extract(s, d):
     return geojson.roads_in(fixture(s, d, "fx_road_vertices"), (45.455, -122.69, 45.465, -122.66)).select("road", "seq", "highway")
 
 
+@query
+def paged_scan(s, d):
+    """Features of a paged extract up to the page that ends it, read a page a task."""
+    rows = paged.read(s, net.line_pages(s, d), "page int, sid long, type string, coordinates string, ConnectionType string")
+    v = geojson.vertices(rows).groupBy("sid").agg(F.count_distinct("part").alias("parts"), F.count("*").alias("points"), m(F.sum("lat"), 6).alias("lat_sum"))
+    return rows.select("sid", c("page").cast("long").alias("page"), c("ConnectionType").alias("ct")).join(v, "sid")
+
+
+@query
+def road_extract_pushed(s, d):
+    """The road extract from a paged source that is asked for classes and a box."""
+    box = (45.455, -122.69, 45.465, -122.66)
+    rows = paged.read(s, net.road_pages(s, d), "road long, highway string, type string, coordinates string, min_lat double, max_lat double, min_lng double, max_lng double")
+    rows = rows.where(c("highway").isin(*dims.ROAD_CLASSES) & (c("max_lat") >= box[0]) & (c("max_lng") >= box[1]) & (c("min_lat") <= box[2]) & (c("min_lng") <= box[3]))
+    v = geojson.vertices(rows, "road").join(rows.select("road", "highway"), "road")
+    return geojson.roads_in(v, box).select("road", "seq", "highway")
+
+
+@query
+def collection_document(s, d):
+    """The lines' features written as one document, and read back."""
+    f = net.feature_texts(s, d)
+    path = new_path(s) + ".geojson"
+    geometry = F.from_json("geometry", "type string, coordinates variant")
+    paged.write_document(f.select(geometry.alias("geometry"), F.struct(c("ct_raw").alias("ConnectionType"), c("name").alias("StreetName"), c("sid").cast("string").alias("FromStreet")).alias("properties")), path)
+    back = geojson.features(s, path).withColumn("sid", c("FromStreet").cast("long"))
+    v = geojson.vertices(back).groupBy("sid").agg(F.count("*").alias("points"), m(F.sum("lng"), 6).alias("lng_sum"))
+    return back.select("sid", "type", c("ConnectionType").alias("ct"), c("StreetName").alias("name")).join(v, "sid")
+
+
 @query
 def escaped_labels(s, d):
     p = fixture(s, d, "fx_places")
