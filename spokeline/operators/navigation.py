@@ -10,6 +10,8 @@ from ..functions import geo
 from ..functions.numfmt import round_half_up
 
 OFF_ROUTE_M, ARRIVAL_M, PASSED_M, FALLBACK_SPEED = 50.0, 30.0, 10.0, 4.17
+#: The off-route banner goes so long after the last fix on the route.
+BANNER_MS = 2000
 
 
 def measured(vertices: DataFrame) -> DataFrame:
@@ -42,6 +44,18 @@ def matched(fixes: DataFrame, routes: DataFrame) -> DataFrame:
     return best.withColumns({"off_m": c("m.d"), "along_m": c("m.along"), "seg": c("m.seg"), "matched_lat": c("m.lat"), "matched_lng": c("m.lng")}).drop("m", "__fix")
 
 
+def placed(fixes: DataFrame) -> DataFrame:
+    """The same for rows that have their route's segments beside them, as streams do: the nearest segment is the least element of an array, so no row is shuffled."""
+    c = F.col
+
+    def near(s: Column) -> Column:
+        t = geo.project_t(c("lat"), c("lng"), s["lat1"], s["lng1"], s["lat2"], s["lng2"])
+        lat, lng = s["lat1"] + t * (s["lat2"] - s["lat1"]), s["lng1"] + t * (s["lng2"] - s["lng1"])
+        return F.struct(geo.haversine(c("lat"), c("lng"), lat, lng).alias("d"), s["seg"].alias("seg"), (s["before"] + t * s["length"]).alias("along"))
+
+    return fixes.withColumn("m", F.array_min(F.transform("segments", near))).withColumns({"off_m": c("m.d"), "along_m": c("m.along")}).drop("m", "segments")
+
+
 def current_instruction(along: Column, instructions: Column) -> Column:
     """Index of the last instruction of the longest prefix that has been passed. instructions: array of struct(distance, text)."""
     ok = F.transform(instructions, lambda x, i: (i == 0) | (along >= x["distance"] - PASSED_M))
@@ -49,20 +63,40 @@ def current_instruction(along: Column, instructions: Column) -> Column:
     return F.when(bad == 0, F.size(instructions) - 1).otherwise(bad - 2).cast("int")
 
 
-def updates(matches: DataFrame, instructions: DataFrame, facts: DataFrame) -> DataFrame:
-    """One update for each fix: instruction, distance to the next turn, what remains, time, off-route and arrival (which latches).
-
-    instructions: route_id, instructions (array of struct(distance, text) in order). facts: route_id, distance, time.
-    """
-    m = matches.join(instructions, "route_id").join(facts.select("route_id", F.col("distance").alias("route_m"), F.col("time").alias("route_s")), "route_id")
-    m = m.withColumn("idx", current_instruction(F.col("along_m"), F.col("instructions")))
+def progress(matches: DataFrame) -> DataFrame:
+    """matches (with their route's instructions, route_m and route_s) with instruction, distance to the next turn, what remains, time and off-route."""
+    m = matches.withColumn("idx", current_instruction(F.col("along_m"), F.col("instructions")))
     nxt = F.get("instructions", F.col("idx") + 1)
     remaining = F.greatest(F.lit(0.0), F.col("route_m") - F.col("along_m"))
     # a route of time 0 has an infinite speed, so nothing remains; length 0 falls back
     speed = F.coalesce(F.nullif(F.try_divide(F.col("route_m"), F.col("route_s")), F.lit(0.0)), F.lit(FALLBACK_SPEED))
     m = m.withColumns({"to_turn_m": F.coalesce(F.greatest(F.lit(0.0), nxt["distance"] - F.col("along_m")), F.lit(0.0)), "remaining_m": remaining, "next_text": nxt["text"]})
     eta = F.when((F.col("route_s") == 0) & (F.col("route_m") > 0), F.lit(0).cast("long")).otherwise(round_half_up(F.col("remaining_m") / speed))
+    return m.withColumns({"eta_s": eta, "off_route": F.col("off_m") > OFF_ROUTE_M})
+
+
+def updates(matches: DataFrame, instructions: DataFrame, facts: DataFrame) -> DataFrame:
+    """One update for each fix: instruction, distance to the next turn, what remains, time, off-route and arrival (which latches).
+
+    instructions: route_id, instructions (array of struct(distance, text) in order). facts: route_id, distance, time.
+    """
+    m = progress(matches.join(instructions, "route_id").join(facts.select("route_id", F.col("distance").alias("route_m"), F.col("time").alias("route_s")), "route_id"))
     w = Window.partitionBy("rider_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     arrived = F.max((F.col("remaining_m") < ARRIVAL_M).cast("int")).over(w) == 1
     heading = F.when(~F.isnan("heading"), F.col("heading"))
-    return m.select("rider_id", "event_id", "ts", "route_id", heading.alias("heading"), "idx", "next_text", "to_turn_m", "remaining_m", eta.alias("eta_s"), (F.col("off_m") > OFF_ROUTE_M).alias("off_route"), arrived.alias("arrived"))
+    return m.select("rider_id", "event_id", "ts", "route_id", heading.alias("heading"), "idx", "next_text", "to_turn_m", "remaining_m", "eta_s", "off_route", arrived.alias("arrived"))
+
+
+def banner_intervals(rows: DataFrame) -> DataFrame:
+    """rider_id, event_id (of the fix that showed it), shown_ms and hidden_ms (null: it stays) of the off-route banner.
+
+    It is shown by a fix off the route. A fix on the route starts a timer of BANNER_MS, every further fix stops it or starts it anew; when it runs out the banner goes. So it goes after a
+    fix on the route with no other within that time, and the fixes up to there hold one interval, if one of them was off the route. rows: rider_id, event_id, ts, off_route.
+    """
+    w = Window.partitionBy("rider_id").orderBy("ms", "event_id")
+    r = rows.select("rider_id", "event_id", F.unix_millis("ts").alias("ms"), "off_route").withColumn("next", F.lead("ms").over(w))
+    r = r.withColumn("ends", ~F.col("off_route") & (F.col("next").isNull() | (F.col("next") >= F.col("ms") + BANNER_MS)))
+    r = r.withColumn("part", F.coalesce(F.sum(F.col("ends").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = F.min(F.when(F.col("off_route"), F.struct("ms", "event_id")))
+    out = r.groupBy("rider_id", "part").agg(first.alias("f"), F.max(F.when(F.col("ends"), F.col("ms") + BANNER_MS)).alias("hidden_ms")).where("f is not null")
+    return out.select("rider_id", "f.event_id", F.col("f.ms").alias("shown_ms"), "hidden_ms")

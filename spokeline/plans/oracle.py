@@ -372,6 +372,11 @@ def oracle_sql() -> dict[str, str]:
             """SELECT m.event_id, CASE WHEN isnan(heading) THEN NULL ELSE heading END AS heading, a.idx, round(coalesce(greatest(0.0, x.distance - along_m), 0.0), 3) AS to_turn_m, round(greatest(0.0, t.total - along_m), 3) AS remaining_m, off_m > 50 AS off_route,
                bool_or(greatest(0.0, t.total - along_m) < 30) OVER (PARTITION BY rider_id ORDER BY ts, m.event_id) AS arrived
             FROM o_match m JOIN o_asof a ON a.event_id = m.event_id LEFT JOIN o_inst x ON x.route_id = m.route_id AND x.i = a.idx + 1 JOIN (SELECT route_id, sum(length) AS total FROM o_measured GROUP BY route_id) t ON t.route_id = m.route_id""", "o_match", "o_asof", "o_inst", "o_measured"),
+        "off_route_banner": sql(
+            """SELECT rider_id, event_id, ms AS shown_ms, hides AS hidden_ms FROM o_off f WHERE NOT EXISTS (SELECT 1 FROM o_off p WHERE p.rider_id = f.rider_id AND p.i < f.i AND coalesce(p.hides, 9e18) > f.ms)""",
+            "o_match", recursive="""o_fix AS (SELECT rider_id, event_id, off_m > 50 AS off, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY rider_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM o_match),
+            o_hide AS (SELECT a.rider_id, a.i, a.ms + 2000 AS at FROM o_fix a LEFT JOIN o_fix b ON b.rider_id = a.rider_id AND b.i = a.i + 1 WHERE NOT a.off AND (b.ms IS NULL OR b.ms >= a.ms + 2000)),
+            o_off AS (SELECT f.*, (SELECT min(h.at) FROM o_hide h WHERE h.rider_id = f.rider_id AND h.i > f.i) AS hides FROM o_fix f WHERE off)"""),
         "search_cascade": sql(
             """SELECT query_id, tier, place_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place_id) AS rank FROM (
               SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM (

@@ -300,6 +300,12 @@ def nav_announcements(s, d):
     return live.replay(net.updates(s, d)).drop("ts")
 
 
+@query
+def off_route_banner(s, d):
+    """When the off-route banner was shown and hidden to each rider."""
+    return navigation.banner_intervals(net.updates(s, d))
+
+
 @query
 def search_cascade(s, d):
     p = fixture(s, d, "fx_places")

@@ -25,14 +25,13 @@ def voice(m: float) -> str:
     return "a tenth of a mile" if tenths <= 1 else f"{tenths} tenths of a mile"
 
 
-def advance(state: tuple[bool, int, int], fix) -> tuple[tuple[bool, int, int], str | None]:
-    """One fix of a rider: the new state (arrived, index announced last, when) and what is said."""
+def advance(state: tuple[bool, int, int], fix, now: int) -> tuple[tuple[bool, int, int], str | None]:
+    """One fix of a rider at a millisecond: the new state (arrived, index announced last, when) and what is said."""
     arrived, last_idx, last_ms = state
     if not arrived and fix.remaining_m < ARRIVAL_M:
         return (True, last_idx, last_ms), "You have arrived at your destination."
     if arrived or fix.next_text is None or pd.isna(fix.next_text):
         return state, None
-    now = int(fix.ts.value // 1_000_000) if hasattr(fix.ts, "value") else int(fix.ts.timestamp() * 1000)
     if fix.idx != last_idx and fix.to_turn_m <= ANNOUNCE_M:
         return (arrived, int(fix.idx), now), f"In {voice(fix.to_turn_m)}, {fix.next_text}"
     if fix.to_turn_m <= REMIND_M and fix.idx == last_idx and now - last_ms > COOLDOWN_MS:
@@ -52,7 +51,7 @@ def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.Da
         if ms < seen:
             continue
         seen = ms
-        (arrived, last_idx, last_ms), said = advance((arrived, last_idx, last_ms), fix)
+        (arrived, last_idx, last_ms), said = advance((arrived, last_idx, last_ms), fix, ms)
         rows.append((key[0], fix.event_id, fix.ts, int(fix.idx), arrived, bool(fix.off_route), said))
     state.update((arrived, last_idx, last_ms, seen))
     state.setTimeoutDuration(3_600_000)
@@ -71,7 +70,7 @@ def replay(updates: DataFrame) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         state, rows = (False, -1, 0), []
         for fix in pdf.sort_values(["ts", "event_id"]).itertuples():
-            state, said = advance(state, fix)
+            state, said = advance(state, fix, int(fix.ts.value // 1_000_000))
             rows.append((fix.rider_id, fix.event_id, fix.ts, int(fix.idx), state[0], bool(fix.off_route), said))
         return pd.DataFrame(rows, columns=["rider_id", "event_id", "ts", "idx", "arrived", "off_route", "said"])
 
