@@ -81,8 +81,14 @@ def edges(chunk: str) -> tuple[str, str, str]:
     return chunk[:lo], chunk[lo:hi], chunk[hi:]
 
 
+#: Without a group of one or two between two separators there are no three groups.
+BETWEEN = re.compile(f"[{re.escape(''.join(sorted(BY_ONES)))}]{_ONE}{{1,2}}[{re.escape(''.join(sorted(BY_ONES)))}]")
+
+
 def by_ones(core: str) -> bool:
     """Whether three or more groups of one or two letters and signs stand with separators between them and nothing else beside; all readings are followed at once."""
+    if not BETWEEN.search(core):
+        return False
     groups: set[tuple[int, int]] = set()  # (groups so far, three at most; signs in the last one, 0 after a separator)
     before = ""
     for c in core:
@@ -132,6 +138,11 @@ def flat(cost: np.ndarray | list[float]) -> list[float]:
     return cost if isinstance(cost, list) else cost.ravel().tolist()
 
 
+@lru_cache(maxsize=None)
+def slot_of(ch: str) -> int:
+    return int(slots()[ord(ch)])
+
+
 @lru_cache(maxsize=None)
 def readings(ch: str) -> list[tuple[str, float]]:
     """What a sign may stand for, with costs; an empty string drops it."""
@@ -142,6 +153,12 @@ def readings(ch: str) -> list[tuple[str, float]]:
     return [("", SEPARATED)]
 
 
+@lru_cache(maxsize=None)
+def ways_of(ch: str) -> list[tuple[str, float, int]]:
+    """Readings with their slots."""
+    return [(c, channel, slot_of(c) if c else 0) for c, channel in readings(ch)]
+
+
 def viterbi(span: str, cost: np.ndarray | list[float]) -> str:
     """The reading of least cost of a span."""
     return best_reading(span, cost)[1]
@@ -149,10 +166,10 @@ def viterbi(span: str, cost: np.ndarray | list[float]) -> str:
 
 def unchanged(span: str, cost: np.ndarray | list[float]) -> float:
     """The cost of a span that means what it says: its letters as words and its signs as signs, or all of it as a code."""
-    cost, slot = flat(cost), slots()
+    cost = flat(cost)
     total, before, signs = 0.0, 0, 0  # before: place of the costs after the last two letters
     for ch in span:
-        c = int(slot[ord(ch)])
+        c = slot_of(ch)
         total += cost[before + c] if c or before % SLOTS**2 else 0.0
         total += AS_IS if c else PLAIN_ON if signs else PLAIN
         before, signs = (before % SLOTS**2 * SLOTS + c * SLOTS, 0) if c else (0, signs + 1)
@@ -161,7 +178,7 @@ def unchanged(span: str, cost: np.ndarray | list[float]) -> float:
 
 def best_reading(span: str, cost: np.ndarray | list[float]) -> tuple[float, str]:
     """Cost and text of the reading of least cost: states are the last two letters, edges the channel's readings."""
-    cost, slot = flat(cost), slots()
+    cost = flat(cost)
     # a state has its cost, its text as a chain of letters (so that a step costs the same however long the span is), and the place of the costs after it
     states: dict[tuple[str, str], tuple[float, tuple | None, int]] = {("", ""): (0.0, None, 0)}
     letters = "".join(c for c in span if readings(c)[0][0])
@@ -169,10 +186,10 @@ def best_reading(span: str, cost: np.ndarray | list[float]) -> tuple[float, str]
     for ch in span:
         new: dict[tuple[str, str], tuple[float, tuple | None, int]] = {}
         again = REPEATED if ch in stretched else DOUBLED
+        ways = ways_of(ch)
         for (a, b), (so_far, said, place) in states.items():
-            for c, channel in readings(ch):
+            for c, channel, sc in ways:
                 if c:
-                    sc = int(slot[ord(c)])
                     total = so_far + channel + cost[place + sc]
                     if (b, c) not in new or total < new[b, c][0]:
                         new[b, c] = (total, (said, c), place % SLOTS**2 * SLOTS + sc * SLOTS)
@@ -295,12 +312,20 @@ class Weights(dict):
 
     def __init__(self, terms: dict[str, tuple[float, bool]], restorer: Restorer):
         super().__init__()
-        self.terms, self.restorer = terms, restorer
+        self.restorer = restorer
+        self.words = {t: w for t, w in terms.items() if t[:1] != "^"}
+        self.beginnings = {t[1:]: w for t, w in terms.items() if t[:1] == "^"}
 
     def __missing__(self, chunk: str) -> tuple[float, bool] | None:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = (self.terms[t] for w in WORD.findall(self.restorer.chunk(chunk)) for t in terms_of(w) if t in self.terms)
+        found = []
+        for w in WORD.findall(self.restorer.chunk(chunk)):
+            if w in self.words:
+                found.append(self.words[w])
+            for k in range(4, min(8, len(w))):
+                if w[:k] in self.beginnings:
+                    found.append(self.beginnings[w[:k]])
         out = self[chunk] = max(found, key=lambda x: (x[1], x[0]), default=None)
         return out
 
