@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import dims, geo
 from ..functions.numfmt import number_or, round_half_up
 from . import routes
 
 #: A snap farther than this asks the router for a leg.
 LEG_M = 100.0
 ROUTER_PROFILE, ROAD_PROFILE = "safety", "shortest"
+#: Profiles that users choose, and what the router is asked for; only the first is guided by the network.
+GUIDED_PROFILE = "safest"
+ROUTE_PROFILES = {GUIDED_PROFILE: ROUTER_PROFILE, "balanced": "low-traffic"}
 
 
 def lonlats(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -24,9 +27,17 @@ def lonlats(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return F.concat(said[0], F.lit(","), said[1], F.lit("|"), said[2], F.lit(","), said[3])
 
 
-def answered(requests: DataFrame, replies: DataFrame, profile: str = ROUTER_PROFILE) -> DataFrame:
-    """Requests (with lonlats) that the router answered: coords, ele, distance, time, ascend, descend; those it did not are left out."""
-    got = requests.join(replies.where(F.col("profile") == profile).drop("profile"), "lonlats")
+def lonlats_of(points: Column) -> Column:
+    """The text of a request over any number of points (array of struct(lat, lng))."""
+    return F.array_join(F.transform(points, lambda p: F.concat_ws(",", *(F.regexp_replace(p[x].cast("string"), r"\.0\z", "") for x in ("lng", "lat")))), "|")
+
+
+def answered(requests: DataFrame, replies: DataFrame, profile: str | None = ROUTER_PROFILE) -> DataFrame:
+    """Requests (with lonlats) that the router answered: coords, ele, distance, time, ascend, descend; those it did not are left out.
+
+    profile: the one asked for; None: that of each request (column profile).
+    """
+    got = requests.join(replies, ["lonlats", "profile"]) if profile is None else requests.join(replies.where(F.col("profile") == profile).drop("profile"), "lonlats")
     got = got.withColumn("distance", number_or(F.col("length_text"), geo.polyline_length(F.col("coords"))))
     zero = F.lit(0.0)
     return got.withColumns({
@@ -89,3 +100,37 @@ def guided(od: DataFrame, pairs: DataFrame, steps: DataFrame, replies: DataFrame
     instructions = routes.stitched_instructions(legs.join(core.select(c("od_id").alias("route_id")), "route_id", "left_semi")).withColumnRenamed("route_id", "od_id")
     plain = routes.basic(direct.select("od_id", "coords", c("distance").cast("string").alias("length_text")), "od_id").select("od_id", *said)
     return whole, instructions.select("od_id", *said).unionByName(plain)
+
+
+def router_profile(profile: Column) -> Column:
+    """What the router is asked for under a profile; names that are not known go to it as they stand."""
+    return F.coalesce(dims.lookup(ROUTE_PROFILES, profile), profile)
+
+
+def dispatched(od: DataFrame, pairs: DataFrame, steps: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Routes and instructions of pairs by their profile: the network guides GUIDED_PROFILE (with the router where it has no path), all others are the router's under their own profile.
+
+    od: od_id, profile and both ends; a null profile is GUIDED_PROFILE. The others as for guided(), whose columns come back with profile.
+    """
+    c = F.col
+    od = od.withColumn("profile", F.coalesce("profile", F.lit(GUIDED_PROFILE)))
+    by_network = od.where(c("profile") == GUIDED_PROFILE)
+    mine = by_network.select("od_id")
+    whole, said = guided(by_network.drop("profile"), pairs.join(mine, "od_id", "left_semi"), steps.join(mine, "od_id", "left_semi"), replies)
+    asked = od.where(c("profile") != GUIDED_PROFILE).select("od_id", router_profile(c("profile")).alias("profile"), lonlats(c("start_lat"), c("start_lng"), c("end_lat"), c("end_lng")).alias("lonlats"))
+    got = answered(asked, replies, None)
+    whole = whole.unionByName(got.select("od_id", F.lit("router").alias("route_source"), "coords", "ele", "distance", "time", "ascend", "descend", F.lit(True).alias("has_elevation")))
+    plain = routes.basic(got.select("od_id", "coords", c("distance").cast("string").alias("length_text")), "od_id").select(*said.columns)
+    return whole.join(od.select("od_id", "profile"), "od_id"), said.unionByName(plain)
+
+
+def over_waypoints(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """request_id, status, coords, distance, time, ascend, descend of routes over waypoint lists of any length.
+
+    requests: request_id, profile, waypoints (array of struct(lat, lng)). status: rejected (null, or fewer than two waypoints), answered, or unanswered.
+    """
+    c = F.col
+    asked = requests.select("request_id", router_profile(c("profile")).alias("profile"), F.when(F.size("waypoints") >= 2, lonlats_of(c("waypoints"))).alias("lonlats"))
+    got = answered(asked.where("lonlats is not null"), replies, None).select("request_id", "coords", "distance", "time", "ascend", "descend")
+    status = F.when(c("lonlats").isNull(), "rejected").when(c("coords").isNull(), "unanswered").otherwise("answered")
+    return asked.join(got, "request_id", "left").select("request_id", status.alias("status"), "coords", "distance", "time", "ascend", "descend")

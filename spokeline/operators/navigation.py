@@ -87,6 +87,13 @@ def updates(matches: DataFrame, instructions: DataFrame, facts: DataFrame) -> Da
     return m.select("rider_id", "event_id", "ts", "route_id", heading.alias("heading"), "idx", "next_text", "to_turn_m", "remaining_m", "eta_s", "off_route", arrived.alias("arrived"))
 
 
+def millis(rows: DataFrame, name: str = "ts") -> Column:
+    """Milliseconds since 1970; a time without a zone is taken as it stands, whatever the session's zone."""
+    if rows.schema[name].dataType.typeName() == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {name})")
+    return F.unix_millis(name)
+
+
 def banner_intervals(rows: DataFrame) -> DataFrame:
     """rider_id, event_id (of the fix that showed it), shown_ms and hidden_ms (null: it stays) of the off-route banner.
 
@@ -94,7 +101,7 @@ def banner_intervals(rows: DataFrame) -> DataFrame:
     fix on the route with no other within that time, and the fixes up to there hold one interval, if one of them was off the route. rows: rider_id, event_id, ts, off_route.
     """
     w = Window.partitionBy("rider_id").orderBy("ms", "event_id")
-    r = rows.select("rider_id", "event_id", F.unix_millis("ts").alias("ms"), "off_route").withColumn("next", F.lead("ms").over(w))
+    r = rows.select("rider_id", "event_id", millis(rows).alias("ms"), "off_route").withColumn("next", F.lead("ms").over(w))
     r = r.withColumn("ends", ~F.col("off_route") & (F.col("next").isNull() | (F.col("next") >= F.col("ms") + BANNER_MS)))
     r = r.withColumn("part", F.coalesce(F.sum(F.col("ends").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     first = F.min(F.when(F.col("off_route"), F.struct("ms", "event_id")))

@@ -260,3 +260,31 @@ def guided_routes(spark: SparkSession, d: str, overridden: bool = False) -> tupl
         found = found.join(n.select(F.col("node_key").alias(f"{end}_key"), F.col("lat").alias(f"{end}_node_lat"), F.col("lng").alias(f"{end}_node_lng")), f"{end}_key")
     pairs = found.join(od.drop("profile"), "od_id")
     return guided.guided(od, pairs, steps, replies(spark, d, pairs, steps))
+
+
+def profiled(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with a profile: a third of them are not guided."""
+    return fixture(spark, d, "fx_od").withColumn("profile", F.when(F.floor(F.col("od_id") / 100) % 3 == 1, "balanced").otherwise("safest"))
+
+
+def routes_by_profile(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Routes and instructions of pairs by their profile; the router answered most of those that are not guided."""
+    from ..operators import guided
+
+    c, od = F.col, profiled(spark, d)
+    n, edges = nodes(spark, d), edges_of(spark, d)
+    found = written(paths.endpoints(od.where(c("profile") == guided.GUIDED_PROFILE), n, roads(spark, d)))
+    steps = cells.search(found, graph_of(spark, d)).drop("cost").join(edges, "edge_id")
+    steps = written(geometry(spark, d, steps).select("od_id", "pos", "ct", "name", "distance", "coords"))
+    for end in ("start", "end"):
+        found = found.join(n.select(c("node_key").alias(f"{end}_key"), c("lat").alias(f"{end}_node_lat"), c("lng").alias(f"{end}_node_lng")), f"{end}_key")
+    pairs = found.drop("profile").join(od.drop("profile"), "od_id")
+    recorded = replies(spark, d, pairs, steps)
+    others = od.where((c("profile") == "balanced") & (F.floor(c("od_id") / 100) % 9 != 4))
+    point = lambda lat, lng: F.struct(lat.alias("lat"), lng.alias("lng"))
+    middle = point((c("start_lat") + c("end_lat")) / 2 + 0.0002, (c("start_lng") + c("end_lng")) / 2)
+    others = others.select(
+        F.lit(guided.ROUTE_PROFILES["balanced"]).alias("profile"), guided.lonlats(c("start_lat"), c("start_lng"), c("end_lat"), c("end_lng")).alias("lonlats"), F.array(point(c("start_lat"), c("start_lng")), middle, point(c("end_lat"), c("end_lng"))).alias("coords"),
+        F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("ele"), F.lit("0").alias("length_text"), F.lit(None).cast("string").alias("time_text"), F.lit("4").alias("ascend_text"), F.lit("").alias("descend_text"),
+    )
+    return guided.dispatched(od, pairs, steps, recorded.unionByName(others))

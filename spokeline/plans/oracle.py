@@ -459,6 +459,26 @@ def oracle_sql() -> dict[str, str]:
             recursive=REPLAY + ", " + BEST.partition("o_best AS")[0].rstrip().removesuffix(",") + OVER_DRAWN + ", o_best AS" + BEST.partition("o_best AS")[2].format(table=OVERRIDDEN.format(edges="o_every_cost", over="o_over_d")) + SEARCH.replace("o_snap", "o_snap_d") + GUIDED_PARTS.partition("o_pt AS")[0].rstrip().removesuffix(",")),
         "guided_route_full": sql(GUIDED, "o_edge", "o_gap_ct", "o_snap", "fx_od", "fx_vertices", "o_node", recursive=BEST.format(table="o_edge_cost") + SEARCH + GUIDED_PARTS),
     }
+    direct = f"{hav('start_lat', 'start_lng', '(start_lat + end_lat) / 2 + 0.0002', '(start_lng + end_lng) / 2')} + {hav('(start_lat + end_lat) / 2 + 0.0002', '(start_lng + end_lng) / 2', 'end_lat', 'end_lng')}"
+    out["routes_by_profile"] = (
+        f"SELECT od_id, 'safest' AS profile, route_source, metres, ascend, points, turns FROM ({out['guided_route_full']}) WHERE floor(od_id / 100) % 3 <> 1 UNION ALL SELECT od_id, 'balanced', 'router', round(metres, 3), CAST(4 AS DOUBLE), 3, 3 FROM ("
+        + sql(f"SELECT od_id, {direct} AS metres FROM fx_od WHERE floor(od_id / 100) % 3 = 1 AND floor(od_id / 100) % 9 <> 4", "fx_od") + ")"
+    )
+    out["waypoint_routes"] = sql(
+        f"""SELECT r.id AS request_id, CASE WHEN n < 2 THEN 'rejected' WHEN floor(r.id / 100) % 11 = 3 THEN 'unanswered' ELSE 'answered' END AS status, CASE WHEN n < 2 OR floor(r.id / 100) % 11 = 3 THEN 0 ELSE n END AS points,
+        CASE WHEN n < 2 OR floor(r.id / 100) % 11 = 3 THEN NULL WHEN r.id % 3 = 0 AND r.id > 0 THEN CAST(r.id AS DOUBLE) ELSE round((SELECT sum(length) FROM o_measured m WHERE m.route_id = r.id + 7 AND m.seg < n - 1), 3) END AS metres
+        FROM (SELECT route_id - 7 AS id, CAST((route_id - 7) / 100 % 5 AS BIGINT) AS n FROM fx_route_vertices WHERE idx = 0) r""", "fx_route_vertices", "o_measured")
+    leg = "(SELECT sum(111320 * sqrt(pow(t.lat - f.lat, 2) + pow((t.lng - f.lng) * cos(radians(f.lat)), 2))) FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY i, k) AS r FROM o_line) f JOIN (SELECT *, row_number() OVER (PARTITION BY session ORDER BY i, k) AS r FROM o_line) t ON t.session = f.session AND t.r = f.r + 1 WHERE f.session = x.session)"
+    out["drawing_with_undo"] = sql(
+        f"SELECT session, CAST(len(s) AS INTEGER) AS n, CAST(coalesce((SELECT count(*) FROM o_line l WHERE l.session = x.session), 0) AS INTEGER) AS points, round(coalesce({leg}, 0.0), 3) AS metres, round(coalesce((SELECT sum((45.4 + (k % 5) * 0.01) * 100 - 122.6 - (k % 3) * 0.01) FROM (SELECT unnest(s) AS k)), 0.0), 6) AS at_sum FROM o_last x",
+        recursive="""o_op AS (SELECT user_id % 50 AS session, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS i, CASE WHEN event_id % 97 = 0 THEN 'clear' WHEN event_id % 7 = 5 THEN 'undo' ELSE 'add' END AS op, event_id % 15 AS k FROM events),
+            o_fold(session, i, s) AS (SELECT DISTINCT session, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM o_op
+              UNION ALL SELECT f.session, o.i, CASE WHEN o.op = 'add' AND (len(f.s) = 0 OR (f.s[-1] * 7 + o.k) % 4 <> 0) THEN list_append(f.s, o.k) WHEN o.op = 'undo' THEN list_slice(f.s, 1, len(f.s) - 1) WHEN o.op = 'clear' THEN [] ELSE f.s END
+              FROM o_fold f JOIN o_op o ON o.session = f.session AND o.i = f.i + 1),
+            o_last AS (SELECT session, s FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY i DESC) AS last FROM o_fold) WHERE last = 1),
+            o_leg AS (SELECT session, i, s[i] AS a, s[i + 1] AS z FROM (SELECT session, s, unnest(generate_series(1, len(s) - 1)) AS i FROM o_last) WHERE (s[i] + s[i + 1]) % 5 <> 0),
+            o_line AS (SELECT l.session, l.i, k, CASE k WHEN 0 THEN 45.4 + (a % 5) * 0.01 WHEN 1 THEN 45.4 + (a % 5) * 0.01 + 0.001 ELSE 45.4 + (z % 5) * 0.01 END::DOUBLE AS lat, CASE k WHEN 0 THEN -122.6 - (a % 3) * 0.01 ELSE -122.6 - (z % 3) * 0.01 END::DOUBLE AS lng
+              FROM o_leg l JOIN (SELECT session, min(i) AS first FROM o_leg GROUP BY session) m ON m.session = l.session CROSS JOIN (VALUES (0), (1), (2)) t(k) WHERE k > 0 OR l.i = first)""")
     out["road_extract_pushed"] = out["road_extract"]
     shown = f"CASE WHEN metres > 0 THEN CASE WHEN step_m < 160 THEN CAST({half_up('step_m')} AS VARCHAR) || ' m' ELSE {fixed('(step_m / 1609.34)', 1)} || ' mi' END ELSE '' END"
     inner = out["instructions_from_edges"].replace("round(distance, 3) AS metres, round(step, 3) AS step_m", "distance AS metres, step AS step_m")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims, geo, labels, numfmt
-from ..operators import builder, diagnostics, graph, navigation, places, preferences, routes, spatial, store
+from ..operators import builder, diagnostics, graph, guided, navigation, places, preferences, routes, spatial, store
 from ..sources import geojson, paged
 from ..storage import new_path
 from ..streaming import navigation as live
@@ -422,6 +422,41 @@ def guided_route_full(s, d):
     return out.join(said, "od_id")
 
 
+@query
+def routes_by_profile(s, d):
+    """Pairs by profile: the guided ones over the network, the others straight from the router."""
+    routes_, said = net.routes_by_profile(s, d)
+    turns = said.groupBy("od_id").agg(F.count("*").alias("turns"))
+    return routes_.join(turns, "od_id").select("od_id", "profile", "route_source", m(c("distance")).alias("metres"), "ascend", F.size("coords").alias("points"), "turns")
+
+
+@query
+def waypoint_routes(s, d):
+    """Routes over lists of none to four waypoints, under both profiles; some requests the router did not answer."""
+    w = F.transform(F.array_sort(F.collect_list(F.when(c("idx") < c("route_id") / 100 % 5, F.struct("idx", "lat", "lng")))), lambda v: F.struct(v["lat"].alias("lat"), v["lng"].alias("lng")))
+    profile = F.when(F.floor(c("route_id") / 100) % 2 == 0, "safest").otherwise("balanced")
+    asked = fixture(s, d, "fx_route_vertices").withColumn("route_id", c("route_id") - 7).groupBy(c("route_id").alias("request_id")).agg(w.alias("waypoints")).withColumn("route_id", c("request_id")).withColumn("profile", profile)
+    recorded = asked.where("size(waypoints) >= 2 and floor(request_id / 100) % 11 <> 3").select(
+        guided.router_profile(c("profile")).alias("profile"), guided.lonlats_of(c("waypoints")).alias("lonlats"), c("waypoints").alias("coords"), F.array().cast("array<double>").alias("ele"),
+        F.when(c("request_id") % 3 == 0, c("request_id").cast("string")).alias("length_text"), F.lit("60").alias("time_text"), F.lit("1").alias("ascend_text"), F.lit("2").alias("descend_text"),
+    )
+    return guided.over_waypoints(asked, recorded).select("request_id", "status", F.coalesce(F.size("coords"), F.lit(0)).alias("points"), m(c("distance")).alias("metres"))
+
+
+@query
+def drawing_with_undo(s, d):
+    """Lines drawn along roads over a session's taps: points without a road are taken back, undone ones go."""
+    spot = lambda k, x: (F.lit(45.4) + (c(k) % 5) * 0.01 if x == "lat" else F.lit(-122.6) - (c(k) % 3) * 0.01)
+    op = F.when(c("event_id") % 97 == 0, "clear").when(c("event_id") % 7 == 5, "undo").otherwise("add")
+    e = fixture(s, d, "events").select((c("user_id") % 50).alias("session"), c("event_id").alias("seq"), op.alias("op"), (c("event_id") % 15).alias("k")).withColumns({x: spot("k", x) for x in ("lat", "lng")})
+    point = lambda k: F.struct(spot(k, "lat").alias("lat"), spot(k, "lng").alias("lng"))
+    roads = e.select(c("k").alias("i")).distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(14)))).where("(i * 7 + j) % 4 <> 0")
+    middle = F.struct((point("i")["lat"] + 0.001).alias("lat"), point("j")["lng"].alias("lng"))
+    roads = roads.select(point("i").alias("a"), point("j").alias("z"), F.when((c("i") + c("j")) % 5 == 0, F.array(point("i"))).otherwise(F.array(point("i"), middle, point("j"))).alias("coords"))
+    out = builder.drawn_along_roads(e, roads)
+    return out.select("session", F.size("waypoints").alias("n"), F.size("coords").alias("points"), m(c("metres")).alias("metres"), m(F.aggregate("waypoints", F.lit(0.0), lambda a, p: a + p["lat"] * 100 + p["lng"]), 6).alias("at_sum"))
+
+
 @query
 def directions_listed(s, d):
     return routes.directions(routes.from_edges(net.steps(s, d))).select("route_id", "idx", "text", "shown")
