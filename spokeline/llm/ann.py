@@ -169,11 +169,13 @@ def found_by(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     by = {n: F.col(n) for n in ("d", "part", "range")}
     radii = F.create_map(*[F.lit(x) for d, m in learned.items() for x in (d, m["radius"])])
     queries = written(codes.where("is_query").groupBy("vec_id").agg(F.min(F.struct("x", "d", "code")).alias("q")).select("vec_id", "q.*").withColumn("radius", radii[F.col("d")]))
+    # the ranges within so many bits of a query's own, for each number of bits: only these are asked
+    masks = spark.range(1 << lead).select(F.explode(F.sequence(F.bit_count("id"), F.lit(lead))).cast("long").alias("may"), F.col("id").cast("int").alias("mask"))
     all_found = None
     while True:
         may = F.floor(F.col("radius") / (BITS // PART)) - (F.col("part") > F.col("radius") % (BITS // PART)).cast("int")
-        asked = queries.withColumn("part", parts).withColumns({"mine": F.shiftright(sub, PART - lead).cast("int"), "range": F.explode(F.sequence(F.lit(0), F.lit((1 << lead) - 1)))})
-        asked = asked.where((may >= 0) & (F.bit_count(F.col("mine").bitwiseXOR(F.col("range"))) <= may)).drop("mine").join(sizes, [*by])
+        asked = queries.withColumn("part", parts).withColumns({"mine": F.shiftright(sub, PART - lead).cast("int"), "may": F.least(may, F.lit(lead))}).where("may >= 0")
+        asked = asked.join(masks, "may").withColumn("range", F.col("mine").bitwiseXOR(F.col("mask"))).drop("mine", "may", "mask").join(sizes, [*by])
         asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         crowd = asked.groupBy(*by, "block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("crowds"))
         asked = asked.drop("blocks").join(crowd, [*by, "block"]).withColumn("crowd", F.pmod(F.xxhash64("vec_id"), F.col("crowds")).cast("int")).drop("crowds")
