@@ -170,7 +170,7 @@ def found_by(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     radii = F.create_map(*[F.lit(x) for d, m in learned.items() for x in (d, m["radius"])])
     queries = written(codes.where("is_query").groupBy("vec_id").agg(F.min(F.struct("x", "d", "code")).alias("q")).select("vec_id", "q.*").withColumn("radius", radii[F.col("d")]))
     # the ranges within so many bits of a query's own, for each number of bits: only these are asked
-    masks = spark.range(1 << lead).select(F.explode(F.sequence(F.bit_count("id"), F.lit(lead))).cast("long").alias("may"), F.col("id").cast("int").alias("mask"))
+    masks = spark.range(1 << lead).select(F.explode(F.sequence(F.bit_count("id").cast("long"), F.lit(lead).cast("long"))).alias("may"), F.col("id").cast("int").alias("mask"))
     all_found = None
     while True:
         may = F.floor(F.col("radius") / (BITS // PART)) - (F.col("part") > F.col("radius") % (BITS // PART)).cast("int")
