@@ -82,24 +82,31 @@ def gap_edges(gaps: DataFrame, roads: DataFrame) -> DataFrame:
     return gaps.join(worst, "key", "left").withColumn("ct", ct).drop("rank")
 
 
-def snap(points: DataFrame, nodes: DataFrame, roads: DataFrame, key: str = "pid") -> DataFrame:
-    """key, node_key, distance and safe: the nearest node, or a farther one without a major road between, if not much farther.
-
-    Two nearest nodes of each point come from two ordered minima, so no window and no sort is needed. Ties keep the scan order of cells.
-    """
+def _near_nodes(points: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Points (key, lat, lng) with every node within SNAP_M and SNAP_CELLS: both places, cells and distance."""
     p = points.select(key, "lat", "lng").withColumns({"cell_lat": geo.cell(F.col("lat")), "cell_lng": geo.cell(F.col("lng"))})
     p = around(p, SNAP_CELLS).select(key, F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), F.col("cell_lat").alias("p_lat"), F.col("cell_lng").alias("p_lng"), "x", "y")
     n = within(nodes, SNAP_CELLS).select("node_key", F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "cell_lat", "cell_lng", "x", "y")
     near = (F.abs(F.col("cell_lat") - F.col("p_lat")) <= SNAP_CELLS) & (F.abs(F.col("cell_lng") - F.col("p_lng")) <= SNAP_CELLS)
-    pairs = p.join(n, ["x", "y"]).where(near).withColumn("distance", geo.haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))).where(F.col("distance") <= SNAP_M)
-    pairs = written(pairs)  # read by the crossing test and by the choice
-    blocked = worst_crossing(pairs, roads.where("rank = 2"), key, "node_key")
-    pairs = pairs.join(blocked, [key, "node_key"], "left")
-    order = F.struct("distance", "cell_lat", "cell_lng", "node_key")
-    best = pairs.groupBy(key).agg(F.min(order).alias("any"), F.min(F.when(F.col("rank").isNull(), order)).alias("safe"))
-    fits = F.col("safe.distance") <= F.greatest(F.col("any.distance") * 2, F.col("any.distance") + 200)
-    pick = F.when(F.coalesce(fits, F.lit(False)), F.col("safe")).otherwise(F.col("any"))
-    return best.select(key, pick.alias("n"), F.coalesce(fits, F.lit(False)).alias("safe")).select(key, "n.node_key", "n.distance", "safe")
+    return p.join(n, ["x", "y"]).where(near).withColumn("distance", geo.haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))).where(F.col("distance") <= SNAP_M)
+
+
+def snap(points: DataFrame, nodes: DataFrame, roads: DataFrame, key: str = "pid") -> DataFrame:
+    """key, node_key, distance and safe: the nearest node, or a farther one without a major road between, if not much farther. key: once each.
+
+    Only the way to the nearest node is tested for crossings, and for points where that is blocked the ways to all nodes that are not much farther. The
+    nearest is an ordered minimum, so no window and no sort is needed. Ties keep the scan order of cells.
+    """
+    order = F.struct("distance", "cell_lat", "cell_lng", "node_key", "lat1", "lng1", "lat2", "lng2")
+    major = roads.where("rank = 2")
+    first = written(_near_nodes(points, nodes, key).groupBy(key).agg(F.min(order).alias("a")).select(key, "a.*"))
+    blocked = written(worst_crossing(first, major, key).select(key).join(first.select(key, F.col("distance").alias("d")), key))
+    ways = _near_nodes(points.join(blocked.select(key), key, "left_semi"), nodes, key).join(blocked, key).where(F.col("distance") <= F.greatest(F.col("d") * 2, F.col("d") + 200))
+    ways = written(ways.drop("x", "y", "p_lat", "p_lng", "d"))  # read by the crossing test and by the choice
+    free = ways.join(worst_crossing(ways, major, key, "node_key"), [key, "node_key"], "left_anti").groupBy(key).agg(F.min(order).alias("s"))
+    both = first.join(blocked.select(key, F.lit(True).alias("is_blocked")), key, "left").join(free, key, "left")
+    other = F.col("s").isNotNull()
+    return both.select(key, F.when(other, F.col("s.node_key")).otherwise(F.col("node_key")).alias("node_key"), F.when(other, F.col("s.distance")).otherwise(F.col("distance")).alias("distance"), (F.col("is_blocked").isNull() | other).alias("safe"))
 
 
 def near_segments(points: DataFrame, segs: DataFrame, *key: str) -> DataFrame:
