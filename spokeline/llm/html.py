@@ -4,7 +4,7 @@ A page is cut into tags and text, and a tree of its containers is kept while rea
 heading, list entry, ...) is worth points for its length and its commas, discounted by the share of its letters that stand in
 links; it passes them to its container whole, and each container passes half of what it gets on to its own, up to the top. Containers whose name, class, id
 or role says menu, header, footer, sidebar, notice, advert, form or comments are left out, but names that speak of a layout or state (`has-sidebar`) do not count, html and body are never left out,
-main and article by name only as comments. A link counts if it has a target and is closed before the next one. The container with the
+main by name only as comments, article as these or by a whole name of its class (`related`, not `has-related`). A link counts if it has a target and is closed before the next one. The container with the
 most points is the article; siblings with a fair share of its points are kept with it. A page is read once from
 left to right, and its tree is gone over once in each direction, so the time grows with the page's length whatever is in it.
 
@@ -104,8 +104,7 @@ def points(text: str, linked: int) -> float:
 class Page:
     """One pass over a page's tags: the containers, and the blocks of text in them."""
 
-    def __init__(self, html: str, by_class: bool = True):
-        self.by_class = by_class
+    def __init__(self, html: str):
         self.links = closed_links(html)
         self.link_depth = 0  # open elements when the open link began
         self.top = self.at = Node("", None, False)
@@ -114,7 +113,6 @@ class Page:
         self.places: dict[str, list[int]] = {}  # where elements of a name stand among the open ones
         self.walls: list[int] = []  # where containers do
         self.kind, self.said, self.linked, self.in_link = "", [], 0, False
-        self.seen: set[str] = set()  # names of elements that the page has
         self.never: set[str] = set()  # ends that do not come any more
         self.read(html)
         self.end_block()
@@ -155,7 +153,6 @@ class Page:
         given = attributes_of(attributes) if attributes else {}
         names = " ".join(v for k, v in given.items() if k in NAMING)
         out = self.at.out or name in LEFT_OUT or (name not in ("html", "body") and self.says_other(name, names, given))
-        self.seen.add(name)
         self.places.setdefault(name, []).append(len(self.open))
         if name not in BLOCKS:
             self.walls.append(len(self.open))
@@ -169,12 +166,12 @@ class Page:
             self.at = node
 
     def says_other(self, name: str, names: str, given: dict[str, str]) -> bool:
-        """Whether the attributes of an element leave it out: hidden ones; by class, main and article only as comments."""
+        """Whether the attributes of an element leave it out: hidden ones; by name, main only as comments, article as these or by a whole name."""
         if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or NO_DISPLAY.search(given.get("style", "")):
             return True
-        if not names or not self.by_class:
-            return False
-        return bool(COMMENT.search(names)) if name in ("main", "article") else marks_other(names)
+        if name in ("main", "article"):
+            return bool(COMMENT.search(names)) or (name == "article" and any(map(NOT_MAIN.fullmatch, names.split())))
+        return bool(names) and marks_other(names)
 
     @staticmethod
     def tag(html: str, at: int) -> tuple[str, str, str, int] | None:
@@ -302,14 +299,7 @@ class Page:
 
 
 def main_text(html: str | None) -> str:
-    """The article's blocks. Where classes leave a page with an article or main element without any, they are not looked at."""
-    if not html:
-        return ""
-    page = Page(html)
-    blocks = page.main()
-    if not blocks and page.seen & {"article", "main"}:
-        blocks = Page(html, by_class=False).main()
-    return "\n".join(blocks)
+    return "\n".join(Page(html).main()) if html else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -85,7 +85,7 @@ WORDS = "This is the text of the article, which is long enough, has commas, and
         f'<body><a name="top"><div><p>{WORDS}</p></div></body>',
         f'<body><a href="#top">Top<div><p>{WORDS}</p></div><a href="#end">End</a></body>'.replace("Top", ""),
         f'<body><main class="search with-aside"><p>{WORDS}</p></main></body>',
-        f'<html class="js no-touch menu-closed"><body><div class="layout sidebar"><article><p>{WORDS}</p></article></div></body></html>',
+        f'<html class="js no-touch menu-closed"><body><div class="layout with-sidebar"><article class="post related-off"><p>{WORDS}</p></article></div></body></html>',
     ],
 )
 def test_articles_of_common_markup_stay(page):
