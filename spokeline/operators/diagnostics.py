@@ -85,3 +85,34 @@ def run_samples(runs: DataFrame) -> DataFrame:
     """The first, middle and last vertex of each run. runs: route_id, start_idx, end_idx."""
     three = F.array("start_idx", F.floor((F.col("start_idx") + F.col("end_idx")) / 2).cast("int"), "end_idx")
     return runs.select("route_id", "start_idx", F.posexplode(three).alias("sample", "idx"))
+
+
+BACK_DEG = 0.002
+
+
+def passes(vertices: DataFrame, corridors: DataFrame) -> DataFrame:
+    """route_id, corridor and passed: whether a vertex of the route is nearer than the corridor's radius to its point, for each pair asked for.
+
+    vertices: route_id, idx, lat, lng; corridors: route_id, corridor, lat, lng, radius. The join is on the route, so a route meets its own corridors only, and
+    the answer is combined before the shuffle; a route without vertices passes nothing.
+    """
+    asked = corridors.select("route_id", "corridor", F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"), "radius")
+    near = F.max(F.coalesce(geo.haversine(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng")) < F.col("radius"), F.lit(False)))
+    return asked.join(vertices.select("route_id", "lat", "lng"), "route_id", "left").groupBy("route_id", "corridor").agg(near.alias("passed"))
+
+
+def checks(vertices: DataFrame, west_of: float, least_m: float, most_m: float, back: float = BACK_DEG) -> DataFrame:
+    """One row for each route: its length, whether that lies strictly between two bounds, whether it goes back north of its start by more than
+    `back` degrees, and whether it has a vertex west of a meridian. vertices: route_id, idx, lat, lng."""
+    w = _ordered()
+    ahead = F.coalesce(geo.haversine(F.col("lat"), F.col("lng"), F.lead("lat").over(w), F.lead("lng").over(w)), F.lit(0.0))
+    v = vertices.withColumn("ahead", ahead)
+    out = v.groupBy("route_id").agg(F.sum("ahead").alias("metres"), F.min_by("lat", "idx").alias("from_lat"), F.max("lat").alias("top"), F.min("lng").alias("left"))
+    between = (F.col("metres") > least_m) & (F.col("metres") < most_m)
+    return out.select("route_id", "metres", between.alias("in_bounds"), (F.col("top") > F.col("from_lat") + back).alias("goes_back"), (F.col("left") < west_of).alias("crosses_west"))
+
+
+def edge_checks(steps: DataFrame, least_edges: int = 5) -> DataFrame:
+    """One row for each path: edges, whether there are more than `least_edges`, and whether more than half of them are named. steps: od_id, name."""
+    n, named = F.count("*"), F.count_if(F.length("name") > 0)
+    return steps.groupBy("od_id").agg(n.alias("edges"), (n > least_edges).alias("enough"), (named * 2 > n).alias("mostly_named"))

@@ -37,22 +37,33 @@ def split_label(places: DataFrame) -> DataFrame:
     return places.select("place_id", label.alias("label"), F.trim(F.array_join(F.slice(parts, 2, 3), ",")).alias("detail"), F.col("lat").try_cast("double").alias("lat"), F.col("lon").try_cast("double").alias("lng"))
 
 
+def address_label(rows: DataFrame) -> DataFrame:
+    """place_id and label of the second provider's reverse replies (house_number, road, name, display_name): the address if it has a road, else the
+    name, else the display name up to its first comma; null where nothing of it is there. Empty texts count as missing."""
+    number, road = _text("house_number"), _text("road")
+    first = F.nullif(F.get(F.split("display_name", ","), F.lit(0)), F.lit(""))
+    return rows.select("place_id", F.coalesce(F.concat(number, F.lit(" "), road), road, _text("name"), first).alias("label"))
+
+
 def search(queries: DataFrame, places: DataFrame, others: DataFrame, limit: int = LIMIT) -> DataFrame:
     """query_id, tier, place_id, rank: hits in the box, else anywhere, else of the other provider; `limit` rows each.
 
-    queries: query_id, text, and the box min_lat..max_lng. Hits are names that begin with the text, compared in lower case;
+    queries: query_id, text, the box min_lat..max_lng, and maybe a bias point (bias_lat, bias_lng): hits near it come first, to the metre, hits of the other
+    provider and queries without a point go by place_id alone. Hits are names that begin with the text, compared in lower case;
     the join is on the text's first letters, so each query meets its own names only.
     """
     q = queries.where(F.length("text") >= MIN_QUERY).withColumn("head", F.lower(F.substring("text", 1, MIN_QUERY)))
     p = places.withColumn("head", F.lower(F.substring("name", 1, MIN_QUERY))).select("head", "place_id", "name", "lat", "lng")
     hits = q.join(p, "head").where(F.lower("name").startswith(F.lower(F.col("text"))))
     inside = F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lng").between(F.col("min_lng"), F.col("max_lng"))
-    first = hits.select("query_id", F.when(inside, 1).otherwise(2).alias("tier"), "place_id")
+    biased = {"bias_lat", "bias_lng"} <= set(queries.columns)
+    away = F.round(geo.haversine(F.col("lat"), F.col("lng"), F.col("bias_lat"), F.col("bias_lng"))) if biased else F.lit(None).cast("double")
+    first = hits.select("query_id", F.when(inside, 1).otherwise(2).alias("tier"), "place_id", away.alias("away"))
     o = others.withColumn("head", F.lower(F.substring("name", 1, MIN_QUERY))).select("head", "place_id", "name")
-    second = q.join(o, "head").where(F.lower("name").startswith(F.lower(F.col("text")))).select("query_id", F.lit(3).alias("tier"), "place_id")
+    second = q.join(o, "head").where(F.lower("name").startswith(F.lower(F.col("text")))).select("query_id", F.lit(3).alias("tier"), "place_id", F.lit(None).cast("double").alias("away"))
     # without a box hit the wide search answers with all its hits
     best = F.min("tier").over(Window.partitionBy("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("away"), "place_id"))
     kept = first.unionByName(second).withColumn("best", best).where("tier = best")
     return kept.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "tier", "place_id", "rank")
 

@@ -333,6 +333,26 @@ def oracle_sql() -> dict[str, str]:
         "pref_overrides_lww": sql("SELECT key, type FROM o_override", "o_override"),
         "pref_cascade_delete": sql("SELECT edge_key, type, insert_seq FROM o_pref WHERE edge_key NOT IN (SELECT edge_key FROM o_pref WHERE insert_seq % 3 = 0 UNION SELECT g.edge_key FROM o_pref p JOIN o_pref g ON g.group_id = p.group_id WHERE p.edge_key IN (SELECT edge_key FROM o_pref WHERE insert_seq % 3 = 0))", "o_pref"),
         "pref_group_explode": sql("SELECT group_id, min(type) OVER (PARTITION BY group_id) AS type, row_number() OVER (PARTITION BY group_id ORDER BY insert_seq, edge_key) - 1 AS pos, edge_key FROM o_pref WHERE group_id IS NOT NULL", "o_pref"),
+        "keyed_store_changes": sql("SELECT * FROM (SELECT id, name, distance FROM fx_saved WHERE id NOT IN (SELECT CAST(CAST(id AS BIGINT) * 2 AS VARCHAR) FROM fx_saved WHERE CAST(id AS BIGINT) % 3 = 0) UNION ALL SELECT CAST(CAST(id AS BIGINT) * 2 AS VARCHAR), 'New ' || name, distance FROM fx_saved WHERE CAST(id AS BIGINT) % 3 = 0) WHERE id NOT IN (SELECT id FROM fx_saved WHERE CAST(id AS BIGINT) % 7 = 0)", "fx_saved"),
+        "keyed_store_lookup": sql("SELECT id, name, distance FROM fx_saved WHERE CAST(id AS BIGINT) IN (SELECT max(o_orderkey) FROM orders GROUP BY o_custkey)", "fx_saved"),
+        "savable_routes": sql("SELECT id, name, fresh_code AS points, distance AS route FROM fx_saved WHERE fresh_code >= 2 AND cached_code <> 0 AND CAST(id AS BIGINT) % 5 <> 0", "fx_saved"),
+        "search_near_bias": sql(
+            f"""SELECT query_id, 1 AS tier, place_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY away, place_id) AS rank FROM (
+              SELECT q.place_id AS query_id, p.place_id, round({hav('p.lat', 'p.lng', 'q.lat + 0.001', 'q.lng')}) AS away
+              FROM fx_places q JOIN fx_places p ON starts_with(lower(p.city), lower(q.city)) AND p.lat BETWEEN q.lat - 0.008 AND q.lat + 0.008 AND p.lng BETWEEN q.lng - 0.012 AND q.lng + 0.012)) WHERE rank <= 5""", "fx_places"),
+        "reverse_address": sql("""SELECT place_id, CASE WHEN place_id % 11 <> 0 AND street <> '' AND housenumber <> '' THEN housenumber || ' ' || street WHEN place_id % 11 <> 0 AND street <> '' THEN street WHEN name <> '' THEN name
+            WHEN place_id % 8 = 0 OR place_id % 16 = 1 THEN NULL ELSE district END AS label FROM fx_places""", "fx_places"),
+        "corridors_passed": sql(
+            f"""SELECT e.route_id, corridor, max(CASE WHEN {hav('v.lat', 'v.lng', 'lat0 + (lat1 - lat0) * corridor / 10.0', 'lng0 + (lng1 - lng0) * corridor / 10.0')} < 60 THEN 1 ELSE 0 END) = 1 AS passed
+            FROM (SELECT route_id, arg_min(lat, idx) AS lat0, arg_min(lng, idx) AS lng0, arg_max(lat, idx) AS lat1, arg_max(lng, idx) AS lng1 FROM fx_route_vertices GROUP BY route_id) e
+            CROSS JOIN (SELECT CAST(range AS INTEGER) AS corridor FROM range(11)) JOIN fx_route_vertices v ON v.route_id = e.route_id GROUP BY e.route_id, corridor""", "fx_route_vertices"),
+        "route_checks": sql(
+            f"""SELECT route_id, round(metres, 3) AS metres, metres > 8500 AND metres < 9000 AS in_bounds, top > from_lat + 0.009 AS goes_back, west < -122.6952 AS crosses_west FROM (
+              SELECT route_id, sum(coalesce({hav('lat', 'lng', 'lat1', 'lng1')}, 0)) AS metres, arg_min(lat, idx) AS from_lat, max(lat) AS top, min(lng) AS west FROM (
+                SELECT rider_id AS route_id, event_id AS idx, lat, lng, lead(lat) OVER w AS lat1, lead(lng) OVER w AS lng1 FROM fx_fixes WINDOW w AS (PARTITION BY rider_id ORDER BY event_id)) GROUP BY route_id)""", "fx_fixes"),
+        "path_edge_checks": sql(
+            "SELECT od AS od_id, count(*) AS edges, count(*) > 5 AS enough, count(*) FILTER (name <> '') * 2 > count(*) AS mostly_named FROM o_way GROUP BY od",
+            "o_edge", "o_gap_ct", "o_snap", "fx_od", "fx_vertices", "o_node", recursive=BEST.format(table="o_edge_cost") + SEARCH + GUIDED_PARTS.partition("o_pt AS")[0].rstrip().removesuffix(",")),
         "saved_routes_latest": sql(f"SELECT id, name, created_at, {fixed('(distance / 1609.34)', 1)} || ' mi' AS miles FROM fx_saved WHERE created_at IS NOT NULL", "fx_saved"),
         "route_cache_fallback": sql("SELECT id, CASE WHEN fresh_code <> 0 THEN distance + 1 WHEN cached_code <> 0 THEN distance END AS distance, CASE WHEN fresh_code <> 0 THEN 'fresh' WHEN cached_code <> 0 THEN 'cached' ELSE 'unavailable' END AS status FROM fx_saved", "fx_saved"),
         "store_upsert_delete": sql("SELECT * FROM (SELECT id, name FROM fx_saved WHERE id NOT IN (SELECT CAST(CAST(id AS BIGINT) * 2 AS VARCHAR) FROM fx_saved WHERE CAST(id AS BIGINT) % 3 = 0) UNION ALL SELECT CAST(CAST(id AS BIGINT) * 2 AS VARCHAR), 'New ' || name FROM fx_saved WHERE CAST(id AS BIGINT) % 3 = 0) WHERE id NOT IN (SELECT id FROM fx_saved WHERE CAST(id AS BIGINT) % 7 = 0)", "fx_saved"),

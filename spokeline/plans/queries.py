@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, geo, labels, numfmt
 from ..operators import builder, diagnostics, graph, guided, navigation, places, preferences, routes, spatial, store
+from ..operators.keyed import Keyed
 from ..sources import geojson, paged
 from ..storage import new_path
 from ..streaming import navigation as live
@@ -221,6 +222,34 @@ def store_upsert_delete(s, d):
     return store.delete(store.upsert(f, new, "id"), f.where("cast(id as bigint) % 7 = 0"), "id")
 
 
+@query
+def keyed_store_changes(s, d):
+    """All saved routes in a keyed store, after a group was put and another one removed."""
+    f = fixture(s, d, "fx_saved").select("id", "name", "distance")
+    kept = Keyed.create(f, new_path(s), "id")
+    kept.put(f.where("cast(id as bigint) % 3 = 0").select((c("id").cast("long") * 2).cast("string").alias("id"), F.concat(F.lit("New "), "name").alias("name"), "distance"))
+    kept.delete(f.where("cast(id as bigint) % 7 = 0"))
+    return kept.read()
+
+
+@query
+def keyed_store_lookup(s, d):
+    """The last saved route of each customer, by key."""
+    kept = Keyed.create(fixture(s, d, "fx_saved").select("id", "name", "distance"), new_path(s), "id")
+    keys = fixture(s, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").cast("string").alias("id"))
+    return kept.lookup(keys)
+
+
+@query
+def savable_routes(s, d):
+    """Drafts of which some have too few waypoints, no route or a blank name."""
+    f = fixture(s, d, "fx_saved")
+    points = F.expr("slice(array(1, 2, 3), 1, cast(fresh_code as int))")
+    name = F.when(F.expr("cast(id as bigint) % 5 = 0"), "  ").otherwise(F.concat(F.lit(" "), "name", F.lit("  ")))
+    drafts = f.select("id", points.alias("waypoints"), F.when(c("cached_code") != 0, c("distance")).alias("route"), name.alias("name"))
+    return store.savable(drafts).select("id", "name", F.size("waypoints").cast("long").alias("points"), "route")
+
+
 @query
 def instructions_from_edges(s, d):
     i = routes.from_edges(net.steps(s, d))
@@ -306,6 +335,29 @@ def off_route_banner(s, d):
     return navigation.banner_intervals(net.updates(s, d))
 
 
+@query
+def corridors_passed(s, d):
+    """Whether each route passes within 60 m of the points on its way from its start to its end."""
+    v = fixture(s, d, "fx_route_vertices")
+    ends = v.groupBy("route_id").agg(*(f(x, "idx").alias(f"{x}{k}") for k, f in enumerate((F.min_by, F.max_by)) for x in ("lat", "lng")))
+    at = lambda x: (c(f"{x}0") + (c(f"{x}1") - c(f"{x}0")) * c("corridor") / 10.0).alias(x)
+    asked = ends.withColumn("corridor", F.explode(F.sequence(F.lit(0), F.lit(10)))).select("route_id", "corridor", at("lat"), at("lng"), F.lit(60.0).alias("radius"))
+    return diagnostics.passes(v, asked)
+
+
+@query
+def route_checks(s, d):
+    """Each rider's whole track against bounds of length, a way back north and a meridian."""
+    tracks = fixture(s, d, "fx_fixes").select(c("rider_id").alias("route_id"), c("event_id").alias("idx"), "lat", "lng")
+    return diagnostics.checks(tracks, -122.6952, 8500.0, 9000.0, 0.009).withColumn("metres", m(c("metres")))
+
+
+@query
+def path_edge_checks(s, d):
+    steps = net.found_paths(s, d).select("od_id", "edge_id").join(net.edges_of(s, d).select("edge_id", "name"), "edge_id")
+    return diagnostics.edge_checks(steps)
+
+
 @query
 def search_cascade(s, d):
     p = fixture(s, d, "fx_places")
@@ -314,6 +366,23 @@ def search_cascade(s, d):
     return places.search(q, named.where("place_id % 2 = 0"), named.where("place_id % 2 = 1"))
 
 
+@query
+def search_near_bias(s, d):
+    """The cascade with a bias point: of the hits in the box, the nearest ones."""
+    p = fixture(s, d, "fx_places").withColumn("name", c("city"))
+    box = [(c("lat") - 0.008).alias("min_lat"), (c("lat") + 0.008).alias("max_lat"), (c("lng") - 0.012).alias("min_lng"), (c("lng") + 0.012).alias("max_lng")]
+    q = p.select(c("place_id").alias("query_id"), c("city").alias("text"), *box, (c("lat") + 0.001).alias("bias_lat"), c("lng").alias("bias_lng"))
+    return places.search(q, p, p.limit(0))
+
+
+@query
+def reverse_address(s, d):
+    p = fixture(s, d, "fx_places")
+    road = F.when(c("place_id") % 11 != 0, c("street"))
+    shown = F.when(c("place_id") % 8 != 0, F.concat_ws(", ", F.when(c("place_id") % 16 == 1, "").otherwise(c("district")), "city"))
+    return places.address_label(p.select("place_id", c("housenumber").alias("house_number"), road.alias("road"), "name", shown.alias("display_name")))
+
+
 @query
 def place_labels(s, d):
     return places.labels(fixture(s, d, "fx_places"))

@@ -19,6 +19,23 @@ def features(spark: SparkSession, *paths: str) -> DataFrame:
     return docs.select("file", "pos", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"), "f.properties.*")
 
 
+def load(spark: SparkSession, network: str, roads: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Features of the network, which must be there, and of the roads, which may be missing: no rows then, of the same columns.
+
+    A network that is missing is an error here, not a first job's; a file that is there but is no collection gives no features.
+    """
+
+    def there(path: str) -> bool:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+        return found is not None and len(found) > 0
+
+    if not there(network):
+        raise FileNotFoundError(network)
+    net = features(spark, network)
+    return net, features(spark, roads) if roads is not None and there(roads) else spark.createDataFrame([], net.schema)
+
+
 def vertices(rows: DataFrame, key: str = "sid") -> DataFrame:
     """Vertices of line geometries, (lng, lat) swapped: key, part, seq, lat, lng, ele. Other geometries give none."""
     one = F.from_json("coordinates", "array<array<double>>")

@@ -182,3 +182,30 @@ def test_guided_routes_with_and_without_legs_and_paths(spark):
     assert text[1] == ["Start your ride", "Follow the route", "Turn left", "Follow the route", "Arrive at destination"] and text[2][-1] == "Arrive at destination"
     assert text[3] == ["Start your ride", "Follow the route", "Arrive at destination"] and got[3]["has_elevation"] and got[3]["distance"] > 11_000
     assert routes.METRES_PER_SECOND == 4.2
+
+
+def test_route_checks_and_corridors(spark):
+    rows = [(1, 0, 45.500, -122.66), (1, 1, 45.501, -122.67), (1, 2, 45.490, -122.66), (2, 0, 45.5, -122.69), (3, 0, 45.5, -122.66), (3, 1, 45.5031, -122.66)]
+    v = spark.createDataFrame(rows, "route_id long, idx int, lat double, lng double")
+    got = {r["route_id"]: (r["in_bounds"], r["goes_back"], r["crosses_west"]) for r in diagnostics.checks(v, -122.68, 1000.0, 5000.0).collect()}
+    assert got == {1: (True, False, False), 2: (False, False, True), 3: (False, True, False)}
+    asked = spark.createDataFrame([(1, "near", 45.501, -122.671, 100.0), (1, "at its radius", 45.501, -122.67, 0.0), (2, "far", 45.6, -122.6, 200.0), (9, "no such route", 45.5, -122.6, 200.0)], "route_id long, corridor string, lat double, lng double, radius double")
+    assert {r["corridor"]: r["passed"] for r in diagnostics.passes(v, asked).collect()} == {"near": True, "at its radius": False, "far": False, "no such route": False}
+    steps = spark.createDataFrame([(1, n) for n in ("A", "A", "", "B", "", "C")] + [(2, "A"), (2, None), (3, "")], "od_id long, name string")
+    assert {tuple(r) for r in diagnostics.edge_checks(steps).collect()} == {(1, 6, True, True), (2, 2, False, False), (3, 1, False, False)}
+
+
+def test_addresses_and_bias(spark):
+    rows = [(1, "12", "Oak St", "Cafe", "x, y"), (2, None, "Oak St", "Cafe", "x"), (3, "12", "", "Cafe", "x"), (4, "12", None, "", "Old Town, City"), (5, None, None, None, None), (6, "", "", "", ", City")]
+    p = spark.createDataFrame(rows, "place_id long, house_number string, road string, name string, display_name string")
+    assert {r["place_id"]: r["label"] for r in places.address_label(p).collect()} == {1: "12 Oak St", 2: "Oak St", 3: "Cafe", 4: "Old Town", 5: None, 6: None}
+    there = spark.createDataFrame([(1, "Park", 45.50, -122.6), (2, "Park", 45.52, -122.6), (3, "Parking", 45.52, -122.6), (4, "Park", None, None)], "place_id long, name string, lat double, lng double")
+    q = spark.createDataFrame([(1, "park", 45.521), (2, "PARK", None)], "query_id long, text string, bias_lat double").selectExpr("*", "-122.6D bias_lng", "40D min_lat", "50D max_lat", "-130D min_lng", "-120D max_lng")
+    got = sorted((r["query_id"], r["rank"], r["place_id"]) for r in places.search(q, there, there.limit(0), limit=2).collect())
+    assert got == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 2)]
+
+
+def test_savable(spark):
+    rows = [(1, [1, 2], 5.0, " a "), (2, [1], 5.0, "a"), (3, [1, 2], None, "a"), (4, [1, 2], 5.0, "  "), (5, None, 5.0, "a"), (6, [1, 2, 3], 0.0, None)]
+    out = store.savable(spark.createDataFrame(rows, "id int, waypoints array<int>, route double, name string"))
+    assert [(r["id"], r["name"]) for r in out.collect()] == [(1, "a")]

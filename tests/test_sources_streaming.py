@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from spokeline.sources import geojson
@@ -54,3 +55,15 @@ def test_stream_equals_replay(spark, tmp_path):
     key = lambda r: (r["event_id"], r["idx"], r["arrived"], r["said"])
     got, want = sorted(map(key, spark.table("said").collect()), key=str), sorted(map(key, live.replay(df).collect()), key=str)
     assert got == want and any(r[3] and r[3].startswith("In ") for r in got) and any(r[2] for r in got)
+
+
+def test_load_goes_on_without_roads_but_not_without_a_network(spark, tmp_path):
+    line = {"geometry": {"type": "LineString", "coordinates": [[-122.6, 45.4], [-122.61, 45.41]]}, "properties": {"ConnectionType": "NG", "highway": "primary"}}
+    (tmp_path / "net.json").write_text(json.dumps({"features": [line]}))
+    for roads in (None, str(tmp_path / "roads.json")):
+        net, none = geojson.load(spark, str(tmp_path / "net.json"), roads)
+        assert net.count() == 1 and none.count() == 0 and none.schema == net.schema
+    (tmp_path / "roads.json").write_text(json.dumps({"features": [line, line]}))
+    assert geojson.load(spark, str(tmp_path / "net.json"), str(tmp_path / "roads.json"))[1].count() == 2
+    with pytest.raises(FileNotFoundError):
+        geojson.load(spark, str(tmp_path / "gone.json"), str(tmp_path / "roads.json"))
