@@ -12,7 +12,6 @@ from ..operators import builder, diagnostics, graph, guided, navigation, places,
 from ..operators.keyed import Keyed
 from ..sources import geojson, paged
 from ..storage import new_path
-from ..streaming import navigation as live
 from . import network as net
 from .fixtures import fixture
 
@@ -326,7 +325,7 @@ def nav_updates_batch(s, d):
 
 @query
 def nav_announcements(s, d):
-    return live.replay(net.updates(s, d)).drop("ts")
+    return navigation.announced(net.updates(s, d)).drop("ts")
 
 
 @query

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# Limits, and the texts that riders hear, which are spoken as they stand.
-ANNOUNCE_M, REMIND_M, COOLDOWN_MS, ARRIVAL_M = 80.0, 20.0, 8000, 30.0
+from ..operators.navigation import ANNOUNCE_M, ARRIVAL_M, ARRIVED, COOLDOWN_MS, REMIND_M
+
 OUT = "rider_id long, event_id long, ts timestamp, idx int, arrived boolean, off_route boolean, said string"
 STATE = "arrived boolean, last_idx int, last_ms long, seen_ms long"
 
@@ -29,7 +29,7 @@ def advance(state: tuple[bool, int, int], fix, now: int) -> tuple[tuple[bool, in
     """One fix of a rider at a millisecond: the new state (arrived, index announced last, when) and what is said."""
     arrived, last_idx, last_ms = state
     if not arrived and fix.remaining_m < ARRIVAL_M:
-        return (True, last_idx, last_ms), "You have arrived at your destination."
+        return (True, last_idx, last_ms), ARRIVED
     if arrived or fix.next_text is None or pd.isna(fix.next_text):
         return state, None
     if fix.idx != last_idx and fix.to_turn_m <= ANNOUNCE_M:
@@ -65,7 +65,7 @@ def tracked(updates: DataFrame) -> DataFrame:
 
 
 def replay(updates: DataFrame) -> DataFrame:
-    """The same fold over a bounded table, a rider's fixes in one group."""
+    """The same fold over a table that is small enough for a rider's fixes to be one group; operators.navigation.announced() has no such limit."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         state, rows = (False, -1, 0), []
