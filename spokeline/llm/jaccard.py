@@ -2,11 +2,13 @@
 
 A text's set is its shingles of five words (lower case, split at white space); a text of one to four words has one shingle
 of all its words. Texts with equal sets are one node with a number of copies. Each node gets `trees` labels of `depth`
-minima; a tree's labels form a prefix trie, whose branches are the labels' prefixes in sorted order. Matched prefixes
-start at full depth and are shortened level by level, until two things hold: the chance that a pair of exactly
+minima; the branches of a tree are the prefixes of its labels. Matched prefixes
+start at full depth and are shortened level by level, for all texts alike, until two things hold: the chance that a pair of exactly
 the threshold shares a branch of some tree reaches the target recall, and so does (against the target of the audit) the recall
 measured for a bounded set of audited texts, whose partners are all found by exact comparison in the pass that signs the
-texts. Nodes under one branch of that level are candidates.
+texts. Half of these are drawn among all texts, half among those that begin like another text, which says nothing of their signatures. Where fewer than
+AUDIT_LINKED of them have a partner, their recall says too little, and prefixes are one minimum shorter than the chance asks for. Nodes under one
+branch of that level are candidates. (A trie whose texts stop at prefixes of their own would stop early only where partners are known already, and lose those at the threshold.)
 
 Verification is exact. A node's home is the most crowded branch that it or a node it meets is in; homes are dealt into blocks
 of bounded size, whose pairs are all compared, and a node is sent to those blocks of other homes alone in which it has a candidate. Two blocks are compared by a
@@ -35,8 +37,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 24, 8
 RECALL = 0.999
-#: Texts whose partners are found exactly, and the mean recall that they must show.
-AUDITED, AUDIT_RECALL = 64, 0.98
+#: Texts whose partners are found exactly (of each half), how many of them must have one, and the mean recall that these must show.
+AUDITED, AUDIT_LINKED, AUDIT_RECALL = 64, 32, 0.98
+#: Characters of an audited text at most, and those of the beginning that two texts share, for the half that begins like others.
+AUDIT_CHARS, BEGINNING = 200_000, 60
 #: Texts of a block, and shingles of all of them (a single text may have more).
 BLOCK, BLOCK_SHINGLES = 384, 1 << 19
 SEED = 11
@@ -67,10 +71,13 @@ def meets(similarity: float, depth: int, trees: int) -> float:
 
 
 def forest_level(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, measured: dict[int, float] | None = None) -> int:
-    """Shorten matched prefixes from full depth until pairs at the threshold meet with the target recall, and the audited ones did."""
+    """Shorten matched prefixes from full depth until pairs at the threshold meet with the target recall, and the audited ones did.
+
+    measured: recall of the audited texts by level; empty where too few had a partner, which costs one more level; None: not audited.
+    """
     while depth > 1 and (meets(threshold, depth, trees) < recall or (measured or {}).get(depth, 1.0) < AUDIT_RECALL):
         depth -= 1
-    return depth
+    return max(1, depth - 1) if measured == {} else depth
 
 
 def signature(sets: np.ndarray, trees: int, depth: int) -> np.ndarray:
@@ -149,14 +156,24 @@ def signed(rows: DataFrame, audit: Audit, threshold: float, trees: int, depth: i
     return rows.mapInArrow(sign, "doc_id long, h binary, node long, size long, labels binary, met array<int>")
 
 
+def audited_texts(rows: DataFrame) -> list[str]:
+    """AUDITED texts of all, and AUDITED of those that begin like another text; of at most AUDIT_CHARS characters. rows: doc_id, text, h."""
+    fit = rows.where(F.col("text").rlike(r"\S") & (F.length("text") <= AUDIT_CHARS))
+    order = [F.xxhash64("doc_id", F.length("text")), "doc_id", "text"]
+    some = [r[0] for r in fit.orderBy(*order).limit(AUDITED).select("text").collect()]
+    alike = fit.groupBy(F.substring("text", 1, BEGINNING).alias("start")).agg(F.min("h").alias("h"), F.max("h").alias("other")).where("h <> other")
+    drawn = alike.orderBy(F.xxhash64("start"), "start").limit(AUDITED).select("h")
+    return some + sorted({r[0] for r in fit.join(F.broadcast(drawn), "h", "left_semi").groupBy("h").agg(F.any_value("text").alias("text")).select("text").collect()})
+
+
 def audited_recall(sig: DataFrame, depth: int) -> dict[int, float]:
-    """Mean recall of the audited texts that have links, at each level; empty where none has."""
-    rows = sig.select(F.explode("met").alias("met")).groupBy("met").count().collect()  # AUDITED x levels rows at most
-    links = np.zeros((AUDITED, depth + 1))
+    """Mean recall of the audited texts that have links, at each level; empty where fewer than AUDIT_LINKED have any."""
+    rows = sig.select(F.explode("met").alias("met")).groupBy("met").count().collect()  # 2 x AUDITED x levels rows at most
+    links = np.zeros((2 * AUDITED, depth + 1))
     for met, n in rows:
         links[met // 64, met % 64] += n
     links = links[links.sum(axis=1) > 0]
-    return {d: float((links[:, d:].sum(axis=1) / links.sum(axis=1)).mean()) for d in range(1, depth + 1)} if len(links) else {}
+    return {d: float((links[:, d:].sum(axis=1) / links.sum(axis=1)).mean()) for d in range(1, depth + 1)} if len(links) >= AUDIT_LINKED else {}
 
 
 def compared(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -204,8 +221,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, tr
     """doc_id, h, n_links, lead_id and lead_h (the first row of the class) of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("h"))
-    audited = rows.where(F.col("text").rlike(r"\S")).orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id", "text").limit(AUDITED).select("text").collect()
-    sig = written(signed(rows, Audit([r[0] for r in audited], trees, depth), threshold, trees, depth))
+    sig = written(signed(rows, Audit(audited_texts(rows), trees, depth), threshold, trees, depth))
     level = forest_level(threshold, trees, depth, recall, audited_recall(sig, depth))
 
     # nodes: texts of the same set, with the first of their rows

@@ -215,6 +215,31 @@ def test_toxicity(spark, corpus):
     assert toxicity.restore(both).where("restored is null").count() == 0
 
 
+def word_shingles(text: str | None) -> frozenset:
+    """The definition, on words themselves."""
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_jaccard_audits_linked_texts(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        w = prose("en", 80, rng).split()
+        rows.append((i, " ".join(w)))
+        if i % 3 == 0:
+            rows.append((1000 + i, " ".join([*w[:-1], "other"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.unhex(F.md5(F.col("text").cast("binary"))))
+    texts = jaccard.audited_texts(df)
+    assert len(texts) == 128
+    sig = jaccard.signed(df, jaccard.Audit(texts, jaccard.TREES, jaccard.DEPTH), 0.8, jaccard.TREES, jaccard.DEPTH)
+    assert jaccard.audited_recall(sig, jaccard.DEPTH)[6] >= 0.98
+    few = jaccard.signed(df, jaccard.Audit(texts[:20], jaccard.TREES, jaccard.DEPTH), 0.8, jaccard.TREES, jaccard.DEPTH)
+    assert jaccard.audited_recall(few, jaccard.DEPTH) == {}
+    long = df.withColumn("text", F.repeat("text", 1000))
+    assert jaccard.audited_texts(long) == [] and jaccard.audited_texts(df.limit(0)) == []
+
+
 def test_jaccard_against_all_pairs(spark):
     rng = random.Random(7)
     texts = {i: prose("en", rng.randint(5, 120), rng).split() for i in range(30)}
@@ -228,7 +253,7 @@ def test_jaccard_against_all_pairs(spark):
             rows.append((100 + i * 10 + k, " ".join(v)))
     rows += [(900, None), (901, ""), (902, "one"), (903, "One"), (904, "one two"), (None, "one"), (rows[0][0], rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1)).withColumn("h", F.lit(2))
-    known = [(i, frozenset(jaccard.shingles(t).tolist())) for i, t in rows]
+    known = [(i, word_shingles(t)) for i, t in rows]
     links, up = defaultdict(int), list(range(len(known)))
 
     def find(x):
@@ -284,7 +309,7 @@ def test_jaccard_of_a_chain_of_groups_in_small_blocks(spark, monkeypatch):
 def test_forest_level_shortens_until_both_targets_are_met():
     d = jaccard.forest_level(0.8, 24, 10, 0.999)
     assert jaccard.meets(0.8, d, 24) >= 0.999 > jaccard.meets(0.8, d + 1, 24)
-    assert jaccard.forest_level(0.8, 24, 10, 0.999, {d: 0.5, d - 1: 0.99}) == d - 1 and jaccard.forest_level(0.99, 24, 10, 0.999) == 10
+    assert jaccard.forest_level(0.8, 24, 10, 0.999, {d: 0.5, d - 1: 0.99}) == d - 1 == jaccard.forest_level(0.8, 24, 10, 0.999, {}) and jaccard.forest_level(0.99, 24, 10, 0.999) == 10
 
 
 def test_audit_finds_all_partners_and_their_prefixes():
