@@ -6,7 +6,7 @@ minima; the branches of a tree are the prefixes of its labels. Matched prefixes
 start at full depth and are shortened level by level, for all texts alike, until two things hold: the chance that a pair of exactly
 the threshold shares a branch of some tree reaches the target recall, and so does (against the target of the audit) the recall
 measured for a bounded set of audited texts, whose partners are all found by exact comparison in the pass that signs the
-texts. Half of these are drawn among all texts, half among those that begin like another text, which says nothing of their signatures. Where fewer than
+texts. Half of these are drawn among all texts, half among those that begin and end like another text, which says nothing of their signatures. Where fewer than
 AUDIT_LINKED of them have a partner, their recall says too little, and prefixes are one minimum shorter than the chance asks for. Nodes under one
 branch of that level are candidates. (A trie whose texts stop at prefixes of their own would stop early only where partners are known already, and lose those at the threshold.)
 
@@ -39,7 +39,7 @@ TREES, DEPTH = 24, 8
 RECALL = 0.999
 #: Texts whose partners are found exactly (of each half), how many of them must have one, and the mean recall that these must show.
 AUDITED, AUDIT_LINKED, AUDIT_RECALL = 64, 32, 0.98
-#: Characters of an audited text at most, and those of the beginning that two texts share, for the half that begins like others.
+#: Characters of an audited text at most, and those of the beginning and of the end that two texts share, for the half that looks like others.
 AUDIT_CHARS, BEGINNING = 200_000, 60
 #: Texts of a block, and shingles of all of them (a single text may have more).
 BLOCK, BLOCK_SHINGLES = 384, 1 << 19
@@ -157,11 +157,11 @@ def signed(rows: DataFrame, audit: Audit, threshold: float, trees: int, depth: i
 
 
 def audited_texts(rows: DataFrame) -> list[str]:
-    """AUDITED texts of all, and AUDITED of those that begin like another text; of at most AUDIT_CHARS characters. rows: doc_id, text, h."""
+    """AUDITED texts of all, and AUDITED of those that begin and end like another text; of at most AUDIT_CHARS characters. rows: doc_id, text, h."""
     fit = rows.where(F.col("text").rlike(r"\S") & (F.length("text") <= AUDIT_CHARS))
     order = [F.xxhash64("doc_id", F.length("text")), "doc_id", "text"]
     some = [r[0] for r in fit.orderBy(*order).limit(AUDITED).select("text").collect()]
-    alike = fit.groupBy(F.substring("text", 1, BEGINNING).alias("start")).agg(F.min("h").alias("h"), F.max("h").alias("other")).where("h <> other")
+    alike = fit.groupBy(F.concat(F.substring("text", 1, BEGINNING), F.lit("\n"), F.substring("text", -BEGINNING, BEGINNING)).alias("start")).agg(F.min("h").alias("h"), F.max("h").alias("other")).where("h <> other")
     drawn = alike.orderBy(F.xxhash64("start"), "start").limit(AUDITED).select("h")
     return some + sorted({r[0] for r in fit.join(F.broadcast(drawn), "h", "left_semi").groupBy("h").agg(F.any_value("text").alias("text")).select("text").collect()})
 

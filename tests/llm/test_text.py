@@ -228,7 +228,7 @@ def test_jaccard_audits_linked_texts(spark):
         w = prose("en", 80, rng).split()
         rows.append((i, " ".join(w)))
         if i % 3 == 0:
-            rows.append((1000 + i, " ".join([*w[:-1], "other"])))
+            rows.append((1000 + i, " ".join([*w[:40], "other", *w[41:]])))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.unhex(F.md5(F.col("text").cast("binary"))))
     texts = jaccard.audited_texts(df)
     assert len(texts) == 128
