@@ -13,11 +13,27 @@ from .spatial import GAP_CELLS, GAP_M, around, within
 MAX_PIECE_M = 200.0
 
 
+#: Rows of a group are numbered by blocks of so many values of insert_seq, so that no task holds a whole group.
+NUMBER_BLOCK = 65_536
+
+
 def explode_group(drawn: DataFrame) -> DataFrame:
     """One row for each key of a drawn group: all keys, group and attributes repeat. drawn: group_id, type, all_edge_keys, insert_seq."""
     return drawn.select("group_id", "type", "insert_seq", "all_edge_keys", F.posexplode("all_edge_keys").alias("pos", "edge_key"))
 
 
+def members(prefs: DataFrame) -> DataFrame:
+    """group_id, pos (from 0) and edge_key of the rows of groups, in the order of insert_seq and edge_key: the lists of all keys as rows, however long.
+
+    A row's number is that in its block of insert_seq and what the blocks before it hold.
+    """
+    rows = prefs.where("group_id is not null").select("group_id", "insert_seq", "edge_key", F.floor(F.col("insert_seq") / NUMBER_BLOCK).alias("block"))
+    before = F.sum("n").over(Window.partitionBy("group_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = rows.groupBy("group_id", "block").agg(F.count("*").alias("n")).select("group_id", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    n = F.row_number().over(Window.partitionBy("group_id", "block").orderBy("insert_seq", "edge_key"))
+    return rows.withColumn("n", n).join(blocks, ["group_id", "block"]).select("group_id", (F.col("before") + F.col("n") - 1).alias("pos"), "edge_key")
+
+
 def unique(prefs: DataFrame) -> DataFrame:
     """The first row of each group; a row without a group is its own."""
     group = F.coalesce(F.nullif(F.col("group_id"), F.lit("")), F.col("edge_key"))
@@ -25,13 +41,30 @@ def unique(prefs: DataFrame) -> DataFrame:
     return first.select("preference", "p.edge_key", "p.type", "p.insert_seq")
 
 
-def overrides(prefs: DataFrame) -> DataFrame:
-    """key and type, the last writer wins: a row sets its own key, then all keys of its group."""
-    keys = F.concat(F.array("edge_key"), F.coalesce(F.col("all_edge_keys"), F.array().cast("array<string>")))
-    each = prefs.select("insert_seq", "edge_key", "type", F.posexplode(keys).alias("pos", "key"))
+def overrides(prefs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """key and type, the last writer wins: a row sets its own key, then all keys of its group.
+
+    A group's keys are in all_edge_keys of its rows, or, for groups of any size, in keys (group_id, pos, edge_key). All rows of such a group set the same keys, so
+    its last row alone counts, and each key is met once, not once for every row of the group.
+    """
+    if keys is None:
+        every = F.concat(F.array("edge_key"), F.coalesce(F.col("all_edge_keys"), F.array().cast("array<string>")))
+        each = prefs.select("insert_seq", "edge_key", "type", F.posexplode(every).alias("pos", "key"))
+    else:
+        own = prefs.select("insert_seq", "edge_key", "type", F.lit(0).cast("long").alias("pos"), F.col("edge_key").alias("key"))
+        last = prefs.where("group_id is not null").groupBy("group_id").agg(F.max(F.struct("insert_seq", "edge_key", "type")).alias("l")).select("group_id", "l.*")
+        each = own.unionByName(keys.select("group_id", (F.col("pos") + 1).alias("pos"), F.col("edge_key").alias("key")).join(last, "group_id").drop("group_id"))
     return each.groupBy("key").agg(F.max_by("type", F.struct("insert_seq", "edge_key", "pos")).alias("type"))
 
 
+def remove_members(prefs: DataFrame, removed: DataFrame, keys: DataFrame) -> DataFrame:
+    """remove() for groups whose keys are rows (group_id, edge_key) in place of lists."""
+    removed = removed.select("edge_key").distinct()
+    hit = prefs.where("group_id is not null").join(removed, "edge_key", "left_semi").select("group_id").distinct()
+    gone = keys.join(hit, "group_id", "left_semi").select("edge_key").union(removed).distinct()
+    return prefs.join(gone, "edge_key", "left_anti")
+
+
 def remove(prefs: DataFrame, removed: DataFrame) -> DataFrame:
     """Rows that stay when `removed` (edge_key) go: a row of a group takes all keys of its group with it."""
     hit = prefs.join(removed.select("edge_key").distinct(), "edge_key", "left_semi")
