@@ -39,9 +39,13 @@ def road_segments(road_vertices: DataFrame) -> DataFrame:
 
 
 def worst_crossing(lines: DataFrame, roads: DataFrame, *key: str) -> DataFrame:
-    """key and rank of the worst road segment that each line (lat1, lng1, lat2, lng2) crosses; lines without a crossing are left out."""
-    a = with_cells(lines.select(*key, "lat1", "lng1", "lat2", "lng2"))
-    b = with_cells(roads.select("road", "k", "rank", *(F.col(c).alias(f"r_{c}") for c in ("lat1", "lng1", "lat2", "lng2")), "lat1", "lng1", "lat2", "lng2")).drop("lat1", "lng1", "lat2", "lng2")
+    """key and rank of the worst road segment that each line (lat1, lng1, lat2, lng2) crosses; lines without a crossing are left out.
+
+    Road segments that lie on each other count once, by the worst of them, and are written with their cells, so that their size is known when the join is planned.
+    """
+    ends = ("lat1", "lng1", "lat2", "lng2")
+    a = with_cells(lines.select(*key, *ends))
+    b = written(with_cells(roads.groupBy(*ends).agg(F.max("rank").alias("rank"))).withColumnsRenamed({c: f"r_{c}" for c in ends}))
     c = F.col
     crosses = geo.segments_cross((c("lat1"), c("lng1")), (c("lat2"), c("lng2")), (c("r_lat1"), c("r_lng1")), (c("r_lat2"), c("r_lng2")))
     return a.join(b, ["cell_lat", "cell_lng"]).where(crosses).groupBy(*key).agg(F.max("rank").alias("rank"))
@@ -52,16 +56,32 @@ def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     cols = ("node_key", "lat", "lng", "cell_lat", "cell_lng")
     a = around(left, GAP_CELLS).select(*(F.col(c).alias(f"a_{c}") for c in cols), "x", "y")
     b = within(right, GAP_CELLS).select(*(F.col(c).alias(f"b_{c}") for c in cols), "x", "y")
+    return _keyed(_in_reach(a.join(b, ["x", "y"]).where(F.col("a_node_key") != F.col("b_node_key"))))
+
+
+def _in_reach(pairs: DataFrame) -> DataFrame:
     near = (F.abs(F.col("a_cell_lat") - F.col("b_cell_lat")) <= GAP_CELLS) & (F.abs(F.col("a_cell_lng") - F.col("b_cell_lng")) <= GAP_CELLS)
     d = geo.haversine(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
-    pairs = a.join(b, ["x", "y"]).where((F.col("a_node_key") != F.col("b_node_key")) & near).withColumn("distance", d).where(F.col("distance") <= GAP_M)
+    return pairs.where(near).withColumn("distance", d).where(F.col("distance") <= GAP_M)
+
+
+def _keyed(pairs: DataFrame) -> DataFrame:
     out = pairs.withColumn("key", edge_key(F.col("a_node_key"), F.col("b_node_key")))
     return out.select("key", F.col("a_node_key").alias("a_key"), F.col("b_node_key").alias("b_key"), "distance", F.col("a_lat").alias("lat1"), F.col("a_lng").alias("lng1"), F.col("b_lat").alias("lat2"), F.col("b_lng").alias("lng2"))
 
 
 def gap_pairs(nodes: DataFrame, connected: DataFrame) -> DataFrame:
-    """a_key < b_key, ends and metres of node pairs within reach that no edge connects. connected: key."""
-    return near_pairs(nodes, nodes).where("a_key < b_key").join(connected.select("key").distinct(), "key", "left_anti")
+    """a_key < b_key, ends and metres of node pairs within reach that no edge connects. connected: key.
+
+    What a node is connected to stands beside it as an array before the pairs are made, and only the other side goes to nine coarse cells, so no pair is shuffled.
+    """
+    ends = F.split("key", r"\|")
+    linked = connected.select(ends[0].alias("node_key"), ends[1].alias("other")).groupBy("node_key").agg(F.collect_set("other").alias("linked"))
+    cols = ("node_key", "lat", "lng", "cell_lat", "cell_lng")
+    a = within(nodes.join(linked, "node_key", "left"), GAP_CELLS).select(*(F.col(c).alias(f"a_{c}") for c in cols), "linked", "x", "y")
+    b = around(nodes, GAP_CELLS).select(*(F.col(c).alias(f"b_{c}") for c in cols), "x", "y")
+    apart = F.col("linked").isNull() | ~F.array_contains("linked", F.col("b_node_key"))
+    return _keyed(_in_reach(a.join(b, ["x", "y"]).where("a_node_key < b_node_key")).where(apart))
 
 
 def relinked(ends: DataFrame, nodes: DataFrame, connected: DataFrame) -> DataFrame:
@@ -76,8 +96,8 @@ def relinked(ends: DataFrame, nodes: DataFrame, connected: DataFrame) -> DataFra
 
 
 def gap_edges(gaps: DataFrame, roads: DataFrame) -> DataFrame:
-    """Gaps with ct by the worst road that they cross."""
-    worst = worst_crossing(gaps, roads, "key")
+    """Gaps with ct by the worst road that they cross. The crossings are written, so that few of them meet the gaps without a shuffle of these."""
+    worst = written(worst_crossing(gaps, roads, "key"))
     ct = F.when(F.col("rank") == 2, "_GAP_MAJOR").when(F.col("rank") == 1, "_GAP_BUSY").otherwise("_GAP")
     return gaps.join(worst, "key", "left").withColumn("ct", ct).drop("rank")
 

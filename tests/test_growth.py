@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from spokeline.operators import preferences
+from spokeline.operators import navigation, preferences, spatial
 
 
 def rows_of(spark, df):
@@ -44,3 +46,39 @@ def test_a_large_group_is_met_once(spark):
     listed = p.where("insert_seq < 500").join(p.where("insert_seq < 500 and group_id = 'g'").groupBy("group_id").agg(F.sort_array(F.collect_list("edge_key")).alias("all_edge_keys")), "group_id", "left")
     few = preferences.overrides(p.where("insert_seq < 500"), preferences.members(p.where("insert_seq < 500")))
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, preferences.overrides(listed).collect()))
+
+
+def physical(df) -> str:
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+
+
+NODES = "node_key string, lat double, lng double, cell_lat long, cell_lng long"
+
+
+def test_gaps_are_made_without_shuffling_pairs(spark):
+    at = [(45.45 + 0.0009 * (i // 6), -122.7 + 0.00115 * (i % 6)) for i in range(36)]
+    n = spark.createDataFrame([(f"{a:.4f},{b:.4f}", a, b, math.floor(a * 1000), math.floor(b * 1000)) for a, b in at], NODES)
+    keys = [r["node_key"] for r in n.collect()]
+    joined = {"|".join(sorted(p)) for p in zip(keys, keys[1:], strict=False)}
+    connected = spark.createDataFrame([(k,) for k in [*joined, *joined]], "key string")
+    every = spatial.near_pairs(n, n).where("a_key < b_key").collect()
+    gaps = spatial.gap_pairs(n, connected)
+    assert sorted(r["key"] for r in gaps.collect()) == sorted(r["key"] for r in every if r["key"] not in joined) and gaps.count() < len(every)
+    plan = physical(gaps)
+    assert "LeftAnti" not in plan  # which would deal all pairs by their key
+    road = [(r, 0, 1 + (r == 0), 45.44, -122.6995, 45.47, -122.6995) for r in range(200)]  # roads that lie on each other
+    roads = spark.createDataFrame(road, "road long, k int, rank int, lat1 double, lng1 double, lat2 double, lng2 double")
+    worst = spatial.worst_crossing(gaps, roads, "key")
+    assert {r["rank"] for r in worst.collect()} == {2}
+    assert max(r for _, r in rows_of(spark, worst)) < 20 * gaps.count()  # not 200 for each gap
+
+
+def test_a_fix_stays_one_row(spark):
+    v = spark.createDataFrame([(1, i, 45.5 + 0.001 * i, -122.6) for i in range(200)] + [(2, 0, 45.0, -122.0)], "route_id long, idx int, lat double, lng double")
+    fixes = spark.createDataFrame([(k, 1 + k // 99, 45.5 + 0.0011 * k, -122.601) for k in range(100)], "event_id long, route_id long, lat double, lng double")
+    out = navigation.matched(fixes, navigation.routes_of(v))
+    got = {r["event_id"]: r for r in out.collect()}
+    assert len(got) == 99 and got[0]["seg"] == 0 and got[3]["seg"] == 3 and abs(got[3]["off_m"] - 77.933) < 0.001 and abs(got[3]["matched_lat"] - 45.5033) < 1e-9
+    assert max(r for _, r in rows_of(spark, out)) <= 200  # no fix with each of 199 segments
