@@ -18,7 +18,16 @@ def rad(deg: Column) -> Column:
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance in metres."""
-    h = F.pow(F.sin(rad(lat2 - lat1) / 2), 2) + F.cos(rad(lat1)) * F.cos(rad(lat2)) * F.pow(F.sin(rad(lng2 - lng1) / 2), 2)
+    return arc(squared_chord(lat1, lng1, lat2, lng2, F.cos(rad(lat1))))
+
+
+def squared_chord(lat1: Column, lng1: Column, lat2: Column, lng2: Column, k: Column) -> Column:
+    """The square of half the chord between two points; k: the cosine of the first latitude."""
+    return F.pow(F.sin(rad(lat2 - lat1) / 2), 2) + k * F.cos(rad(lat2)) * F.pow(F.sin(rad(lng2 - lng1) / 2), 2)
+
+
+def arc(h: Column) -> Column:
+    """Metres of a squared_chord()."""
     return F.lit(EARTH_M * 2) * F.atan2(F.sqrt(h), F.sqrt(F.lit(1.0) - h))
 
 
@@ -42,8 +51,12 @@ def project_t(plat: Column, plng: Column, alat: Column, alng: Column, blat: Colu
     k = F.cos(rad(plat))
     dx, dy = (blng - alng) * k, blat - alat
     px, py = (plng - alng) * k, plat - alat
-    squared = dx * dx + dy * dy
-    return F.when(squared < MIN_SQUARED_LENGTH, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(px * dx + py * dy, squared))))
+    return along(px * dx + py * dy, dx * dx + dy * dy)
+
+
+def along(dot: Column, squared: Column) -> Column:
+    """project_t() from the product of both vectors and the segment's squared length."""
+    return F.when(squared < MIN_SQUARED_LENGTH, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(dot, squared))))
 
 
 def project(plat: Column, plng: Column, alat: Column, alng: Column, blat: Column, blng: Column) -> Column:
@@ -87,6 +100,12 @@ def cell(deg: Column) -> Column:
     return F.floor(deg * CELLS_PER_DEGREE).cast("long")
 
 
+def clear_metres(lat: Column, deg: float) -> Column:
+    """What is at least `deg` degrees away from a point in latitude or in longitude is no nearer than this; a thousandth less, for rounding."""
+    far = F.least(F.lit(90.0), F.abs(lat) + 2 * deg)
+    return F.lit(EARTH_M * (1 - 1e-3)) * F.least(rad(F.lit(deg)), rad(F.lit(deg)) * F.cos(rad(far)))
+
+
 def cells_of_box(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """All cells of the box around two points, as an array of struct(cell_lat, cell_lng)."""
     lats = F.sequence(cell(F.least(lat1, lat2)), cell(F.greatest(lat1, lat2)))

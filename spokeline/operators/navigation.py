@@ -37,28 +37,29 @@ def routes_of(vertices: DataFrame) -> DataFrame:
 def matched(fixes: DataFrame, routes: DataFrame) -> DataFrame:
     """Fixes with off_m, along_m and the matched point: the first of the nearest segments of the fix's route.
 
-    A fix goes to its route's segments within one task, in generated code, and its nearest one is an ordered minimum that is
-    combined there, so one row of each fix is shuffled.
+    The nearest one is the least element of an array beside the fix, so a fix stays one row and is shuffled for the join with its route at most.
     """
-    rows = fixes.withColumn("__fix", F.monotonically_increasing_id()).join(routes, "route_id").select(*fixes.columns, "__fix", "total", F.explode("segments").alias("s"))
-    c = F.col
-    rows = rows.withColumn("__t", geo.project_t(c("lat"), c("lng"), c("s.lat1"), c("s.lng1"), c("s.lat2"), c("s.lng2")))
-    rows = rows.withColumns({"__lat": c("s.lat1") + c("__t") * (c("s.lat2") - c("s.lat1")), "__lng": c("s.lng1") + c("__t") * (c("s.lng2") - c("s.lng1"))})
-    near = F.struct(geo.haversine(c("lat"), c("lng"), c("__lat"), c("__lng")).alias("d"), c("s.seg").alias("seg"), (c("s.before") + c("__t") * c("s.length")).alias("along"), c("__lat").alias("lat"), c("__lng").alias("lng"))
-    best = rows.groupBy(*fixes.columns, "__fix", "total").agg(F.min(near).alias("m"))
-    return best.withColumns({"off_m": c("m.d"), "along_m": c("m.along"), "seg": c("m.seg"), "matched_lat": c("m.lat"), "matched_lng": c("m.lng")}).drop("m", "__fix")
+    rows = _nearest(fixes.join(routes.where(F.size("segments") > 0), "route_id"))
+    return rows.select(*fixes.columns, "total", "off_m", "along_m", "m.seg", F.col("m.lat").alias("matched_lat"), F.col("m.lng").alias("matched_lng"))
 
 
 def placed(fixes: DataFrame) -> DataFrame:
-    """The same for rows that have their route's segments beside them, as streams do: the nearest segment is the least element of an array, so no row is shuffled."""
-    c = F.col
+    """off_m and along_m of rows that have their route's segments beside them, as streams do."""
+    return _nearest(fixes).drop("m")
 
-    def near(s: Column) -> Column:
-        t = geo.project_t(c("lat"), c("lng"), s["lat1"], s["lng1"], s["lat2"], s["lng2"])
-        lat, lng = s["lat1"] + t * (s["lat2"] - s["lat1"]), s["lng1"] + t * (s["lng2"] - s["lng1"])
-        return F.struct(geo.haversine(c("lat"), c("lng"), lat, lng).alias("d"), s["seg"].alias("seg"), (s["before"] + t * s["length"]).alias("along"))
 
-    return fixes.withColumn("m", F.array_min(F.transform("segments", near))).withColumns({"off_m": c("m.d"), "along_m": c("m.along")}).drop("m", "segments")
+def _nearest(fixes: DataFrame) -> DataFrame:
+    """m: the least of the segments by distance and number. Step by step, as what a lambda names twice is computed twice, and with the fix's cosine computed before."""
+    c = F.col
+    f = lambda x, *names: [x[n].alias(n) for n in names]
+    at = F.transform("segments", lambda s: F.struct(s.alias("s"), ((s["lng2"] - s["lng1"]) * c("__k")).alias("dx"), (s["lat2"] - s["lat1"]).alias("dy"), ((c("lng") - s["lng1"]) * c("__k")).alias("px"), (c("lat") - s["lat1"]).alias("py")))
+    at = F.transform(at, lambda x: F.struct(*f(x, "s"), (x["px"] * x["dx"] + x["py"] * x["dy"]).alias("dot"), (x["dx"] * x["dx"] + x["dy"] * x["dy"]).alias("sq")))
+    at = F.transform(at, lambda x: F.struct(*f(x, "s"), geo.along(x["dot"], x["sq"]).alias("t")))
+    at = F.transform(at, lambda x: F.struct(*f(x, "s", "t"), (x["s"]["lat1"] + x["t"] * (x["s"]["lat2"] - x["s"]["lat1"])).alias("lat"), (x["s"]["lng1"] + x["t"] * (x["s"]["lng2"] - x["s"]["lng1"])).alias("lng")))
+    at = F.transform(at, lambda x: F.struct(*f(x, "s", "t", "lat", "lng"), geo.squared_chord(c("lat"), c("lng"), x["lat"], x["lng"], c("__k")).alias("h")))
+    near = F.transform(at, lambda x: F.struct(geo.arc(x["h"]).alias("d"), x["s"]["seg"].alias("seg"), (x["s"]["before"] + x["t"] * x["s"]["length"]).alias("along"), *f(x, "lat", "lng")))
+    out = fixes.withColumn("__k", F.cos(geo.rad(c("lat")))).withColumn("m", F.array_min(near))
+    return out.withColumns({"off_m": c("m.d"), "along_m": c("m.along")}).drop("segments", "__k")
 
 
 def current_instruction(along: Column, instructions: Column) -> Column:
