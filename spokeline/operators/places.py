@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from ..storage import written
 
 LIMIT, MIN_SPAN, MIN_QUERY = 5, 0.25, 3
+#: Cells around a point that are looked at before all within reach, smallest first.
+RINGS_DEG = (0.001, 0.004)
 
 
 def _text(c: str) -> Column:
@@ -51,21 +54,73 @@ def search(queries: DataFrame, places: DataFrame, others: DataFrame, limit: int
     queries: query_id, text, the box min_lat..max_lng, and maybe a bias point (bias_lat, bias_lng): hits near it come first, to the metre, hits of the other
     provider and queries without a point go by place_id alone. Hits are names that begin with the text, compared in lower case;
     the join is on the text's first letters, so each query meets its own names only.
+
+    Of a text that many queries ask for without a point, the first `limit` hits anywhere are found once, whoever asks. Boxes meet the places in their grid cells. Only queries with a point whose
+    box holds no hit meet all hits of their text.
     """
-    q = queries.where(F.length("text") >= MIN_QUERY).withColumn("head", F.lower(F.substring("text", 1, MIN_QUERY)))
-    p = places.withColumn("head", F.lower(F.substring("name", 1, MIN_QUERY))).select("head", "place_id", "name", "lat", "lng")
-    hits = q.join(p, "head").where(F.lower("name").startswith(F.lower(F.col("text"))))
-    inside = F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lng").between(F.col("min_lng"), F.col("max_lng"))
+    c = F.col
+    said, head = F.lower("text").alias("said"), F.lower(F.substring("text", 1, MIN_QUERY)).alias("head")
+    q = queries.where(F.length("text") >= MIN_QUERY).select("*", said, head)
+    heads = lambda df: df.withColumn("head", F.lower(F.substring("name", 1, MIN_QUERY)))
+    p = heads(places).select("head", "place_id", F.lower("name").alias("name"), "lat", "lng")
     biased = {"bias_lat", "bias_lng"} <= set(queries.columns)
-    away = F.round(geo.haversine(F.col("lat"), F.col("lng"), F.col("bias_lat"), F.col("bias_lng"))) if biased else F.lit(None).cast("double")
-    first = hits.select("query_id", F.when(inside, 1).otherwise(2).alias("tier"), "place_id", away.alias("away"))
-    o = others.withColumn("head", F.lower(F.substring("name", 1, MIN_QUERY))).select("head", "place_id", "name")
-    second = q.join(o, "head").where(F.lower("name").startswith(F.lower(F.col("text")))).select("query_id", F.lit(3).alias("tier"), "place_id", F.lit(None).cast("double").alias("away"))
-    # without a box hit the wide search answers with all its hits
-    best = F.min("tier").over(Window.partitionBy("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("away"), "place_id"))
-    kept = first.unionByName(second).withColumn("best", best).where("tier = best")
-    return kept.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "tier", "place_id", "rank")
+    away = F.round(geo.haversine(c("lat"), c("lng"), c("bias_lat"), c("bias_lng"))) if biased else F.lit(None).cast("double")
+    hit = F.struct(away.isNull().alias("nowhere"), away.alias("away"), "place_id").alias("hit")
+    begins = c("name").startswith(c("said"))
+
+    side = box_side(q)
+    boxes = boxed = q.where("min_lat <= max_lat and min_lng <= max_lng")
+    for axis, x in (("lat", "x"), ("lng", "y")):
+        boxes = boxes.withColumn(x, F.explode(F.sequence(F.floor(c(f"min_{axis}") / side), F.floor(c(f"max_{axis}") / side))))
+    inside = c("lat").between(c("min_lat"), c("max_lat")) & c("lng").between(c("min_lng"), c("max_lng"))
+    at = p.withColumns({"x": F.floor(c("lat") / side), "y": F.floor(c("lng") / side)})
+    found = []
+    if biased:  # around the point first: done where `limit` hits are nearer than anything beyond the nine cells
+        left = boxed.where(c("bias_lat").isNotNull() & c("bias_lng").isNotNull())
+        for ring in RINGS_DEG:
+            cell = lambda x: F.floor(c(x) / F.lit(ring))  # noqa: E731, B023
+            asked = left.withColumns({"x": F.explode(F.sequence(cell("bias_lat") - 1, cell("bias_lat") + 1))}).withColumn("y", F.explode(F.sequence(cell("bias_lng") - 1, cell("bias_lng") + 1)))
+            sure = geo.clear_metres(c("bias_lat"), ring) - 1  # a metre, as distances are rounded
+            hits = asked.join(p.withColumns({"x": cell("lat"), "y": cell("lng")}), ["head", "x", "y"]).where(begins & inside & (away < sure)).select("query_id", hit)
+            got = _firsts(hits, "query_id", limit)
+            full = got.where(F.col("rank") == limit).select("query_id")
+            found.append(written(got.join(full, "query_id", "left_semi")))
+            left = written(left.join(found[-1].select("query_id").distinct(), "query_id", "left_anti"))
+        boxes = boxes.join(left.select("query_id"), "query_id", "left_semi").unionByName(boxes.where(c("bias_lat").isNull() | c("bias_lng").isNull()))
+    near = _firsts(boxes.join(at, ["head", "x", "y"]).where(begins & inside).select("query_id", hit), "query_id", limit)
+    for f in found:
+        near = near.unionByName(f)
+    near = written(near)
+    rest = written(q.join(near.select("query_id").distinct(), "query_id", "left_anti"))
+
+    def shared(asked: DataFrame, there: DataFrame) -> DataFrame:
+        """Queries with the first hits of their text by place_id."""
+        hits = asked.select("said", "head").distinct().join(there, "head").where(begins)
+        firsts = _firsts(hits.select("said", F.struct(F.lit(True).alias("nowhere"), F.lit(None).cast("double").alias("away"), "place_id").alias("hit")), "said", limit)
+        return asked.select("query_id", "said").join(firsts, "said").select("query_id", "hit", "rank")
+
+    has_point = (c("bias_lat").isNotNull() & c("bias_lng").isNotNull()) if biased else F.lit(False)
+    wide = shared(rest.where(~has_point), p)
+    if biased:
+        wide = wide.unionByName(_firsts(rest.where(has_point).join(p, "head").where(begins).select("query_id", hit), "query_id", limit))
+    wide = written(wide)
+    unanswered = rest.join(wide.select("query_id").distinct(), "query_id", "left_anti")
+    third = shared(unanswered, heads(others).select("head", "place_id", F.lower("name").alias("name")))
+    tiers = [df.select("query_id", F.lit(k).alias("tier"), c("hit.place_id").alias("place_id"), "rank") for k, df in ((1, near), (2, wide), (3, third))]
+    return tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
+
+
+def box_side(queries: DataFrame) -> float:
+    """The side in degrees of the grid that boxes are met on: a third of the mean side of at most 2 degrees of the boxes, and at least a thirtieth of the largest, so that no box is in more than a thousand cells or so."""
+    sides = F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lng") - F.col("min_lng"))
+    mean, most = queries.agg(F.avg(F.least(sides, F.lit(2.0))), F.max(sides)).first()
+    return max(0.001, (mean or 0.0) / 3, (most or 0.0) / 30)
+
+
+def _firsts(hits: DataFrame, key: str, limit: int) -> DataFrame:
+    """key, hit and rank of the least `limit` hits of each key; each task keeps no more of its own before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("hit"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select(key, "hit", "rank")
 
 
 def bias_box(views: DataFrame) -> DataFrame:
@@ -76,14 +131,32 @@ def bias_box(views: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, places: DataFrame, reach: int = 30) -> DataFrame:
-    """pid, place_id and metres of the nearest place within `reach` grid cells (reverse lookup)."""
+    """pid, place_id and metres of the nearest place within `reach` grid cells (reverse lookup).
+
+    Points meet the places of the nine smallest cells around them first; those that find none nearer than anything beyond meet those of larger cells. Places at the same spot are one, the
+    first of them.
+    """
     from .spatial import around, within
 
-    cells = {"cell_lat": geo.cell(F.col("lat")), "cell_lng": geo.cell(F.col("lng"))}
-    p = around(points.withColumns(cells), reach).select("pid", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), "x", "y")
-    d = geo.haversine(F.col("p_lat"), F.col("p_lng"), F.col("lat"), F.col("lng"))
-    hits = p.join(within(places.withColumns(cells), reach), ["x", "y"]).withColumn("d", d)
-    return hits.groupBy("pid").agg(F.min(F.struct("d", "place_id")).alias("b")).select("pid", "b.place_id", F.col("b.d").alias("metres"))
+    c = F.col
+    spots = places.groupBy("lat", "lng").agg(F.min("place_id").alias("place_id"))
+    d = geo.haversine(c("p_lat"), c("p_lng"), c("lat"), c("lng"))
+    left, found = points.select("pid", "lat", "lng"), []
+    cells = {"cell_lat": geo.cell(c("lat")), "cell_lng": geo.cell(c("lng"))}
+    spots = written(spots.withColumns(cells))
+    for r in sorted({min(r, reach) for r in (1, 4, reach)}):
+        p = around(left.withColumns(cells), r).select("pid", c("lat").alias("p_lat"), c("lng").alias("p_lng"), "x", "y")
+        hits = p.join(within(spots, r), ["x", "y"]).withColumn("d", d)
+        if r < reach:
+            hits = hits.where(c("d") < geo.clear_metres(c("p_lat"), r / geo.CELLS_PER_DEGREE))
+        best = hits.groupBy("pid").agg(F.min(F.struct("d", "place_id")).alias("b")).select("pid", "b.place_id", c("b.d").alias("metres"))
+        found.append(written(best) if r < reach else best)
+        if r < reach:
+            left = left.join(found[-1].select("pid"), "pid", "left_anti")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def debounced(events: DataFrame, gap_ms: int = 300) -> DataFrame:
