@@ -102,24 +102,26 @@ def gap_edges(gaps: DataFrame, roads: DataFrame) -> DataFrame:
     return gaps.join(worst, "key", "left").withColumn("ct", ct).drop("rank")
 
 
-def _near_nodes(points: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """Points (key, lat, lng) with every node within SNAP_M and SNAP_CELLS: both places, cells and distance."""
+def _near_nodes(points: DataFrame, nodes: DataFrame, key: str, reach: int = SNAP_CELLS) -> DataFrame:
+    """Points (key, lat, lng) with every node within SNAP_M and `reach` cells: both places, cells and distance."""
     p = points.select(key, "lat", "lng").withColumns({"cell_lat": geo.cell(F.col("lat")), "cell_lng": geo.cell(F.col("lng"))})
-    p = around(p, SNAP_CELLS).select(key, F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), F.col("cell_lat").alias("p_lat"), F.col("cell_lng").alias("p_lng"), "x", "y")
-    n = within(nodes, SNAP_CELLS).select("node_key", F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "cell_lat", "cell_lng", "x", "y")
-    near = (F.abs(F.col("cell_lat") - F.col("p_lat")) <= SNAP_CELLS) & (F.abs(F.col("cell_lng") - F.col("p_lng")) <= SNAP_CELLS)
+    p = around(p, reach).select(key, F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), F.col("cell_lat").alias("p_lat"), F.col("cell_lng").alias("p_lng"), "x", "y")
+    n = within(nodes, reach).select("node_key", F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "cell_lat", "cell_lng", "x", "y")
+    near = (F.abs(F.col("cell_lat") - F.col("p_lat")) <= reach) & (F.abs(F.col("cell_lng") - F.col("p_lng")) <= reach)
     return p.join(n, ["x", "y"]).where(near).withColumn("distance", geo.haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))).where(F.col("distance") <= SNAP_M)
 
 
 def snap(points: DataFrame, nodes: DataFrame, roads: DataFrame, key: str = "pid") -> DataFrame:
     """key, node_key, distance and safe: the nearest node, or a farther one without a major road between, if not much farther. key: once each.
 
-    Only the way to the nearest node is tested for crossings, and for points where that is blocked the ways to all nodes that are not much farther. The
+    The nearest node is looked for in the nine cells around a point, and within SNAP_CELLS where none there is nearer than all beyond. Only the way to the nearest node is tested for crossings, and for points where that is blocked the ways to all nodes that are not much farther. The
     nearest is an ordered minimum, so no window and no sort is needed. Ties keep the scan order of cells.
     """
     order = F.struct("distance", "cell_lat", "cell_lng", "node_key", "lat1", "lng1", "lat2", "lng2")
     major = roads.where("rank = 2")
-    first = written(_near_nodes(points, nodes, key).groupBy(key).agg(F.min(order).alias("a")).select(key, "a.*"))
+    nearest = lambda ways: ways.groupBy(key).agg(F.min(order).alias("a")).select(key, "a.*")
+    close = written(nearest(_near_nodes(points, nodes, key, 1).where(F.col("distance") < geo.clear_metres(F.col("lat1"), 1 / geo.CELLS_PER_DEGREE))))
+    first = written(close.unionByName(nearest(_near_nodes(points.join(close.select(key), key, "left_anti"), nodes, key))))
     blocked = written(worst_crossing(first, major, key).select(key).join(first.select(key, F.col("distance").alias("d")), key))
     ways = _near_nodes(points.join(blocked.select(key), key, "left_semi"), nodes, key).join(blocked, key).where(F.col("distance") <= F.greatest(F.col("d") * 2, F.col("d") + 200))
     ways = written(ways.drop("x", "y", "p_lat", "p_lng", "d"))  # read by the crossing test and by the choice

