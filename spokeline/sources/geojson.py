@@ -19,6 +19,17 @@ def features(spark: SparkSession, *paths: str) -> DataFrame:
     return docs.select("file", "pos", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"), "f.properties.*")
 
 
+def document(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each feature of a document as paged.write_document writes it, a feature a line: many tasks read it, each a part of its lines.
+
+    Any other FeatureCollection is for features(), which reads a file as a whole.
+    """
+    feature = SCHEMA[len("features array<") : SCHEMA.index(">, exceededTransferLimit")]
+    text = F.rtrim(F.regexp_replace("value", r",\s*\z", ""))
+    lines = spark.read.text(path).select(text.alias("text")).where(F.col("text").startswith("{") & F.col("text").endswith("}"))
+    return lines.select(F.from_json("text", feature).alias("f")).select(F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"), "f.properties.*")
+
+
 def load(spark: SparkSession, network: str, roads: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Features of the network, which must be there, and of the roads, which may be missing: no rows then, of the same columns.
 

@@ -65,3 +65,20 @@ def test_one_document(spark, tmp_path):
     assert geojson.features(spark, str(path)).select("name").distinct().count() == 50
     paged.write_document(v.limit(0), str(path))
     assert json.loads(path.read_text())["features"] == []
+
+
+def test_a_document_is_read_in_parts(spark, tmp_path):
+    v = spark.range(3000).select(F.struct(F.lit("LineString").alias("type"), F.array(F.array(F.col("id") * 0.5, F.lit(45.0)), F.array(F.lit(1.5), F.lit(2.0))).alias("coordinates")).alias("geometry"), F.struct(F.concat(F.lit('a"},\n{'), F.col("id").cast("string")).alias("StreetName")).alias("properties"))
+    path = str(tmp_path / "out.geojson")
+    paged.write_document(v.repartition(3), path)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        parts = geojson.document(spark, path)
+        assert parts.rdd.getNumPartitions() > 3  # a file read as a whole is one
+        rows = lambda df: sorted(map(tuple, df.select("type", "coordinates", "StreetName", "ConnectionType").collect()), key=str)
+        assert rows(parts) == rows(geojson.features(spark, path)) and parts.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    paged.write_document(v.limit(0), path)
+    assert geojson.document(spark, path).count() == 0
