@@ -85,3 +85,28 @@ def test_useful_edges_keep_every_least_cost():
         some = [e for e, k in zip(every, kept, strict=True) if k]
         assert all(dijkstra(every, v) == dijkstra(some, v) for v in range(n))
         assert not all(kept) or len(raw) < 40
+
+
+def test_a_pack_is_sent_once_for_the_pairs_that_meet_in_its_cell(spark):
+    rows = spark.createDataFrame([(100 * cell + k, cell) for cell in range(40) for k in range(cells.BLOCK // 2)], "od_id long, cell long")
+    packed = spark.createDataFrame([(cell, "x" * 100) for cell in range(50)], "cell long, arrays string")
+    sent = cells.in_cells(rows, packed).applyInArrow(lambda front, pack: front.select(["cell"]).slice(0, pack.num_rows), "cell long").collect()
+    assert sorted(r["cell"] for r in sent) == list(range(40))  # 160 pairs, but a cell's four are one block
+    rows = spark.createDataFrame([(k, 1) for k in range(10 * cells.BLOCK)], "od_id long, cell long")
+    blocks = cells.in_cells(rows, packed).applyInArrow(lambda front, pack: front.select(["cell"]).slice(0, pack.num_rows), "cell long").count()
+    assert 5 < blocks <= 10
+
+
+def test_edges_with_places_are_shuffled_once(spark):
+    nodes, raw = random_graph(4)
+    nd = spark.createDataFrame(nodes, "node_key string, lat double, lng double")
+    edges = spark.createDataFrame([(i, *e) for i, e in enumerate(raw)], "edge_id long, src string, dst string, cost double")
+    placed = cells.with_places(edges, nd).localCheckpoint()
+    packs = cells.packs(placed, cells.occupied(nd, 8))
+    rows = packs.collect()
+    plan = packs._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+    inside = sum(len(r["edge"]) for r in rows)
+    assert len(rows) > 10 and sum(len(r["out_edge"]) for r in rows) + inside <= placed.where("src <> dst").count() and inside > 0
+    of = {r["node_key"]: r["cell"] for r in cells.dealt(nd, 8).collect()}
+    assert all(of[n] == r["cell"] for r in rows for n in r["nodes"]) and all(of[n] == z for r in rows for n, z in zip(r["out_node"], r["out_cell"], strict=True))
