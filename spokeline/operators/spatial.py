@@ -84,6 +84,14 @@ def gap_pairs(nodes: DataFrame, connected: DataFrame) -> DataFrame:
     return _keyed(_in_reach(a.join(b, ["x", "y"]).where("a_node_key < b_node_key")).where(apart))
 
 
+def out_of_reach(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges (key, a_key, b_key) but those between two of the nodes that are within reach of each other: what gap_pairs() and lines connect."""
+    at = lambda n: nodes.select(F.col("node_key").alias(f"{n}_of"), *(F.col(c).alias(f"{n}_{c}") for c in ("lat", "lng", "cell_lat", "cell_lng")))
+    ends = edges.select("key", F.least("a_key", "b_key").alias("a_of"), F.greatest("a_key", "b_key").alias("b_of"))
+    near = _in_reach(ends.join(at("a"), "a_of").join(at("b"), "b_of")).select("key")
+    return edges.join(near, "key", "left_anti")
+
+
 def relinked(ends: DataFrame, nodes: DataFrame, connected: DataFrame) -> DataFrame:
     """Plain gaps from the ends of drawn lines to all nodes within reach that they have no edge to; roads between do not matter.
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
+from spokeline.functions import geo
 from spokeline.operators import navigation, places, preferences, spatial
 
 
@@ -114,3 +116,14 @@ def test_dense_places_are_not_all_met(spark):
         assert near[r["pid"]][0] == best and abs(near[r["pid"]][1] - d) < 1e-6
     two = p.unionByName(p.withColumn("place_id", F.col("place_id") + n))  # places at the same spot: the first
     assert {r["pid"]: r["place_id"] for r in places.nearest(points, two).collect()} == {k: v[0] for k, v in near.items()}
+
+
+def test_replayed_edges_need_no_gaps_of_the_whole_network(spark):
+    rng = random.Random(7)
+    nodes = [(f"{i:03d}", 45.4 + rng.random() * 0.008, -122.7 + rng.random() * 0.008) for i in range(80)]
+    nodes = spark.createDataFrame([(*n, math.floor(n[1] * geo.CELLS_PER_DEGREE), math.floor(n[2] * geo.CELLS_PER_DEGREE)) for n in nodes], NODES)
+    pairs = [(f"{a:03d}|{b:03d}", *rng.sample([f"{a:03d}", f"{b:03d}"], 2)) for a in range(80) for b in range(a + 1, 80)] + [("000|new", "000", "new")]
+    edges = spark.createDataFrame(pairs, "key string, a_key string, b_key string")
+    gaps = {r["key"] for r in spatial.gap_pairs(nodes, edges.limit(0).select("key")).collect()}
+    left = {r["key"] for r in spatial.out_of_reach(edges, nodes).collect()}
+    assert left == {p[0] for p in pairs} - gaps and 100 < len(gaps) < 3000
