@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 #: Characters of a leaf of the tree, and of a stretch of a long text that is a row of its own.
 LEAF_CHARS, SPREAD_CHARS = 2048, 32_768
@@ -66,6 +66,7 @@ class Words(dict):
         """At the end of a task: workers live on, and other stages need their memory."""
         self.clear()
         self.old = {}
+        released()
 
     def __missing__(self, word: str) -> tuple[bytes, str]:
         out = self.old.get(word) or self.bpe.packed([word] if word in self.bpe.special else self.bpe.merge(self.bpe.symbols(word)))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 import zlib
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,15 @@ def fold_of(id_col: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds, F.lit(0))
 
 
+def released() -> None:
+    """At the end of a task: what its worker does not use any more goes back to the machine. Workers live on, and later stages need the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 class WordHashes(dict):
     """word -> 32-bit hash, remembered up to a number of words, then forgotten as a whole; tasks clear it when they end."""
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, local_roots, mix64, written
+from .common import WordHashes, components, local_roots, mix64, released, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -152,6 +152,7 @@ def signed(rows: DataFrame, audit: Audit, threshold: float, trees: int, depth: i
                 cols = [b.column("doc_id"), b.column("h"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(label, pa.binary()), pa.array(met, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "node", "size", "labels", "met"])
         hashes.clear()
+        released()
 
     return rows.mapInArrow(sign, "doc_id long, h binary, node long, size long, labels binary, met array<int>")
 
@@ -261,6 +262,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, tr
             sets = [shingles(t).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "copies", "block")), pa.array(sets, pa.binary())], ["node", "copies", "block", "shingles"])
         hashes.clear()
+        released()
 
     sets = wanted.mapInArrow(cut, "node long, copies long, block long, shingles binary").dropDuplicates(["node"])
     found = written(sets.join(sent, "node").groupBy("i", "j").applyInPandas(lambda pdf: compared(pdf, threshold), "node long, root long, n long"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, fold_of
+from .common import WordHashes, fold_of, released
 
 CLASSES = 48
 SHAPES = 4096
@@ -89,6 +89,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, float]:
                 n += 1
         df[TERMS] = n
         hashes.clear()
+        released()
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
 
@@ -175,6 +176,7 @@ def predict(rows: DataFrame, model: dict | None, folds: int = 5, held: int = 0)
                 s = votes(b.column("text").to_pylist(), known.value) if known.value else np.full(b.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.3).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
         hashes.clear()
+        released()
 
     rows = rows.select("doc_id", (fold_of(F.col("doc_id"), folds) == held).alias("held_out"), "text")
     return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
@@ -198,5 +200,6 @@ def keep(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                 s = votes(b.column(text_col).to_pylist(), known.value) if known.value else np.full(b.num_rows, 0.5)
                 yield b.filter(pa.array(s >= least))
         hashes.clear()
+        released()
 
     return docs.mapInArrow(kept, docs.schema)

@@ -362,3 +362,14 @@ def test_stages_take_odd_rows_and_clashing_columns(spark):
             assert all(r["text"] in texts and r["draw"] == "draw" for r in rows)  # whole texts, and columns as they were
         if name == "near_duplicates":
             assert len(rows) == len({(r["doc_id"], r["text"]) for r in rows})
+
+
+def test_workers_give_memory_back_at_the_end_of_a_task():
+    from spokeline.llm.common import released
+
+    mb = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+    words = [[f"{i} {k}" for k in range(10)] for i in range(200_000)]
+    keep, most = [w[0] for w in words[::5000]], mb()
+    del words
+    released()
+    assert most - mb() > 50 and len(keep) == 40
