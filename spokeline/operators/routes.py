@@ -74,25 +74,24 @@ def from_messages(rows: DataFrame) -> DataFrame:
     rows: reply, pos (1 is the first data row), lon and lat in millionths, direction, message, distance as texts.
     Rows without a message are left out, but the first; their length still counts.
     """
-    d = F.coalesce(leading_number(F.col("distance")), F.lit(0.0))
-    run = F.sum("step").over(Window.partitionBy("reply").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    blank = F.coalesce(F.col("message"), F.lit("")) == ""
-    out = rows.withColumn("step", d).withColumn("run", run).withColumn("blank", blank)
-    first = F.col("pos") == 1
-    said = out.where(~F.col("blank") | first).select(
-        "reply", "pos", F.when(F.col("blank"), "Start").otherwise(F.col("message")).alias("text"), F.col("run").alias("distance"), F.col("step").alias("step_distance"),
-        F.when(first, "start").otherwise(direction_icon(F.col("direction"))).alias("icon"),
-        (leading_number(F.col("lat")) / 1e6).alias("lat"), (leading_number(F.col("lon")) / 1e6).alias("lng"),
-    )
+    w = Window.partitionBy("reply").orderBy("pos")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    blank, first = F.coalesce(F.col("message"), F.lit("")) == "", F.coalesce(F.col("pos") == 1, F.lit(False))
+    here = F.when(~blank | first, F.when(blank, "Start").otherwise(F.col("message")))
+    out = rows.select("reply", "pos", "direction", "lat", "lon", F.coalesce(leading_number(F.col("distance")), F.lit(0.0)).alias("step"), here.alias("says"))
+    out = out.withColumns({"run": F.sum("step").over(so_far), "said": F.last("says", ignorenulls=True).over(so_far), "is_last": F.lead(F.lit(1)).over(w).isNull()})
+    out = out.withColumn("total", F.max("run").over(so_far))
+    one = lambda pos, text, distance, step, icon: F.struct(pos.alias("pos"), text.alias("text"), distance.alias("distance"), step.alias("step_distance"), icon.alias("icon"))
+    c = F.col
+    said = F.when(c("says").isNotNull(), one(c("pos"), c("says"), c("run"), c("step"), F.when(c("pos") == 1, "start").otherwise(direction_icon(c("direction")))))
     # replies whose last instruction does not arrive get one that does, at the end of the track
-    ends = out.groupBy("reply").agg(F.max("pos").alias("last_pos"), F.max("run").alias("total"), F.max_by(F.struct(F.col("lat"), F.col("lon")), "pos").alias("at"))
-    last = said.groupBy("reply").agg(F.max_by("text", "pos").alias("text"))
-    low = F.lower("text")
-    arrive = last.where(~low.contains("arrive") & ~low.contains("destination")).select("reply").join(ends, "reply").select(
-        "reply", (F.col("last_pos") + 1).alias("pos"), F.lit("Arrive at destination").alias("text"), F.col("total").alias("distance"), F.lit(0.0).alias("step_distance"),
-        F.lit("arrive").alias("icon"), (leading_number(F.col("at.lat")) / 1e6).alias("lat"), (leading_number(F.col("at.lon")) / 1e6).alias("lng"),
-    )
-    return said.unionByName(arrive)
+    low = F.lower("said")
+    ends = c("is_last") & c("reply").isNotNull() & c("pos").isNotNull() & ~low.contains("arrive") & ~low.contains("destination")
+    arrive = F.when(ends, one(c("pos") + 1, F.lit("Arrive at destination"), c("total"), F.lit(0.0), F.lit("arrive")))
+    # both come from the one row, so that a reply's rows are shuffled once
+    out = out.select("reply", "lat", "lon", F.explode(F.array(said, arrive)).alias("i")).where("i is not null")
+    at = lambda x: leading_number(F.col(x)) / 1e6
+    return out.select("reply", "i.*", at("lat").alias("lat"), at("lon").alias("lng"))
 
 
 def basic(routes: DataFrame, key: str = "route_id") -> DataFrame:

@@ -209,3 +209,18 @@ def test_savable(spark):
     rows = [(1, [1, 2], 5.0, " a "), (2, [1], 5.0, "a"), (3, [1, 2], None, "a"), (4, [1, 2], 5.0, "  "), (5, None, 5.0, "a"), (6, [1, 2, 3], 0.0, None)]
     out = store.savable(spark.createDataFrame(rows, "id int, waypoints array<int>, route double, name string"))
     assert [(r["id"], r["name"]) for r in out.collect()] == [(1, "a")]
+
+
+def test_messages_of_a_reply_are_shuffled_once(spark):
+    rows = [
+        ("a", 1, "", "10m", 1), ("a", 2, "Turn", "20m", 2), ("a", 3, "", "-5m", 3),  # the track's end counts what is longest so far
+        ("b", 1, "Go", "x", 4), ("b", 2, "Arrive there", "7", 5), ("c", 2, "", "3m", 6), (None, 1, "Go", "1m", 7),
+    ]
+    df = spark.createDataFrame(rows, "reply string, pos int, message string, distance string, k int").selectExpr("*", "'TL' as direction", "cast(k * 1000000 as string) as lat", "cast(-k * 1000000 as string) as lon")
+    out = routes.from_messages(df)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r["reply"], r["pos"]): (r["text"], r["distance"], r["step_distance"], r["icon"], r["lat"], r["lng"]) for r in out.collect()}
+    assert got == {
+        ("a", 1): ("Start", 10.0, 10.0, "start", 1.0, -1.0), ("a", 2): ("Turn", 30.0, 20.0, "turn-left", 2.0, -2.0), ("a", 4): ("Arrive at destination", 30.0, 0.0, "arrive", 3.0, -3.0),
+        ("b", 1): ("Go", 0.0, 0.0, "start", 4.0, -4.0), ("b", 2): ("Arrive there", 7.0, 7.0, "turn-left", 5.0, -5.0), (None, 1): ("Go", 1.0, 1.0, "start", 7.0, -7.0),
+    }
