@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import released, small_batches, written
 
 #: Characters of a leaf of the tree, and of a stretch of a long text that is a row of its own.
 LEAF_CHARS, SPREAD_CHARS = 2048, 32_768
@@ -280,7 +280,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """
     spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     key = vocabulary
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else SCHEMA
     finish: Callable = _digest if digest else _whole
 

@@ -63,6 +63,20 @@ def released() -> None:
         trim(0)
 
 
+#: Bytes of rows that go to a Python worker at a time. Spark's default is sixteen times as many, which executor and worker hold for each task when rows are whole texts.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session sends rows to Python workers by BATCH_BYTES at a time, or by less where that is set."""
+    conf = df.sparkSession.conf
+    set_now = conf.get(_BATCH)
+    if not set_now.removesuffix("b").isdecimal() or int(set_now.removesuffix("b")) > BATCH_BYTES:
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return df
+
+
 class WordHashes(dict):
     """word -> 32-bit hash, remembered up to a number of words, then forgotten as a whole; tasks clear it when they end."""
 

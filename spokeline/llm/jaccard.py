@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, local_roots, mix64, released, written
+from .common import WordHashes, components, local_roots, mix64, released, small_batches, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -221,7 +221,7 @@ def compared(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, trees: int, depth: int, recall: float) -> DataFrame:
     """doc_id, h, n_links, lead_id and lead_h (the first row of the class) of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("h"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("h"))
     sig = written(signed(rows, Audit(audited_texts(rows), trees, depth), threshold, trees, depth))
     level = forest_level(threshold, trees, depth, recall, audited_recall(sig, depth))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, released, small_batches
 from .letters import GRAMS, SLOTS, codes
 
 DIMS = 1024
@@ -73,6 +73,7 @@ def prototypes(docs: DataFrame, learn: Column, text_col: str = "text", lang_col:
                 yield from rows_of(sums)
                 sums = {}
         yield from rows_of(sums)
+        released()
 
     def rows_of(sums):
         for lang, v in sums.items():
@@ -116,6 +117,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the rows outside fold 2 of 4 and predict all rows."""
+    docs = small_batches(docs)
     return predict(docs, prototypes(docs, fold_of(F.col(id_col), 4) != 2, text_col, lang_col), id_col, text_col)
 
 
@@ -137,6 +139,7 @@ def least_cosines(docs: DataFrame, learn: Column, protos: np.ndarray, text_col:
                 _, score, n = nearest(batch.slice(at, BLOCK).column("text").to_pylist(), known.value)
                 np.add.at(counts, (np.log2(np.maximum(n, 1)).astype(int)[n > 0], (score[n > 0] * STEPS).astype(int)), 1)
         k, step = np.nonzero(counts)
+        released()
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(counts[k, step])], ["k", "step", "n"])
 
     counts = np.zeros((64, STEPS + 1))
@@ -153,6 +156,7 @@ def least_cosines(docs: DataFrame, learn: Column, protos: np.ndarray, text_col:
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, all columns, whose text is in some learned language: not `und`, and as near to it as texts of its length are."""
+    docs = small_batches(docs)
     learn = fold_of(F.col(id_col), 4) != 2
     profiles = prototypes(docs, learn, text_col, lang_col)
     protos = np.stack([profiles[k] for k in profiles]) if profiles else np.zeros((0, DIMS), np.float32)
@@ -165,5 +169,6 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
                 b = batch.slice(at, BLOCK)
                 _, score, n = nearest(b.column(text_col).to_pylist(), protos)
                 yield b.filter(pa.array((n > 0) & (score >= least[np.log2(np.maximum(n, 1)).astype(int)])))
+        released()
 
     return docs.mapInArrow(kept, docs.schema)

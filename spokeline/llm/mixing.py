@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,7 +55,7 @@ def ranged(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataF
     each = held.groupBy("range").agg(F.count("*").alias("rank"), *[F.sum(c).alias(n) for n, c in sums.items()]).orderBy("range").toPandas()  # a row for each range
     names = ["rank", *sums]
     before = each[names].cumsum() - each[names]
-    ahead = df.sparkSession.createDataFrame(pd.DataFrame({"range": each["range"]} | {f"ahead_{n}": before[n].astype("int64" if n == "rank" else "float64") for n in names}), "range int, " + ", ".join(f"ahead_{n} {'long' if n == 'rank' else 'double'}" for n in names))
+    ahead = df.sparkSession.createDataFrame(pa.table({"range": each["range"].astype("int32")} | {f"ahead_{n}": before[n].astype("int64" if n == "rank" else "float64") for n in names}), "range int, " + ", ".join(f"ahead_{n} {'long' if n == 'rank' else 'double'}" for n in names))
     up_to = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = held.withColumns({"rank": F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1} | {n: F.coalesce(F.sum(c).over(up_to), F.lit(0)) for n, c in sums.items()})
     out = out.join(F.broadcast(ahead), "range")

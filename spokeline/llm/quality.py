@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, fold_of, released
+from .common import WordHashes, fold_of, released, small_batches
 
 CLASSES = 48
 SHAPES = 4096
@@ -83,10 +83,11 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, float]:
 
     def counted(batches):
         df, n = np.zeros(TERMS + 1, np.int64), 0
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                df[:TERMS] += term_counts(t or "") > 0
-                n += 1
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                for t in batch.slice(at, BLOCK).column("text").to_pylist():
+                    df[:TERMS] += term_counts(t or "") > 0
+                    n += 1
         df[TERMS] = n
         hashes.clear()
         released()
@@ -184,12 +185,13 @@ def predict(rows: DataFrame, model: dict | None, folds: int = 5, held: int = 0)
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row; labels of fold 0 of 5 are not looked at."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return predict(rows, fit(rows, labels.where(fold_of(F.col("doc_id").cast("long"), 5) != 0), label_col))
 
 
 def keep(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, that score `least` or more; one scan, no join back."""
+    docs = small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = docs.sparkSession.sparkContext.broadcast(fit(rows, labels.where(fold_of(F.col("doc_id").cast("long"), 5) != 0), label_col))
 

@@ -373,3 +373,32 @@ def test_workers_give_memory_back_at_the_end_of_a_task():
     del words
     released()
     assert most - mb() > 50 and len(keep) == 40
+
+
+def test_whole_texts_go_to_workers_a_few_megabytes_at_a_time(spark):
+    from spokeline.llm.common import BATCH_BYTES
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes for b in batches], pa.int64())], ["bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    docs = spark.range(1500, numPartitions=1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 2000) as text", "'en' as lang", "'web' as source", "0 as n_chars")
+    try:
+        for stage in (corpus_pipeline.known_language, corpus_pipeline.token_ids):
+            spark.conf.set(key, "67108864b")
+            stage(spark, docs.limit(3), "")
+            got = [r[0] for r in docs.mapInArrow(sizes, "bytes long").collect()]
+            assert sum(got) > 3 * BATCH_BYTES and max(got) < 1.5 * BATCH_BYTES
+        spark.conf.set(key, "1024b")
+        corpus_pipeline.token_ids(spark, docs.limit(3), "")
+        assert spark.conf.get(key) == "1024b"
+    finally:
+        spark.conf.set(key, was)
+    # what lies before each range is not passed through Python workers of another kind
+    few = spark.range(100).selectExpr("id", "id % 7 as n")
+    out = mixing.ranged(few, [F.col("id")], {"ahead": F.col("n")})
+    assert "ExistingRDD[" not in out._jdf.queryExecution().toString()
+    assert {r["id"]: (r["rank"], r["ahead"]) for r in out.collect()} == {i: (i, sum(k % 7 for k in range(i))) for i in range(100)}
