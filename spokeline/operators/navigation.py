@@ -13,8 +13,8 @@ OFF_ROUTE_M, ARRIVAL_M, PASSED_M, FALLBACK_SPEED = 50.0, 30.0, 10.0, 4.17
 # From where a turn is announced and said again, and how long a rider is left alone.
 ANNOUNCE_M, REMIND_M, COOLDOWN_MS = 80.0, 20.0, 8000
 ARRIVED = "You have arrived at your destination."
-#: A rider's fixes are worked on by blocks of so many milliseconds, so that no task holds a whole history.
-BLOCK_MS = 3_600_000
+#: A rider's fixes are worked on by blocks of so many milliseconds (a week: 604,800 fixes, if there is one a second), so that no task holds a whole history. In hours, few fixes share a block.
+BLOCK_MS = 604_800_000
 #: The off-route banner goes so long after the last fix on the route.
 BANNER_MS = 2000
 
@@ -122,40 +122,41 @@ def announced(rows: DataFrame) -> DataFrame:
     hears that and no more. After a fix near a turn the turn announced last is its turn, so a fix announces if the last one near a turn before it was near another: a comparison of neighbours.
     Fixes near the same turn in a row are a stay; when something is said again depends on what was said before it in its stay alone, so a stay's moments are folded as an array.
 
-    Neighbours are found within hours of a rider, and between them from one row for each hour. A stay is reduced to its different milliseconds before it
+    Neighbours are found within blocks of a rider's time (BLOCK_MS), and between them from one row for each block. A stay is reduced to its different milliseconds before it
     is gathered, so what a task holds grows with the time that one rider spends within REMIND_M of one turn, not with the rows. Ties of ts go by event_id, then by the other columns;
     rows without a rider are one rider's. rows: updates() or columns of it.
+
+    rows are made and shuffled once, to their block (part: a struct, as structs of nulls are equal). Every column that is shuffled also orders a block, so all steps read the same ones and Spark
+    makes them once; what a step needs besides is computed after it. What comes from other blocks is joined by part, which leaves the rows where they are.
     """
     c = F.col
-    r = rows.select("rider_id", "event_id", "ts", "idx", "off_route", "next_text", "to_turn_m", "remaining_m", millis(rows).alias("ms"))
-    r = r.withColumn("block", F.floor(c("ms") / BLOCK_MS))
-    order = ["ts", "event_id", "idx", "to_turn_m", "remaining_m", "next_text", "off_route"]
-    w = Window.partitionBy("rider_id", "block").orderBy(*order)
+    r = rows.select(F.struct("rider_id", F.floor(millis(rows) / BLOCK_MS).alias("block")).alias("part"), "event_id", "ts", "idx", "off_route", "next_text", "to_turn_m", "remaining_m")
+    w = Window.partitionBy("part").orderBy("ts", "event_id", "idx", "to_turn_m", "remaining_m", "next_text", "off_route")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("n", F.row_number().over(w))
-    comes = r.where(c("remaining_m") < ARRIVAL_M).groupBy("rider_id").agg(F.min(F.struct("block", "n")).alias("end"))
-    r = r.join(comes.withColumnRenamed("rider_id", "__rider"), c("rider_id").eqNullSafe(c("__rider")), "left").drop("__rider").withColumn("at", F.struct("block", "n"))
-    near = (c("end").isNull() | (c("at") < c("end"))) & c("next_text").isNotNull() & (c("to_turn_m") <= ANNOUNCE_M)
-    r = r.withColumn("near", F.when(near, c("idx")))
-
-    # the last turn near before each fix: in its hour, else in the last hour that has one
-    w_last = Window.partitionBy("rider_id").orderBy("block")
-    hours = r.where("near is not null").groupBy("rider_id", "block").agg(F.max_by("near", "n").alias("last"))
-    hours = hours.withColumn("carried", F.lag("last").over(w_last)).select(c("rider_id").alias("__rider"), c("block").alias("__block"), "carried")
-    r = r.join(hours, c("rider_id").eqNullSafe(c("__rider")) & (c("block") == c("__block")), "left").drop("__rider", "__block")
-    was = F.coalesce(F.last("near", ignorenulls=True).over(before), c("carried"), F.lit(-1))
-    r = r.withColumn("speaks", F.coalesce(c("near") != was, F.lit(False)))
-    r = r.withColumn("stay_in", F.sum(c("speaks").cast("int")).over(w))
-
-    # stays, numbered within a rider by their hour and their number in it; one that goes on in the next hours keeps the number of its first
-    stays = r.where(c("near").isNotNull() & (c("speaks") | (c("to_turn_m") <= REMIND_M))).select("rider_id", "block", "ms", "n", "speaks", "stay_in", "to_turn_m")
-    begun = stays.where("speaks").groupBy("rider_id", "block").agg(F.max("stay_in").alias("most"))
-    hold = stays.groupBy("rider_id", "block").agg(F.min("stay_in").alias("least")).join(begun.withColumnsRenamed({"rider_id": "__rider", "block": "__block"}), c("rider_id").eqNullSafe(c("__rider")) & (c("block") == c("__block")), "left").drop("__rider", "__block")
-    opened = F.last(F.when(c("most").isNotNull(), F.struct("block", c("most").alias("stay_in"))), ignorenulls=True).over(w_last.rowsBetween(Window.unboundedPreceding, -1))
-    hold = hold.withColumn("open", opened).where("least = 0").select(c("rider_id").alias("__rider"), c("block").alias("__block"), "open")
-    stays = stays.join(hold, c("rider_id").eqNullSafe(c("__rider")) & (c("block") == c("__block")), "left").drop("__rider", "__block")
-    stays = stays.withColumn("stay", F.when(c("stay_in") > 0, F.struct("block", "stay_in")).otherwise(c("open")))
-    moments = stays.groupBy("rider_id", "stay", "ms").agg(F.min(F.when(~c("speaks") & (c("to_turn_m") <= REMIND_M), F.struct("block", "n"))).alias("at"))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumns({"n": F.row_number().over(w), "come": F.count(F.when(c("remaining_m") < ARRIVAL_M, 1)).over(so_far)})
+    r = r.withColumn("near", F.when((c("come") == 0) & c("next_text").isNotNull() & (c("to_turn_m") <= ANNOUNCE_M), c("idx")))
+    r = r.withColumn("was", F.last("near", ignorenulls=True).over(before))
+    # a stay is named by the block and number of its first fix; that of a block's first stay may lie in an earlier block
+    r = r.withColumn("begun", F.max(F.when(c("near") != c("was"), c("n"))).over(so_far))
+
+    at_near = F.when(c("near").isNotNull(), c("n"))
+    b = r.groupBy("part").agg(F.max("come").alias("come"), F.min(at_near).alias("n"), F.min_by("near", at_near).alias("first"), F.max_by("near", at_near).alias("last"), F.max("begun").alias("begun"))
+    past = Window.partitionBy("part.rider_id").orderBy("part.block").rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumns({"gone": F.coalesce(F.max("come").over(past) > 0, F.lit(False)), "carried": F.last("last", ignorenulls=True).over(past)})
+    b = b.withColumn("opens", c("first") != F.coalesce(c("carried"), F.lit(-1)))
+    name = lambda n: F.struct(c("part.block").alias("block"), n.alias("n"))
+    opened = F.when(c("begun").isNotNull(), name(c("begun"))).when(c("opens"), name(c("n")))
+    b = b.withColumn("open", F.last(opened, ignorenulls=True).over(past))
+    b = b.select("part", "gone", "opens", F.when(c("opens"), name(c("n"))).otherwise(c("open")).alias("stay"))
+
+    r = r.join(b.where("gone or opens is not null").withColumnRenamed("part", "__part"), c("part") == c("__part"), "left").drop("__part")
+    r = r.withColumn("gone", F.coalesce("gone", F.lit(False)))
+    speaks = ~c("gone") & F.coalesce(c("near") != c("was"), c("near").isNotNull() & c("opens"), F.lit(False))
+    r = r.withColumn("speaks", speaks).withColumn("close", ~c("gone") & c("near").isNotNull() & ~c("speaks") & (c("to_turn_m") <= REMIND_M))
+
+    stays = r.where(c("speaks") | c("close")).select("part.rider_id", F.when(c("begun").isNotNull(), name(c("begun"))).otherwise(c("stay")).alias("stay"), millis(r).alias("ms"), F.when(c("close"), name(c("n"))).alias("at"))
+    moments = stays.groupBy("rider_id", "stay", "ms").agg(F.min("at").alias("at"))
     each = moments.groupBy("rider_id", "stay").agg(F.array_sort(F.collect_list(F.struct("ms", "at"))).alias("m")).where(F.size("m") > 1)
     start = F.struct(c("m")[0]["ms"].alias("last"), F.array().cast("array<struct<block:bigint,n:int>>").alias("out"))
 
@@ -163,9 +164,9 @@ def announced(rows: DataFrame) -> DataFrame:
         says = x["at"].isNotNull() & (x["ms"] - s["last"] > COOLDOWN_MS)
         return F.struct(F.when(says, x["ms"]).otherwise(s["last"]).alias("last"), F.when(says, F.concat(s["out"], F.array(x["at"]))).otherwise(s["out"]).alias("out"))
 
-    again = each.select(c("rider_id").alias("__rider"), F.explode(F.aggregate("m", start, step, lambda s: s["out"])).alias("again"))
-    r = r.join(again, c("rider_id").eqNullSafe(c("__rider")) & (c("at") == c("again")), "left")
-    said = (
-        F.when(c("at") == c("end"), F.lit(ARRIVED)).when(c("speaks"), F.concat(F.lit("In "), voice_distance_text(c("to_turn_m")), F.lit(", "), c("next_text"))).when(c("again").isNotNull(), c("next_text"))
-    )
-    return r.select("rider_id", "event_id", "ts", "idx", F.coalesce(c("at") >= c("end"), F.lit(False)).alias("arrived"), "off_route", said.alias("said"))
+    again = each.select("rider_id", F.explode(F.aggregate("m", start, step, lambda s: s["out"])).alias("a"))
+    again = again.groupBy(F.struct("rider_id", "a.block").alias("__part")).agg(F.collect_list("a.n").alias("again"))  # a word each COOLDOWN_MS of a block at most
+    r = r.join(again, c("part") == c("__part"), "left")
+    ends = (c("come") == 1) & (c("remaining_m") < ARRIVAL_M) & ~c("gone")
+    said = F.when(ends, F.lit(ARRIVED)).when(c("speaks"), F.concat(F.lit("In "), voice_distance_text(c("to_turn_m")), F.lit(", "), c("next_text"))).when(c("close") & F.array_contains("again", c("n")), c("next_text"))
+    return r.select("part.rider_id", "event_id", "ts", "idx", (c("gone") | (c("come") > 0)).alias("arrived"), "off_route", said.alias("said"))

@@ -1,13 +1,16 @@
 """Network, trips and places derived from the driver's tables by integer arithmetic: one statement for both engines.
 
-Coordinates are integers in 1e-5 degrees, so that Spark and DuckDB make identical doubles of them.
+Fixes are made by steps in Spark (FRAMES), as it would meet every event with every route for the statement's join. Coordinates are integers in 1e-5 degrees, so that Spark and DuckDB make identical doubles of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CTS = ["MUP_P", "MUP_U", "BL-MUP", "NG", "BBL", "BL", "SR_LT", "SC", "BL-SR_LT", "SR_MT", "BL-SR_MT", "BL_VHT", "DC", "SR_DC", "BL-DC", "SR_MT-DC"]
 HIGHWAYS = ["trunk", "primary", "secondary", "motorway", "trunk_link", "primary_link", "secondary_link", "motorway_link", "unknown"]
@@ -87,12 +90,29 @@ FIXTURES = {
 }
 
 
+def fixes(events: DataFrame, fx_route_vertices: DataFrame) -> DataFrame:
+    """The rows of fx_fixes, with the number of routes known before the join: a rider's route is then found by equality."""
+    own = Window.partitionBy("user_id")
+    e = events.select("event_id", "user_id", "ts", "value", F.row_number().over(own.orderBy("ts", "event_id")).alias("n"), F.count("*").over(own).alias("total"))
+    routes = fx_route_vertices.select("route_id").distinct()
+    numbered = routes.select("route_id", (F.row_number().over(Window.orderBy("route_id")) - 1).cast("long").alias("ordinal"))
+    e = e.crossJoin(F.broadcast(routes.agg(F.count("*").alias("routes")))).withColumn("ordinal", F.expr("user_id % nullif(routes, 0)")).join(numbered, "ordinal")
+    v = fx_route_vertices.select("route_id", F.col("idx").cast("long").alias("at"), F.col("lat").alias("v_lat"), F.col("lng").alias("v_lng"))
+    e = e.withColumn("at", F.expr("CAST(floor((n - 1) * 23.0 / total) AS BIGINT)")).join(v, ["route_id", "at"])
+    lat, lng = (F.expr(deg(x)) for x in ("CAST(floor(value) AS BIGINT) % 80 * 2 - 80", "event_id % 31 - 15"))
+    heading = F.when(F.expr("event_id % 7 = 0"), F.lit(float("nan"))).when(F.expr("event_id % 5 = 0"), None).otherwise(F.expr("event_id % 360").cast("double"))
+    return e.select("event_id", F.col("user_id").alias("rider_id"), "ts", "route_id", "value", (F.col("v_lat") + lat).alias("lat"), (F.col("v_lng") + lng).alias("lng"), heading.alias("heading"))
+
+
+FRAMES: dict[str, Callable[..., DataFrame]] = {"fx_fixes": fixes}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = FIXTURES[name]
-    return spark.sql(sql, **{n: fixture(spark, sf_dir, n) for n in needs(name)})
+    tables = {n: fixture(spark, sf_dir, n) for n in needs(name)}
+    return FRAMES[name](**tables) if name in FRAMES else spark.sql(FIXTURES[name], **tables)
 
 
 @lru_cache(maxsize=None)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from spokeline.functions import geo
 from spokeline.operators import navigation, places, preferences, spatial
+from spokeline.plans import fixtures
 
 
 def rows_of(spark, df):
@@ -127,3 +129,32 @@ def test_replayed_edges_need_no_gaps_of_the_whole_network(spark):
     gaps = {r["key"] for r in spatial.gap_pairs(nodes, edges.limit(0).select("key")).collect()}
     left = {r["key"] for r in spatial.out_of_reach(edges, nodes).collect()}
     assert left == {p[0] for p in pairs} - gaps and 100 < len(gaps) < 3000
+
+
+def test_updates_are_made_and_shuffled_once(spark):
+    n = 3000
+    k = F.explode(F.sequence(F.lit(0), F.lit(n // 30 - 1)))
+    rows = spark.range(30).select(F.col("id").alias("rider_id"), k.alias("event_id")).withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("event_id") * 5000))
+    idx = F.floor(F.col("event_id") / 4).cast("int")
+    rows = rows.select("*", idx.alias("idx"), F.lit("left").alias("next_text"), (F.col("event_id") % 4 * 10.0).alias("to_turn_m"), (900.0 - 9 * F.col("event_id")).alias("remaining_m"), F.lit(False).alias("off_route"))
+    out = navigation.announced(rows)
+    plan = physical(out)
+    assert plan.count(" Range (0, 30,") == 1  # not once for each step over the updates
+    got = out.where("rider_id = 7").orderBy("event_id").collect()
+    assert len(got) == n // 30 and [r["event_id"] for r in got if r["said"] == navigation.ARRIVED] == [97] and got[4]["said"] == "In a few yards, left" and got[98]["said"] is None
+    written = [e for e in re.findall(r"^[ :+-]*Exchange hashpartitioning\((\w+)#", plan, re.M) if e == "part"]
+    assert len(written) == 1  # the rows go to their block once, and stay there for what is joined
+
+
+def test_a_fix_finds_its_route_by_equality(spark, tmp_path):
+    for name, size in (("events", "event_id % 400 < 300"), ("customer", "c_custkey % 100 < 90")):
+        spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet").where(size).write.parquet(f"{tmp_path}/{name}.parquet")
+    d = str(tmp_path)
+    tables = {n: fixtures.fixture(spark, d, n) for n in fixtures.needs("fx_fixes")}
+    want, got = spark.sql(fixtures.FIXTURES["fx_fixes"], **tables), fixtures.fixture(spark, d, "fx_fixes")
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 5000
+    plan = physical(got)
+    assert "CartesianProduct" not in plan and not re.search(r"BroadcastNestedLoopJoin Build\w+, Inner", plan)  # every event with every route
+    none = fixtures.fixes(tables["events"], tables["fx_route_vertices"].where("false"))
+    assert none.count() == 0
