@@ -15,6 +15,8 @@ ANNOUNCE_M, REMIND_M, COOLDOWN_MS = 80.0, 20.0, 8000
 ARRIVED = "You have arrived at your destination."
 #: A rider's fixes are worked on by blocks of so many milliseconds (a week: 604,800 fixes, if there is one a second), so that no task holds a whole history. In hours, few fixes share a block.
 BLOCK_MS = 604_800_000
+#: Within so many degrees (longitudes by the fix's cosine) plain distances tell which segments can't be the nearest one; what reaches farther is always worked out.
+FLAT_DEG = 4.0
 #: The off-route banner goes so long after the last fix on the route.
 BANNER_MS = 2000
 
@@ -29,8 +31,10 @@ def measured(vertices: DataFrame) -> DataFrame:
 
 
 def routes_of(vertices: DataFrame) -> DataFrame:
-    """One row for each route: its segments as a sorted array, and its length."""
-    seg = F.struct("seg", "lat1", "lng1", "lat2", "lng2", "before", "length")
+    """One row for each route: its segments as a sorted array, with their middle and half their length in degrees, and its length."""
+    middle = [((F.col(f"{x}1") + F.col(f"{x}2")) / 2).alias(f"mid_{x}") for x in ("lat", "lng")]
+    half = F.hypot(F.col("lat2") - F.col("lat1"), F.col("lng2") - F.col("lng1")) / 2
+    seg = F.struct("seg", "lat1", "lng1", "lat2", "lng2", "before", "length", *middle, half.alias("half"))
     return measured(vertices).groupBy("route_id").agg(F.array_sort(F.collect_list(seg)).alias("segments"), F.sum("length").alias("total"))
 
 
@@ -48,9 +52,24 @@ def placed(fixes: DataFrame) -> DataFrame:
     return _nearest(fixes).drop("m")
 
 
+def candidates(fixes: DataFrame) -> DataFrame:
+    """fixes (with __k, their cosine) with those of their segments that may be the nearest one: few, so that the exact distances of the others are not worked out.
+
+    By plain distances in degrees a segment is no nearer than its middle less half its length, and the nearest one no farther than the nearest middle. Within FLAT_DEG of a fix such a distance U is that on
+    the great circle but for a factor of 1 + U / (2 * __k) in radians at most, up or down; a tenth more and a nanodegree for rounding are beyond both.
+    """
+    c = F.col
+    middles = F.transform("segments", lambda s: F.struct(F.hypot(c("lat") - s["mid_lat"], (c("lng") - s["mid_lng"]) * c("__k")).alias("away"), s.alias("s")))
+    rows = fixes.withColumn("__middles", middles).withColumn("__bound", F.array_min(c("__middles")["away"]) * 1.1 + 1e-9)
+    # __bound is named twice, as a column that is named once would be put into the lambda and worked out for each segment
+    beyond = lambda x: c("__bound").isNotNull() & (x["away"] - x["s"]["half"] > c("__bound")) & (x["away"] + x["s"]["half"] < c("__k") * FLAT_DEG)
+    return rows.withColumn("segments", F.filter("__middles", lambda x: ~F.coalesce(beyond(x), F.lit(False)))["s"]).drop("__middles", "__bound")
+
+
 def _nearest(fixes: DataFrame) -> DataFrame:
     """m: the least of the segments by distance and number. Step by step, as what a lambda names twice is computed twice, and with the fix's cosine computed before."""
     c = F.col
+    fixes = candidates(fixes.withColumn("__k", F.cos(geo.rad(c("lat")))))
     f = lambda x, *names: [x[n].alias(n) for n in names]
     at = F.transform("segments", lambda s: F.struct(s.alias("s"), ((s["lng2"] - s["lng1"]) * c("__k")).alias("dx"), (s["lat2"] - s["lat1"]).alias("dy"), ((c("lng") - s["lng1"]) * c("__k")).alias("px"), (c("lat") - s["lat1"]).alias("py")))
     at = F.transform(at, lambda x: F.struct(*f(x, "s"), (x["px"] * x["dx"] + x["py"] * x["dy"]).alias("dot"), (x["dx"] * x["dx"] + x["dy"] * x["dy"]).alias("sq")))
@@ -58,7 +77,7 @@ def _nearest(fixes: DataFrame) -> DataFrame:
     at = F.transform(at, lambda x: F.struct(*f(x, "s", "t"), (x["s"]["lat1"] + x["t"] * (x["s"]["lat2"] - x["s"]["lat1"])).alias("lat"), (x["s"]["lng1"] + x["t"] * (x["s"]["lng2"] - x["s"]["lng1"])).alias("lng")))
     at = F.transform(at, lambda x: F.struct(*f(x, "s", "t", "lat", "lng"), geo.squared_chord(c("lat"), c("lng"), x["lat"], x["lng"], c("__k")).alias("h")))
     near = F.transform(at, lambda x: F.struct(geo.arc(x["h"]).alias("d"), x["s"]["seg"].alias("seg"), (x["s"]["before"] + x["t"] * x["s"]["length"]).alias("along"), *f(x, "lat", "lng")))
-    out = fixes.withColumn("__k", F.cos(geo.rad(c("lat")))).withColumn("m", F.array_min(near))
+    out = fixes.withColumn("m", F.array_min(near))
     return out.withColumns({"off_m": c("m.d"), "along_m": c("m.along")}).drop("segments", "__k")
 
 

@@ -88,6 +88,31 @@ def test_a_fix_stays_one_row(spark):
     assert max(r for _, r in rows_of(spark, out)) < 1000  # no fix with each of 199 segments
 
 
+def test_few_segments_are_worked_out(spark, monkeypatch):
+    rng, v, fixes = random.Random(5), [], []
+    corners = [(45.5, -122.6, 0.004), (45.5, -122.6, 0.3), (0.0, 179.999, 0.01), (89.9, 10.0, 0.05), (-60.0, -180.0, 3.0), (10.0, 20.0, 0.0)]
+    for route in range(36):
+        lat, lng, wide = corners[route % 6]
+        points = [(lat + (rng.random() - 0.5) * wide, lng + (rng.random() - 0.5) * wide) for _ in range(30)]
+        points = [(a, b if b <= 180 else b - 360) for a, b in points]
+        points[7] = points[3] = points[4]  # one without length, and a place passed twice
+        v += [(route, i, a, b) for i, (a, b) in enumerate(points)]
+        for k in range(20):
+            a, b = points[k] if k % 3 == 0 else (lat + (rng.random() - 0.5) * wide * 1.3, lng + (rng.random() - 0.5) * wide * 1.3)
+            fixes.append((len(fixes), route, *((a, b) if k else (rng.uniform(-90, 90), rng.uniform(-180, 180)))))
+    fixes += [(len(fixes), 0, None, 1.0), (len(fixes) + 1, 0, float("nan"), 1.0), (len(fixes) + 2, 0, 1.0, None)]
+    routes = navigation.routes_of(spark.createDataFrame(v, "route_id long, idx int, lat double, lng double"))
+    df = spark.createDataFrame(fixes, "event_id long, route_id long, lat double, lng double")
+    got = sorted(map(repr, navigation.matched(df, routes).collect()))
+    left = navigation.candidates(df.where("route_id % 6 = 0 and event_id % 20 > 0").join(routes, "route_id").withColumn("__k", F.cos(geo.rad(F.col("lat")))))
+    assert left.agg(F.avg(F.size("segments"))).first()[0] < 20  # of 29, in a tangle whose segments are as long as it is wide
+    walk = spark.createDataFrame([(1, i, 45.5 + 0.001 * i, -122.6) for i in range(200)], "route_id long, idx int, lat double, lng double")
+    near = navigation.candidates(spark.createDataFrame([(1, 45.5 + 0.0011 * k, -122.601, math.cos(math.radians(45.5))) for k in range(150)], "route_id long, lat double, lng double, __k double").join(navigation.routes_of(walk), "route_id"))
+    assert near.agg(F.max(F.size("segments"))).first()[0] < 6  # of 199
+    monkeypatch.setattr(navigation, "FLAT_DEG", -1.0)  # then all are worked out
+    assert got == sorted(map(repr, navigation.matched(df, routes).collect())) and len(got) == len(fixes)
+
+
 def test_dense_places_are_not_all_met(spark):
     n = 3000  # of one name, all within a few cells
     p = spark.range(n).select(F.col("id").alias("place_id"), F.lit("Park").alias("name"), (45.45 + (F.col("id") * 131 % 3600) * 1e-5).alias("lat"), (-122.7 + (F.col("id") * 173 % 5700) * 1e-5).alias("lng"))
