@@ -184,8 +184,11 @@ def announced(rows: DataFrame) -> DataFrame:
         return F.struct(F.when(says, x["ms"]).otherwise(s["last"]).alias("last"), F.when(says, F.concat(s["out"], F.array(x["at"]))).otherwise(s["out"]).alias("out"))
 
     again = each.select("rider_id", F.explode(F.aggregate("m", start, step, lambda s: s["out"])).alias("a"))
-    again = again.groupBy(F.struct("rider_id", "a.block").alias("__part")).agg(F.collect_list("a.n").alias("again"))  # a word each COOLDOWN_MS of a block at most
+    # by pages of a block's numbers, so that a fix is looked for among few
+    page = lambda n: (n / 1024).cast("int")
+    again = again.groupBy(F.struct("rider_id", "a.block").alias("__part"), page(c("a.n")).alias("page")).agg(F.collect_list("a.n").alias("ns"))
+    again = again.groupBy("__part").agg(F.map_from_entries(F.collect_list(F.struct("page", "ns"))).alias("again"))
     r = r.join(again, c("part") == c("__part"), "left")
     ends = (c("come") == 1) & (c("remaining_m") < ARRIVAL_M) & ~c("gone")
-    said = F.when(ends, F.lit(ARRIVED)).when(c("speaks"), F.concat(F.lit("In "), voice_distance_text(c("to_turn_m")), F.lit(", "), c("next_text"))).when(c("close") & F.array_contains("again", c("n")), c("next_text"))
+    said = F.when(ends, F.lit(ARRIVED)).when(c("speaks"), F.concat(F.lit("In "), voice_distance_text(c("to_turn_m")), F.lit(", "), c("next_text"))).when(c("close") & F.array_contains(F.try_element_at("again", page(c("n"))), c("n")), c("next_text"))
     return r.select("part.rider_id", "event_id", "ts", "idx", (c("gone") | (c("come") > 0)).alias("arrived"), "off_route", said.alias("said"))
